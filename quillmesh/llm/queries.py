@@ -7,15 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm.metric_join import jaccard_components
+from quillmesh.llm.packing import pack_power_of_two
+from quillmesh.llm.sentencepiece_fst import encode_documents
+from quillmesh.llm.sharding import shard_documents
 from quillmesh.storage import table
 
 
+def op1_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
+def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), shards=8)
+
+
+def op8_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_power_of_two(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs, k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece_fst": op1_sentencepiece_fst,
+    "op3_stratified_shards": op3_stratified_shards,
+    "op8_power_packing": op8_power_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
