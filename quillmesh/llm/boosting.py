@@ -1,0 +1,88 @@
+"""Histogram gradient-boosted trees for binary labels, trained with numpy and flattened into arrays.
+
+Columns are cut into at most `bins` bins at training quantiles. A tree grows level by level: for all nodes of a level, one
+weighted count for each column gives the gradient and hessian histograms, cumulative sums give every split's gain. Trees are complete
+binary trees of one depth, so a forest is three arrays (column, cut, leaf value) and a row's path needs no branching: at each
+level node = 2 * node + 1 + (value > cut), for all rows and trees at once. Fitting is deterministic.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+
+@dataclass
+class Forest:
+    column: np.ndarray  # trees x inner nodes
+    cut: np.ndarray  # trees x inner nodes: go right if the value is above it
+    leaf: np.ndarray  # trees x leaves
+    base: float
+
+    def margin(self, x: np.ndarray, rows: int = 4096) -> np.ndarray:
+        """Log-odds of each row."""
+        out = np.full(len(x), self.base)
+        depth = int(np.log2(self.leaf.shape[1])) if len(self.leaf) else 0
+        trees = np.arange(len(self.column))[None, :]
+        for i in range(0, len(x), rows):
+            part = x[i : i + rows]
+            node = np.zeros((len(part), len(self.column)), np.int64)
+            at = np.arange(len(part))[:, None]
+            for _ in range(depth):
+                node = 2 * node + 1 + (part[at, self.column[trees, node]] > self.cut[trees, node])
+            out[i : i + rows] += self.leaf[trees, node - self.column.shape[1]].sum(1) if len(self.column) else 0
+        return out
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
+
+
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least_hessian: float = 1.0, weight: np.ndarray | None = None) -> Forest:
+    """A forest for labels y in {0, 1}. Without rows, or with one label, it is the smoothed share of label 1."""
+    y = y.astype(float)
+    w = np.ones(len(y)) if weight is None else weight.astype(float)
+    share = ((w * y).sum() + 0.5) / (w.sum() + 1)
+    inner, leaves = 2**depth - 1, 2**depth
+    base = float(np.log(share / (1 - share)))
+    if not len(y) or y.min() == y.max():
+        return Forest(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), base)
+    x = np.nan_to_num(x.astype(float))
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
+    binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)  # value <= cuts[b] lies in bins up to b
+    columns, margin = x.shape[1], np.full(len(y), base)
+    out = Forest(np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, leaves)), base)
+    usable = np.zeros((columns, bins), bool)
+    for j, c in enumerate(cuts):
+        usable[j, : len(c)] = True
+    for t in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = w * (p - y), w * p * (1 - p)
+        node = np.zeros(len(y), np.int64)
+        for level in range(depth):
+            count, first = 2**level, 2**level - 1
+            key = (node - first) * bins
+            hist = np.empty((2, count, columns, bins))
+            for j in range(columns):
+                at = key + np.minimum(binned[:, j], bins - 1)
+                hist[0, :, j] = np.bincount(at, g, count * bins).reshape(count, bins)
+                hist[1, :, j] = np.bincount(at, h, count * bins).reshape(count, bins)
+            left = hist.cumsum(3)
+            whole = left[..., -1:]
+            right = whole - left
+            score = lambda s: s[0] ** 2 / (s[1] + l2)
+            gain = score(left) + score(right) - score(whole)
+            gain = np.where(usable[None] & (left[1] >= least_hessian) & (right[1] >= least_hessian), gain, 0).round(9)
+            best = gain.reshape(count, -1).argmax(1)
+            worth = gain.reshape(count, -1).max(1) > 1e-6
+            column, cut = best // bins, best % bins
+            for i in range(count):
+                out.column[t, first + i] = column[i]
+                out.cut[t, first + i] = cuts[column[i]][cut[i]] if worth[i] else np.inf
+            own = node - first
+            node = 2 * node + 1 + (worth[own] & (binned[np.arange(len(y)), column[own]] > cut[own]))
+        at = node - inner
+        sums = np.bincount(at, g, leaves), np.bincount(at, h, leaves)
+        out.leaf[t] = -rate * sums[0] / (sums[1] + l2)
+        margin += out.leaf[t][at]
+    return out

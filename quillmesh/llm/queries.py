@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmesh.llm.hdc_language import language_of_documents
 from quillmesh.llm.metric_join import jaccard_components
 from quillmesh.llm.packing import pack_power_of_two
+from quillmesh.llm.quality_trees import quality_of_documents
 from quillmesh.llm.sentencepiece_fst import encode_documents
 from quillmesh.llm.sharding import shard_documents
+from quillmesh.llm.telephony import store_audio
+from quillmesh.llm.warc_store import archive_pages
 from quillmesh.storage import table
 
 
@@ -21,6 +25,22 @@ def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), shards=8)
 
 
+def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_audio(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
+def op5_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op6_hdc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_of_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op8_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_power_of_two(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -33,6 +53,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_fst": op1_sentencepiece_fst,
     "op3_stratified_shards": op3_stratified_shards,
+    "op4_telephony_audio": op4_telephony_audio,
+    "op5_warc_store": op5_warc_store,
+    "op6_hdc_language": op6_hdc_language,
+    "op7_quality_trees": op7_quality_trees,
     "op8_power_packing": op8_power_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }

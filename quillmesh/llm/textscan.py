@@ -95,7 +95,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, U64)
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_BASE_INV, len(data))[starts] + (ends - starts).astype(U64) * _STEP[15])
+    return mix((total[ends] - total[starts]) * _power(_BASE_INV, len(data) + 1)[starts] + (ends - starts).astype(U64) * _STEP[15])
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:
