@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm.hdc_language import language_of_documents
+from quillmesh.llm.html_trees import extract_pages
+from quillmesh.llm.line_crf import quality_rules
 from quillmesh.llm.metric_join import jaccard_components
 from quillmesh.llm.packing import pack_power_of_two
 from quillmesh.llm.quality_trees import quality_of_documents
@@ -21,6 +23,10 @@ def op1_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def op2_html_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), shards=8)
 
@@ -45,6 +51,10 @@ def op8_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_power_of_two(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs, k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
@@ -52,12 +62,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_fst": op1_sentencepiece_fst,
+    "op2_html_trees": op2_html_trees,
     "op3_stratified_shards": op3_stratified_shards,
     "op4_telephony_audio": op4_telephony_audio,
     "op5_warc_store": op5_warc_store,
     "op6_hdc_language": op6_hdc_language,
     "op7_quality_trees": op7_quality_trees,
     "op8_power_packing": op8_power_packing,
+    "op9_line_crf": op9_line_crf,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
