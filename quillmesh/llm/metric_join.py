@@ -6,10 +6,12 @@ is therefore first cut into cells in which all links lie:
 
 1. Cells. Shingle hashes are dealt into m ranges. |x ^ y|, the size of the symmetric difference, is the sum over the ranges of
    their own differences (each a metric). A link bounds the sum by tau, so with m = tau + 1 + slack ranges more than `slack`
-   ranges agree entirely, and at least one of them is not empty (a document with more empty ranges than `slack` registers
-   them too). Documents at distance 0 in a range share a cell. m depends on the size class; a document registers in its own
+   ranges agree entirely: one of them is not empty, or slack + 1 empty ones are shared (the few documents with as many empty
+   ranges register their combinations). Documents at distance 0 in a range share a cell. m depends on the size class; a document registers in its own
    class and the next, as linked sizes differ by a factor of at most the threshold.
-2. Groups. Cells give star edges, their components hold all links. Copies (equal sets) are one class from here on.
+2. Groups. Documents of a cell are joined if their sizes and sketches (counts in fixed ranges, whose distance is at most
+   |x ^ y|) allow a link; a cell with very many is joined as it is. The components hold all links. Copies (equal sets) are one
+   class from here on.
 3. Regions. Inside a group, pivots are drawn; each document goes to its nearest pivot's region; with eps the largest linked
    distance, y is copied to the region of q if d(y,q) <= d1(y) + 2 eps. Documents farther than a radius from all pivots form
    a region of their own (its inner edge widened by eps). Regions are joined recursively until their documents are all
@@ -23,10 +25,13 @@ without an id keeps nulls in all result columns. Other columns of the input are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,11 +40,19 @@ from quillmesh.llm.textscan import U64, mix, popular_settings, shingle_sets
 from quillmesh.operators.components import connected_components
 from quillmesh.storage import written
 
-LOCAL_DOCS = 2000
-LOCAL_SHINGLES = 4_000_000
+LOCAL_DOCS = 1000
+#: Documents times shingles of a region that one task joins.
+LOCAL_WORK = 400_000_000
+#: Pivots split a region only if the squares of its parts' sizes come to at most this share of its own.
+WORTH = 0.6
 BROADCAST_BYTES = 8 << 20
 PIVOTS = 12
-SLACK_SHARE = 0.02
+#: Above so many documents a cell is one group without a closer look.
+HOT_CELL = 256
+#: Nodes of a task's spanning forest that are held before it is sent on.
+FOREST_NODES = 500_000
+#: Bound of the size classes whose cells are pairs of hashes.
+SMALL = 44
 #: Documents farther than this from all pivots form the outer region.
 RADIUS = 0.6
 
@@ -59,16 +72,32 @@ def class_bound(c: int, num: int, den: int) -> int:
     return hi
 
 
-def ranges_of(bound: int, num: int, den: int) -> tuple[int, int]:
-    """(m, slack) for sets of up to `bound` shingles: |x ^ y| <= (den - num) / (den + num) * (|x| + |y|)."""
-    tau = (den - num) * 2 * bound // (den + num)
-    slack = 1 + int(SLACK_SHARE * tau) if tau else 0
+def ranges_of(c: int, num: int, den: int) -> tuple[int, int]:
+    """(m, slack) for sets registered in class c: |x ^ y| <= (den - num) / (den + num) * (|x| + |y|). slack is well above the
+    number of empty ranges that the class's smallest sets have by chance."""
+    tau = (den - num) * 2 * class_bound(c, num, den) // (den + num)
+    if not tau or class_bound(c, num, den) <= SMALL:
+        return tau + 1, 0
+    least, slack = (class_bound(c - 2, num, den) if c > 1 else 0) + 1, 1
+    for _ in range(4):
+        m = tau + 1 + slack
+        empty = m * math.exp(-least / m)
+        slack = 1 + math.ceil(empty + 5 * math.sqrt(empty))
     return tau + 1 + slack, slack
 
 
 def cells_of(own: np.ndarray, c: int, num: int, den: int) -> np.ndarray:
-    """The cells of one sorted set in size class c."""
-    m, slack = ranges_of(class_bound(c, num, den), num, den)
+    """The cells of one sorted set in size class c. Linked sets agree in more than `slack` ranges: if all of these are empty,
+    the sets share slack + 1 empty ranges, so sets with as many register each choice of that many as a cell. Sets of up to
+    SMALL are too small for ranges: of the first |x| - (least overlap) + 2 hashes of each, linked sets share two, and each
+    pair of these is a cell. Where a link means equality, there is none."""
+    m, slack = _ranges(c, num, den)
+    if m == 1 or len(own) < 2:
+        return np.zeros(0, np.uint64)
+    if class_bound(c, num, den) <= SMALL:
+        head = own[: len(own) - (num * len(own) + den - 1) // den + 2]
+        i, j = np.triu_indices(len(head), 1)
+        return mix(mix(head[i]) * U64(3) + head[j] + U64(c))
     part = ((own >> U64(32)) * U64(m)) >> U64(32)
     first = np.empty(len(part), bool)
     first[0] = True
@@ -78,11 +107,21 @@ def cells_of(own: np.ndarray, c: int, num: int, den: int) -> np.ndarray:
     tag = U64((c * 0x2545F4914F6CDD1D + 0x1234567) & (2**64 - 1))
     out = mix(total ^ mix(part[at] + tag))
     if m - len(at) > slack:
-        empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part[at], assume_unique=True)
-        out = np.concatenate([out, mix(U64(0x5851F42D4C957F2D) ^ mix(empty + tag))])
+        empty = mix(np.setdiff1d(np.arange(m, dtype=np.uint64), part[at], assume_unique=True) + tag)
+        chosen = np.array([np.add.reduce(empty[list(x)]) for x in combinations(range(len(empty)), slack + 1)], np.uint64)
+        out = np.concatenate([out, mix(U64(0x5851F42D4C957F2D) ^ chosen)])
     return out
 
 
+_known: dict[tuple[int, int, int], tuple[int, int]] = {}
+
+
+def _ranges(c: int, num: int, den: int) -> tuple[int, int]:
+    if (c, num, den) not in _known:
+        _known[c, num, den] = ranges_of(c, num, den)
+    return _known[c, num, den]
+
+
 def _classes(limit: int, num: int, den: int) -> np.ndarray:
     bounds = [1]
     while bounds[-1] < limit:
@@ -91,7 +130,7 @@ def _classes(limit: int, num: int, den: int) -> np.ndarray:
 
 
 _SCAN = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("x", pa.binary())])
-_FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
+_FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -105,24 +144,32 @@ def set_hashes(own: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(mix(own))), int(np.bitwise_xor.reduce(mix(own ^ U64(0xA5A5A5A55A5A5A5A)))) ^ (len(own) * 0x9E3779B9)
 
 
+def sketch_of(own: np.ndarray) -> bytes:
+    """Counts of a sorted set's hashes in equal ranges, about 8 in each, in bytes: the sum of absolute differences of two
+    sketches is at most |x ^ y| (counts above 255 are cut, which only lowers it). Twice as few ranges: add neighbours."""
+    bits = min(14, max(4, (len(own) // 8).bit_length()))
+    return np.minimum(np.bincount((own >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
 def _scan(k: int, num: int, den: int):
-    """Rows (key, a, x): of each document (x: id, second hash, size), of its cells (x null), and edges between documents that
-    share a cell within a batch (x: the other end), so that a cell's many documents are combined before the shuffle."""
+    """Rows (key, a, x): of each document (x: id, second hash, size, sketch) and of its cells (x null). If a batch has many
+    documents in one cell they are combined before the shuffle: edges to one of them (x: the other end), which stands in the
+    cell for all with an empty x."""
     bounds = _classes(1 << 40, num, den)
 
     def flush(cells, nodes):
         cell, node = np.concatenate(cells), np.concatenate(nodes)
         order = np.argsort(cell, kind="stable")
         cell, node = cell[order], node[order]
-        first = np.empty(len(cell), bool)
-        first[0] = True
-        np.not_equal(cell[1:], cell[:-1], out=first[1:])
-        head = node[np.maximum.accumulate(np.where(first, np.arange(len(cell)), 0))]
-        more = ~first & (head != node)
-        yield pa.record_batch([pa.array(_signed(cell[first])), pa.array(_signed(node[first])), pa.nulls(int(first.sum()), pa.binary())], schema=_SCAN)
-        if more.any():
-            pair = np.unique(np.stack([head[more], node[more]], 1), axis=0)
-            yield pa.record_batch([pa.array(_signed(mix(pair[:, 0] ^ mix(pair[:, 1])))), pa.array(_signed(pair[:, 0])), pa.array([v.tobytes() for v in pair[:, 1]], pa.binary())], schema=_SCAN)
+        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        times = np.diff(np.concatenate([at, [len(cell)]]))
+        hot = times > HOT_CELL
+        plain = np.repeat(~hot, times)
+        yield pa.record_batch([pa.array(_signed(cell[plain])), pa.array(_signed(node[plain])), pa.nulls(int(plain.sum()), pa.binary())], schema=_SCAN)
+        for i in np.flatnonzero(hot):
+            own = np.unique(node[at[i] : at[i] + times[i]])
+            yield pa.record_batch([pa.array(_signed(cell[at[i] : at[i] + 1])), pa.array(_signed(own[:1])), pa.array([b""], pa.binary())], schema=_SCAN)
+            yield pa.record_batch([pa.array(_signed(mix(own[1:]))), pa.array(_signed(np.full(len(own) - 1, own[0]))), pa.array([v.tobytes() for v in own[1:]], pa.binary())], schema=_SCAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,12 +177,15 @@ def _scan(k: int, num: int, den: int):
             docs, cells, nodes, held, seen = [], [], [], 0, set()
             for r, own in shingle_sets(batch.column(1), k):
                 h1, h2 = set_hashes(own)
-                docs.append((int(ids[r]), h1, h2, len(own)))
-                if not len(own) or (h1, h2) in seen:
-                    continue
+                known = (h1, h2) in seen
                 seen.add((h1, h2))
+                docs.append((int(ids[r]), h1, h2, len(own), b"" if known or not len(own) else sketch_of(own)))
+                if known or not len(own):
+                    continue
                 c = int(np.searchsorted(bounds, len(own)))
                 new = np.concatenate([cells_of(own, c, num, den), cells_of(own, c + 1, num, den)])
+                if not len(new):
+                    continue
                 cells.append(new)
                 nodes.append(np.full(len(new), h1, np.uint64))
                 held += len(new)
@@ -145,41 +195,156 @@ def _scan(k: int, num: int, den: int):
             if cells:
                 yield from flush(cells, nodes)
             if docs:
-                packed = [np.array([d & (2**64 - 1), h2, n], np.uint64).tobytes() for d, _, h2, n in docs]
-                key = mix(np.array([d & (2**64 - 1) for d, *_ in docs], np.uint64))
-                yield pa.record_batch([pa.array(_signed(key)), pa.array(_signed(np.array([h for _, h, _, _ in docs], np.uint64))), pa.array(packed, pa.binary())], schema=_SCAN)
+                packed = [np.array([d & (2**64 - 1), h2, n], np.uint64).tobytes() + s for d, _, h2, n, s in docs]
+                key = mix(np.array([d[0] & (2**64 - 1) for d in docs], np.uint64))
+                yield pa.record_batch([pa.array(_signed(key)), pa.array(_signed(np.array([d[1] for d in docs], np.uint64))), pa.array(packed, pa.binary())], schema=_SCAN)
 
     return run
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: documents (kind 0) and star edges (kind 1) of the cells with more than one document."""
-    last_key, last_head = None, 0
+    """From rows sorted by key: documents (kind 0); edges (kind 1) from one document to the others of a cell with many; and the
+    documents (kind 2: cell, document) of other cells with more than one. Cells of the same documents get the same name."""
+
+    def batch_of(kind, a, b, c=None, n=None, sketch=None):
+        size = len(a)
+        none = pa.nulls(size, pa.int64())
+        return pa.record_batch([pa.array(np.full(size, kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none if c is None else pa.array(c, pa.int64()), none if n is None else pa.array(n, pa.int64()), pa.nulls(size, pa.binary()) if sketch is None else pa.array(sketch, pa.binary())], schema=_FOUND)
+
+    def closed(cell, node, star):
+        """Whole cells, sorted: edges and members."""
+        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        times = np.diff(np.concatenate([at, [len(cell)]]))
+        many = (times > HOT_CELL) | (np.add.reduceat(star.astype(np.int64), at) > 0)
+        for i in np.flatnonzero(many):
+            own = np.unique(node[at[i] : at[i] + times[i]])
+            starred(own)
+        few = np.repeat((times > 1) & ~many, times)
+        cell, node = cell[few], node[few]
+        if len(cell):
+            order = np.lexsort((node, cell))
+            cell, node = cell[order], node[order]
+            keep = np.concatenate([[True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])])
+            cell, node = cell[keep], node[keep]
+            at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            times = np.diff(np.concatenate([at, [len(cell)]]))
+            name = np.add.reduceat(mix(node.view(np.uint64)), at)
+            wide = np.repeat(times > 1, times)
+            name = np.repeat(mix(name), times)
+            pairs = np.unique(np.stack([_signed(name[wide]), node[wide]], 1), axis=0)
+            if len(pairs):
+                yield batch_of(2, pairs[:, 0], pairs[:, 1])
+
+    forest = _Roots()
+
+    def starred(own):
+        for v in own[1:].tolist():
+            forest.join(int(own[0]), v)
+
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     for batch in batches:
+        if len(forest.up) > FOREST_NODES:
+            yield batch_of(1, *zip(*forest.taken(), strict=True))
         key, a, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-        full = x.is_valid().to_numpy(zero_copy_only=False)
-        docs, ends = [], []
-        for r in np.flatnonzero(full):
-            v = np.frombuffer(x[int(r)].as_py(), np.int64)
-            docs.append((a[r], *v)) if len(v) == 3 else ends.append((a[r], v[0]))
+        size = pc.fill_null(pc.binary_length(x), 0).to_numpy()
+        docs = []
+        edges = np.flatnonzero(size == 8)
+        for r in np.flatnonzero(size > 8):
+            v = x[int(r)].as_py()
+            docs.append((*np.frombuffer(v[:24], np.int64).tolist(), v[24:], int(a[r])))
         if docs:
-            h1, d, h2, n = (np.array(v, np.int64) for v in zip(*docs, strict=True))
-            yield pa.record_batch([pa.array(np.zeros(len(d), np.int8)), pa.array(d), pa.array(h1), pa.array(h2), pa.array(n)], schema=_FOUND)
-        cell, node = key[~full], a[~full]
-        if len(cell):
-            first = np.empty(len(cell), bool)
-            first[0] = cell[0] != last_key
-            np.not_equal(cell[1:], cell[:-1], out=first[1:])
-            head = np.where(first, np.arange(len(cell)), -1)
-            head = np.maximum.accumulate(head)
-            heads = np.where(head >= 0, node[np.maximum(head, 0)], last_head)
-            more = ~first & (heads != node)
-            last_key, last_head = cell[-1], heads[-1]
-            if more.any():
-                ends.extend(map(tuple, np.unique(np.stack([heads[more], node[more]], 1), axis=0)))
-        if ends:
-            p, q = (np.array(v, np.int64) for v in zip(*ends, strict=True))
-            yield pa.record_batch([pa.array(np.ones(len(p), np.int8)), pa.array(p), pa.array(q), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.int64())], schema=_FOUND)
+            d, h2, n, sketch, h1 = zip(*docs, strict=True)
+            yield batch_of(0, d, h1, h2, n, [v or None for v in sketch])
+        for r in edges:
+            forest.join(int(a[r]), int(np.frombuffer(x[int(r)].as_py(), np.int64)[0]))
+        cells = size == 0
+        cell, node, star = (np.concatenate([h, v]) for h, v in zip(held, (key[cells], a[cells], x.is_valid().to_numpy(zero_copy_only=False)[cells]), strict=True))
+        if not len(cell):
+            continue
+        last = int(np.searchsorted(cell, cell[-1]))
+        if last:
+            yield from closed(cell[:last], node[:last], star[:last])
+        cell, node, star = cell[last:], node[last:], star[last:]
+        if len(cell) > 4 * HOT_CELL:  # a cell with many: its documents go out as edges to one of them
+            own = np.unique(node)
+            starred(own)
+            cell, node, star = cell[:1], own[:1], np.ones(1, bool)
+        held = (cell, node, star)
+    if len(held[0]):
+        yield from closed(*held)
+    if forest.up:
+        yield batch_of(1, *zip(*forest.taken(), strict=True))
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    least = min(map(len, sketches))
+    return np.stack([np.frombuffer(s, np.uint8).astype(np.int32).reshape(least, -1).sum(1) for s in sketches])
+
+
+def _plausible(num: int, den: int):
+    """Edges between the documents of a cell whose sizes and sketches allow a link; rows (cell, node, n, sketch) sorted by cell.
+    Only the components of these edges matter, so documents that they connect already aren't compared."""
+
+    def done(nodes, sizes, sketches):
+        uf, v, n = _Union(len(nodes)), _folded(sketches), np.array(sizes)
+        for i in range(len(nodes) - 1):
+            rest = n[i + 1 :]
+            fits = den * np.minimum(rest, n[i]) >= num * np.maximum(rest, n[i])
+            at = i + 1 + np.flatnonzero(fits)
+            if len(at):
+                apart = np.abs(v[at] - v[i]).sum(1)
+                for j in at[(den + num) * apart <= (den - num) * (n[at] + n[i])]:
+                    uf.join(i, int(j))
+        return [(nodes[r], nodes[i]) for i in range(len(nodes)) if (r := uf.find(i)) != i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, sizes, sketches, out, forest = None, [], [], [], [], _Roots()
+        for batch in batches:
+            for cell, node, n, sketch in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if cell != last:
+                    out += done(nodes, sizes, sketches) if len(nodes) > 1 else []
+                    last, nodes, sizes, sketches = cell, [], [], []
+                nodes.append(node)
+                sizes.append(n)
+                sketches.append(sketch)
+            for i, j in out:
+                forest.join(i, j)
+            out = []
+            if len(forest.up) > FOREST_NODES:
+                full = forest.taken()
+                yield pa.record_batch([pa.array([v[i] for v in full], pa.int64()) for i in (0, 1)], schema=_LINK)
+        for i, j in done(nodes, sizes, sketches) if len(nodes) > 1 else []:
+            forest.join(i, j)
+        out = forest.taken()
+        yield pa.record_batch([pa.array([v[i] for v in out], pa.int64()) for i in (0, 1)], schema=_LINK)
+
+    return run
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+class _Roots:
+    """Edges of a task as a spanning forest: (least node of the component, node), so each node goes out about once a task."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, i: int) -> int:
+        up = self.up
+        while (p := up.get(i, i)) != i:
+            up[i] = i = up.get(p, p)
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+
+    def taken(self) -> list[tuple[int, int]]:
+        out = [(self.find(i), i) for i in list(self.up)]
+        self.up = {}
+        return out
 
 
 class _Union:
@@ -217,6 +382,33 @@ def region_join(sets: list[np.ndarray], num: int, den: int) -> list[int]:
             uf.join(pivot, int(x))
         return 1 - inter / union
 
+    def compared(members: np.ndarray, cat: np.ndarray, sizes: np.ndarray) -> None:
+        """All intersections at once, as products of 0/1 matrices over the shared shingles; then components by search."""
+        values, column, times = np.unique(cat, return_inverse=True, return_counts=True)
+        at = np.cumsum(times > 1) - 1
+        row, keep = np.repeat(np.arange(len(members)), sizes), times[column] > 1
+        row, column = row[keep], at[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        inter = np.zeros((len(members), len(members)), np.float32)
+        for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+            i, j = np.searchsorted(column, [low, low + 4096])
+            held = np.zeros((len(members), 4096), np.float32)
+            held[row[i:j], column[i:j] - low] = 1
+            inter += held @ held.T
+        linked = np.empty(inter.shape, bool)
+        for low in range(0, len(members), 128):
+            part = inter[low : low + 128].astype(np.int64)
+            linked[low : low + 128] = den * part >= num * (sizes[low : low + 128, None] + sizes[None, :] - part)
+        left = np.ones(len(members), bool)
+        for start in range(len(members)):
+            front = np.array([start]) if left[start] else np.zeros(0, int)
+            while len(front):
+                left[front] = False
+                for x in front:
+                    uf.join(int(members[start]), int(members[x]))
+                front = np.flatnonzero(linked[front].any(0) & left)
+
     stack = [np.arange(len(sets))]
     while stack:
         members = stack.pop()
@@ -224,10 +416,9 @@ def region_join(sets: list[np.ndarray], num: int, den: int) -> list[int]:
         if len(set(roots)) < 2:
             continue
         sizes = np.array([len(sets[x]) for x in members])
-        few = len(members) <= 2 * PIVOTS
         cat = np.concatenate([sets[x] for x in members])
         at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        if few:
+        if len(members) <= 2 * PIVOTS:
             for i in range(len(members) - 1):
                 if any(uf.find(int(members[i])) != uf.find(int(y)) for y in members[i + 1 :]):
                     measured(int(members[i]), members[i + 1 :], cat[at[i + 1] :], at[i + 1 :] - at[i + 1], sizes[i + 1 :])
@@ -237,25 +428,17 @@ def region_join(sets: list[np.ndarray], num: int, den: int) -> list[int]:
         d = np.stack([measured(int(members[p]), members, cat, at, sizes) for p in chosen])
         nearest, least = d.argmin(0), d.min(0)
         near = least <= RADIUS + tiny
-        stack.append(members[least > RADIUS - eps - tiny])
-        for q in range(len(chosen)):
-            inside = near & (d[q] <= least + 2 * eps + tiny)
-            if not (near & (nearest == q)).any():
-                continue
-            region = members[inside]
-            if len(region) < len(members):
-                stack.append(region)
-                continue
-            for i in range(len(members) - 1):  # pivots can't split it: each still unconnected member against the others
-                if len({uf.find(int(y)) for y in members[i:]}) > 1:
-                    measured(int(members[i]), members[i + 1 :], cat[at[i + 1] :], at[i + 1 :] - at[i + 1], sizes[i + 1 :])
-            break
+        parts = [near & (d[q] <= least + 2 * eps + tiny) for q in range(len(chosen)) if (near & (nearest == q)).any()]
+        parts.append(least > RADIUS - eps - tiny)
+        now = np.array([uf.find(int(x)) for x in members])
+        parts = [p for p in parts if (now[p] != now[p][:1]).any()]  # others are connected already
+        if sum(int(p.sum()) ** 2 for p in parts) <= WORTH * len(members) ** 2:
+            stack.extend(members[p] for p in parts)
+        else:
+            compared(members, cat, sizes)
     return [uf.find(i) for i in range(len(sets))]
 
 
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
 def _local(num: int, den: int):
     """Links (a, b) within each region; rows (rg, rep, blob) come sorted by rg."""
 
@@ -336,7 +519,7 @@ def _regions(members: DataFrame, num: int, den: int, max_rounds: int) -> list[Da
     """Links of all groups. members: (rg, rep, n, blob); regions above the local limits are split by pivots, round by round."""
     links, sets, eps = [], members.select("rep", "n", "blob").dropDuplicates(["rep"]), 1 - num / den
     at = members
-    fits = f"docs <= {LOCAL_DOCS} and shingles <= {LOCAL_SHINGLES}"
+    fits = f"docs <= {LOCAL_DOCS} and docs * shingles <= {LOCAL_WORK}"
     for turn in range(max_rounds):
         sizes = at.groupBy("rg").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
         big = written(sizes.where(f"docs > 2 and not ({fits})"), "big")
@@ -356,16 +539,16 @@ def _regions(members: DataFrame, num: int, den: int, max_rounds: int) -> list[Da
         links.append(found.where("rg is null").select(F.col("other").alias("a"), F.col("rep").alias("b")))
         nxt = found.where("rg is not null")
         # A region whose members are all linked to its pivot is done; else members linked to it stay if a link may cross.
-        edge = nxt.groupBy("rg").agg(F.min("core").alias("least"), F.min(F.when(F.col("core") == 0, F.col("d"))).alias("inner"), F.count("*").alias("now"), F.first("parent").alias("was"))
-        edge = edge.where("least = 0").join(big.select(F.col("rg").alias("was"), F.col("docs").alias("before")), "was").select("rg", "inner", (F.col("now") > 0.9 * F.col("before")).alias("stuck"))
-        nxt = nxt.join(edge, "rg").where(f"core = 0 or d >= inner - {eps} - 1e-9")
-        stuck = nxt.where("stuck").select("rg", "rep")
-        free = nxt.where("not stuck").select("rg", "rep")
+        edge = nxt.groupBy("rg", "parent").agg(F.min("core").alias("least"), F.min(F.when(F.col("core") == 0, F.col("d"))).alias("inner"))
+        nxt = nxt.join(edge.where("least = 0").select("rg", "inner"), "rg").where(f"core = 0 or d >= inner - {eps} - 1e-9")
+        parts = nxt.groupBy("parent", "rg").agg(F.count("*").alias("m")).groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+        stuck = parts.join(big.withColumnRenamed("rg", "parent"), "parent").where(f"work > {WORTH} * docs * docs")
+        share = F.greatest(F.col("docs") / LOCAL_DOCS, F.sqrt(F.col("docs") * F.col("shingles") / LOCAL_WORK))
+        stuck = written(stuck.select(F.col("parent").alias("rg"), F.ceil(share * 2.2).cast("int").alias("b")), "stuck")
+        free = nxt.join(stuck.select(F.col("rg").alias("parent")), "parent", "left_anti").select("rg", "rep")
         # Regions that pivots don't shrink: pairs of blocks of half the local limit, each block chosen by hash.
-        share = F.greatest(F.count("*") / LOCAL_DOCS, F.sum("n") / LOCAL_SHINGLES)
-        blocks = stuck.join(stuck.join(sets.select("rep", "n"), "rep").groupBy("rg").agg(F.ceil(share * 2.2).cast("int").alias("b")), "rg")
-        blocks = blocks.withColumn("i", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("b")).cast("int"))
-        blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select(F.xxhash64("rg", F.least("i", "j"), F.greatest("i", "j")).alias("rg"), "rep")
+        blocks = large.join(stuck, "rg").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("b")).cast("int"))
+        blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select(F.xxhash64("rg", F.least("i", "j"), F.greatest("i", "j"), F.lit(turn)).alias("rg"), "rep")
         at = written(free.unionByName(blocks).join(sets, "rep").select("rg", "rep", "n", "blob"), "members")
     raise RuntimeError(f"regions remain after {max_rounds} rounds")
 
@@ -377,11 +560,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     popular_settings(spark)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     found = text.where("id is not null").mapInArrow(_scan(k, num, den), "key long, a long, x binary")
-    found = found.repartition("key").sortWithinPartitions("key").mapInArrow(_found, "kind byte, a long, b long, c long, n long")
+    found = found.repartition("key").sortWithinPartitions("key").mapInArrow(_found, "kind byte, a long, b long, c long, n long, sketch binary")
     found = written(found, "found")
     rows = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("h1"), F.col("c").alias("h2"), "n")
     classes = written(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
-    edges = found.where("kind = 1").select("a", "b").distinct()
+    sketches = found.where("kind = 0 and sketch is not null").groupBy(F.col("b").alias("node")).agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    cells = found.where("kind = 2").select(F.col("a").alias("cell"), F.col("b").alias("node")).distinct().join(sketches, "node")
+    cells = cells.select("cell", "node", "n", "sketch").repartition("cell").sortWithinPartitions("cell")
+    edges = written(found.where("kind = 1").select("a", "b").unionByName(cells.mapInArrow(_plausible(num, den), "a long, b long")).distinct(), "plausible")
     groups = connected_components(edges).select(F.col("node").alias("h1"), F.col("component").alias("rg"))
     wanted = written(classes.join(groups, "h1"), "wanted")
     ids = wanted.select("rep")
@@ -396,3 +582,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     out = rows.join(named, ["h1", "h2", "n"], "left")
     out = out.unionByName(text.where("id is null").select("id"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("to", "id").alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document of each component: that with the smallest id. Of rows that repeat its
+    id one stays. Rows without an id have no component and stay."""
+    found = written(jaccard_components(docs, k, num, den, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "components")
+    gone = written(found.where("component_id <> __id").select("__id").distinct(), "gone")
+    again = written(found.where("component_id = __id").groupBy("__id").count().where("count > 1").select("__id"), "again")
+    small = lambda ids: F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
+    kept = docs.join(small(gone), F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(small(again), F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return kept.join(small(again), F.col(id_col).cast("long") == F.col("__id"), "left_anti").unionByName(once)
