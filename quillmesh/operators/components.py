@@ -1,13 +1,67 @@
-"""Connected components by minimum-label propagation with pointer jumping, all in DataFrame operations."""
+"""Connected components: tasks contract edges to spanning forests, then minimum labels spread with pointer jumping."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.storage import written
 
 
+#: Nodes of a task's spanning forest that are held before it is sent on.
+FOREST_NODES = 500_000
+
+
+class SpanningForest:
+    """Edges as a spanning forest of stars: (least node of the component, node), so each node goes out about once."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, i: int) -> int:
+        up = self.up
+        while (p := up.get(i, i)) != i:
+            up[i] = i = up.get(p, p)
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+
+    def taken(self) -> list[tuple[int, int]]:
+        """The edges so far; the forest is empty afterwards."""
+        out = [(self.find(i), i) for i in list(self.up)]
+        self.up = {}
+        return out
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(a, b) with the components of `edges` (two bigint columns), but about one edge for each node and task: edges are dealt out
+    at random to a few tasks, which replace them by spanning forests. Dense groups lose most of their edges here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = SpanningForest()
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def sent() -> pa.RecordBatch:
+            own = forest.taken()
+            return pa.record_batch([pa.array([v[i] for v in own], pa.int64()) for i in (0, 1)], schema=schema)
+
+        for batch in batches:
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                forest.join(i, j)
+            if len(forest.up) > FOREST_NODES:
+                yield sent()
+        yield sent()
+
+    tasks = max(4, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return edges.repartition(tasks).mapInArrow(run, "a long, b long").distinct()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): for every node of `edges` the smallest node that it reaches.
 
@@ -15,9 +69,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     log n rounds. Messages are pre-aggregated before their shuffle; a hub's edges join through splittable skew joins. Labels
     are written to the shared folder each round. Null ends are dropped; an empty edge table gives an empty result.
     """
-    e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src is not null and dst is not null and src <> dst")
+    e = edges.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src is not null and dst is not null and src <> dst")
+    e = contracted(e).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     both = written(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    loops = edges.select(F.col(a).alias("node")).unionByName(edges.select(F.col(b).alias("node"))).where("node is not null").distinct()
+    loops = edges.select(F.col(a).cast("long").alias("node")).unionByName(edges.select(F.col(b).cast("long").alias("node"))).where("node is not null").distinct()
     labels = written(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     for _ in range(max_rounds):
         sent = both.join(labels, both.src == labels.node).groupBy("dst").agg(F.min("label").alias("heard"))
