@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmesh.llm.textscan import U64, mix, popular_settings, shingle_sets
-from quillmesh.operators.components import connected_components
+from quillmesh.operators.components import FOREST_NODES, SpanningForest, connected_components
 from quillmesh.storage import written
 
 LOCAL_DOCS = 1000
@@ -49,8 +49,6 @@ BROADCAST_BYTES = 8 << 20
 PIVOTS = 12
 #: Above so many documents a cell is one group without a closer look.
 HOT_CELL = 256
-#: Nodes of a task's spanning forest that are held before it is sent on.
-FOREST_NODES = 500_000
 #: Bound of the size classes whose cells are pairs of hashes.
 SMALL = 44
 #: Documents farther than this from all pivots form the outer region.
@@ -235,7 +233,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(pairs):
                 yield batch_of(2, pairs[:, 0], pairs[:, 1])
 
-    forest = _Roots()
+    forest = SpanningForest()
 
     def starred(own):
         for v in own[1:].tolist():
@@ -298,7 +296,7 @@ def _plausible(num: int, den: int):
         return [(nodes[r], nodes[i]) for i in range(len(nodes)) if (r := uf.find(i)) != i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, nodes, sizes, sketches, out, forest = None, [], [], [], [], _Roots()
+        last, nodes, sizes, sketches, out, forest = None, [], [], [], [], SpanningForest()
         for batch in batches:
             for cell, node, n, sketch in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if cell != last:
@@ -324,29 +322,6 @@ def _plausible(num: int, den: int):
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-class _Roots:
-    """Edges of a task as a spanning forest: (least node of the component, node), so each node goes out about once a task."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while (p := up.get(i, i)) != i:
-            up[i] = i = up.get(p, p)
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-    def taken(self) -> list[tuple[int, int]]:
-        out = [(self.find(i), i) for i in list(self.up)]
-        self.up = {}
-        return out
-
-
 class _Union:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
