@@ -129,37 +129,49 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 _SCORED = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def _nearest(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and cosine of each text."""
+    names: list[str] = []
+    scores = [np.zeros(0)]
+    for i, j in _runs(texts):
+        codes, counts = trigram_counts(texts[i:j])
+        bundle = counts.astype(np.float32) @ trigram_vectors(codes).astype(np.float32)
+        norms = np.linalg.norm(bundle, axis=1) if langs else np.zeros(j - i)
+        cosines = bundle @ prototypes / np.maximum(norms, 1e-9)[:, None] if langs else np.zeros((j - i, 1))
+        # Cosines of at most 1e-6 apart are equal, so the order of float sums doesn't decide.
+        best = (cosines >= cosines.max(1)[:, None] - 1e-6).argmax(1)
+        names += [langs[b] if n > 0 else UNKNOWN for b, n in zip(best, norms, strict=True)]
+        scores.append(np.where(norms > 0, np.clip(cosines.max(1), 0, 1), 0))
+    return names, np.round(np.concatenate(scores).astype(np.float64), 6)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row: the nearest language, first in order on a tie, and its cosine, at least 0. Null
     texts, texts without a letter and models without languages give `und` and 0. Null ids and repeated rows pass through."""
     popular_settings(docs.sparkSession, 1000)
-    langs, prototypes = model
-    prototypes = prototypes.T.astype(np.float32)
+    langs, prototypes = model[0], model[1].T.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            names: list[str] = []
-            scores: list[np.ndarray] = []
-            for i, j in _runs(texts):
-                codes, counts = trigram_counts(texts[i:j])
-                bundle = counts.astype(np.float32) @ trigram_vectors(codes).astype(np.float32)
-                norms = np.linalg.norm(bundle, axis=1)
-                if not langs:
-                    norms[:] = 0
-                cosines = bundle @ prototypes / np.maximum(norms, 1e-9)[:, None] if langs else np.zeros((j - i, 1))
-                best = cosines.argmax(1)
-                # Cosines of at most 1e-6 apart are equal, so the order of float sums doesn't decide.
-                near = cosines >= cosines.max(1)[:, None] - 1e-6
-                best = near.argmax(1)
-                names += [langs[b] if n > 0 else UNKNOWN for b, n in zip(best, norms, strict=True)]
-                scores.append(np.where(norms > 0, np.clip(cosines.max(1), 0, 1), 0))
-            if texts:
-                yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(np.round(np.concatenate(scores).astype(np.float64), 6))], schema=_SCORED)
+            names, scores = _nearest(batch.column(1).to_pylist(), langs, prototypes)
+            yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], schema=_SCORED)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that have a language with a cosine of at least `least`; one pass without a shuffle."""
+    popular_settings(docs.sparkSession, 1000)
+    langs, prototypes = model[0], model[1].T.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = _nearest(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), langs, prototypes)
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows that languages are learnt from: the crc32 of doc_id as text is no multiple of 5."""
     return docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("lang").isNotNull()).select("text", "lang")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.docstats import BYTE_CLASS, SYMBOL, base_counts, line_spans
+from quillmesh.llm.quality_trees import smallest_hashes
 from quillmesh.llm.textscan import chunks, popular_settings, spans, word_hashes
 
 TRAIN_DOCS = 2_000
@@ -186,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> F
     """The field of at most `train_docs` labelled documents; without both labels every line is content."""
     popular_settings(docs.sparkSession, 1000)
     own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("y"))
-    chosen = _smallest(own, train_docs)
+    chosen = smallest_hashes(own, train_docs, "doc_id", 9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,16 +206,6 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> F
     return fit_field(np.concatenate(lines) if lines else np.zeros((0, len(FEATURES))), first, np.array([r.y for r in found]))
 
 
-def _smallest(own: DataFrame, count: int) -> DataFrame:
-    """The `count` labelled ids with the smallest hash. A threshold on the hash, from the number of rows, bounds what any task
-    sends before the exact cut."""
-    total = own.count()
-    hashed = own.withColumn("h", F.xxhash64("doc_id", F.lit(9)))
-    if total > 4 * count:
-        hashed = hashed.where(F.shiftrightunsigned("h", 32) < int(2 * count / total * (1 << 32)))
-    return hashed.orderBy("h", "doc_id").limit(count).select("doc_id", "y")
-
-
 _RULES = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("content_share", pa.float64())])
 
 

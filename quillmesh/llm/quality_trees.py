@@ -1,8 +1,8 @@
 """Document quality by histogram gradient-boosted trees over document statistics.
 
-One pass computes every document's statistics, which are written out; labels join these narrow rows, never texts. The forest
-is fitted on the driver on at most SAMPLE labelled rows (those with the smallest seeded hash of doc_id) and scores all rows in
-numpy, all trees at once.
+The forest is fitted on the driver on the statistics of at most SAMPLE labelled documents, those with the smallest seeded hash
+of doc_id. Their ids are chosen from the narrow labels and broadcast (a bounded number), so texts are never shuffled. Every
+document's statistics are then computed and scored in one pass, all trees at once.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from quillmesh.llm.boosting import Forest, fit
 from quillmesh.llm.docstats import FEATURES, feature_rows
 from quillmesh.llm.textscan import popular_settings
-from quillmesh.storage import written
 
 SAMPLE = 20_000
 KEEP = 0.7
@@ -39,25 +38,55 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, stats array<float>").withColumnRenamed("id", id_col)
 
 
-def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> Forest:
-    """The forest of labelled rows. Null labels are left out; of contradicting labels of one id the more frequent counts, 1 on a tie."""
-    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
-    rows = stats.dropDuplicates([id_col]).join(own, F.col(id_col) == F.col("of")).select("stats", "y", F.xxhash64(F.col(id_col), F.lit(3)).alias("h"), F.col(id_col).alias("i"))
-    found = rows.orderBy("h", "i").limit(sample).toPandas()
-    x = np.array(found["stats"].tolist(), float).reshape(-1, len(FEATURES))
-    return fit(x, found["y"].to_numpy(dtype=float) if len(found) else np.zeros(0))
+def smallest_hashes(own: DataFrame, count: int, id_col: str, seed: int) -> DataFrame:
+    """The rows with the `count` smallest seeded hashes of their id. A threshold on the hash, from the number of rows, bounds
+    what the tasks send to the driver before the exact cut."""
+    total = own.count()
+    hashed = own.withColumn("__h", F.xxhash64(id_col, F.lit(seed)))
+    if total > 4 * count:
+        hashed = hashed.where(F.shiftrightunsigned("__h", 32) < int(2 * count / total * (1 << 32)))
+    return hashed.orderBy("__h", id_col).limit(count).drop("__h")
 
 
-def score(stats: DataFrame, forest: Forest, id_col: str = "doc_id") -> DataFrame:
-    """(id, score) of every row of statistics."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
+    """The forest of labelled documents. Null labels are left out; of contradicting labels of one id the more frequent counts,
+    1 on a tie. Without labelled documents, or with one label, every score is the smoothed share of label 1."""
+    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("of")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
+    chosen = smallest_hashes(own, sample, "of", 3)
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = document_statistics(text.join(F.broadcast(chosen.select("of")), F.col("id") == F.col("of"), "left_semi"), "id", "text")
+    rows = sorted({(r.id, tuple(r.stats)) for r in found.collect()})
+    label = {r.of: r.y for r in chosen.collect()}
+    x = np.array([s for _, s in rows], float).reshape(-1, len(FEATURES))
+    return fit(x, np.array([label[i] for i, _ in rows], float))
+
+
+def _scores(texts: pa.Array, forest: Forest) -> np.ndarray:
+    return np.round(np.concatenate([forest.probability(x.astype(float)) for x in feature_rows(texts)]), 9)
+
+
+def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every row; a null text is an empty one. Null ids and repeated rows pass through."""
+    popular_settings(docs.sparkSession, 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([batch.column(0), pa.array(_scores(batch.column(1), forest))], ["id", "score"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, forest: Forest, keep: float = KEEP, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is at least `keep`; one pass without a shuffle."""
+    popular_settings(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
-                yield pa.record_batch([batch.column(0), pa.array(np.round(forest.probability(x), 9))], ["id", "score"])
+                yield batch.filter(pa.array(_scores(batch.column(batch.schema.get_field_index(text_col)), forest) >= keep))
 
-    return stats.select(F.col(id_col).cast("long"), "stats").mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def may_teach(id_col: str = "doc_id"):
@@ -67,7 +96,6 @@ def may_teach(id_col: str = "doc_id"):
 
 def quality_of_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    stats = written(document_statistics(docs), "stats")
-    forest = learn(stats, labels.where(may_teach()).select("doc_id", "quality"))
-    scored = score(stats, forest)
+    forest = learn(docs, labels.where(may_teach()).select("doc_id", "quality"))
+    scored = score(docs, forest)
     return scored.select("doc_id", F.coalesce(~may_teach(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
