@@ -227,3 +227,93 @@ def corrected_p(stats: DataFrame) -> DataFrame:
     """(contrast, t, p) from (contrast, n, t): one small row for each contrast."""
     rows = [(r.contrast, r.t, None if r.t is None or r.n < 2 else round(student_t_tail(r.t, r.n - 1), 9)) for r in stats.collect()]
     return stats.sparkSession.createDataFrame(rows, "contrast long, t double, p double")
+
+
+def cross_fit(rows: DataFrame, columns: list[str], folds: list[int], nested: bool = False, trees: int = 6) -> DataFrame:
+    """(outer_fold, node_id, score): out-of-fold scores of training rows, and for rows without a fold the mean over the folds'
+    models. nested: for each outer fold the rows outside it are scored by models that saw neither their own fold nor the outer
+    one; else outer_fold is null. Positives weigh as negatives do together. rows: node_id, columns, label, fold."""
+    data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).select("node_id", "x", F.col("label").cast("double").alias("label"), "fold").persist()
+
+    def fitted(without: set[int]):
+        train = data.where(F.col("fold").isNotNull() & ~F.col("fold").isin(*without))
+        share = train.agg(F.avg("label")).first()[0] or 0.5
+        weighted = train.withColumn("w", F.when(F.col("label") == 1, (1 - share) / max(share, 1e-9)).otherwise(1.0))
+        return GBTClassifier(featuresCol="x", weightCol="w", maxIter=trees, maxDepth=3, seed=11).fit(weighted)
+
+    def scored(model, part: DataFrame) -> DataFrame:
+        return model.transform(part).select("node_id", vector_to_array("probability")[1].alias("s"))
+
+    out, rest = None, None
+    for outer in folds if nested else [None]:
+        for k in folds:
+            if k == outer:
+                continue
+            model = fitted({k} | ({outer} if outer is not None else set()))
+            own = scored(model, data.where(F.col("fold") == k)).select(F.lit(outer).cast("int").alias("outer_fold"), "node_id", F.round("s", 6).alias("score"))
+            out = own if out is None else out.unionByName(own)
+            if not nested:
+                others = scored(model, data.where("fold is null"))
+                rest = others if rest is None else rest.unionByName(others)
+    if rest is not None:
+        out = out.unionByName(rest.groupBy("node_id").agg(F.round(F.avg("s"), 6).alias("score")).select(F.lit(None).cast("int").alias("outer_fold"), "node_id", "score"))
+    return out
+
+
+def tree_thresholds(model) -> list[tuple[int, float]]:
+    """(feature, threshold) of every split of a fitted tree ensemble, distinct and sorted."""
+    import re
+
+    return sorted({(int(f), float(t)) for f, t in re.findall(r"If \(feature (\d+) <= ([-+0-9.eE]+)\)", model.toDebugString)})
+
+
+def split_thresholds(rows: DataFrame, columns: list[str], trees: int = 6) -> DataFrame:
+    """(name, threshold) of a boosted-tree model fitted on the rows."""
+    data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).select("x", F.col("label").cast("double").alias("label"))
+    found = tree_thresholds(GBTClassifier(featuresCol="x", maxIter=trees, maxDepth=3, seed=11).fit(data))
+    return rows.sparkSession.createDataFrame([(columns[f], t) for f, t in found], "name string, threshold double")
+
+
+def randomisation_check(rows: DataFrame, columns: list[str], permutations: int = 2, trees: int = 5) -> DataFrame:
+    """(permutation, spearman): agreement of the feature importances of a model on true labels with those of models whose
+    labels were dealt to other rows in a hashed order. rows: node_id, columns, label."""
+    maker = VectorAssembler(inputCols=columns, outputCol="x")
+
+    def ranking(frame: DataFrame) -> list[float]:
+        model = GBTClassifier(featuresCol="x", maxIter=trees, maxDepth=3, seed=11).fit(maker.transform(frame).select("x", F.col("label").cast("double").alias("label")))
+        weight = model.featureImportances.toArray()
+        order = sorted(range(len(weight)), key=lambda i: (-weight[i], i))
+        return [float(order.index(i)) for i in range(len(weight))]
+
+    truth, out = ranking(rows), []
+    for k in range(permutations):
+        here = numbered(rows.select("node_id").distinct(), "node_id", "i")
+        dealt = numbered(rows.select(F.concat(F.lpad(hashed(23 + k, "node_id").cast("string"), 10, "0"), F.lit("|"), F.col("node_id").cast("string")).alias("key"), "label").select("key").distinct(), "key", "i")
+        labels = dealt.select("i", F.split("key", r"\|")[1].cast("long").alias("from")).join(rows.select(F.col("node_id").alias("from"), "label"), "from").select("i", "label")
+        shuffled = ranking(rows.drop("label").join(here, "node_id").join(labels, "i"))
+        out.append((k, round(float(np.corrcoef(truth, shuffled)[0, 1]), 6)))
+    return rows.sparkSession.createDataFrame(out, "permutation int, spearman double")
+
+
+def removal_influence(h: DataFrame, edges: DataFrame, column: str) -> DataFrame:
+    """(target, neighbour, delta): exact change of a target's one-layer graph convolution of `column` when the edge to one
+    neighbour goes: its degree changes, and so do the weights of all its other edges. h: node_id,
+    column; edges: directed node_id, nb, each once in both directions. The sum over the others comes from one aggregate."""
+    degree = edges.groupBy("node_id").agg(F.count("*").alias("d"))
+    known = h.select("node_id", F.col(column).alias("v")).join(degree, "node_id", "left").select("node_id", "v", F.coalesce("d", F.lit(0)).alias("d"))
+    near = known.select(F.col("node_id").alias("nb"), F.col("v").alias("nv"), F.col("d").alias("nd"))
+    each = edges.select("node_id", "nb").join(near, "nb").withColumn("part", F.col("nv") / F.sqrt(F.col("nd") + 1.0))
+    whole = each.groupBy("node_id").agg(F.sum("part").alias("total"))
+    rows = each.join(whole, "node_id").join(known, "node_id")
+    before = F.col("total") / F.sqrt(F.col("d") + 1.0) + F.col("v") / (F.col("d") + 1.0)
+    after = F.when(F.col("d") > 1, (F.col("total") - F.col("part")) / F.sqrt(F.col("d") * 1.0)).otherwise(0.0) + F.col("v") / F.col("d")
+    return rows.select(F.col("node_id").alias("target"), F.col("nb").alias("neighbour"), (F.round(before - after, 6) + 0.0).alias("delta"))
+
+
+def predict(model_path: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(node_id, prob, predicted) of a saved boosted-tree model over a table: batch scoring where a request service was."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    model = GBTClassificationModel.load(model_path)
+    data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows)
+    return model.transform(data).select("node_id", F.round(vector_to_array("probability")[1], 6).alias("prob"), F.col("prediction").cast("int").alias("predicted"))

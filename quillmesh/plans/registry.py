@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ import quillmesh.operators.metrics
 import quillmesh.operators.resultsdb  # noqa: F401  these define the templates
 from quillmesh.operators import models
 from quillmesh.plans.dialect import LIBRARY
-from quillmesh.storage import table
+from quillmesh.storage import shared_dir, table
 
 
 def _get(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -94,6 +97,37 @@ def untrained_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.untrained_encoder(block, weights.where("relation = 'cns'"), OWN)
 
 
+def cross_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block, nodes = _get(spark, sf_dir, "own_block", "split_nodes")
+    return models.cross_fit(block.join(nodes.select("node_id", F.when(F.col("split") == "train", F.col("label")).alias("label"), F.col("cv_fold").alias("fold")), "node_id"), OWN, list(range(5)), trees=3)
+
+
+def nested_cross_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.cross_fit(_training(spark, sf_dir), OWN, [0, 1, 2], nested=True, trees=3)
+
+
+def split_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.split_thresholds(_training(spark, sf_dir), OWN)
+
+
+def randomisation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.randomisation_check(_training(spark, sf_dir), OWN, permutations=1, trees=3)
+
+
+def removal_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, edges = _get(spark, sf_dir, "own_block", "adjacency_directed")
+    return models.removal_influence(own, edges.where("relation = 'cns'"), "own__f01")
+
+
+def saved_model_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits, saves to shared storage, loads and scores."""
+    rows = _training(spark, sf_dir)
+    path = f"{shared_dir(spark)}/quillmesh/model-{uuid.uuid4().hex}"
+    data = VectorAssembler(inputCols=OWN, outputCol="x").transform(rows).select("x", F.col("label").cast("double").alias("label"))
+    GBTClassifier(featuresCol="x", maxIter=4, maxDepth=3, seed=11).fit(data).write().save(path)
+    return models.predict(path, _get(spark, sf_dir, "own_block")[0], OWN)
+
+
 def corrected_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     (stats,) = _get(spark, sf_dir, "contrast_stats")
     return models.corrected_p(stats)
@@ -106,7 +140,12 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (components, swap_rewire, rewired_degrees, grouped_folds, pca_block, raw_block, embedding_rank, gbt_probe, permutation_importance, sign_mlp, untrained_encoder, corrected_p, file_digests)
+    f.__name__: f for f in (components, swap_rewire, rewired_degrees, grouped_folds, pca_block, raw_block, embedding_rank, gbt_probe, permutation_importance, sign_mlp, untrained_encoder, corrected_p, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests)
 }
 QUERIES = {n: LIBRARY.query(n) for n in LIBRARY.public} | CUSTOM
 ORACLES = {n: LIBRARY.oracle(n) for n in LIBRARY.public} | {"raw_block": "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS gnnraw__z{i + 1:02d}" for i in range(16)) + " FROM embeddings"}
+ORACLES["removal_influence"] = LIBRARY.oracle("adjacency_directed").replace("SELECT * FROM adjacency_directed", """SELECT r.node_id AS target, r.nb AS neighbour, round(
+    (SELECT sum(o.own__f01 / sqrt((d1.d + 1e0) * (d2.d + 1e0))) FROM e x JOIN own o ON o.node_id = x.nb JOIN deg d1 ON d1.node_id = x.node_id JOIN deg d2 ON d2.node_id = x.nb WHERE x.node_id = r.node_id) + t.own__f01 / (g.d + 1e0)
+    - coalesce((SELECT sum(o.own__f01 / sqrt((d1.d - 1 + 1e0) * (d2.d + 1e0))) FROM e x JOIN own o ON o.node_id = x.nb JOIN deg d1 ON d1.node_id = x.node_id JOIN deg d2 ON d2.node_id = x.nb WHERE x.node_id = r.node_id AND x.nb <> r.nb), 0e0) - t.own__f01 / $d, 6) + 0e0 AS delta
+    FROM e r JOIN own t ON t.node_id = r.node_id JOIN deg g ON g.node_id = r.node_id""".replace("$d", "g.d")).replace("WITH ", "WITH own AS (SELECT c.c_custkey AS node_id, CAST(coalesce(f.orders, 0) AS DOUBLE) AS own__f01 FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey), ", 1)
+ORACLES["removal_influence"] = ORACLES["removal_influence"].replace(" SELECT r.node_id AS target", ", e AS (SELECT node_id, nb FROM adjacency_directed WHERE relation = 'cns'), deg AS (SELECT node_id, count(*) AS d FROM e GROUP BY node_id) SELECT r.node_id AS target")
