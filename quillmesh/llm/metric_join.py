@@ -48,7 +48,7 @@ WORTH = 0.6
 BROADCAST_BYTES = 8 << 20
 PIVOTS = 12
 #: Above so many documents a cell is one group without a closer look.
-HOT_CELL = 256
+HOT_CELL = 4096
 #: Bound of the size classes whose cells are pairs of hashes.
 SMALL = 44
 #: Documents farther than this from all pivots form the outer region.
@@ -145,7 +145,7 @@ def set_hashes(own: np.ndarray) -> tuple[int, int]:
 def sketch_of(own: np.ndarray) -> bytes:
     """Counts of a sorted set's hashes in equal ranges, about 8 in each, in bytes: the sum of absolute differences of two
     sketches is at most |x ^ y| (counts above 255 are cut, which only lowers it). Twice as few ranges: add neighbours."""
-    bits = min(14, max(4, (len(own) // 8).bit_length()))
+    bits = min(14, max(7, (len(own) // 4).bit_length()))
     return np.minimum(np.bincount((own >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -263,7 +263,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last:
             yield from closed(cell[:last], node[:last], star[:last])
         cell, node, star = cell[last:], node[last:], star[last:]
-        if len(cell) > 4 * HOT_CELL:  # a cell with many: its documents go out as edges to one of them
+        if len(cell) > 2 * HOT_CELL:  # a cell with many: its documents go out as edges to one of them
             own = np.unique(node)
             starred(own)
             cell, node, star = cell[:1], own[:1], np.ones(1, bool)
@@ -284,16 +284,22 @@ def _plausible(num: int, den: int):
     Only the components of these edges matter, so documents that they connect already aren't compared."""
 
     def done(nodes, sizes, sketches):
-        uf, v, n = _Union(len(nodes)), _folded(sketches), np.array(sizes)
-        for i in range(len(nodes) - 1):
-            rest = n[i + 1 :]
-            fits = den * np.minimum(rest, n[i]) >= num * np.maximum(rest, n[i])
-            at = i + 1 + np.flatnonzero(fits)
-            if len(at):
-                apart = np.abs(v[at] - v[i]).sum(1)
-                for j in at[(den + num) * apart <= (den - num) * (n[at] + n[i])]:
-                    uf.join(i, int(j))
-        return [(nodes[r], nodes[i]) for i in range(len(nodes)) if (r := uf.find(i)) != i]
+        v, n = _folded(sketches).astype(np.int16), np.array(sizes)
+        out, left = [], np.arange(len(nodes))
+        while len(left):
+            root, front, left = left[0], [left[0]], left[1:]
+            while front and len(left):
+                x = front.pop()
+                fits = den * np.minimum(n[left], n[x]) >= num * np.maximum(n[left], n[x])
+                near = np.flatnonzero(fits)
+                apart = np.abs(v[left[near]] - v[x]).sum(1, dtype=np.int64)
+                new = near[(den + num) * apart <= (den - num) * (n[left[near]] + n[x])]
+                if len(new):
+                    found = left[new]
+                    out += [(nodes[root], nodes[j]) for j in found]
+                    front += found.tolist()
+                    left = np.delete(left, new)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, nodes, sizes, sketches, out, forest = None, [], [], [], [], SpanningForest()
