@@ -24,6 +24,8 @@ CLASSES = 64
 SEED = 11
 UNKNOWN = "und"
 CHUNK_CHARS = 1 << 19
+#: Texts times trigrams that are counted at once.
+COUNT_CELLS = 1 << 23
 #: A training document's trigrams are weighted to this sum, so that long documents don't outweigh many short ones.
 DOCUMENT_WEIGHT = 1 << 16
 
@@ -54,8 +56,9 @@ def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     return np.roll(v, 2, 1)[codes >> 12] * np.roll(v, 1, 1)[codes >> 6 & 63] * v[codes & 63]
 
 
-def trigram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts): the trigram codes that occur and, for each text, how often each does. Runs of other characters are one
+def trigram_counts(texts: list[str | None], cells: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(codes, counts): the trigram codes that occur and, for each text, how often each does; None if there are several texts
+    and counts would have more than `cells` cells. Runs of other characters are one
     word boundary; every text starts and ends with one; a trigram holds a letter."""
     lowered = [(t or "").lower() for t in texts]
     sizes = np.array([len(t) + 2 for t in lowered])
@@ -72,6 +75,8 @@ def trigram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     there = np.zeros(CLASSES**3, bool)
     there[code] = True
     codes = np.flatnonzero(there).astype(np.int32)
+    if cells is not None and len(texts) > 1 and len(texts) * len(codes) > cells:
+        return None
     place = np.zeros(CLASSES**3, np.int32)
     place[codes] = np.arange(len(codes))
     counts = np.bincount(doc.astype(np.int64) * len(codes) + place[code], minlength=len(texts) * len(codes))
@@ -90,23 +95,41 @@ def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def counted(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, after the last, codes, counts) of runs of texts; a run whose counts would exceed COUNT_CELLS is halved."""
+    todo = list(_runs(texts))[::-1]
+    while todo:
+        i, j = todo.pop()
+        found = trigram_counts(texts[i:j], COUNT_CELLS)
+        if found is None:
+            todo += [((i + j) // 2, j), (i, (i + j) // 2)]
+        else:
+            yield i, j, *found
+
+
+def bundled(codes: np.ndarray, counts: np.ndarray, kind: type) -> np.ndarray:
+    """counts @ trigram vectors, by blocks of trigrams."""
+    out = np.zeros((len(counts), DIMENSION), kind)
+    for k in range(0, len(codes), 8192):
+        out += counts[:, k : k + 8192].astype(kind) @ trigram_vectors(codes[k : k + 8192]).astype(kind)
+    return out
+
+
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, place, total) of a task's training rows (text, lang)."""
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, j in _runs(texts):
-            codes, counts = trigram_counts(texts[i:j])
+        for i, j, codes, counts in counted(texts):
             if not len(codes):
                 continue
             every = counts.sum(1)
             weight = np.where(every > 0, DOCUMENT_WEIGHT // np.maximum(every, 1), 0)
             own = np.array(langs[i:j], object)
-            vectors = trigram_vectors(codes).astype(np.float64)
             for lang in set(langs[i:j]):
                 rows = own == lang
                 share = (counts[rows] * weight[rows, None]).sum(0)
-                totals[lang] = totals.get(lang, np.zeros(DIMENSION, np.int64)) + (share.astype(np.float64) @ vectors).astype(np.int64)
+                totals[lang] = totals.get(lang, np.zeros(DIMENSION, np.int64)) + bundled(codes, share[None], np.float64)[0].astype(np.int64)
     for lang, total in totals.items():
         yield pa.record_batch([pa.array([lang] * DIMENSION, pa.string()), pa.array(np.arange(DIMENSION, dtype=np.int32)), pa.array(total)], ["lang", "place", "total"])
 
@@ -133,9 +156,8 @@ def _nearest(texts: list[str | None], langs: list[str], prototypes: np.ndarray)
     """Language and cosine of each text."""
     names: list[str] = []
     scores = [np.zeros(0)]
-    for i, j in _runs(texts):
-        codes, counts = trigram_counts(texts[i:j])
-        bundle = counts.astype(np.float32) @ trigram_vectors(codes).astype(np.float32)
+    for i, j, codes, counts in counted(texts):
+        bundle = bundled(codes, counts, np.float32)
         norms = np.linalg.norm(bundle, axis=1) if langs else np.zeros(j - i)
         cosines = bundle @ prototypes / np.maximum(norms, 1e-9)[:, None] if langs else np.zeros((j - i, 1))
         # Cosines of at most 1e-6 apart are equal, so the order of float sums doesn't decide.

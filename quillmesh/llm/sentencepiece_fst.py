@@ -34,6 +34,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 CACHED_WORDS = 400_000
+CACHED_LENGTH = 64
 INFINITY = float("inf")
 
 
@@ -246,7 +247,9 @@ class PieceMachine:
             for w in text.split(" "):
                 ids = words.get(w)
                 if ids is None:
-                    ids = words[w] = self._word(w)
+                    ids = self._word(w)
+                    if len(w) <= CACHED_LENGTH:
+                        words[w] = ids
                 out.append(ids)
             return np.frombuffer(b"".join(out), "<i4")
         norm = self.normalise(text)

@@ -135,3 +135,14 @@ def test_language_edges(spark):
     nothing = hdc_language.identify(df, ([], np.zeros((0, hdc_language.DIMENSION)))).collect()
     assert len(nothing) == len(rows) and {r.lang_pred for r in nothing} == {"und"}
     assert hdc_language.language_of_documents(df.limit(0)).collect() == []
+
+
+def test_runs_of_many_trigrams_are_halved(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300)) for _ in range(40)] + [None, "abc"]
+    whole = hdc_language._nearest(texts, ["a", "b"], np.random.default_rng(1).normal(size=(hdc_language.DIMENSION, 2)).astype(np.float32))
+    monkeypatch.setattr(hdc_language, "COUNT_CELLS", 20_000)
+    runs = [(i, j) for i, j, *_ in hdc_language.counted(texts)]
+    assert len(runs) > 4 and runs[0][0] == 0 and runs[-1][1] == len(texts) and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+    halved = hdc_language._nearest(texts, ["a", "b"], np.random.default_rng(1).normal(size=(hdc_language.DIMENSION, 2)).astype(np.float32))
+    assert halved[0] == whole[0] and np.allclose(halved[1], whole[1], atol=1e-5)
