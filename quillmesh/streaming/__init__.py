@@ -1 +1 @@
-"""quillmesh subpackage."""
+"""Streams: the graph engine has no streaming operators; events are read as a table."""
