@@ -9,6 +9,20 @@ from quillmesh.plans.dialect import LIBRARY
 
 add = LIBRARY.add
 
+
+
+def add_ranks(name: str, source: str, keep: str, bucket: str, order: str, within: str = "") -> None:
+    """`name`_buckets and `name`: the rows of `source` with a 0-based `place` by `order` (within groups of `within`), and `total`.
+
+    Only counts of buckets meet in one window; rows are sorted bucket by bucket. `bucket` must be monotone in the order."""
+    part, comma = (f"PARTITION BY {within} ", f"{within}, ") if within else ("", "")
+    add(f"{name}_buckets", f"""SELECT {comma}b, CAST(sum(n) OVER ({part}ORDER BY b) - n AS BIGINT) AS earlier, CAST(sum(n) OVER ({part.strip()}) AS BIGINT) AS total
+        FROM (SELECT {comma}{bucket} AS b, count(*) AS n FROM {{{source}}} GROUP BY {comma}{bucket}) g""", public=False)
+    match = "".join(f" AND k.{w.strip()} = r.{w.strip()}" for w in within.split(",") if w.strip())
+    add(name, f"""SELECT {", ".join("r." + c.strip() for c in keep.split(","))}, k.earlier + r.rn - 1 AS place, k.total
+        FROM (SELECT {keep}, {bucket} AS b, row_number() OVER (PARTITION BY {comma}{bucket} ORDER BY {order}) AS rn FROM {{{source}}}) r JOIN {{{name}_buckets}} k ON k.b = r.b{match}""", public=False)
+
+
 # Adapters: relations, nodes and own features of customers
 
 add("bought", """
@@ -31,7 +45,7 @@ add("raw_features", """
         coalesce($DBL(f.filled) / f.orders, 0e0) AS own__f03, $DBL(coalesce(f.priorities, 0)) AS own__f04,
         CASE c.c_mktsegment WHEN 'BUILDING' THEN 1e0 WHEN 'MACHINERY' THEN 2e0 WHEN 'AUTOMOBILE' THEN 3e0 ELSE 0e0 END AS own__f05, $DBL(c.c_custkey % 2) AS own__f06
     FROM {customer} c LEFT JOIN {customer_facts} f ON f.node_id = c.c_custkey""", public=False)
-add("labels_raw", "SELECT c_custkey AS node_id, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS y, CAST(floor(0.1e0 * count(*) OVER ()) AS BIGINT) AS prefix FROM {customer}", public=False)
+add("labels_raw", "SELECT c_custkey AS node_id, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS y, n.prefix FROM {customer} c CROSS JOIN (SELECT CAST(floor(0.1e0 * count(*)) AS BIGINT) AS prefix FROM {customer}) n", public=False)
 
 # Graph construction
 
@@ -41,9 +55,8 @@ add("adjacency_directed", "SELECT relation, CASE WHEN k = 0 THEN src ELSE dst EN
 add("degree_by_relation", "SELECT relation, node_id, CAST(count(*) AS BIGINT) AS degree FROM {adjacency_directed} GROUP BY relation, node_id", "O-GR11")
 add("duplicate_groups", "SELECT node_id, min(node_id) OVER (PARTITION BY own__f01, own__f04, own__f05, round(own__f03, 1)) AS first_node FROM {raw_features}", "O-GR3 O-GR5")
 add("group_numbers", "SELECT first_node, CAST(count(*) AS BIGINT) AS size FROM {duplicate_groups} GROUP BY first_node", public=False)
-add("renumber_groups", """
-    SELECT d.node_id, g.group_id FROM {duplicate_groups} d
-    JOIN (SELECT first_node, CAST(row_number() OVER (ORDER BY first_node) - 1 AS BIGINT) AS group_id FROM {group_numbers}) g ON g.first_node = d.first_node""", "O-GR4")
+add_ranks("group_places", "group_numbers", "first_node", "CAST(floor(first_node / 1024e0) AS BIGINT)", "first_node")
+add("renumber_groups", "SELECT d.node_id, g.place AS group_id FROM {duplicate_groups} d JOIN {group_places} g ON g.first_node = d.first_node", "O-GR4")
 add("node_table", """
     SELECT l.node_id, CASE WHEN l.node_id >= l.prefix THEN l.y END AS label, l.node_id >= l.prefix AS is_labelled, g.group_id,
         CASE WHEN l.node_id < l.prefix THEN 'unlabelled' END AS split
@@ -59,13 +72,13 @@ add("count_table", """
 add("edges_out_of_range", """
     SELECT e.relation, CAST(sum(CASE WHEN src < 0 OR dst >= n.n THEN 1 ELSE 0 END) AS BIGINT) AS bad
     FROM {edges_canonical} e CROSS JOIN (SELECT count(*) AS n FROM {node_table}) n GROUP BY e.relation""", "O-GR8")
-add("sample_edges", """
-    SELECT relation, src, dst FROM (
-        SELECT relation, src, dst, row_number() OVER (PARTITION BY relation ORDER BY $H(5, src, dst), src, dst) AS rn, count(*) OVER (PARTITION BY relation) AS n FROM {edges_canonical}) s
-    WHERE rn <= round(0.3e0 * n)""", "O-GR12")
-add("stubs", """
-    SELECT relation, node_id, CAST(row_number() OVER (PARTITION BY relation ORDER BY $H(9, node_id, k, side), node_id, k, side) - 1 AS BIGINT) AS place
+add("edge_hashes", "SELECT relation, src, dst, $H(5, src, dst) AS h FROM {edges_canonical}", public=False)
+add_ranks("edge_places", "edge_hashes", "relation, src, dst", "CAST(floor(h / 1048576e0) AS BIGINT)", "h, src, dst", "relation")
+add("sample_edges", "SELECT relation, src, dst FROM {edge_places} WHERE place < round(0.3e0 * total)", "O-GR12")
+add("stub_hashes", """
+    SELECT relation, node_id, k, side, $H(9, node_id, k, side) AS h
     FROM (SELECT relation, CASE WHEN t.k = 0 THEN src ELSE dst END AS node_id, CASE WHEN t.k = 0 THEN dst ELSE src END AS k, t.k AS side FROM {edges_canonical} e CROSS JOIN {twice} t) s""", public=False)
+add_ranks("stubs", "stub_hashes", "relation, node_id", "CAST(floor(h / 1048576e0) AS BIGINT)", "h, node_id, k, side", "relation")
 add("rewire_edges", """
     SELECT DISTINCT a.relation, least(a.node_id, b.node_id) AS src, greatest(a.node_id, b.node_id) AS dst
     FROM {stubs} a JOIN {stubs} b ON b.relation = a.relation AND b.place = a.place + 1 WHERE a.place % 2 = 0 AND a.node_id <> b.node_id""", "O-GR13")
@@ -122,8 +135,8 @@ add("split_summary", """
 add("saved_ids_check", """
     SELECT 'missing' AS problem, node_id FROM (SELECT node_id FROM {ids_table} EXCEPT SELECT node_id FROM {ids_table} WHERE node_id % 97 <> 5) a
     UNION ALL SELECT 'extra', node_id FROM (SELECT node_id FROM {ids_table} WHERE node_id % 97 <> 5 EXCEPT SELECT node_id FROM {ids_table}) b""", "O-SP6")
-add("folds_in_order", """
-    SELECT CAST(row_number() OVER (ORDER BY i.node_id) - 1 AS BIGINT) AS row_at, i.node_id, f.fold, f.fold IS NULL AS missing FROM {ids_table} i LEFT JOIN {folds_table} f ON f.node_id = i.node_id""", "O-SP7")
+add_ranks("id_places", "ids_table", "node_id, label, group_id", "CAST(floor(node_id / 1024e0) AS BIGINT)", "node_id")
+add("folds_in_order", "SELECT i.place AS row_at, i.node_id, f.fold, f.fold IS NULL AS missing FROM {id_places} i LEFT JOIN {folds_table} f ON f.node_id = i.node_id", "O-SP7")
 add("stratified_sample", """
     SELECT node_id, label FROM (SELECT node_id, label, row_number() OVER (PARTITION BY label ORDER BY $H(31, node_id), node_id) AS rn,
         count(*) OVER (PARTITION BY label) AS ny, count(*) OVER () AS n FROM {ids_table}) s WHERE rn <= greatest(1, floor(200e0 * ny / n + 0.5e0))""", "O-SP8")
@@ -142,7 +155,7 @@ add("own_view", "SELECT node_id, own__f01, own__f02, own__f04 FROM {own_block}",
 add("feature_join", "SELECT o.*, d.deg__cpm_degree, d.deg__cns_degree, d.deg__cdp_degree FROM {own_view} o JOIN {deg_block} d ON d.node_id = o.node_id", "O-FB4")
 add("validate_block", f"""
     SELECT CAST(count(*) - count(DISTINCT node_id) AS BIGINT) AS repeated, CAST(sum({" + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in _OWN)}) AS BIGINT) AS nulls FROM {{own_block}}""", "O-FB5")
-add("model_table", "SELECT CAST(row_number() OVER (ORDER BY i.node_id) - 1 AS BIGINT) AS row_at, f.*, i.label AS target FROM {ids_table} i JOIN {feature_join} f ON f.node_id = i.node_id", "O-FB6 O-FB9")
+add("model_table", "SELECT i.place AS row_at, f.*, i.label AS target FROM {id_places} i JOIN {feature_join} f ON f.node_id = i.node_id", "O-FB6 O-FB9")
 add("sanitise_names", """
     SELECT name, clean, count(*) OVER (PARTITION BY clean) > 1 AS collides
     FROM (SELECT DISTINCT name, $RX($RX(lower(name), '[^a-z0-9]+', '_'), '^_+|_+$', '') AS clean FROM (SELECT p_type AS name FROM {part} UNION ALL SELECT p_brand FROM {part}) p) c""", "O-FB8")
