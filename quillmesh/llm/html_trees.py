@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.boosting import Forest, fit
-from quillmesh.llm.textscan import popular_settings
+from quillmesh.llm.textscan import small_batches
 
 #: Fixed values of HTML: elements without content, with raw text, inline ones, and those that a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -421,7 +421,7 @@ _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 def extract_pages(pages: DataFrame, forest: Forest | None = None) -> DataFrame:
     """page_id, url, text, n_chars, nodes, kept_nodes of every page, from the whole html. A null or empty html, and one without
     article, has an empty text. Null ids and urls and repeated rows pass through."""
-    popular_settings(pages.sparkSession, 500)
+    small_batches(pages.sparkSession, 500)
     forest = trained() if forest is None else forest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.docstats import BYTE_CLASS, SYMBOL, base_counts, line_spans
 from quillmesh.llm.quality_trees import smallest_hashes
-from quillmesh.llm.textscan import chunks, popular_settings, spans, word_hashes
+from quillmesh.llm.textscan import chunks, small_batches, spans, word_hashes
 
 TRAIN_DOCS = 2_000
 TRAIN_LINES = 400
@@ -185,7 +185,7 @@ def fit_field(x: np.ndarray, first: np.ndarray, good: np.ndarray, rounds: int =
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     """The field of at most `train_docs` labelled documents; without both labels every line is content."""
-    popular_settings(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, 1000)
     own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("y"))
     chosen = smallest_hashes(own, train_docs, "doc_id", 9)
 
@@ -212,7 +212,7 @@ _RULES = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars",
 def judge(docs: DataFrame, field: Field, least_share: float = CONTENT_SHARE) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and content_share of every row. A null or blank text has no words and fails the base
     rules. Null ids and repeated rows pass through."""
-    popular_settings(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

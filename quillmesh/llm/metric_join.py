@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmesh.llm.textscan import U64, mix, popular_settings, shingle_sets
+from quillmesh.llm.textscan import U64, mix, small_batches, shingle_sets
 from quillmesh.operators.components import FOREST_NODES, SpanningForest, connected_components
 from quillmesh.storage import written
 
@@ -538,7 +538,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     """(id, n_shingles, class_id, component_id) of every row: documents link when den * |x & y| >= num * |x | y| over their
     distinct k-word shingles; class_id is the smallest id with an equal set, component_id the smallest id reachable."""
     spark = docs.sparkSession
-    popular_settings(spark)
+    small_batches(spark)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     found = text.where("id is not null").mapInArrow(_scan(k, num, den), "key long, a long, x binary")
     found = found.repartition("key").sortWithinPartitions("key").mapInArrow(_found, "kind byte, a long, b long, c long, n long, sketch binary")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.sharding import _ranked
-from quillmesh.llm.textscan import popular_settings
+from quillmesh.llm.textscan import small_batches
 from quillmesh.storage import written
 
 LONGEST = 1024
@@ -101,7 +101,7 @@ def pack_power_of_two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A null or empty text has only the end id: one piece of length 1. Repeated rows give their pieces again, in sequences of
     their own (pieces equal in all columns are interchangeable). A null id stays null. An empty table gives no piece.
     """
-    popular_settings(docs.sparkSession)
+    small_batches(docs.sparkSession)
     pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pieces(longest, end_id, vocabulary), "id long, start long, length long, ids_crc32 long, doc_tokens long, tie long")
     pieces = written(pieces.withColumn("h", F.xxhash64("id", "start", "tie", F.lit(seed))), "pieces")
     total = pieces.count()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.boosting import Forest, fit
 from quillmesh.llm.docstats import FEATURES, feature_rows
-from quillmesh.llm.textscan import popular_settings
+from quillmesh.llm.textscan import small_batches
 
 SAMPLE = 20_000
 KEEP = 0.7
@@ -26,7 +26,7 @@ _STATS = pa.schema([("id", pa.int64()), ("stats", pa.list_(pa.float32()))])
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stats array<float>) of every row, in the order of FEATURES; a null text is an empty one."""
-    popular_settings(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +67,7 @@ def _scores(texts: pa.Array, forest: Forest) -> np.ndarray:
 
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row; a null text is an empty one. Null ids and repeated rows pass through."""
-    popular_settings(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +79,7 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 
 def keep_good(docs: DataFrame, forest: Forest, keep: float = KEEP, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score is at least `keep`; one pass without a shuffle."""
-    popular_settings(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

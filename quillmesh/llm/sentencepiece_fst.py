@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.textscan import popular_settings
+from quillmesh.llm.textscan import small_batches
 
 #: Escaped space of the public format, and the surface that decoding gives for an unknown piece.
 SPACE_MARK = "▁"
@@ -299,7 +299,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts have no ids and decode to an empty text. round_trip: the decoded text is the text itself; it is not
     where the text holds U+2581, which decodes to a space. Ids, null ones too, and repeated rows pass through.
     """
-    popular_settings(docs.sparkSession)
+    small_batches(docs.sparkSession)
     if digest:
         ddl = "id long, n_ids long, ids_crc32 long, decoded_bytes long, decoded_crc32 long, round_trip boolean"
         schema = pa.schema([("id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_bytes", pa.int64()), ("decoded_crc32", pa.int64()), ("round_trip", pa.bool_())])

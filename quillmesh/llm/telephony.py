@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.textscan import popular_settings
+from quillmesh.llm.textscan import small_batches
 
 #: Format tags of the WAVE container.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 0x11
@@ -197,7 +197,7 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts are 64 zero bytes. A batch's rows are written out about every 8 MB, and each row is worked on alone, so memory
     follows the longest text. Equal texts give equal values; null ids and repeated rows pass through.
     """
-    popular_settings(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, 500)
     schema = _DIGEST if digest else _FULL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

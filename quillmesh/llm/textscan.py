@@ -131,6 +131,6 @@ def shingle_sets(texts: pa.Array, k: int, limit: int = CHUNK_BYTES) -> Iterator[
                 yield i + r, np.zeros(0, U64)
 
 
-def popular_settings(spark, rows: int = 2000) -> None:
+def small_batches(spark, rows: int = 2000) -> None:
     """Arrow batches small enough that a batch of long texts fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
