@@ -28,12 +28,11 @@ def add_ranks(name: str, source: str, keep: str, bucket: str, order: str, within
 add("bought", """
     SELECT DISTINCT o.o_custkey AS node_id, l.l_partkey AS part, year(o.o_orderdate) * 100 + month(o.o_orderdate) AS month
     FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey""", public=False)
-add("twice", "SELECT 0 AS k UNION ALL SELECT 1", public=False)
 add("entries", """
     SELECT 'cpm' AS relation, node_id AS i, CASE WHEN k = 0 THEN j1 ELSE j2 END AS j, 1 AS v
-    FROM (SELECT node_id, lead(node_id, 1) OVER (PARTITION BY part, month ORDER BY node_id) AS j1, lead(node_id, 2) OVER (PARTITION BY part, month ORDER BY node_id) AS j2 FROM {bought}) b CROSS JOIN {twice}
+    FROM (SELECT node_id, lead(node_id, 1) OVER (PARTITION BY part, month ORDER BY node_id) AS j1, lead(node_id, 2) OVER (PARTITION BY part, month ORDER BY node_id) AS j2 FROM {bought}) b $TWICE(t)
     UNION ALL SELECT 'cns', CASE WHEN k = 0 THEN j1 ELSE c_custkey END, CASE WHEN k = 0 THEN c_custkey ELSE j3 END, 1
-    FROM (SELECT c_custkey, lead(c_custkey, 1) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS j1, lead(c_custkey, 3) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS j3 FROM {customer}) c CROSS JOIN {twice}
+    FROM (SELECT c_custkey, lead(c_custkey, 1) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS j1, lead(c_custkey, 3) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS j3 FROM {customer}) c $TWICE(t)
     UNION ALL SELECT 'cdp', o_custkey, lead(o_custkey, 1) OVER (PARTITION BY o_orderdate, o_orderpriority ORDER BY o_custkey, o_orderkey), 1 FROM {orders}
     UNION ALL SELECT 'cdp', o_custkey, o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE 1 END FROM {orders} WHERE o_orderkey % 50 = 0""", public=False)
 add("customer_facts", """
@@ -51,7 +50,7 @@ add("labels_raw", "SELECT c_custkey AS node_id, CASE WHEN c_acctbal < 0 THEN 1 E
 
 add("edges_canonical", """
     SELECT DISTINCT relation, least(i, j) AS src, greatest(i, j) AS dst FROM {entries} WHERE v <> 0 AND i <> j AND i IS NOT NULL AND j IS NOT NULL""", "O-GR1 O-IO3 O-ST1")
-add("adjacency_directed", "SELECT relation, CASE WHEN k = 0 THEN src ELSE dst END AS node_id, CASE WHEN k = 0 THEN dst ELSE src END AS nb FROM {edges_canonical} e CROSS JOIN {twice}", "O-GR9 O-GR10 O-GR11")
+add("adjacency_directed", "SELECT relation, CASE WHEN k = 0 THEN src ELSE dst END AS node_id, CASE WHEN k = 0 THEN dst ELSE src END AS nb FROM {edges_canonical} e $TWICE(t)", "O-GR9 O-GR10 O-GR11")
 add("degree_by_relation", "SELECT relation, node_id, CAST(count(*) AS BIGINT) AS degree FROM {adjacency_directed} GROUP BY relation, node_id", "O-GR11")
 add("duplicate_groups", "SELECT node_id, min(node_id) OVER (PARTITION BY own__f01, own__f04, own__f05, round(own__f03, 1)) AS first_node FROM {raw_features}", "O-GR3 O-GR5")
 add("group_numbers", "SELECT first_node, CAST(count(*) AS BIGINT) AS size FROM {duplicate_groups} GROUP BY first_node", public=False)
@@ -77,7 +76,7 @@ add_ranks("edge_places", "edge_hashes", "relation, src, dst", "CAST(floor(h / 10
 add("sample_edges", "SELECT relation, src, dst FROM {edge_places} WHERE place < round(0.3e0 * total)", "O-GR12")
 add("stub_hashes", """
     SELECT relation, node_id, k, side, $H(9, node_id, k, side) AS h
-    FROM (SELECT relation, CASE WHEN t.k = 0 THEN src ELSE dst END AS node_id, CASE WHEN t.k = 0 THEN dst ELSE src END AS k, t.k AS side FROM {edges_canonical} e CROSS JOIN {twice} t) s""", public=False)
+    FROM (SELECT relation, CASE WHEN t.k = 0 THEN src ELSE dst END AS node_id, CASE WHEN t.k = 0 THEN dst ELSE src END AS k, t.k AS side FROM {edges_canonical} e $TWICE(t)) s""", public=False)
 add_ranks("stubs", "stub_hashes", "relation, node_id", "CAST(floor(h / 1048576e0) AS BIGINT)", "h, node_id, k, side", "relation")
 add("rewire_edges", """
     SELECT DISTINCT a.relation, least(a.node_id, b.node_id) AS src, greatest(a.node_id, b.node_id) AS dst

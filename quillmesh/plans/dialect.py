@@ -9,6 +9,7 @@ $Q(x, p)            exact linear quantile
 $JOIN(x, key)       texts of a group joined by commas in the order of key
 $DBL(x)             cast to double
 $RX(x, re, by)      replace all matches
+$TWICE(t)           after a table: each of its rows twice, with t.k = 0 and 1
 """
 
 from __future__ import annotations
@@ -98,6 +99,8 @@ def expand(sql: str, dialect: str) -> str:
             return f"listagg({args[0]}, ',') WITHIN GROUP (ORDER BY {args[1]})" if spark else f"string_agg({args[0]}, ',' ORDER BY {args[1]})"
         if name == "DBL":
             return f"CAST({args[0]} AS DOUBLE)"
+        if name == "TWICE":
+            return f"LATERAL VIEW explode(array(0, 1)) {args[0]} AS k" if spark else f"CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) {args[0]}"
         if name == "RX":
             return f"regexp_replace({args[0]}, {args[1]}, {args[2]})" if spark else f"regexp_replace({args[0]}, {args[1]}, {args[2]}, 'g')"
         raise ValueError(f"no macro ${name}")
