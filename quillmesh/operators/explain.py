@@ -69,7 +69,7 @@ add("attention_logits", "SELECT a.relation, a.node_id AS target, a.nb AS neighbo
 add("edge_softmax", "SELECT relation, target, neighbour, head, round(x / sum(x) OVER (PARTITION BY relation, target, head), 9) AS alpha FROM (SELECT relation, target, neighbour, head, exp(e - max(e) OVER (PARTITION BY relation, target, head)) AS x FROM {attention_logits}) s", "O-ML5 O-ML6")
 add("attention_edges", "SELECT relation, target, neighbour, avg(alpha) AS alpha FROM {edge_softmax} GROUP BY relation, target, neighbour", public=False)
 add("gat_aggregate", "SELECT e.relation, e.target, round(sum(e.alpha * o.own__f01), 5) AS out FROM {attention_edges} e JOIN {own_block} o ON o.node_id = e.neighbour GROUP BY e.relation, e.target", "O-ML3 O-ML5")
-add("attention_targets", "SELECT e.relation, e.target, CAST(count(*) AS BIGINT) AS degree, round(sum(-alpha * ln(alpha)) / nullif(ln($DBL(count(*))), 0), 6) AS entropy_ratio, round(max(alpha), 7) AS largest, round(sum(CASE WHEN s.label = 1 THEN alpha ELSE 0e0 END), 6) AS fraud_attention, round(avg(CASE WHEN s.label = 1 THEN 1e0 ELSE 0e0 END), 6) AS fraud_share FROM {attention_edges} e JOIN {split_nodes} s ON s.node_id = e.neighbour GROUP BY e.relation, e.target", "O-ML11")
+add("attention_targets", "SELECT e.relation, e.target, CAST(count(*) AS BIGINT) AS degree, round(sum(-alpha * ln(alpha)) / nullif(ln($DBL(count(*))), 0), 6) AS entropy_ratio, max(alpha) AS largest, round(sum(CASE WHEN s.label = 1 THEN alpha ELSE 0e0 END), 6) AS fraud_attention, round(avg(CASE WHEN s.label = 1 THEN 1e0 ELSE 0e0 END), 6) AS fraud_share FROM {attention_edges} e JOIN {split_nodes} s ON s.node_id = e.neighbour GROUP BY e.relation, e.target", "O-ML11")
 add("attention_summary", "SELECT a.relation, CASE WHEN s.label = 1 THEN 'fraud' WHEN s.label = 0 THEN 'benign' ELSE 'none' END AS who, round(avg(a.entropy_ratio), 5) AS focus, round($Q(a.largest, 0.5), 6) AS median_largest, round(avg(a.fraud_attention), 5) AS fraud_attention FROM {attention_targets} a JOIN {split_nodes} s ON s.node_id = a.target GROUP BY a.relation, CASE WHEN s.label = 1 THEN 'fraud' WHEN s.label = 0 THEN 'benign' ELSE 'none' END", "O-DQ1")
 add("attention_top_edges", "SELECT relation, target, neighbour, place FROM (SELECT relation, target, neighbour, row_number() OVER (PARTITION BY relation, target ORDER BY round(alpha, 8) DESC, neighbour) AS place FROM {attention_edges}) r WHERE place <= 3", "O-ML11 O-DQ2")
 add("attention_checks", "SELECT e.relation, CAST(count(*) AS BIGINT) AS targets, CAST(sum(CASE WHEN abs(total - 1e0) > 1e-5 THEN 1 ELSE 0 END) AS BIGINT) AS sum_off, CAST(sum(CASE WHEN e.n <> d.degree THEN 1 ELSE 0 END) AS BIGINT) AS lists_short FROM (SELECT relation, target, sum(alpha) AS total, count(*) AS n FROM {attention_edges} GROUP BY relation, target) e LEFT JOIN {degree_by_relation} d ON d.relation = e.relation AND d.node_id = e.target GROUP BY e.relation", "O-DQ3")
