@@ -101,6 +101,7 @@ class PieceMachine:
         if self.kind == BPE:
             self._compile_merge_order()
         self.words: dict[str, bytes] = {}
+        self.halves: dict[str, list[int]] = {}
 
     # The merge-order acceptor
 
@@ -221,6 +222,34 @@ class PieceMachine:
             text = " " + text
         return text.replace(" ", SPACE_MARK) if self.escape else text
 
+    def _composed(self, text: str) -> list[int]:
+        """The path of a stretch from the kept paths of its halves: as prefixes and endings of a path are paths, the halves'
+        paths make up the whole one if M lets the second follow the first. Else the whole is searched."""
+        n = len(text)
+        if n < 7 or self.kind != BPE:
+            return self._path(text)
+        halves = self.halves
+        for cut in (n // 2, n // 2 + 1, n // 2 - 1):
+            both = []
+            for part in (text[:cut], text[cut:]):
+                ids = halves.get(part)
+                if ids is None:
+                    ids = self._path(part)
+                    if len(part) <= CACHED_LENGTH:
+                        halves[part] = ids
+                both.append(ids)
+            p, q = both[0][-1], both[1][0]
+            if p in self.right and q in self.left:
+                key = p * len(self.pieces) + q
+                ok = self.steps.get(key)
+                if ok is None:
+                    ok = self.steps[key] = self.stays(p, q)
+            else:
+                ok = True  # next to a byte piece
+            if ok:
+                return both[0] + both[1]
+        return self._path(text)
+
     def _word(self, word: str) -> bytes:
         """Ids of U+2581 + word, where word has none."""
         ids, head = [], SPACE_MARK
@@ -230,7 +259,7 @@ class PieceMachine:
                 ids += self._spelt(part)
                 head = ""
             else:
-                ids += self._path(head + part)
+                ids += self._composed(head + part)
                 head = ""
         return np.array(ids, "<i4").tobytes()
 
@@ -240,8 +269,10 @@ class PieceMachine:
         words = self.words
         if len(words) > CACHED_WORDS:
             words.clear()
-            if self.kind == BPE and len(self.steps) > 4 * CACHED_WORDS:
-                self.steps.clear()
+        if len(self.halves) > CACHED_WORDS:
+            self.halves.clear()
+        if self.kind == BPE and len(self.steps) > 4 * CACHED_WORDS:
+            self.steps.clear()
         if self.split_words and self.escape and self.dummy_prefix and not self.squeeze and SPACE_MARK not in text and "  " not in text and text[-1] != " " and text[0] != " ":
             out = []
             for w in text.split(" "):
