@@ -14,15 +14,15 @@ add("facts", """
     SELECT c.c_mktsegment AS seg, c.c_nationkey AS nat, o.o_orderkey AS k, o.o_orderpriority AS prio, o.o_orderdate AS d, CAST(round(o.o_totalprice * 100) AS BIGINT) AS cents
     FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey WHERE o.o_orderkey % 7 = 0""", public=False)
 add("run_facts", """
-    SELECT CASE WHEN nat < 13 THEN 'amazon' ELSE 'yelp' END AS dataset, CASE WHEN substr(prio, 1, 1) IN ('1', '2') THEN 'full' ELSE 'pilot' END AS budget, CASE seg WHEN 'BUILDING' THEN 'own' WHEN 'MACHINERY' THEN 'own_nbr' WHEN 'AUTOMOBILE' THEN 'own_ssl' WHEN 'FURNITURE' THEN 'gnn' ELSE 'own_nbr_ssl' END AS setup,
+    SELECT CASE WHEN nat < 13 THEN 'first' ELSE 'second' END AS dataset, CASE WHEN substr(prio, 1, 1) IN ('1', '2') THEN 'full' ELSE 'pilot' END AS budget, CASE seg WHEN 'BUILDING' THEN 'own' WHEN 'MACHINERY' THEN 'own_nbr' WHEN 'AUTOMOBILE' THEN 'own_ssl' WHEN 'FURNITURE' THEN 'gnn' ELSE 'own_nbr_ssl' END AS setup,
         CASE WHEN substr(prio, 1, 1) = '5' THEN 'no19' ELSE '' END AS variant, CAST(month(d) % 4 AS BIGINT) AS split, CAST(year(d) % 3 AS BIGINT) AS attempt, CAST(count(*) AS BIGINT) AS n, CAST(sum(cents) AS BIGINT) AS cents, CAST(min(k) AS BIGINT) AS first_key, CAST(sum(cents % 1000) AS BIGINT) AS odd
-    FROM {facts} GROUP BY 1, 2, 3, 4, 5, 6""".replace("GROUP BY 1, 2, 3, 4, 5, 6", """GROUP BY CASE WHEN nat < 13 THEN 'amazon' ELSE 'yelp' END, CASE WHEN substr(prio, 1, 1) IN ('1', '2') THEN 'full' ELSE 'pilot' END, CASE seg WHEN 'BUILDING' THEN 'own' WHEN 'MACHINERY' THEN 'own_nbr' WHEN 'AUTOMOBILE' THEN 'own_ssl' WHEN 'FURNITURE' THEN 'gnn' ELSE 'own_nbr_ssl' END,
+    FROM {facts} GROUP BY 1, 2, 3, 4, 5, 6""".replace("GROUP BY 1, 2, 3, 4, 5, 6", """GROUP BY CASE WHEN nat < 13 THEN 'first' ELSE 'second' END, CASE WHEN substr(prio, 1, 1) IN ('1', '2') THEN 'full' ELSE 'pilot' END, CASE seg WHEN 'BUILDING' THEN 'own' WHEN 'MACHINERY' THEN 'own_nbr' WHEN 'AUTOMOBILE' THEN 'own_ssl' WHEN 'FURNITURE' THEN 'gnn' ELSE 'own_nbr_ssl' END,
         CASE WHEN substr(prio, 1, 1) = '5' THEN 'no19' ELSE '' END, CAST(month(d) % 4 AS BIGINT), CAST(year(d) % 3 AS BIGINT)"""), public=False)
 add("meta", """
     SELECT dataset || '_' || budget || '_' || setup || variant || '_' || CAST(split AS VARCHAR(4)) || '_' || CAST(attempt AS VARCHAR(4)) AS run_id, CASE WHEN variant = '' THEN budget || '_' || setup ELSE budget || '_' || setup || '_' || variant END AS feature_set,
         CASE WHEN first_key % 11 = 3 THEN 'compare' ELSE 'pipeline' END AS kind, CASE WHEN first_key % 13 = 5 THEN 'failed' ELSE 'ok' END AS status, dataset, budget, setup, variant, split, 1000000 * attempt + first_key AS started, 1000000 * attempt + first_key + odd % 7200 AS finished,
         CASE WHEN first_key % 2 = 0 THEN 'desktop' ELSE 'laptop' END AS device, CASE WHEN attempt = 2 AND first_key % 17 < 6 THEN dataset || '_' || budget || '_' || setup || variant || '_' || CAST(split AS VARCHAR(4)) || '_0' END AS supersedes,
-        CASE WHEN first_key % 19 <> 4 THEN 'h' || CAST(first_key % 5 AS VARCHAR(4)) END AS hash_id, round((cents % 4000) / 10000e0 + 0.5e0, 4) AS test_pr_auc, round((odd % 3000) / 10000e0 + 0.55e0, 4) AS cv_pr_auc, CASE WHEN dataset = 'amazon' THEN 0.095e0 ELSE 0.145e0 END AS no_skill, n AS n_test, 'tag' || CAST(split AS VARCHAR(4)) || ', ' || setup AS tags
+        CASE WHEN first_key % 19 <> 4 THEN 'h' || CAST(first_key % 5 AS VARCHAR(4)) END AS hash_id, round((cents % 4000) / 10000e0 + 0.5e0, 4) AS test_pr_auc, round((odd % 3000) / 10000e0 + 0.55e0, 4) AS cv_pr_auc, CASE WHEN dataset = 'first' THEN 0.095e0 ELSE 0.145e0 END AS no_skill, n AS n_test, 'tag' || CAST(split AS VARCHAR(4)) || ', ' || setup AS tags
     FROM {run_facts}""", public=False)
 add("check_meta", """
     SELECT run_id, CASE WHEN status NOT IN ('ok') THEN 'status' WHEN finished < started THEN 'time' WHEN length(run_id) > 40 THEN 'length' END AS problem, round((finished - started) / 60e0, 1) AS minutes FROM {meta}""", "O-DB1 O-DB2")
@@ -30,7 +30,7 @@ add("check_db", "SELECT problem, CAST(count(*) AS BIGINT) AS n FROM (SELECT run_
 add("index_table", "SELECT CAST(row_number() OVER (ORDER BY started, run_id) AS BIGINT) AS place, run_id, dataset, feature_set, device || ' / ' || split_part(tags, ', ', 1) AS where_run, test_pr_auc FROM {meta}", "O-DB4")
 add("combined_results", "SELECT run_id, model, selection, pr_auc, cv_pr_auc FROM (SELECT run_id, 'gbt' AS model, CAST(NULL AS VARCHAR(9)) AS selection, test_pr_auc AS pr_auc, cv_pr_auc FROM {meta} WHERE kind = 'pipeline' UNION ALL SELECT run_id, 'lr', 'filter', CAST(NULL AS DOUBLE), cv_pr_auc - 0.01e0 FROM {meta} WHERE kind <> 'pipeline') r", "O-DB5 O-IO14 O-IO15 O-DB6")
 add("run_slugs", "SELECT run_id, $RX(lower(run_id || ' ' || device), '[^a-z0-9]+', '-') || '-' || substr(md5(run_id), 1, 6) AS slug FROM {meta}", "O-DB7")
-add("filtered_entries", "SELECT run_id FROM {meta} WHERE dataset = 'amazon' AND ', ' || tags || ',' LIKE '%, tag1,%' AND run_id LIKE 'amazon_p%'", "O-DB8")
+add("filtered_entries", "SELECT run_id FROM {meta} WHERE dataset = 'first' AND ', ' || tags || ',' LIKE '%, tag1,%' AND run_id LIKE 'first_p%'", "O-DB8")
 add("superseded", "SELECT m.run_id, s.supersedes IS NOT NULL AS superseded FROM {meta} m LEFT JOIN (SELECT DISTINCT supersedes FROM {meta} WHERE supersedes IS NOT NULL) s ON s.supersedes = m.run_id", "O-DB9")
 add("setups", "SELECT 'own' AS base, 'B' AS letter UNION ALL SELECT 'own_nbr', 'E1' UNION ALL SELECT 'own_ssl', 'E2' UNION ALL SELECT 'own_nbr_ssl', 'E7' UNION ALL SELECT 'gnn', 'E5'", public=False)
 add("runs_table", """
@@ -66,8 +66,8 @@ add("replication_splits", "SELECT p.dataset, p.budget_read, p.suffix, p.a, p.b,
 add("key_questions", "SELECT dataset, a, b, max(CASE WHEN budget_read = 'full' THEN mean END) AS full_mean, max(CASE WHEN budget_read = 'pilot' THEN mean END) AS pilot_mean FROM {all_contrasts} WHERE suffix = '' AND a IN ('own', 'gnn') GROUP BY dataset, a, b", "O-DB25")
 add("tuned_vs_default", "SELECT dataset, base, round(max(CASE WHEN budget_read = 'full' THEN cv_mean END), 7) AS full_cv, round(max(CASE WHEN budget_read = 'pilot' THEN cv_mean END), 7) AS pilot_cv FROM {setup_summary} WHERE suffix = '' GROUP BY dataset, base", "O-DB26")
 add("graph_gain", "SELECT dataset, budget_read, b, CAST(count(*) AS BIGINT) AS n, round(avg(delta), 7) AS mean, round(stddev_samp(delta), 7) AS sd, round(min(delta), 7) AS low, round(max(delta), 7) AS high FROM {pairs} WHERE a = 'own' AND suffix = '' GROUP BY dataset, budget_read, b", "O-DB27")
-add("agreement", "SELECT x.budget_read, x.a, x.b, x.mean > 0 AS up_first, y.mean > 0 AS up_second, (x.mean > 0) = (y.mean > 0) AS same FROM {all_contrasts} x JOIN {all_contrasts} y ON y.budget_read = x.budget_read AND y.a = x.a AND y.b = x.b AND y.suffix = x.suffix WHERE x.dataset = 'amazon' AND y.dataset = 'yelp' AND x.suffix = ''", "O-DB28")
-add("cross_dataset", "SELECT x.base, x.budget_read, x.test_mean AS first_mean, y.test_mean AS second_mean, z.test_mean AS variant_mean FROM {setup_summary} x JOIN {setup_summary} y ON y.base = x.base AND y.budget_read = x.budget_read AND y.suffix = '' AND y.dataset = 'yelp' LEFT JOIN {setup_summary} z ON z.base = x.base AND z.budget_read = x.budget_read AND z.suffix = 'no19' AND z.dataset = 'amazon' WHERE x.dataset = 'amazon' AND x.suffix = ''", "O-DB29")
+add("agreement", "SELECT x.budget_read, x.a, x.b, x.mean > 0 AS up_first, y.mean > 0 AS up_second, (x.mean > 0) = (y.mean > 0) AS same FROM {all_contrasts} x JOIN {all_contrasts} y ON y.budget_read = x.budget_read AND y.a = x.a AND y.b = x.b AND y.suffix = x.suffix WHERE x.dataset = 'first' AND y.dataset = 'second' AND x.suffix = ''", "O-DB28")
+add("cross_dataset", "SELECT x.base, x.budget_read, x.test_mean AS first_mean, y.test_mean AS second_mean, z.test_mean AS variant_mean FROM {setup_summary} x JOIN {setup_summary} y ON y.base = x.base AND y.budget_read = x.budget_read AND y.suffix = '' AND y.dataset = 'second' LEFT JOIN {setup_summary} z ON z.base = x.base AND z.budget_read = x.budget_read AND z.suffix = 'no19' AND z.dataset = 'first' WHERE x.dataset = 'first' AND x.suffix = ''", "O-DB29")
 add("overview", " UNION ALL ".join(f"SELECT '{c}' AS what, CAST({c} AS VARCHAR(20)) AS value, CAST(count(*) AS BIGINT) AS n, CAST(min(started) AS BIGINT) AS first_started, CAST(max(finished) AS BIGINT) AS last_finished FROM {{meta}} GROUP BY {c}" for c in ("kind", "budget", "dataset", "device")), "O-DB30")
 add("failed_entries", "SELECT run_id, status, kind FROM {meta} WHERE status <> 'ok'", "O-DB31")
 add("coverage", "SELECT c.dataset, c.suffix, c.base, c.splits, max(c.splits) OVER (PARTITION BY c.dataset, c.suffix) AS most FROM (SELECT dataset, suffix, base, CAST(count(DISTINCT split) AS BIGINT) AS splits FROM {one_run} GROUP BY dataset, suffix, base) c", "O-DB32")
@@ -77,6 +77,6 @@ add("frozen_test_set", "SELECT dataset, split, CAST(count(DISTINCT n_test) AS BI
 add("contrasts_recomputed", "SELECT c.dataset, c.budget_read, c.suffix, c.a, c.b, abs(c.mean - (y.test_mean - x.test_mean)) > 1e-4 AS differs FROM {all_contrasts} c JOIN {setup_summary} x ON x.dataset = c.dataset AND x.budget_read = c.budget_read AND x.suffix = c.suffix AND x.base = c.a JOIN {setup_summary} y ON y.dataset = c.dataset AND y.budget_read = c.budget_read AND y.suffix = c.suffix AND y.base = c.b", "O-DB36")
 add("run_all_checks", "SELECT name, bad = 0 AS ok, bad FROM (SELECT 'ranges' AS name, CAST(count(*) AS BIGINT) AS bad FROM {metric_ranges} UNION ALL SELECT 'frozen', CAST(count(*) AS BIGINT) FROM {frozen_test_set} UNION ALL SELECT 'duplicates', CAST(count(*) AS BIGINT) FROM {duplicate_runs} UNION ALL SELECT 'contrasts', CAST(sum(CASE WHEN differs THEN 1 ELSE 0 END) AS BIGINT) FROM {contrasts_recomputed}) c", "O-ST21 O-DB34")
 add("report_rows", "SELECT budget_read, base, round(avg(test_mean), 7) AS mean, round(max(test_sd), 7) AS largest_sd FROM {setup_summary} GROUP BY budget_read, base", "O-DB37")
-add("scores_by_variant", "SELECT base, max(CASE WHEN suffix = '' THEN v END) AS plain, max(CASE WHEN suffix = 'no19' THEN v END) AS no19 FROM (SELECT base, suffix, max_by(test_mean, n * 10 + CASE WHEN dataset = 'amazon' THEN 1 ELSE 0 END + CASE WHEN budget_read = 'full' THEN 2 ELSE 0 END) AS v FROM {setup_summary} GROUP BY base, suffix) s GROUP BY base", "O-DB38")
+add("scores_by_variant", "SELECT base, max(CASE WHEN suffix = '' THEN v END) AS plain, max(CASE WHEN suffix = 'no19' THEN v END) AS no19 FROM (SELECT base, suffix, max_by(test_mean, n * 10 + CASE WHEN dataset = 'first' THEN 1 ELSE 0 END + CASE WHEN budget_read = 'full' THEN 2 ELSE 0 END) AS v FROM {setup_summary} GROUP BY base, suffix) s GROUP BY base", "O-DB38")
 add("split_ranges", "SELECT dataset, base, min(split) AS low, max(split) AS high FROM (SELECT dataset, base, split, split - row_number() OVER (PARTITION BY dataset, base ORDER BY split) AS island FROM (SELECT DISTINCT dataset, base, split FROM {one_run} WHERE split <> 2) d) g GROUP BY dataset, base, island", "O-DB39")
-add("display_names", "SELECT run_id, CASE WHEN dataset = 'amazon' THEN 'Amazon' ELSE 'YelpChi' END || ' ' || letter || CASE WHEN suffix = '' THEN '' ELSE ' without f19' END AS label, CASE WHEN test_pr_auc >= 0.7e0 THEN 'strong' ELSE 'weak' END AS outcome FROM {runs_table}", "O-ST22")
+add("display_names", "SELECT run_id, CASE WHEN dataset = 'first' THEN 'First' ELSE 'Second' END || ' ' || letter || CASE WHEN suffix = '' THEN '' ELSE ' without f19' END AS label, CASE WHEN test_pr_auc >= 0.7e0 THEN 'strong' ELSE 'weak' END AS outcome FROM {runs_table}", "O-ST22")
