@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -38,6 +39,19 @@ def test_clean_documents_stay(spark):
     assert np.mean([d in kept for d in clean]) > 0.98
 
 
+def test_unlearnt_scripts_and_random_letters_go(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rng = random.Random(3)
+    scripts = {"greek": (0x3B1, 0x3CA), "cyrillic": (0x430, 0x450), "arabic": (0x627, 0x64B), "hangul": (0xAC00, 0xB000), "cjk": (0x4E00, 0x5E00), "latin": (97, 123)}
+    alphabets = {k: [chr(c) for c in range(*v)] for k, v in scripts.items()} | {"base64": list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
+    planted = [" ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 9))) for _ in range(n)) for a in alphabets.values() for n in (30, 200) for _ in range(20)]
+    rows = spark.createDataFrame([(8_000_000 + i, t, None, "planted", len(t)) for i, t in enumerate(planted)], docs.schema)
+    kept = {r.doc_id for r in P.language(spark, docs.unionByName(rows), SF).collect()}
+    assert [d for d in kept if d >= 8_000_000] == []
+    clean = [r.doc_id for r in docs.collect() if len(r.text.split()) > 10]
+    assert np.mean([d in kept for d in clean]) > 0.995
+
+
 def test_repeated_and_odd_rows(spark):
     docs = table(spark, SF, "documents")
     odd = spark.createDataFrame([(None, "no id " * 30, "en", "s", 1), (7_000_001, None, None, None, None), (7_000_002, "", "en", "s", 0)], docs.schema)
