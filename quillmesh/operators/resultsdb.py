@@ -12,7 +12,7 @@ add = LIBRARY.add
 
 add("facts", """
     SELECT c.c_mktsegment AS seg, c.c_nationkey AS nat, o.o_orderkey AS k, o.o_orderpriority AS prio, o.o_orderdate AS d, CAST(round(o.o_totalprice * 100) AS BIGINT) AS cents
-    FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey WHERE o.o_orderkey % 7 = 0""", public=False)
+    FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey""", public=False)
 add("run_facts", """
     SELECT CASE WHEN nat < 13 THEN 'first' ELSE 'second' END AS dataset, CASE WHEN substr(prio, 1, 1) IN ('1', '2') THEN 'full' ELSE 'pilot' END AS budget, CASE seg WHEN 'BUILDING' THEN 'own' WHEN 'MACHINERY' THEN 'own_nbr' WHEN 'AUTOMOBILE' THEN 'own_ssl' WHEN 'FURNITURE' THEN 'gnn' ELSE 'own_nbr_ssl' END AS setup,
         CASE WHEN substr(prio, 1, 1) = '5' THEN 'no19' ELSE '' END AS variant, CAST(month(d) % 4 AS BIGINT) AS split, CAST(year(d) % 3 AS BIGINT) AS attempt, CAST(count(*) AS BIGINT) AS n, CAST(sum(cents) AS BIGINT) AS cents, CAST(min(k) AS BIGINT) AS first_key, CAST(sum(cents % 1000) AS BIGINT) AS odd

@@ -152,3 +152,10 @@ def test_identical_scores_have_no_difference(spark):
 def test_macros():
     assert expand("$DBL($Q(x, 0.5))", "duckdb") == "CAST(quantile_cont(x, 0.5) AS DOUBLE)"
     assert "conv(" in expand("$H(1, a, b)", "spark")
+
+
+def test_every_order_is_a_fact(spark):
+    customer = spark.createDataFrame([(1, "BUILDING", 3), (2, "MACHINERY", 20)], "c_custkey long, c_mktsegment string, c_nationkey int")
+    orders = spark.createDataFrame([(k, 1 + k % 2, "1-URGENT", 10.0 + k) for k in range(1, 15)], "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").selectExpr("*", "DATE'1995-03-01' AS o_orderdate")
+    found = apply(spark, "run_facts", orders=orders, customer=customer).collect()
+    assert sorted((r.setup, r.n, r.cents, r.first_key) for r in found) == [("own", 7, sum(1000 + 100 * k for k in range(2, 15, 2)), 2), ("own_nbr", 7, sum(1000 + 100 * k for k in range(1, 15, 2)), 1)]
