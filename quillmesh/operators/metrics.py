@@ -78,10 +78,11 @@ add("inferred_types", """
     FROM {column_spec} a FULL OUTER JOIN (SELECT CASE WHEN name = 'own__f06' THEN 'own__f99' ELSE name END AS name, CASE WHEN kind = 'ordinal' THEN 'continuous' ELSE kind END AS kind FROM {column_spec}) b ON b.name = a.name""", "O-AU15")
 add("log_lines", """
     SELECT event_id AS line, CASE WHEN event_id % 40 = 0 THEN 'Tuning ' || event_type WHEN event_id % 7 = 3 THEN CAST(event_id % 100 AS VARCHAR(10)) || '/100 trials' WHEN event_id % 39 = 11 THEN 'stopped: no gain' ELSE 'noise' END AS text
-    FROM {events} WHERE event_id < 2000""", public=False)
+    FROM {events}""", public=False)
+add("log_ranges", "SELECT b, max(last) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM (SELECT CAST(floor(line / 1024e0) AS BIGINT) AS b, max(CASE WHEN text LIKE 'Tuning %' THEN line END) AS last FROM {log_lines} GROUP BY CAST(floor(line / 1024e0) AS BIGINT)) r", public=False)
 add("tuning_budget_log", """
     SELECT section, max_by(trials, CASE WHEN trials IS NOT NULL THEN line ELSE -1 END) AS trials, bool_and(NOT stopped) AS ran_out, CAST(count(*) AS BIGINT) AS lines_found FROM (
-        SELECT line, max(CASE WHEN text LIKE 'Tuning %' THEN line END) OVER (ORDER BY line) AS section, CASE WHEN text LIKE '%/100 trials' THEN CAST(split_part(text, '/', 1) AS BIGINT) END AS trials, text LIKE 'stopped%' AS stopped FROM {log_lines}) s
+        SELECT l.line, coalesce(max(CASE WHEN l.text LIKE 'Tuning %' THEN l.line END) OVER (PARTITION BY r.b ORDER BY l.line), r.earlier) AS section, CASE WHEN l.text LIKE '%/100 trials' THEN CAST(split_part(l.text, '/', 1) AS BIGINT) END AS trials, l.text LIKE 'stopped%' AS stopped FROM {log_lines} l JOIN {log_ranges} r ON r.b = CAST(floor(l.line / 1024e0) AS BIGINT)) s
     WHERE trials IS NOT NULL OR stopped GROUP BY section""", "O-AU16")
 
 # Ranking metrics

@@ -159,3 +159,34 @@ def test_every_order_is_a_fact(spark):
     orders = spark.createDataFrame([(k, 1 + k % 2, "1-URGENT", 10.0 + k) for k in range(1, 15)], "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").selectExpr("*", "DATE'1995-03-01' AS o_orderdate")
     found = apply(spark, "run_facts", orders=orders, customer=customer).collect()
     assert sorted((r.setup, r.n, r.cents, r.first_key) for r in found) == [("own", 7, sum(1000 + 100 * k for k in range(2, 15, 2)), 2), ("own_nbr", 7, sum(1000 + 100 * k for k in range(1, 15, 2)), 1)]
+
+
+def test_whole_graph_and_log_are_read(spark):
+    edges = spark.createDataFrame([(r, 0, i) for r in ("cpm", "cns") for i in range(1, 11)], "relation string, src long, dst long")
+    nodes = spark.createDataFrame([(i, i % 2, "train") for i in range(11)], "node_id long, label int, split string")
+    ego = apply(spark, "ego_network", edges_canonical=edges, split_nodes=nodes).collect()
+    assert {(r.relation, r.node_id) for r in ego} == {(r, i) for r in ("cpm", "cns") for i in range(11)}
+    assert {(r.degree, r.train_fraud) for r in ego if r.node_id == 0} == {(10, 0.5)}
+    soft = apply(spark, "edge_softmax", edges_canonical=edges).collect()
+    assert len(soft) == 80 and {r.relation for r in soft} == {"cpm", "cns"}
+    own = spark.createDataFrame([(i, float(i)) for i in range(11)], "node_id long, own__f01 double")
+    region = spark.createDataFrame([(i,) for i in range(5)], "r_regionkey int")
+    shares = apply(spark, "neighbour_shapley", edges_canonical=edges, own_block=own, region=region).collect()
+    assert len(shares) == 40
+    for r in ("cpm", "cns"):
+        assert sum(s.phi for s in shares if s.relation == r and s.target == 0) == pytest.approx(5.5, abs=1e-4)
+    block = spark.createDataFrame([(i, 1.0) for i in range(20)], "node_id long, nbr__cpm_mean_f01 double")
+    sums = spark.createDataFrame([(i, "cpm", 1.0 + (i == 4)) for i in range(20)], "node_id long, relation string, mean_f01 double")
+    assert {r.node_id: r.same for r in apply(spark, "layout_check", nbr_block=block, neighbour_sums=sums).collect()} == {i: i != 4 for i in range(20)}
+    ranks = spark.createDataFrame([(b, n, p) for b in range(9) for p, n in enumerate("xyz")], "b long, name string, place int")
+    assert apply(spark, "split_agreement", drawn_ranks=ranks).count() == 36
+    log = spark.range(5000).selectExpr("id AS event_id", "'e' AS event_type")
+    want, section = {}, None
+    for i in range(5000):
+        if i % 40 == 0:
+            section = i
+        elif i % 7 == 3 or i % 39 == 11:
+            was = want.get(section, (None, True, 0))
+            trial = i % 7 == 3
+            want[section] = (i % 100 if trial else was[0], was[1] and trial, was[2] + 1)
+    assert {r.section: (r.trials, r.ran_out, r.lines_found) for r in apply(spark, "tuning_budget_log", events=log).collect()} == want
