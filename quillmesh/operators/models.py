@@ -7,8 +7,10 @@ x features (PCA), or a few metrics.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -99,15 +101,34 @@ def grouped_folds(groups: DataFrame, folds: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def covariance(vectors: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(means, population covariance) of the columns. Each task adds up a Gram matrix of its rows, centred on the means; nulls are
+    left out. One small row a task reaches the driver's sum."""
+    k = len(columns)
+    first = vectors.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    mean = np.array([first[f"m{i}"] or 0.0 for i in range(k)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, n = np.zeros((k, k)), np.zeros((k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - mean
+            there = np.isfinite(x).astype(np.float64)
+            x = np.where(there > 0, x, 0.0)
+            gram += x.T @ x
+            n += there.T @ there
+        yield pa.record_batch([pa.array(np.arange(k * k), pa.int32()), pa.array(gram.ravel()), pa.array(n.ravel())], ["place", "total", "n"])
+
+    out = np.zeros((2, k * k))
+    parts = vectors.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, "place int, total double, n double")
+    for r in parts.groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():
+        out[:, r.place] = r.total, r.n
+    return mean, (out[0] / np.maximum(out[1], 1)).reshape(k, k)
+
+
 def train_pca(vectors: DataFrame, id_col: str, columns: list[str], fit: F.Column, k: int) -> DataFrame:
     """(id, pc1..pck): projections on the k first components of the rows where `fit` holds, centred on these rows' means; the
-    loading of largest size of each component is positive. The Gram matrix of the columns is one aggregate."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    stats = vectors.where(fit).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.avg(F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(len(columns))])
-    cov = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = (stats[f"g{i}_{j}"] or 0.0) - mean[i] * mean[j]
+    loading of largest size of each component is positive."""
+    mean, cov = covariance(vectors.where(fit), columns)
     _, vectors_of = np.linalg.eigh(cov)
     load = vectors_of[:, ::-1][:, :k]
     load = load * np.sign(load[np.abs(load).argmax(0), range(load.shape[1])])
@@ -115,12 +136,8 @@ def train_pca(vectors: DataFrame, id_col: str, columns: list[str], fit: F.Column
 
 
 def effective_rank(vectors: DataFrame, columns: list[str]) -> DataFrame:
-    """(constant, numerical_rank, effective_rank, k90): of the centred columns, from one Gram aggregate."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    s = vectors.agg(*[F.covar_pop(columns[i], columns[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    cov = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = s[f"g{i}_{j}"] or 0.0
+    """(constant, numerical_rank, effective_rank, k90): of the centred columns."""
+    _, cov = covariance(vectors, columns)
     power = np.clip(np.linalg.eigvalsh(cov)[::-1], 0, None)
     sigma = np.sqrt(power)
     share = sigma / max(sigma.sum(), 1e-300)

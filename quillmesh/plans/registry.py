@@ -57,13 +57,16 @@ def pca_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.train_pca(z, "vec_id", z.columns[1:], F.col("vec_id") % 5 < 3, 4)
 
 
-def _wide_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _wide_embeddings(spark: SparkSession, sf_dir: str, places: int | None = None) -> DataFrame:
+    """A column for each place of the vectors, or for the first `places`."""
     raw = table(spark, sf_dir, "embeddings")
-    return raw.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"gnnraw__z{i + 1:02d}") for i in range(16)])
+    places = places or raw.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return raw.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"gnnraw__z{i + 1:02d}") for i in range(places)])
 
 
 def raw_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wide_embeddings(spark, sf_dir)
+    """The first 16 places, as in its oracle."""
+    return _wide_embeddings(spark, sf_dir, 16)
 
 
 def embedding_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,22 @@ def test_sources(spark, tmp_path):
     edges = spark.createDataFrame([("a", 1, 2), ("b", 3, 4)], "relation string, src long, dst long")
     files.write_partitioned(edges, str(tmp_path / "edges"))
     assert spark.read.parquet(str(tmp_path / "edges")).where("relation = 'b'").count() == 1
+
+
+def test_components_and_rank_of_whole_vectors(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect())
+    x = np.array([v for _, v in rows], float)
+    assert x.shape[1] == 64
+    (r,) = registry.embedding_rank(spark, sf).collect()
+    sigma = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    share = sigma / sigma.sum()
+    assert r.numerical_rank == (sigma > sigma[0] * 1e-6).sum() > 16
+    assert r.effective_rank == pytest.approx(math.exp(-(share[share > 0] * np.log(share[share > 0])).sum()), abs=1e-3)
+    assert r.k90 == (np.cumsum(sigma**2) / (sigma**2).sum() < 0.9).sum() + 1
+    fit = x[[i % 5 < 3 for i, _ in rows]]
+    _, _, vt = np.linalg.svd(fit - fit.mean(0), full_matrices=False)
+    got = {r.vec_id: r for r in registry.pca_block(spark, sf).collect()}
+    for j in range(4):
+        load = vt[j] * np.sign(vt[j][np.abs(vt[j]).argmax()])
+        assert np.allclose([got[i][f"pc{j + 1}"] for i, _ in rows], (x - fit.mean(0)) @ load, atol=1e-4)
