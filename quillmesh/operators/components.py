@@ -62,28 +62,39 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.repartition(tasks).mapInArrow(run, "a long, b long").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = SpanningForest()
+    for batch in batches:
+        for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forest.join(i, j)
+    out = forest.taken()
+    yield pa.record_batch([pa.array([v[1] for v in out], pa.int64()), pa.array([v[0] for v in out], pa.int64())], ["node", "label"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = FOREST_NODES) -> DataFrame:
     """(node, component): for every node of `edges` the smallest node that it reaches.
 
-    Each round sends labels along edges in both directions, then follows labels of labels, so a path of length n needs about
-    log n rounds. Messages are pre-aggregated before their shuffle; a hub's edges join through splittable skew joins. Labels
-    are written to the shared folder each round. Null ends are dropped; an empty edge table gives an empty result.
+    Edges are first contracted to spanning forests within tasks. If at most `one_task` edges are left, one task joins them, which
+    bounds what it holds. Else labels spread in rounds until nothing changes: each round sends labels along edges in both
+    directions, then follows labels of labels, so a path of length n needs about log n rounds. Messages are pre-aggregated before
+    their shuffle; a hub's edges join through splittable skew joins; labels are written to the shared folder each round. Null
+    ends are dropped; an empty edge table gives an empty result; repeated edges and loops change nothing.
     """
     e = edges.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src is not null and dst is not null and src <> dst")
-    e = contracted(e).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    both = written(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    e = written(contracted(e).select(F.col("a").alias("src"), F.col("b").alias("dst")), "edges")
     loops = edges.select(F.col(a).cast("long").alias("node")).unionByName(edges.select(F.col(b).cast("long").alias("node"))).where("node is not null").distinct()
-    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    for _ in range(max_rounds):
-        sent = both.join(labels, both.src == labels.node).groupBy("dst").agg(F.min("label").alias("heard"))
-        heard = labels.join(sent, labels.node == sent.dst, "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("next"))
-        heard = written(heard, "heard")
-        up = heard.select(F.col("node").alias("at"), F.col("next").alias("over"))
-        jumped = written(heard.join(up, heard.next == up.at, "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("over", "next")).alias("label")), "labels")
-        changed = jumped.where("old <> label").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not changed:
-            break
+    if e.count() <= one_task:
+        labels = written(e.coalesce(1).mapInArrow(_stars, "node long, label long"), "labels")
     else:
-        raise RuntimeError("connected components did not settle")
+        both = written(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
+        labels = written(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+        changed = True
+        while changed:
+            sent = both.join(labels, both.src == labels.node).groupBy("dst").agg(F.min("label").alias("heard"))
+            heard = labels.join(sent, labels.node == sent.dst, "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("next"))
+            heard = written(heard, "heard")
+            up = heard.select(F.col("node").alias("at"), F.col("next").alias("over"))
+            jumped = written(heard.join(up, heard.next == up.at, "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("over", "next")).alias("label")), "labels")
+            changed = bool(jumped.where("old <> label").limit(1).count())
+            labels = jumped.select("node", "label")
     return loops.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_used: "weakref.WeakKeyDictionary[SparkSession, str]" = weakref.WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read through Spark only: the path may be in any store Spark knows."""
@@ -14,18 +18,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary one is made and set."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a session on one machine (tests) makes a temporary one and sets it; a
+    cluster, whose machines would not share it, gets an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This session's own folder in the shared one, deleted by release() or when the driver ends."""
+    if spark not in _used:
+        _used[spark] = f"{shared_dir(spark)}/quillmesh/{uuid.uuid4().hex}"
+        atexit.register(release, spark)
+    return _used[spark]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate results of this session. DataFrames that read them can't be evaluated afterwards."""
+    path = _used.pop(spark, None)
+    if path is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone already; the folder is then the cluster's to clean
+        pass
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a result to the shared folder and read it back: lineage ends at replicated files, so a lost executor costs
-    no recomputation and no second evaluation of Python code."""
+    no recomputation and no second evaluation of Python code. Released at the end of the session, or by release()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmesh/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
