@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from quillmesh.llm.textscan import chunks, spans, windows, word_hashes
+from quillmesh.llm.textscan import chunks, spans, verified, windows, word_hashes
 
 #: Byte classes: 0 other, 1 white space, 2 a-z, 3 A-Z, 4 digit, 5 sentence mark, 6 symbol, 7 bar, 8 exclamation, 9 other
 #: punctuation, 10 UTF-8 lead byte, 11 UTF-8 continuation, 12 line end.
@@ -118,16 +118,17 @@ def feature_rows(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def base_counts(texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of each text."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of each text. Words and lines count as
+    equal only if their bytes are."""
     for _, _, data, offsets in chunks(texts):
         starts, ends, first = spans(data, offsets)
-        hashes = word_hashes(data, starts, ends)
+        hashes = verified(data, starts, ends, word_hashes(data, starts, ends))
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         in_words = np.concatenate([[0], np.cumsum(chars[ends] - chars[starts])])
         symbols = np.concatenate([[0], np.cumsum(SYMBOL[data])])
         line_starts, line_ends, line_first = line_spans(data, offsets)
         full = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
-        line_hash = word_hashes(data, line_starts, line_ends)
+        line_hash = verified(data, line_starts, line_ends, word_hashes(data, line_starts, line_ends))
         for r in range(len(offsets) - 1):
             a, b = int(first[r]), int(first[r + 1])
             la, lb = line_first[r], line_first[r + 1]

@@ -150,7 +150,7 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages in order, their prototypes of length 1). Rows without a language are left out."""
-    small_batches(rows.sparkSession, 1000)
+    small_batches(rows.sparkSession)
     sums = rows.where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col)).mapInArrow(_bundles, "lang string, place int, total long")
     found = sums.groupBy("lang", "place").agg(F.sum("total").alias("total")).collect()
     langs = sorted({r.lang for r in found})
@@ -184,7 +184,7 @@ def _nearest(texts: list[str | None], langs: list[str], prototypes: np.ndarray)
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row: the nearest language, first in order on a tie, and its cosine, at least 0. Null
     texts, texts without a letter and models without languages give `und` and 0. Null ids and repeated rows pass through."""
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     langs, prototypes = model[0], model[1].T.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that have a language with a cosine of at least `least`; one pass without a shuffle."""
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     langs, prototypes = model[0], model[1].T.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -421,7 +421,7 @@ _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 def extract_pages(pages: DataFrame, forest: Forest | None = None) -> DataFrame:
     """page_id, url, text, n_chars, nodes, kept_nodes of every page, from the whole html. A null or empty html, and one without
     article, has an empty text. Null ids and urls and repeated rows pass through."""
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     forest = trained() if forest is None else forest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

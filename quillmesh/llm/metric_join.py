@@ -1,33 +1,36 @@
 """Exact n-gram Jaccard similarity join as a metric-space join.
 
-Jaccard distance d is a metric, so pivots with Voronoi regions and triangle-inequality windows give an exact join. On its own
-this degenerates on text: almost all documents are at distance 1 from every pivot, so every window holds everything. The space
-is therefore first cut into cells in which all links lie:
-
-1. Cells. Shingle hashes are dealt into m ranges. |x ^ y|, the size of the symmetric difference, is the sum over the ranges of
-   their own differences (each a metric). A link bounds the sum by tau, so with m = tau + 1 + slack ranges more than `slack`
-   ranges agree entirely: one of them is not empty, or slack + 1 empty ones are shared (the few documents with as many empty
-   ranges register their combinations). Documents at distance 0 in a range share a cell. m depends on the size class; a document registers in its own
-   class and the next, as linked sizes differ by a factor of at most the threshold.
-2. Groups. Documents of a cell are joined if their sizes and sketches (counts in fixed ranges, whose distance is at most
-   |x ^ y|) allow a link; a cell with very many is joined as it is. The components hold all links. Copies (equal sets) are one
-   class from here on.
-3. Regions. Inside a group, pivots are drawn; each document goes to its nearest pivot's region; with eps the largest linked
-   distance, y is copied to the region of q if d(y,q) <= d1(y) + 2 eps. Documents farther than a radius from all pivots form
-   a region of their own (its inner edge widened by eps). Regions are joined recursively until their documents are all
-   connected or few. Groups larger than LOCAL_DOCS are split so by Spark jobs, smaller ones in one task; a region that
-   pivots can't shrink is dealt into pairs of blocks.
-
-Nothing is capped: limits only choose who joins a region. Defined results: null or blank text has an empty set, links with
-nothing and is its own component; a text of fewer than k words is one shingle; repeated rows appear as often as in the input; a row
-without an id keeps nulls in all result columns. Other columns of the input are not read.
+Jaccard distance d is a metric, so pivots with Voronoi regions and triangle-inequality windows give an exact join. In the whole
+space this degenerates on text: almost all documents are at distance 1 from every pivot, so every window holds everything. The
+join therefore goes through projections of the space in which near documents stay near, each joined by regions:
+
+1. Projections to hash ranges. Shingle hashes are dealt into m ranges. |x ^ y|, the size of the symmetric difference, is the sum
+   over the ranges of their own differences (each a metric). A link bounds the sum by tau, so with m = tau + 1 + slack ranges
+   more than `slack` ranges are at distance 0: one of them is not empty, or slack + 1 empty ones are shared (the few documents
+   with as many empty ranges register their combinations). In such a projection every point is a pivot, and its region, of radius
+   0, is a cell. m depends on the size class; a document registers in its own class and in the next if it may link there.
+2. Projections to sketches. A sketch counts a set's hashes in equal ranges; the Soergel distance of sketches is a metric and at
+   most the Jaccard distance. Within a cell, pivots are drawn, Voronoi regions with windows made, and regions joined
+   recursively in this metric (`voronoi_join`); what it links may link. The components of these pairs are the groups: they hold
+   all links. Copies (equal sets) are one class from here on.
+3. The sets themselves. Within a group the same recursive join runs in the Jaccard metric, and its links are the result. Each
+   document goes to its nearest pivot's region; with eps the largest linked distance, y is copied to the region of q if
+   d(y,q) <= d1(y) + 2 eps. Documents farther than a radius from all pivots form a region of their own (its inner edge widened by
+   eps). Groups larger than LOCAL_DOCS are split so by Spark jobs, smaller ones in one task; a region that pivots can't shrink
+   is dealt into pairs of blocks.
+
+Nothing is capped: limits only choose who joins a region. Shingles are compared by keyed 64-bit hashes, whole sets by their size and two
+independent hashes. Defined results: null or blank text has an empty set, links with nothing and is its own component; a
+text of fewer than k words is one shingle; repeated rows appear as often as in the input, ties and copies have one component; a row
+without an id keeps nulls in all result columns; an empty table gives no row; very long texts are cut nowhere. Other columns of
+the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,36 +50,51 @@ LOCAL_WORK = 400_000_000
 WORTH = 0.6
 BROADCAST_BYTES = 8 << 20
 PIVOTS = 12
-#: Above so many documents a cell is one group without a closer look.
+#: Members of a region for each pivot drawn in one task, and the least region that is compared whole where pivots don't shrink it.
+PER_PIVOT = 8
+BLOCK = 48
+#: Above so many documents a cell is one group as it is, which the rounds of pivots split: no task gathers it.
 HOT_CELL = 4096
+#: Size classes grow by GROW[0] / GROW[1].
+GROW = (3, 2)
 #: Bound of the size classes whose cells are pairs of hashes.
 SMALL = 44
 #: Documents farther than this from all pivots form the outer region.
 RADIUS = 0.6
 
 
-def size_class(n: int, num: int, den: int) -> int:
-    """Classes of sizes whose bounds grow by den/num: linked sizes are in the same or in neighbouring classes."""
-    c, hi = 0, 1
-    while n > hi:
-        c, hi = c + 1, max(hi + 1, hi * den // num)
-    return c
-
-
-def class_bound(c: int, num: int, den: int) -> int:
+def class_bound(c: int) -> int:
+    """The largest size in class c."""
     hi = 1
     for _ in range(c):
-        hi = max(hi + 1, hi * den // num)
+        hi = max(hi + 1, hi * GROW[0] // GROW[1])
     return hi
 
 
+def size_class(n: int) -> int:
+    c = 0
+    while n > class_bound(c):
+        c += 1
+    return c
+
+
+def registers(n: int, num: int, den: int) -> list[int]:
+    """The classes of a set of n: its own, and the next if a larger set there may link with it. Linked sizes differ by a factor of
+    den / num at most, which is less than the growth of a class."""
+    c = size_class(n)
+    out = [c]
+    while den * n >= num * (class_bound(out[-1]) + 1):
+        out.append(out[-1] + 1)
+    return out
+
+
 def ranges_of(c: int, num: int, den: int) -> tuple[int, int]:
     """(m, slack) for sets registered in class c: |x ^ y| <= (den - num) / (den + num) * (|x| + |y|). slack is well above the
     number of empty ranges that the class's smallest sets have by chance."""
-    tau = (den - num) * 2 * class_bound(c, num, den) // (den + num)
-    if not tau or class_bound(c, num, den) <= SMALL:
+    tau = (den - num) * 2 * class_bound(c) // (den + num)
+    if not tau or class_bound(c) <= SMALL:
         return tau + 1, 0
-    least, slack = (class_bound(c - 2, num, den) if c > 1 else 0) + 1, 1
+    least, slack = num * (class_bound(c - 1) + 1) // den, 1
     for _ in range(4):
         m = tau + 1 + slack
         empty = m * math.exp(-least / m)
@@ -92,7 +110,7 @@ def cells_of(own: np.ndarray, c: int, num: int, den: int) -> np.ndarray:
     m, slack = _ranges(c, num, den)
     if m == 1 or len(own) < 2:
         return np.zeros(0, np.uint64)
-    if class_bound(c, num, den) <= SMALL:
+    if class_bound(c) <= SMALL:
         head = own[: len(own) - (num * len(own) + den - 1) // den + 2]
         i, j = np.triu_indices(len(head), 1)
         return mix(mix(head[i]) * U64(3) + head[j] + U64(c))
@@ -106,7 +124,7 @@ def cells_of(own: np.ndarray, c: int, num: int, den: int) -> np.ndarray:
     out = mix(total ^ mix(part[at] + tag))
     if m - len(at) > slack:
         empty = mix(np.setdiff1d(np.arange(m, dtype=np.uint64), part[at], assume_unique=True) + tag)
-        chosen = np.array([np.add.reduce(empty[list(x)]) for x in combinations(range(len(empty)), slack + 1)], np.uint64)
+        chosen = np.array([np.add.reduce(empty[list(x)]) for x in itertools.combinations(range(len(empty)), slack + 1)], np.uint64)
         out = np.concatenate([out, mix(U64(0x5851F42D4C957F2D) ^ chosen)])
     return out
 
@@ -120,13 +138,6 @@ def _ranges(c: int, num: int, den: int) -> tuple[int, int]:
     return _known[c, num, den]
 
 
-def _classes(limit: int, num: int, den: int) -> np.ndarray:
-    bounds = [1]
-    while bounds[-1] < limit:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * den // num))
-    return np.array(bounds)
-
-
 _SCAN = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("x", pa.binary())])
 _FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
@@ -135,25 +146,25 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
 
 
-def set_hashes(own: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set."""
+def set_hashes(own: np.ndarray, second: int) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set; `second` comes from the other family of word hashes."""
     if not len(own):
         return 0, 0
-    return int(np.add.reduce(mix(own))), int(np.bitwise_xor.reduce(mix(own ^ U64(0xA5A5A5A55A5A5A5A)))) ^ (len(own) * 0x9E3779B9)
+    return int(np.add.reduce(mix(own))), second ^ (len(own) * 0x9E3779B9)
 
 
 def sketch_of(own: np.ndarray) -> bytes:
-    """Counts of a sorted set's hashes in equal ranges, about 8 in each, in bytes: the sum of absolute differences of two
-    sketches is at most |x ^ y| (counts above 255 are cut, which only lowers it). Twice as few ranges: add neighbours."""
-    bits = min(14, max(7, (len(own) // 4).bit_length()))
+    """Counts of a sorted set's hashes in equal ranges, 4 to 8 in each on average (far below 256). Twice as few ranges: add
+    neighbours."""
+    bits = max(7, (len(own) // 4).bit_length())
     return np.minimum(np.bincount((own >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def _scan(k: int, num: int, den: int):
+def _scan(k: int, num: int, den: int, hot_cell: int):
     """Rows (key, a, x): of each document (x: id, second hash, size, sketch) and of its cells (x null). If a batch has many
     documents in one cell they are combined before the shuffle: edges to one of them (x: the other end), which stands in the
     cell for all with an empty x."""
-    bounds = _classes(1 << 40, num, den)
+    classes: dict[int, list[int]] = {}
 
     def flush(cells, nodes):
         cell, node = np.concatenate(cells), np.concatenate(nodes)
@@ -161,7 +172,7 @@ def _scan(k: int, num: int, den: int):
         cell, node = cell[order], node[order]
         at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         times = np.diff(np.concatenate([at, [len(cell)]]))
-        hot = times > HOT_CELL
+        hot = times > hot_cell
         plain = np.repeat(~hot, times)
         yield pa.record_batch([pa.array(_signed(cell[plain])), pa.array(_signed(node[plain])), pa.nulls(int(plain.sum()), pa.binary())], schema=_SCAN)
         for i in np.flatnonzero(hot):
@@ -173,15 +184,16 @@ def _scan(k: int, num: int, den: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             docs, cells, nodes, held, seen = [], [], [], 0, set()
-            for r, own in shingle_sets(batch.column(1), k):
-                h1, h2 = set_hashes(own)
+            for r, own, second in shingle_sets(batch.column(1), k):
+                h1, h2 = set_hashes(own, second)
                 known = (h1, h2) in seen
                 seen.add((h1, h2))
                 docs.append((int(ids[r]), h1, h2, len(own), b"" if known or not len(own) else sketch_of(own)))
                 if known or not len(own):
                     continue
-                c = int(np.searchsorted(bounds, len(own)))
-                new = np.concatenate([cells_of(own, c, num, den), cells_of(own, c + 1, num, den)])
+                if len(own) not in classes:
+                    classes[len(own)] = registers(len(own), num, den)
+                new = np.concatenate([cells_of(own, c, num, den) for c in classes[len(own)]])
                 if not len(new):
                     continue
                 cells.append(new)
@@ -200,7 +212,7 @@ def _scan(k: int, num: int, den: int):
     return run
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], hot_cell: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key: documents (kind 0); edges (kind 1) from one document to the others of a cell with many; and the
     documents (kind 2: cell, document) of other cells with more than one. Cells of the same documents get the same name."""
 
@@ -213,7 +225,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole cells, sorted: edges and members."""
         at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         times = np.diff(np.concatenate([at, [len(cell)]]))
-        many = (times > HOT_CELL) | (np.add.reduceat(star.astype(np.int64), at) > 0)
+        many = (times > hot_cell) | (np.add.reduceat(star.astype(np.int64), at) > 0)
         for i in np.flatnonzero(many):
             own = np.unique(node[at[i] : at[i] + times[i]])
             starred(own)
@@ -263,7 +275,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last:
             yield from closed(cell[:last], node[:last], star[:last])
         cell, node, star = cell[last:], node[last:], star[last:]
-        if len(cell) > 2 * HOT_CELL:  # a cell with many: its documents go out as edges to one of them
+        if len(cell) > 2 * hot_cell:  # a cell with many: its documents go out as edges to one of them
             own = np.unique(node)
             starred(own)
             cell, node, star = cell[:1], own[:1], np.ones(1, bool)
@@ -274,57 +286,6 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(1, *zip(*forest.taken(), strict=True))
 
 
-def _folded(sketches: list[bytes]) -> np.ndarray:
-    least = min(map(len, sketches))
-    return np.stack([np.frombuffer(s, np.uint8).astype(np.int32).reshape(least, -1).sum(1) for s in sketches])
-
-
-def _plausible(num: int, den: int):
-    """Edges between the documents of a cell whose sizes and sketches allow a link; rows (cell, node, n, sketch) sorted by cell.
-    Only the components of these edges matter, so documents that they connect already aren't compared."""
-
-    def done(nodes, sizes, sketches):
-        v, n = _folded(sketches).astype(np.int16), np.array(sizes)
-        out, left = [], np.arange(len(nodes))
-        while len(left):
-            root, front, left = left[0], [left[0]], left[1:]
-            while front and len(left):
-                x = front.pop()
-                fits = den * np.minimum(n[left], n[x]) >= num * np.maximum(n[left], n[x])
-                near = np.flatnonzero(fits)
-                apart = np.abs(v[left[near]] - v[x]).sum(1, dtype=np.int64)
-                new = near[(den + num) * apart <= (den - num) * (n[left[near]] + n[x])]
-                if len(new):
-                    found = left[new]
-                    out += [(nodes[root], nodes[j]) for j in found]
-                    front += found.tolist()
-                    left = np.delete(left, new)
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, nodes, sizes, sketches, out, forest = None, [], [], [], [], SpanningForest()
-        for batch in batches:
-            for cell, node, n, sketch in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if cell != last:
-                    out += done(nodes, sizes, sketches) if len(nodes) > 1 else []
-                    last, nodes, sizes, sketches = cell, [], [], []
-                nodes.append(node)
-                sizes.append(n)
-                sketches.append(sketch)
-            for i, j in out:
-                forest.join(i, j)
-            out = []
-            if len(forest.up) > FOREST_NODES:
-                full = forest.taken()
-                yield pa.record_batch([pa.array([v[i] for v in full], pa.int64()) for i in (0, 1)], schema=_LINK)
-        for i, j in done(nodes, sizes, sketches) if len(nodes) > 1 else []:
-            forest.join(i, j)
-        out = forest.taken()
-        yield pa.record_batch([pa.array([v[i] for v in out], pa.int64()) for i in (0, 1)], schema=_LINK)
-
-    return run
-
-
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -338,10 +299,11 @@ class _Union:
             i = self.up[i]
         return i
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
         i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
 
 
 def overlaps(pivot: np.ndarray, cat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -351,21 +313,40 @@ def overlaps(pivot: np.ndarray, cat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat((pivot[pos] == cat).astype(np.int64), at)
 
 
-def region_join(sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """For each set the index of the first member of its component under links; exact, by recursive Voronoi regions."""
-    uf, eps = _Union(len(sets)), 1 - num / den
-    tiny = 1e-9
+class SketchSpace:
+    """Sketches of one cell under the Soergel distance, which is at most the Jaccard distance of the sets."""
+
+    def __init__(self, sketches: list[bytes], num: int, den: int) -> None:
+        least = min(map(len, sketches))
+        self.v = np.stack([np.frombuffer(s, np.uint8).astype(np.int32).reshape(least, -1).sum(1) for s in sketches]).astype(np.int16)
+        self.n, self.num, self.den = self.v.sum(1, dtype=np.int64), num, den
+
+    def measured(self, pivot: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the pivot, and who may link with it."""
+        apart, both = np.abs(self.v[members] - self.v[pivot]).sum(1, dtype=np.int64), self.n[members] + self.n[pivot]
+        return 2 * apart / (both + apart), (self.den + self.num) * apart <= (self.den - self.num) * both
+
+    def linked(self, members: np.ndarray) -> np.ndarray:
+        return np.stack([self.measured(int(x), members)[1] for x in members])
+
+
+class SetSpace:
+    """Sets (sorted hashes, none empty) under the Jaccard distance."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int) -> None:
+        self.sets, self.n, self.num, self.den = sets, np.array([len(s) for s in sets]), num, den
 
-    def measured(pivot: int, members: np.ndarray, cat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        inter = overlaps(sets[pivot], cat, at)
-        union = len(sets[pivot]) + sizes - inter
-        for x in members[den * inter >= num * union]:
-            uf.join(pivot, int(x))
-        return 1 - inter / union
+    def measured(self, pivot: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.n[members]
+        cat, at = np.concatenate([self.sets[x] for x in members]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        inter = overlaps(self.sets[pivot], cat, at)
+        union = len(self.sets[pivot]) + sizes - inter
+        return 1 - inter / union, self.den * inter >= self.num * union
 
-    def compared(members: np.ndarray, cat: np.ndarray, sizes: np.ndarray) -> None:
-        """All intersections at once, as products of 0/1 matrices over the shared shingles; then components by search."""
-        values, column, times = np.unique(cat, return_inverse=True, return_counts=True)
+    def linked(self, members: np.ndarray) -> np.ndarray:
+        """All intersections at once, as products of 0/1 matrices over the shared shingles."""
+        sizes = self.n[members]
+        values, column, times = np.unique(np.concatenate([self.sets[x] for x in members]), return_inverse=True, return_counts=True)
         at = np.cumsum(times > 1) - 1
         row, keep = np.repeat(np.arange(len(members)), sizes), times[column] > 1
         row, column = row[keep], at[column[keep]]
@@ -380,51 +361,93 @@ def region_join(sets: list[np.ndarray], num: int, den: int) -> list[int]:
         linked = np.empty(inter.shape, bool)
         for low in range(0, len(members), 128):
             part = inter[low : low + 128].astype(np.int64)
-            linked[low : low + 128] = den * part >= num * (sizes[low : low + 128, None] + sizes[None, :] - part)
-        left = np.ones(len(members), bool)
-        for start in range(len(members)):
-            front = np.array([start]) if left[start] else np.zeros(0, int)
-            while len(front):
-                left[front] = False
-                for x in front:
-                    uf.join(int(members[start]), int(members[x]))
-                front = np.flatnonzero(linked[front].any(0) & left)
+            linked[low : low + 128] = self.den * part >= self.num * (sizes[low : low + 128, None] + sizes[None, :] - part)
+        return linked
+
+
+def voronoi_join(space: SketchSpace | SetSpace, counts: dict[str, int] | None = None) -> list[int]:
+    """For each point the first one of its component under links; exact, by recursive Voronoi regions: pivots are measured against
+    their whole region and leave it, and the others go on in the regions of their nearest pivots, with windows. `counts` gets how
+    many components were joined at pivots and in blocks, and how many regions were made."""
+    uf, eps, tiny = _Union(len(space.n)), 1 - space.num / space.den, 1e-9
+    counts = {} if counts is None else counts
+    stack = [np.arange(len(space.n))]
+
+    def joined(where: str, x: int, others: np.ndarray) -> None:
+        for y in others.tolist():
+            counts[where] = counts.get(where, 0) + uf.join(x, y)
 
-    stack = [np.arange(len(sets))]
     while stack:
         members = stack.pop()
         roots = [uf.find(int(x)) for x in members]
         if len(set(roots)) < 2:
             continue
-        sizes = np.array([len(sets[x]) for x in members])
-        cat = np.concatenate([sets[x] for x in members])
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        if len(members) <= 2 * PIVOTS:
-            for i in range(len(members) - 1):
-                if any(uf.find(int(members[i])) != uf.find(int(y)) for y in members[i + 1 :]):
-                    measured(int(members[i]), members[i + 1 :], cat[at[i + 1] :], at[i + 1 :] - at[i + 1], sizes[i + 1 :])
-            continue
         firsts = list(dict(zip(reversed(roots), reversed(range(len(members))), strict=True)).values())
-        chosen = sorted(firsts[:: max(1, len(firsts) // PIVOTS)][:PIVOTS])
-        d = np.stack([measured(int(members[p]), members, cat, at, sizes) for p in chosen])
+        count = min(PIVOTS, -(-len(members) // PER_PIVOT))
+        chosen = sorted(firsts[:: max(1, len(firsts) // count)][:count])
+        distances = []
+        for p in chosen:
+            d, linked = space.measured(int(members[p]), members)
+            joined("pivots", int(members[p]), members[linked])
+            distances.append(d)
+        d = np.stack(distances)
         nearest, least = d.argmin(0), d.min(0)
-        near = least <= RADIUS + tiny
-        parts = [near & (d[q] <= least + 2 * eps + tiny) for q in range(len(chosen)) if (near & (nearest == q)).any()]
-        parts.append(least > RADIUS - eps - tiny)
+        near, rest = least <= RADIUS + tiny, np.ones(len(members), bool)
+        rest[chosen] = False
+        parts = [rest & near & (d[q] <= least + 2 * eps + tiny) for q in range(len(chosen)) if (rest & near & (nearest == q)).any()]
+        parts.append(rest & (least > RADIUS - eps - tiny))
         now = np.array([uf.find(int(x)) for x in members])
         parts = [p for p in parts if (now[p] != now[p][:1]).any()]  # others are connected already
-        if sum(int(p.sum()) ** 2 for p in parts) <= WORTH * len(members) ** 2:
+        counts["regions"] = counts.get("regions", 0) + len(parts)
+        if len(members) < BLOCK or sum(int(p.sum()) ** 2 for p in parts) <= WORTH * len(members) ** 2:
             stack.extend(members[p] for p in parts)
-        else:
-            compared(members, cat, sizes)
-    return [uf.find(i) for i in range(len(sets))]
+            continue
+        linked = space.linked(members)
+        left = np.ones(len(members), bool)
+        for start in range(len(members)):
+            front = np.array([start]) if left[start] else np.zeros(0, int)
+            while len(front):
+                left[front] = False
+                joined("blocks", int(members[start]), members[front])
+                front = np.flatnonzero(linked[front].any(0) & left)
+    return [uf.find(i) for i in range(len(space.n))]
+
+
+def _plausible(num: int, den: int):
+    """Edges between the documents of a cell that may link; rows (cell, node, sketch) sorted by cell. Only the components of these
+    edges matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, sketches, forest = None, [], [], SpanningForest()
+
+        def done():
+            if len(nodes) > 1:
+                for i, root in enumerate(voronoi_join(SketchSpace(sketches, num, den))):
+                    if root != i:
+                        forest.join(nodes[root], nodes[i])
+
+        for batch in batches:
+            for cell, node, sketch in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if cell != last:
+                    done()
+                    last, nodes, sketches = cell, [], []
+                nodes.append(node)
+                sketches.append(sketch)
+            if len(forest.up) > FOREST_NODES:
+                full = forest.taken()
+                yield pa.record_batch([pa.array([v[i] for v in full], pa.int64()) for i in (0, 1)], schema=_LINK)
+        done()
+        out = forest.taken()
+        yield pa.record_batch([pa.array([v[i] for v in out], pa.int64()) for i in (0, 1)], schema=_LINK)
+
+    return run
 
 
 def _local(num: int, den: int):
     """Links (a, b) within each region; rows (rg, rep, blob) come sorted by rg."""
 
     def done(reps, sets):
-        root = region_join(sets, num, den) if len(sets) > 1 else [0]
+        root = voronoi_join(SetSpace(sets, num, den)) if len(sets) > 1 else [0]
         return [(reps[r], reps[i]) for i, r in enumerate(root) if r != i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,9 +506,9 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out, held = batch.column(0).to_pylist(), [], 0
-            for r, own in shingle_sets(batch.column(1), k):
+            for r, own, second in shingle_sets(batch.column(1), k):
                 if len(own):
-                    out.append((ids[r], *(int(v) for v in _signed(np.array(set_hashes(own), np.uint64))), own.tobytes()))
+                    out.append((ids[r], *(int(v) for v in _signed(np.array(set_hashes(own, second), np.uint64))), own.tobytes()))
                     held += len(own)
                 if held > 500_000:
                     yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -496,12 +519,13 @@ def _sets(k: int):
     return run
 
 
-def _regions(members: DataFrame, num: int, den: int, max_rounds: int) -> list[DataFrame]:
-    """Links of all groups. members: (rg, rep, n, blob); regions above the local limits are split by pivots, round by round."""
+def _regions(members: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """Links of all groups. members: (rg, rep, n, blob); regions above the local limits are split by pivots, round by round. A round
+    leaves at most WORTH of the pairs, or deals blocks below the limits, so rounds end."""
     links, sets, eps = [], members.select("rep", "n", "blob").dropDuplicates(["rep"]), 1 - num / den
     at = members
     fits = f"docs <= {LOCAL_DOCS} and docs * shingles <= {LOCAL_WORK}"
-    for turn in range(max_rounds):
+    for turn in itertools.count():
         sizes = at.groupBy("rg").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
         big = written(sizes.where(f"docs > 2 and not ({fits})"), "big")
         regions = big.count()
@@ -531,23 +555,22 @@ def _regions(members: DataFrame, num: int, den: int, max_rounds: int) -> list[Da
         blocks = large.join(stuck, "rg").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("b")).cast("int"))
         blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select(F.xxhash64("rg", F.least("i", "j"), F.greatest("i", "j"), F.lit(turn)).alias("rg"), "rep")
         at = written(free.unionByName(blocks).join(sets, "rep").select("rg", "rep", "n", "blob"), "members")
-    raise RuntimeError(f"regions remain after {max_rounds} rounds")
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 40) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hot_cell: int = HOT_CELL) -> DataFrame:
     """(id, n_shingles, class_id, component_id) of every row: documents link when den * |x & y| >= num * |x | y| over their
     distinct k-word shingles; class_id is the smallest id with an equal set, component_id the smallest id reachable."""
     spark = docs.sparkSession
     small_batches(spark)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    found = text.where("id is not null").mapInArrow(_scan(k, num, den), "key long, a long, x binary")
-    found = found.repartition("key").sortWithinPartitions("key").mapInArrow(_found, "kind byte, a long, b long, c long, n long, sketch binary")
+    found = text.where("id is not null").mapInArrow(_scan(k, num, den, hot_cell), "key long, a long, x binary")
+    found = found.repartition("key").sortWithinPartitions("key").mapInArrow(lambda rows: _found(rows, hot_cell), "kind byte, a long, b long, c long, n long, sketch binary")
     found = written(found, "found")
     rows = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("h1"), F.col("c").alias("h2"), "n")
     classes = written(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
-    sketches = found.where("kind = 0 and sketch is not null").groupBy(F.col("b").alias("node")).agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    sketches = found.where("kind = 0 and sketch is not null").groupBy(F.col("b").alias("node")).agg(F.max("sketch").alias("sketch"))
     cells = found.where("kind = 2").select(F.col("a").alias("cell"), F.col("b").alias("node")).distinct().join(sketches, "node")
-    cells = cells.select("cell", "node", "n", "sketch").repartition("cell").sortWithinPartitions("cell")
+    cells = cells.select("cell", "node", "sketch").repartition("cell").sortWithinPartitions("cell")
     edges = written(found.where("kind = 1").select("a", "b").unionByName(cells.mapInArrow(_plausible(num, den), "a long, b long")).distinct(), "plausible")
     groups = connected_components(edges).select(F.col("node").alias("h1"), F.col("component").alias("rg"))
     wanted = written(classes.join(groups, "h1"), "wanted")
@@ -556,7 +579,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     sets = text.join(ids, text.id == ids.rep, "left_semi").mapInArrow(_sets(k), "rep long, h1 long, h2 long, blob binary")
     members = sets.join(wanted, ["rep", "h1", "h2"]).select("rg", "rep", "n", "blob")
     links = None
-    for part in _regions(written(members, "members"), num, den, max_rounds):
+    for part in _regions(written(members, "members"), num, den):
         links = part if links is None else links.unionByName(part)
     merged = connected_components(links.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("to"))
     named = classes.join(merged, "rep", "left").select("h1", "h2", "n", "rep", F.coalesce("to", "rep").alias("to"))

@@ -61,7 +61,7 @@ def write_archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     always responses. A null html is an empty payload, a null url an empty target. Rows that repeat a page_id with one payload
     are all what that page_id is; null page_ids come last in the order and are named urn:quillmesh:page:null.
     """
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     narrow = pages.select(F.col("page_id").cast("long"), F.col("url"), F.sha2(raw, 256).alias("digest"), F.length(raw).cast("long").alias("size"))
     distinct = pages.select("html").mapInArrow(_pack, "digest string, packed binary").groupBy("digest").agg(F.max("packed").alias("packed"))

@@ -69,3 +69,14 @@ def test_documents(spark):
     assert next(r for r in got if r.doc_id == 900).base_failed
     assert L.quality_rules(df.limit(0), labels.limit(0)).collect() == []
     assert len(L.quality_rules(df, labels.limit(0)).collect()) == len(rows)
+
+
+def test_regular_lines_are_not_taken_for_equal():
+    from quillmesh.llm.docstats import base_counts
+
+    t = "a"
+    while len(t) < 1024:
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    rows = [f"{t}\n{u}", f"{t}\n{u}\n{t}", " ".join([t, *"bcdefgh", u, *"bcdefgh"])]
+    assert list(base_counts(pa.array(rows))) == [brute_counts(r) for r in rows]
