@@ -398,8 +398,10 @@ def voronoi_join(space: SketchSpace | SetSpace, counts: dict[str, int] | None =
         parts.append(rest & (least > RADIUS - eps - tiny))
         now = np.array([uf.find(int(x)) for x in members])
         parts = [p for p in parts if (now[p] != now[p][:1]).any()]  # others are connected already
-        counts["regions"] = counts.get("regions", 0) + len(parts)
+        if sum(int(p.sum()) ** 2 for p in parts) > WORTH * len(members) ** 2 and len(members) < BLOCK:
+            parts = [rest]  # the windows hold nearly all: one region, without the pivots
         if len(members) < BLOCK or sum(int(p.sum()) ** 2 for p in parts) <= WORTH * len(members) ** 2:
+            counts["regions"] = counts.get("regions", 0) + len(parts)
             stack.extend(members[p] for p in parts)
             continue
         linked = space.linked(members)
