@@ -33,31 +33,31 @@ _encoders: dict[str, object] = {}
 
 
 def byte_bpe(vocabulary: str = "byte_bpe_50k"):
-    """text -> ids of the public vocabulary `vocabulary`.json, by the rank file with the same merges, which gives the same ids
-    several times as fast. Strings of special tokens in a text are ordinary text. Kept for the life of the worker."""
+    """text -> ids of the public tokenizers file `vocabulary`.json, without special tokens added. A text that holds none of the
+    file's added tokens goes through the rank file with the same merges, which gives the same ids several times as fast; a text
+    that holds one (it becomes that token's id), and one that the fast engine can't take, goes through the file itself. Kept for
+    the life of the worker."""
     if vocabulary not in _encoders:
         import base64
 
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
+        whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        added = [t.content for t in whole.get_added_tokens_decoder().values()]
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        slow: list = []
 
         def encode(text: str) -> list[int]:
-            try:
-                return fast(text)
-            except BaseException as e:  # its regex engine panics on runs of millions of equal characters
-                if type(e).__name__ != "PanicException":
-                    raise
-            if not slow:
-                from tokenizers import Tokenizer
-
-                slow.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
-                slow[0].encode_special_tokens = True
-            return slow[0].encode(text, add_special_tokens=False).ids
+            if not any(t in text for t in added):
+                try:
+                    return fast(text)
+                except BaseException as e:  # its regex engine panics on runs of millions of equal characters
+                    if type(e).__name__ != "PanicException":
+                        raise
+            return whole.encode(text, add_special_tokens=False).ids
 
         _encoders[vocabulary] = encode
     return _encoders[vocabulary]
@@ -99,7 +99,9 @@ def pack_power_of_two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
 
     A null or empty text has only the end id: one piece of length 1. Repeated rows give their pieces again, in sequences of
-    their own (pieces equal in all columns are interchangeable). A null id stays null. An empty table gives no piece.
+    their own (pieces equal in all columns are interchangeable). A null id stays null. An empty table gives no piece. A very long
+    text has more pieces of the longest length; ties of the hash order are broken by id, place and checksum. Columns of the input
+    other than the two named, those with names of the result too, are not read.
     """
     small_batches(docs.sparkSession)
     pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pieces(longest, end_id, vocabulary), "id long, start long, length long, ids_crc32 long, doc_tokens long, tie long")

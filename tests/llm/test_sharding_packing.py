@@ -67,11 +67,14 @@ def test_packing_against_the_public_tokenizer(spark):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     rows, df = docs(spark)
     long = "Ça va? " * 3000 + "naïve <|endoftext|> 12345\n\n\t  x" + "a" * 5000
     df = df.unionByName(spark.createDataFrame([(500, long, "b", "x")], df.schema))
     rows.append((500, long, "b", "x"))
+    marked = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y <|endoftext|", "<|endoftext |> <| endoftext|>"]
+    df = df.unionByName(spark.createDataFrame([(600 + i, t, "b", "x") for i, t in enumerate(marked)], df.schema))
+    rows += [(600 + i, t, "b", "x") for i, t in enumerate(marked)]
+    assert byte_bpe()("a <|endoftext|> b") == [64, 220, 50256, 275]
     got = pack_power_of_two(df).collect()
     assert sorted(r.sequence_id for r in got) == list(range(len(got)))
     assert all(r.offset == 0 for r in got)
