@@ -4,14 +4,21 @@ The \\n-split lines of a document that hold a word form a chain; each line has f
 Viterbi decoding marks it as content or boilerplate. A document is kept if it passes the base rules and content lines hold
 at least CONTENT_SHARE of its words.
 
-Weights maximise the conditional likelihood on at most TRAIN_DOCS labelled documents (smallest seeded hash of doc_id, those
-with more than TRAIN_LINES lines left out of training only): the lines of good documents count as content, those of bad ones as boilerplate,
-and the likelihood is penalised, so the field learns what the lines of either have in common. Training and decoding run over
-all chains at once, one numpy step for each line position; whole texts are decoded.
+No table labels lines, so the field is trained on chains whose lines are labelled by where they come from: runs of lines of good
+documents are content; runs of lines of bad documents and generated page furniture (`furniture`: menus, notices, credits, dates) are
+boilerplate. Half of the chains are of one kind, half change between them, so the field learns when a label changes. The lines
+come from at most TRAIN_DOCS labelled documents (smallest seeded hash of doc_id), of each a seeded stretch of at most
+TRAIN_LINES lines. Weights maximise the penalised conditional likelihood. Training and decoding run over all chains at once,
+one numpy step for each line position; whole texts are decoded.
+
+Defined results: a null, empty or blank text has no words, fails the base rules and has content share 0; equal lines of one text
+count from the second on; of label paths that tie the one with content later in the text is taken; repeated rows and null
+ids pass through; an empty table gives no row; without labels of both kinds every line is content; other columns are not read.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +32,9 @@ from quillmesh.llm.quality_trees import smallest_hashes
 from quillmesh.llm.textscan import chunks, small_batches, spans, word_hashes
 
 TRAIN_DOCS = 2_000
-TRAIN_LINES = 400
+TRAIN_LINES = 100
+#: Chains that are made for training, and their greatest length.
+CHAINS, CHAIN_LINES = 2_000, 40
 CONTENT_SHARE = 0.5
 #: Base rules: fewest words, and the largest share of words in repeated 8-word windows, in hundredths.
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -122,32 +131,27 @@ def viterbi(field: Field, x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return labels
 
 
-def fit_field(x: np.ndarray, first: np.ndarray, good: np.ndarray, rounds: int = 200, rate: float = 0.1, l2: float = 0.002) -> Field:
-    """Maximum likelihood by gradient steps with running moments; good: label of each chain. Chains weigh alike."""
+def fit_field(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1, l2: float = 0.002) -> Field:
+    """Maximum likelihood by gradient steps with running moments; y: label of each line."""
     field = Field(np.zeros(x.shape[1]), np.zeros((2, 2)), np.zeros(2))
-    if not len(x) or good.min() == good.max():
+    if not len(x) or y.min() == y.max():
         field.weight[0] = 1.0
         return field
     order, alive = _padded(first)
     chains = int(alive[0])
-    begin, y = first[:-1][order], np.repeat(good, np.diff(first)).astype(int)
-    length = np.diff(first)[order][:chains]
-    line_weight = 1 / np.repeat(np.diff(first), np.diff(first))
-    chain_weight = 1 / length
-    # A bad document's share weighs as much as the good ones' together, as there are fewer.
-    share = good[order][:chains].mean()
-    balance = np.where(good == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
-    line_weight, chain_weight = line_weight * np.repeat(balance, np.diff(first)), chain_weight * balance[order][:chains]
-    x = x.astype(float)
-    true_weight = (line_weight * y) @ x
-    pairs = np.zeros((2, 2))
-    starts = np.zeros(2)
-    for c in range(chains):
-        label = int(good[order][c])
-        pairs[label, label] += chain_weight[c] * (length[c] - 1)
-        starts[label] += chain_weight[c]
-    moments = [np.zeros(x.shape[1] + 6), np.zeros(x.shape[1] + 6)]
-    theta = np.zeros(x.shape[1] + 6)
+    begin, length = first[:-1][order], np.diff(first)[order][:chains]
+    x, y = x.astype(float), y.astype(int)
+    head = np.zeros(len(x), bool)
+    head[begin[:chains]] = True
+    later = np.flatnonzero(~head)
+    end = begin[:chains] + length - 1
+    chain_of = np.cumsum(head) - 1  # chains in the order of their lines
+    true_weight = y @ x
+    true_step = np.zeros((2, 2))
+    np.add.at(true_step, (y[later - 1], y[later]), 1)
+    true_start = np.bincount(y[head], minlength=2).astype(float)
+    by_place = np.argsort(begin[:chains], kind="stable")
+    theta, moments = np.zeros(x.shape[1] + 6), [np.zeros(x.shape[1] + 6), np.zeros(x.shape[1] + 6)]
     for turn in range(1, rounds + 1):
         field = Field(theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:])
         emit = np.zeros((len(x), 2))
@@ -162,20 +166,11 @@ def fit_field(x: np.ndarray, first: np.ndarray, good: np.ndarray, rounds: int =
             at = begin[:n] + t
             after = emit[at + 1] + backward[at + 1]
             backward[at] = np.logaddexp(after[:, 0, None] + field.step[:, 0], after[:, 1, None] + field.step[:, 1])
-        whole = np.zeros(len(x))
-        end = begin[:chains] + length - 1
-        z = np.logaddexp(forward[end, 0], forward[end, 1])
-        for c in range(chains):
-            whole[begin[c] : begin[c] + length[c]] = z[c]
+        whole = np.logaddexp(forward[end, 0], forward[end, 1])[by_place][chain_of]
         p = np.exp(forward + backward - whole[:, None])
-        g_weight = true_weight - (line_weight * p[:, 1]) @ x
-        inner = np.ones(len(x), bool)
-        inner[first[:-1][np.diff(first) > 0]] = False
-        at = np.flatnonzero(inner)
-        joint = np.exp(forward[at - 1][:, :, None] + field.step[None] + (emit[at] + backward[at])[:, None, :] - whole[at][:, None, None])
-        g_step = pairs - (line_weight[at][:, None, None] * joint).sum(0)
-        g_start = starts - (chain_weight[:, None] * p[begin[:chains]]).sum(0)
-        g = np.concatenate([g_weight, g_step.reshape(-1), g_start]) / chains - l2 * theta
+        joint = np.exp(forward[later - 1][:, :, None] + field.step[None] + (emit[later] + backward[later])[:, None, :] - whole[later][:, None, None])
+        g = [true_weight - p[:, 1] @ x, (true_step - joint.sum(0)).reshape(-1), true_start - p[head].sum(0)]
+        g = np.concatenate(g) / len(x) - l2 * theta
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         theta = theta + rate * (moments[0] / (1 - 0.9**turn)) / (np.sqrt(moments[1] / (1 - 0.99**turn)) + 1e-8)
@@ -183,8 +178,57 @@ def fit_field(x: np.ndarray, first: np.ndarray, good: np.ndarray, rounds: int =
     return Field(theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:])
 
 
+def furniture(count: int, seed: int = 1) -> list[str]:
+    """Generated lines of page furniture, in words of many looks."""
+    rng = random.Random(seed)
+
+    def word() -> str:
+        out = "".join(rng.choice("abcdefghilmnoprstuvéüñд") for _ in range(rng.randint(2, 9)))
+        return out.capitalize() if rng.random() < 0.5 else out
+
+    def words(low: int, high: int) -> str:
+        return " ".join(word() for _ in range(rng.randint(low, high)))
+
+    kinds = [
+        lambda: rng.choice([" | ", " » ", " > ", " · ", " / "]).join(words(1, 2) for _ in range(rng.randint(3, 12))),
+        lambda: f"{rng.choice(['©', '(c)', 'Copyright'])} {rng.randint(1995, 2025)} {words(1, 3)}. {rng.choice(['All rights reserved.', words(2, 4), ''])}",
+        lambda: f"{word()}: {', '.join(words(1, 2) for _ in range(rng.randint(2, 8)))}",
+        lambda: f"{words(1, 3)} {rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1995, 2025)} {rng.randint(0, 23)}:{rng.randint(10, 59)}",
+        lambda: f"{words(1, 3)} ({rng.randint(0, 999)}) | {words(1, 2)} ({rng.randint(0, 99)})",
+        lambda: f">> {words(1, 4)} <<",
+        lambda: f"*** {words(1, 5).upper()} ***",
+        lambda: f"[{word()}] [{word()}] [{rng.randint(1, 40)}]",
+        lambda: f"{words(2, 5).upper()}!!! {words(1, 4).upper()}!",
+        lambda: f"$ {rng.randint(1, 999)}.{rng.randint(10, 99)} | {rng.randint(1, 90)} % | {words(1, 2)}",
+        lambda: f"{word()} {rng.randint(1, 9)} / {rng.randint(10, 99)}",
+    ]
+    return [rng.choice(kinds)() for _ in range(count)]
+
+
+def mixed_chains(good: list[np.ndarray], bad: list[np.ndarray], chains: int = CHAINS, longest: int = CHAIN_LINES, seed: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines, first line of each chain, label of each line) of chains made of runs of consecutive lines of good (label 1) and bad
+    documents; half of the chains are of one kind."""
+    rng = np.random.default_rng(seed)
+    lines, labels, first = [], [], [0]
+    for _ in range(chains):
+        size, label, pure = int(rng.integers(1, longest + 1)), int(rng.random() < 0.5), rng.random() < 0.5
+        left = size
+        while left:
+            pool = good if label else bad
+            own = pool[rng.integers(len(pool))]
+            run = left if pure else min(left, int(rng.geometric(0.2)))
+            at = int(rng.integers(len(own)))
+            part = own[at : at + run]
+            lines.append(part)
+            labels.append(np.full(len(part), label))
+            left -= len(part)
+            label = label if pure else 1 - label
+        first.append(first[-1] + size)
+    return np.concatenate(lines), np.array(first), np.concatenate(labels)
+
+
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """The field of at most `train_docs` labelled documents; without both labels every line is content."""
+    """The field of lines of at most `train_docs` labelled documents; without both labels every line is content."""
     small_batches(docs.sparkSession)
     own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("y"))
     chosen = smallest_hashes(own, train_docs, "doc_id", 9)
@@ -196,14 +240,21 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> F
                 x, _, first = line_features(data, offsets)
                 for r in range(j - i):
                     own = x[first[r] : first[r + 1]]
-                    if 0 < len(own) <= TRAIN_LINES:
+                    if len(own):
+                        at = (ids[i + r] * 2654435761 >> 7) % max(1, len(own) - TRAIN_LINES + 1)
+                        own = np.ascontiguousarray(own[at : at + TRAIN_LINES])
                         yield pa.record_batch([pa.array([ids[i + r]], pa.int64()), pa.array([ys[i + r]], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["doc_id", "y", "lines"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
     found = sorted(rows.mapInArrow(run, "doc_id long, y int, lines binary").collect(), key=lambda r: (r.doc_id, bytes(r.lines)))
-    lines = [np.frombuffer(r.lines, np.float32).reshape(-1, len(FEATURES)) for r in found]
-    first = np.concatenate([[0], np.cumsum([len(v) for v in lines])]).astype(np.int64)
-    return fit_field(np.concatenate(lines) if lines else np.zeros((0, len(FEATURES))), first, np.array([r.y for r in found]))
+    good, bad = ([np.frombuffer(r.lines, np.float32).reshape(-1, len(FEATURES)) for r in found if r.y == y] for y in (1, 0))
+    if not good or not bad:
+        return fit_field(np.zeros((0, len(FEATURES))), np.zeros(1, np.int64), np.zeros(0))
+    made = furniture(600)
+    for i in range(0, len(made), 6):
+        (_, _, data, offsets), = chunks(pa.array(["\n".join(made[i : i + 6])]))
+        bad.append(line_features(data, offsets)[0])
+    return fit_field(*mixed_chains(good, bad))
 
 
 _RULES = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("content_share", pa.float64())])
