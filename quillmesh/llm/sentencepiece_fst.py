@@ -1,21 +1,26 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compiling a model gives three machines: the normaliser N (dummy prefix, white-space rules, space -> U+2581), the lexicon L
-(a trie of pieces; a character outside the vocabulary is spelt by byte pieces) and, for BPE models, the merge-order acceptor
-M over pieces: the step from piece p to piece q costs 0 if byte-pair merging leaves the boundary between p and q alone and
-infinity if some merge crosses it. A text is composed with N, L (and M), and the tropical-semiring (min, +) shortest path is
-its encoding. With unigram models arcs cost the negative scores. With BPE models exactly one path has a finite cost, and each
-prefix has exactly one finite last piece, so the search keeps one state for each position.
+A model is compiled to arrays. The normaliser N is a transducer over two classes of characters (space and others), before it, where
+the model has one, a longest-match rewriting trie (its character map). The lexicon L is a trie of pieces over numbered
+characters, each with an arc that ends a piece and goes back to the root; a character outside it has an arc that spells it in byte
+pieces (or as the unknown piece). For BPE models the merge-order acceptor M over pieces follows: the step from piece p to
+piece q costs 0 if byte-pair merging leaves the boundary between p and q alone and infinity if some merge crosses it; its rules
+are tables too (`edges` of the merge trees, ranks of merges).
+
+A text is composed with N, cut into stretches that no piece crosses, and the distinct new stretches of about a megabyte of text are
+composed with L and M at once: the trie walks all places of all stretches in parallel and gives the arcs of the lattice, and
+the tropical-semiring (min, +) shortest path is relaxed place by place for all stretches together. Unigram arcs cost the
+negative scores. With BPE models arcs cost 0, and exactly one path of each prefix is finite. Paths of stretches are kept in a
+bounded cache. Stretches above LONG characters are searched alone, in the same semiring.
 
 Decoding runs the inverse machines: pieces to characters, byte pieces to UTF-8, U+2581 to space, the dummy prefix dropped.
-
-No piece joins another character to a following U+2581 (checked on compiling), so words are composed one by one and kept in a
-bounded cache. Tested against the public library.
+Tested against the public library.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +38,13 @@ UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
+#: Stretches whose paths are kept, the longest that are, and the longest that are searched together.
 CACHED_WORDS = 400_000
 CACHED_LENGTH = 64
+LONG = 48
+#: Characters of text whose new stretches are searched together, and the entries of the table of known steps of M.
+RUN_CHARS = 1 << 20
+KNOWN_STEPS = 1 << 21
 INFINITY = float("inf")
 
 
@@ -63,6 +73,28 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+def rewriting_of(charsmap: bytes) -> dict[str, str]:
+    """The rules of a precompiled character map: a double-array trie of UTF-8 keys (32-bit units: a leaf flag, a label, an
+    offset; the public format of such tries) before a block of null-ended outputs."""
+    size = struct.unpack_from("<I", charsmap)[0]
+    units, outputs = np.frombuffer(charsmap, "<u4", size // 4, 4).tolist(), charsmap[4 + size :]
+    offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+    out: dict[str, str] = {}
+    stack = [(offset(units[0]), b"")]
+    while stack:
+        base, key = stack.pop()
+        for byte in range(1, 256):
+            at = base ^ byte
+            if at < len(units) and units[at] & 0x800000FF == byte:
+                longer = key + bytes([byte])
+                below = at ^ offset(units[at])
+                if units[at] >> 8 & 1:
+                    value = units[below] & 0x7FFFFFFF
+                    out[longer.decode()] = outputs[value : outputs.index(b"\0", value)].decode()
+                stack.append((below, longer))
+    return out
+
+
 class PieceMachine:
     """A compiled model: encode(text) -> int32 ids, decode(ids) -> text."""
 
@@ -85,23 +117,111 @@ class PieceMachine:
                 own = dict(_fields(value))
                 charsmap = own.get(2, b"")
                 self.dummy_prefix, self.squeeze, self.escape = bool(own.get(3, 1)), bool(own.get(4, 1)), bool(own.get(5, 1))
-        if charsmap:
-            raise ValueError("models with a precompiled character map are not supported: normalise before encoding")
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models have a shortest path")
         if USER in kinds:
             raise ValueError("user-defined pieces are not supported")
+        self.rewriting = rewriting_of(charsmap) if charsmap else {}
+        self.rewrites = re.compile("|".join(map(re.escape, sorted(self.rewriting, key=len, reverse=True)))) if self.rewriting else None
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.surface = [UNKNOWN_SURFACE if k == UNKNOWN else "" if k == CONTROL else p.replace(SPACE_MARK, " ") for p, k in zip(self.pieces, kinds, strict=True)]
         self.lexicon = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
-        self.split_words = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.lexicon)
-        self.widest = max(map(len, self.lexicon), default=1)
-        self.floor = min(self.scores, default=0.0) - 10.0
+        self.floor = min((self.scores[i] for i in self.lexicon.values()), default=0.0) - 10.0
         if self.kind == BPE:
             self._compile_merge_order()
+        self.split_words = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.lexicon)
+        self.widest = max(map(len, self.lexicon), default=1)
+        self.split_lines = not any("\n" in p for p in self.lexicon)
+        self._compile_lexicon()
         self.words: dict[str, bytes] = {}
-        self.halves: dict[str, list[int]] = {}
+
+    # The lexicon's trie
+
+    def _compile_lexicon(self) -> None:
+        letters = sorted({c for p in self.lexicon for c in p})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        number, arcs, ends = {c: i + 1 for i, c in enumerate(letters)}, {}, {}
+        for text, piece in self.lexicon.items():
+            state = 0
+            for c in text:
+                state = arcs.setdefault(state << 24 | number[c], len(arcs) + 1)
+            ends[state] = piece
+        self.arc_key = np.array(sorted(arcs), np.int64)
+        self.arc_to = np.array([arcs[k] for k in self.arc_key.tolist()], np.int64)
+        self.ends = np.full(len(arcs) + 1, -1, np.int64)
+        self.ends[list(ends)] = list(ends.values())
+        self.cost = np.zeros(len(self.pieces), np.float32) if self.kind == BPE else -np.array(self.scores, np.float32)
+        self.alone = np.zeros(len(letters) + 1, bool)  # letters that are pieces themselves
+        self.alone[[number[c] for c in self.lexicon if len(c) == 1]] = True
+
+    def _lattice(self, code: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece) of every arc: all pieces that start at each place; left: characters from there to the end of the
+        stretch."""
+        place, state = np.arange(len(code)), np.zeros(len(code), np.int64)
+        found = []
+        for depth in range(self.widest):
+            ok = left[place] > depth
+            place, state = place[ok], state[ok]
+            key = state << 24 | code[place + depth]
+            at = np.searchsorted(self.arc_key, key)
+            at[at == len(self.arc_key)] = 0
+            ok = self.arc_key[at] == key if len(self.arc_key) else np.zeros(len(key), bool)
+            place, state = place[ok], self.arc_to[at[ok]]
+            piece = self.ends[state]
+            full = piece >= 0
+            found.append((place[full], np.full(int(full.sum()), depth + 1), piece[full]))
+            if not len(place):
+                break
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def _paths(self, stretches: list[str]) -> list[bytes]:
+        """The shortest paths of stretches of at most LONG characters, all at once."""
+        sizes = np.array([len(w) for w in stretches])
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        code = self.letter[np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        inner = np.arange(len(code)) - first[word]
+        place, length, piece = self._lattice(code, sizes[word] - inner)
+        odd = np.flatnonzero(~self.alone[code])  # spelt in byte pieces
+        none = len(self.pieces)
+        penalty = np.float32(0 if self.kind == BPE else -self.floor)
+        place, length = np.concatenate([place, odd]), np.concatenate([length, np.ones(len(odd), np.int64)])
+        weight = np.concatenate([self.cost[piece], np.full(len(odd), penalty, np.float32)])
+        piece = np.concatenate([piece, np.full(len(odd), none)])
+        order = np.lexsort((length, inner[place]))
+        place, length, piece, weight = place[order], length[order], piece[order], weight[order]
+        starts = np.searchsorted(inner[place], np.arange(int(sizes.max(initial=0)) + 1))
+        # One state for each place of each stretch: place p of stretch w is first[w] + w + p.
+        state = place + word[place]
+        cost = np.full(len(code) + len(sizes), np.inf, np.float32)
+        last, back = np.full(len(cost), none), np.zeros(len(cost), np.int64)
+        cost[first[:-1] + np.arange(len(sizes))] = 0
+        for i in range(len(starts) - 1):
+            a, b = starts[i], starts[i + 1]
+            here, q = state[a:b], piece[a:b]
+            to, total = here + length[a:b], cost[here] + weight[a:b]
+            if self.kind == BPE:
+                p = last[here]
+                pairs = np.flatnonzero((p < none) & (q < none) & (total < cost[to]))
+                total[pairs[~self._stay(p[pairs], q[pairs])]] = np.inf
+            better = total < cost[to]
+            to = to[better]
+            cost[to], last[to], back[to] = total[better], q[better], here[better]
+        # Back from the ends, all stretches together.
+        at, taken = first[1:] + np.arange(len(sizes)), []
+        alive = np.flatnonzero(sizes > 0)
+        while len(alive):
+            own = at[alive]
+            taken.append((alive, last[own], back[own]))
+            at[alive] = back[own]
+            alive = alive[at[alive] > first[alive] + alive]
+        out: list[list[int]] = [[] for _ in stretches]
+        for owners, pieces, froms in taken:
+            for w, q, f in zip(owners.tolist(), pieces.tolist(), froms.tolist(), strict=True):
+                out[w] += [q] if q < none else self._spelt(stretches[w][f - first[w] - w])[::-1]
+        return [np.array(ids[::-1], "<i4").tobytes() for ids in out]
 
     # The merge-order acceptor
 
@@ -127,6 +247,18 @@ class PieceMachine:
         self.steps: dict[int, bool] = {}
         #: The trie of the reversed pieces: ending -> piece, or -1 if it only ends one.
         self.endings = {t[i:]: -1 for t in self.lexicon for i in range(1, len(t))} | self.lexicon
+        # The same as tables: edges[side][piece, level] and the rank that ends each; pairs of pieces that merge, with their ranks.
+        never, size = len(self.lexicon) + 1, len(self.pieces)
+        levels = max((len(e) for side in (self.right, self.left) for e in side.values()), default=1)
+        self.edges, self.until = np.full((2, size, levels), -1, np.int64), np.full((2, size, levels), -1, np.int64)
+        for side, every in enumerate((self.right, self.left)):
+            for piece, found in every.items():
+                self.edges[side, piece, : len(found)] = [e for e, _ in found]
+                self.until[side, piece, : len(found)] = [never if r == INFINITY else r for _, r in found]
+        merges = {self.lexicon[t[:i]] * size + self.lexicon[t[i:]]: self.rank[self.lexicon[t]] for t in self.lexicon for i in range(1, len(t)) if t[:i] in self.lexicon and t[i:] in self.lexicon}
+        self.merge_key = np.array(sorted(merges) or [-1], np.int64)
+        self.merge_rank = np.array([merges.get(k, never) for k in self.merge_key.tolist()], np.int64)
+        self.known, self.stay_of = np.full(KNOWN_STEPS, -1, np.int64), np.zeros(KNOWN_STEPS, bool)
 
     def _merged(self, text: str) -> dict[int, tuple[int, int]] | None:
         """How merging builds this piece from its characters: piece -> (left part, right part); None if it never does."""
@@ -158,6 +290,37 @@ class PieceMachine:
                     return False
         return True
 
+    def _stay(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """`stays` for arrays of pairs, by the tables; a table of fixed size keeps pairs that were met."""
+        size = len(self.pieces)
+        key = p * size + q
+        slot = (key * 0x9E3779B1 >> 13) & (KNOWN_STEPS - 1)
+        out = self.stay_of[slot]
+        new = np.flatnonzero(self.known[slot] != key)
+        if len(new):
+            fresh, where = np.unique(key[new], return_inverse=True)
+            a, b = fresh // size, fresh % size
+            ok = np.ones(len(fresh), bool)
+            for i in range(self.edges.shape[2]):
+                there = np.flatnonzero(self.edges[0, a, i] >= 0)
+                if not len(there):
+                    break
+                for j in range(self.edges.shape[2]):
+                    both = there[self.edges[1, b[there], j] >= 0]
+                    if not len(both):
+                        break
+                    pair = self.edges[0, a[both], i] * size + self.edges[1, b[both], j]
+                    at = np.minimum(np.searchsorted(self.merge_key, pair), len(self.merge_key) - 1)
+                    rank = self.merge_rank[at]
+                    ok[both] &= ~((self.merge_key[at] == pair) & (rank < self.until[0, a[both], i]) & (rank <= self.until[1, b[both], j]))
+            out[new] = ok[where]
+            slot = (fresh * 0x9E3779B1 >> 13) & (KNOWN_STEPS - 1)
+            self.known[slot] = -1  # of pairs that share a slot none is kept
+            _, group, times = np.unique(slot, return_inverse=True, return_counts=True)
+            single = times[group] == 1
+            self.known[slot[single]], self.stay_of[slot[single]] = fresh[single], ok[single]
+        return out
+
     # Composition and shortest path
 
     def _spelt(self, char: str) -> list[int]:
@@ -199,15 +362,16 @@ class PieceMachine:
         return out[::-1]
 
     def _cheapest(self, text: str) -> list[int]:
-        lexicon, scores, widest, n = self.lexicon, self.scores, self.widest, len(text)
-        cost, back = [0.0] + [INFINITY] * n, [(0, -1)] * (n + 1)
+        lexicon, cost_of, widest, n = self.lexicon, self.cost, self.widest, len(text)
+        cost, back = [np.float32(0)] + [np.float32(np.inf)] * n, [(0, -1)] * (n + 1)
+        penalty = np.float32(-self.floor)
         for i in range(n):
-            if text[i] not in lexicon and cost[i] - self.floor < cost[i + 1]:
-                cost[i + 1], back[i + 1] = cost[i] - self.floor, (i, -1)
             for j in range(i + 1, min(n, i + widest) + 1):
                 q = lexicon.get(text[i:j])
-                if q is not None and cost[i] - scores[q] < cost[j]:
-                    cost[j], back[j] = cost[i] - scores[q], (i, q)
+                if q is not None and cost[i] + cost_of[q] < cost[j]:
+                    cost[j], back[j] = cost[i] + cost_of[q], (i, q)
+            if text[i] not in lexicon and cost[i] + penalty < cost[i + 1]:
+                cost[i + 1], back[i + 1] = cost[i] + penalty, (i, -1)
         out: list[int] = []
         while n:
             i, q = back[n]
@@ -216,76 +380,64 @@ class PieceMachine:
         return out[::-1]
 
     def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
+        """The text composed with the normaliser. Its states are: at the start, after a space, after another character; each
+        character's output depends on the state and on whether it is a space."""
+        if self.rewrites is not None:
+            text = self.rewrites.sub(lambda m: self.rewriting[m[0]], text)
+        if self.squeeze and (text[:1] == " " or text[-1:] == " " or "  " in text):
+            raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            space = raw == 32
+            state = np.concatenate([[0], np.where(space, 1, 2)])[:-1]
+            emits = np.array([[True, False], [True, False], [True, True]])  # state x is a space
+            kept = raw[emits[state, space.astype(int)]]
+            if len(kept) and kept[-1] == 32:
+                kept = kept[:-1]
+            text = kept.tobytes().decode("utf-32-le", "surrogatepass")
         if self.dummy_prefix and text:
             text = " " + text
         return text.replace(" ", SPACE_MARK) if self.escape else text
 
-    def _composed(self, text: str) -> list[int]:
-        """The path of a stretch from the kept paths of its halves: as prefixes and endings of a path are paths, the halves'
-        paths make up the whole one if M lets the second follow the first. Else the whole is searched."""
-        n = len(text)
-        if n < 7 or self.kind != BPE:
-            return self._path(text)
-        halves = self.halves
-        for cut in (n // 2, n // 2 + 1, n // 2 - 1):
-            both = []
-            for part in (text[:cut], text[cut:]):
-                ids = halves.get(part)
-                if ids is None:
-                    ids = self._path(part)
-                    if len(part) <= CACHED_LENGTH:
-                        halves[part] = ids
-                both.append(ids)
-            p, q = both[0][-1], both[1][0]
-            if p in self.right and q in self.left:
-                key = p * len(self.pieces) + q
-                ok = self.steps.get(key)
-                if ok is None:
-                    ok = self.steps[key] = self.stays(p, q)
-            else:
-                ok = True  # next to a byte piece
-            if ok:
-                return both[0] + both[1]
-        return self._path(text)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of U+2581 + word, where word has none."""
-        ids, head = [], SPACE_MARK
-        for part in re.split("(\n)", word):  # byte pieces separate paths
-            if part == "\n" and "\n" not in self.lexicon:
-                ids += self._path(head) if head else []
-                ids += self._spelt(part)
-                head = ""
-            else:
-                ids += self._composed(head + part)
-                head = ""
-        return np.array(ids, "<i4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<i4")
-        words = self.words
+    def _stretches(self, text: str) -> list[str]:
+        """The normalised text, cut where no piece crosses: before runs of U+2581 and around line ends (which are spelt)."""
+        norm = self.normalise(text)
+        if not self.split_words:
+            return [norm] if norm else []
+        doubled, lines = SPACE_MARK + SPACE_MARK, self.split_lines
+        if doubled not in norm:
+            norm = norm.replace(SPACE_MARK, " " + SPACE_MARK) if " " not in norm else None
+            if norm is not None:
+                return (norm.replace("\n", " \n ") if lines else norm).split(" ")
+            norm = self.normalise(text)
+        line = "\n" if lines else ""
+        return re.findall(f"{SPACE_MARK}+[^{SPACE_MARK}{line}]*|[^{SPACE_MARK}{line}]+" + ("|\n" if lines else ""), norm)
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; stretches that are new are searched together."""
+        words, i = self.words, 0
         if len(words) > CACHED_WORDS:
             words.clear()
-        if len(self.halves) > CACHED_WORDS:
-            self.halves.clear()
-        if self.kind == BPE and len(self.steps) > 4 * CACHED_WORDS:
-            self.steps.clear()
-        if self.split_words and self.escape and self.dummy_prefix and not self.squeeze and SPACE_MARK not in text and "  " not in text and text[-1] != " " and text[0] != " ":
-            out = []
-            for w in text.split(" "):
-                ids = words.get(w)
-                if ids is None:
-                    ids = self._word(w)
-                    if len(w) <= CACHED_LENGTH:
-                        words[w] = ids
-                out.append(ids)
-            return np.frombuffer(b"".join(out), "<i4")
-        norm = self.normalise(text)
-        parts = re.findall(f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+", norm) if self.split_words else [norm]
-        return np.array([i for p in parts for i in self._path(p)], "<i4")
+        while i < len(texts):
+            parts, held = [], 0
+            while i < len(texts) and (not parts or held + len(texts[i]) <= RUN_CHARS):
+                parts.append(self._stretches(texts[i]))
+                held += len(texts[i])
+                i += 1
+            fresh = set().union(*parts).difference(words)
+            short = [w for w in fresh if len(w) <= LONG]
+            own = {w: np.array(self._path(w), "<i4").tobytes() for w in fresh if len(w) > LONG} if len(short) < len(fresh) else {}
+            for k in range(0, len(short), 50_000):
+                own.update(zip(short[k : k + 50_000], self._paths(short[k : k + 50_000]), strict=True))
+            for p in parts:
+                ids = np.frombuffer(b"".join([words[w] if w in words else own[w] for w in p]), "<i4")
+                if not self.byte_fallback and len(ids):  # unknown pieces in a row are one
+                    ids = ids[np.concatenate([[True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)])]
+                yield ids
+            words.update({w: v for w, v in own.items() if len(w) <= CACHED_LENGTH})
+            if self.kind == BPE and len(self.steps) > 4 * CACHED_WORDS:
+                self.steps.clear()
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(iter(self.encode_all([text])))
 
     def decode(self, ids: np.ndarray) -> str:
         surface, byte_of, ids = self.surface, self.byte_of, ids.tolist()
@@ -328,7 +480,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     decoded_crc32, round_trip), the checksums of little-endian int32 ids and of the decoded UTF-8.
 
     Null and empty texts have no ids and decode to an empty text. round_trip: the decoded text is the text itself; it is not
-    where the text holds U+2581, which decodes to a space. Ids, null ones too, and repeated rows pass through.
+    where the text holds U+2581, which decodes to a space. Ids, null ones too, and repeated rows pass through; an empty table gives
+    no row; very long texts are encoded whole; of paths that tie the one with the longer first pieces is taken, as in the library.
+    Other columns, those named as results too, are not read.
     """
     small_batches(docs.sparkSession)
     if digest:
@@ -342,9 +496,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         model = machine(vocabulary, path)
         for batch in batches:
             out, held = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                ids = model.encode(text)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, text, ids in zip(batch.column(0).to_pylist(), texts, model.encode_all(texts), strict=True):
                 decoded = model.decode(ids)
                 if digest:
                     raw = decoded.encode()
