@@ -3,6 +3,7 @@
 Companded bytes are expanded by 256-entry tables, built from the coding rules. ADPCM is decoded block by block in its
 nature, but its blocks are independent, so one numpy step decodes the same sample of all blocks of a file (and of all files
 of a batch with one block size) at once. Decoded sound is resampled by a polyphase windowed-sinc filter to 16-bit PCM.
+Media are written to a table and read back from it: what is computed rests on stored bytes.
 """
 
 from __future__ import annotations
@@ -18,9 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.textscan import small_batches
+from quillmesh.storage import written
 
 #: Format tags of the WAVE container.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 0x11
+NAMES = {PCM: "pcm", ALAW: "alaw", MULAW: "mulaw", IMA_ADPCM: "adpcm"}
+
+#: Rates of files that are decoded, and blocks of ADPCM that are decoded at once.
+LEAST_RATE, MOST_RATE = 1_000, 192_000
+BLOCKS = 1 << 15
+#: Bytes of media that are worked on at once.
+HELD_BYTES = 4 << 20
+#: ADPCM blocks of stored payloads: these are multiples of it.
+UNIT = 64
 
 #: Fixed values of the IMA ADPCM coding: index changes by code, and step sizes by index.
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8, -1, -1, -1, -1, 2, 4, 6, 8])
@@ -136,7 +147,8 @@ def write_wave(data: bytes, tag: int, rate: int = 8000, bits: int = 8, align: in
 
 
 def read_wave(blob: bytes) -> dict:
-    """{tag, rate, align, bits, samples or None, data} of a mono WAVE file; ValueError if it is none."""
+    """{tag, rate, align, bits, samples or None, data} of a mono WAVE file; ValueError, saying why, if it is none that can be
+    decoded."""
     if len(blob) < 12 or blob[:4] != b"RIFF" or blob[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
     out, at = {"samples": None, "data": b""}, 12
@@ -144,32 +156,53 @@ def read_wave(blob: bytes) -> dict:
         name, size = blob[at : at + 4], struct.unpack_from("<I", blob, at + 4)[0]
         body = blob[at + 8 : at + 8 + size]
         if name == b"fmt ":
+            if len(body) < 16:
+                raise ValueError("short format chunk")
             out["tag"], channels, out["rate"], _, out["align"], out["bits"] = struct.unpack_from("<HHIIHH", body)
             if channels != 1:
                 raise ValueError("only mono files are telephony audio")
-        elif name == b"fact":
+        elif name == b"fact" and len(body) >= 4:
             out["samples"] = struct.unpack_from("<I", body)[0]
         elif name == b"data":
             out["data"] = body
         at += 8 + size + (size & 1)
     if "tag" not in out:
         raise ValueError("no format chunk")
+    if not LEAST_RATE <= out["rate"] <= MOST_RATE:
+        raise ValueError(f"a rate of {out['rate']} is not telephony audio")
+    if out["tag"] == IMA_ADPCM and out["align"] <= 4:
+        raise ValueError(f"blocks of {out['align']} bytes hold no samples")
+    if out["tag"] not in TABLES and out["tag"] != IMA_ADPCM and (out["tag"], out["bits"]) not in ((PCM, 8), (PCM, 16)):
+        raise ValueError(f"format {out['tag']} with {out['bits']} bits is not telephony audio")
+    return out
+
+
+def decode_waves(waves: list[dict]) -> list[np.ndarray]:
+    """16-bit samples of read files; ADPCM blocks of one size decode together, whichever files they are from."""
+    out: list[np.ndarray | None] = [None] * len(waves)
+    blocks: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, wave in enumerate(waves):
+        raw = np.frombuffer(wave["data"], np.uint8)
+        if wave["tag"] in TABLES:
+            out[i] = TABLES[wave["tag"]][raw]
+        elif wave["tag"] == IMA_ADPCM:
+            whole = raw[: len(raw) - len(raw) % wave["align"]].reshape(-1, wave["align"])
+            blocks.setdefault(wave["align"], []).append((i, whole))
+        elif wave["bits"] == 16:
+            out[i] = np.frombuffer(wave["data"][: len(raw) & ~1], "<i2")
+        else:
+            out[i] = ((raw.astype(np.int16) - 128) << 8).astype("<i2")
+    for own in blocks.values():
+        cat, at = np.concatenate([b for _, b in own]), 0
+        decoded = np.concatenate([adpcm_decode(cat[k : k + BLOCKS]) for k in range(0, max(len(cat), 1), BLOCKS)])
+        for i, b in own:
+            out[i] = decoded[at : at + len(b)].reshape(-1)[: waves[i]["samples"]]
+            at += len(b)
     return out
 
 
 def decode_wave(wave: dict) -> np.ndarray:
-    """16-bit samples of a read file."""
-    raw = np.frombuffer(wave["data"], np.uint8)
-    if wave["tag"] in TABLES:
-        return TABLES[wave["tag"]][raw]
-    if wave["tag"] == IMA_ADPCM:
-        whole = raw[: len(raw) - len(raw) % wave["align"]].reshape(-1, wave["align"])
-        return adpcm_decode(whole).reshape(-1)[: wave["samples"]]
-    if wave["tag"] == PCM and wave["bits"] == 16:
-        return np.frombuffer(wave["data"][: len(raw) & ~1], "<i2")
-    if wave["tag"] == PCM and wave["bits"] == 8:
-        return ((raw.astype(np.int16) - 128) << 8).astype("<i2")
-    raise ValueError(f"format {wave['tag']} with {wave['bits']} bits is not telephony audio")
+    return decode_waves([wave])[0]
 
 
 def padded_payload(text: str | None, unit: int = 64) -> tuple[bytes, int]:
@@ -186,62 +219,109 @@ def describe(pcm: np.ndarray, stored: np.ndarray, rate: int) -> str:
     return f"pcm16@{rate} n={len(stored)} ms={energy} peak={int(np.abs(wide).max(initial=0))} zc={crossings} crc={zlib.crc32(stored.tobytes()):08x}"
 
 
+_MEDIA = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 _FULL = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("pcm", pa.binary()), ("feature", pa.string())])
 _DIGEST = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pcm_bytes", pa.int64())])
+_KINDS = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_KINDS[f.type]}" for f in schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _runs(blobs: Iterator) -> Iterator[list]:
+    """Runs of (row, bytes) with about HELD_BYTES, at least one each."""
+    out, held = [], 0
+    for row, blob in blobs:
+        out.append((row, blob))
+        held += len(blob or b"")
+        if held > HELD_BYTES:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
 
 
-def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", law: int = MULAW, rate: int = 8000, to_rate: int = 16000, digest: bool = False) -> DataFrame:
-    """Each text's payload as companded 8-bit samples in a WAVE file, read back, expanded and resampled to 16-bit PCM:
+def coding_of(payload: bytes, law: int | None) -> int:
+    """`law`, or without one mu-law, A-law or ADPCM by the payload's checksum."""
+    return (MULAW, ALAW, IMA_ADPCM)[zlib.crc32(payload) % 3] if law is None else law
+
+
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", law: int | None = None, rate: int = 8000) -> DataFrame:
+    """(id, n_bytes, media) of every row, written to the shared folder: the text's padded payload, byte for byte, as mu-law or A-law
+    samples or as ADPCM blocks of UNIT bytes in a WAVE file. Null and empty texts are 64 zero bytes."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ((doc, text.as_py()) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+            for part in _runs(texts):
+                rows = []
+                for doc, text in part:
+                    payload, n = padded_payload(text, UNIT)
+                    tag = coding_of(payload, law)
+                    media = write_wave(payload, tag, rate, 4, UNIT, len(payload) // UNIT * (2 * (UNIT - 4) + 1)) if tag == IMA_ADPCM else write_wave(payload, tag, rate)
+                    rows.append((doc, n, media))
+                yield _batch(rows, _MEDIA)
+
+    return written(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _ddl(_MEDIA)), "media")
+
+
+def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", law: int | None = None, rate: int = 8000, to_rate: int = 16000, digest: bool = False) -> DataFrame:
+    """Each text's payload as a stored telephony file, read back from the table, decoded and resampled to 16-bit PCM:
     (id, n_bytes, media, pcm, feature), or with digest=True the checksums of what was read back in place of the bytes.
 
-    Null and empty texts are 64 zero bytes. A batch's rows are written out about every 8 MB, and each row is worked on alone, so memory
-    follows the longest text. Equal texts give equal values; null ids and repeated rows pass through.
+    Null and empty texts are 64 zero bytes. Files are worked on in runs of about HELD_BYTES, so memory follows the longest text.
+    Equal texts give equal values; null ids and repeated rows pass through; an empty table gives no row; other columns, those named
+    as results too, are not read.
     """
-    small_batches(docs.sparkSession)
     schema = _DIGEST if digest else _FULL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, held = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                payload, n = padded_payload(text.as_py())
-                media = write_wave(payload, law, rate)
-                wave = read_wave(media)
-                back = wave["data"]
-                pcm = decode_wave(wave)
-                stored = resample(pcm, wave["rate"], to_rate)
-                feature = describe(pcm, stored, to_rate)
-                if digest:
-                    out.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, stored.nbytes))
-                else:
-                    out.append((doc, n, media, stored.tobytes(), feature))
-                    held += len(media) + stored.nbytes
-                if held > 8 << 20:
-                    yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out, held = [], 0
-            if out:
-                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)).withColumnRenamed("id", id_col)
+            ids, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in _runs((i, blob.as_py()) for i, blob in enumerate(batch.column(2))):
+                waves, rows = [read_wave(blob) for _, blob in part], []
+                for (i, media), wave, pcm in zip(part, waves, decode_waves(waves), strict=True):
+                    back = wave["data"]
+                    stored = resample(pcm, wave["rate"], to_rate)
+                    feature = f"{NAMES[wave['tag']]} {describe(pcm, stored, to_rate)}"
+                    if digest:
+                        rows.append((ids[i], sizes[i], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, stored.nbytes))
+                    else:
+                        rows.append((ids[i], sizes[i], media, stored.tobytes(), feature))
+                yield _batch(rows, schema)
+
+    media = store_media(docs, id_col, text_col, law, rate)
+    return media.select("id", "n_bytes", "media").mapInArrow(run, _ddl(schema)).withColumnRenamed("id", id_col)
 
 
 def decode_audio(media: DataFrame, id_col: str, media_col: str, to_rate: int = 16000) -> DataFrame:
     """(id, rate, samples, pcm, error) of a column of WAVE files: mu-law, A-law, IMA ADPCM, 8- and 16-bit PCM. A null or broken
-    file gives null samples and pcm, and says why in error (null for null)."""
+    file gives null samples and pcm, and says why in error (null for null); null ids and repeated rows pass through."""
+    small_batches(media.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("rate", pa.int64()), ("samples", pa.int64()), ("pcm", pa.binary()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                row = (doc, None, None, None, None)
-                if blob.is_valid:
-                    try:
-                        wave = read_wave(blob.as_py())
-                        pcm = resample(decode_wave(wave), wave["rate"], to_rate)
-                        row = (doc, to_rate, len(pcm), pcm.tobytes(), None)
-                    except (ValueError, struct.error) as e:
-                        row = (doc, None, None, None, str(e))
-                yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-
-    return media.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(run, "id long, rate long, samples long, pcm binary, error string").withColumnRenamed("id", id_col)
+            ids = batch.column(0).to_pylist()
+            for part in _runs((i, blob.as_py()) for i, blob in enumerate(batch.column(1))):
+                rows = {i: (ids[i], None, None, None, None) for i, _ in part}
+                waves = {}
+                for i, blob in part:
+                    if blob is not None:
+                        try:
+                            waves[i] = read_wave(blob)
+                        except ValueError as e:
+                            rows[i] = (ids[i], None, None, None, str(e))
+                for (i, wave), pcm in zip(waves.items(), decode_waves(list(waves.values())), strict=True):
+                    sound = resample(pcm, wave["rate"], to_rate)
+                    rows[i] = (ids[i], to_rate, len(sound), sound.tobytes(), None)
+                yield _batch(list(rows.values()), schema)
+
+    return media.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(run, _ddl(schema)).withColumnRenamed("id", id_col)

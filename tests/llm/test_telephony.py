@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -77,7 +78,12 @@ def test_whole_table(spark):
         f = full[r.doc_id]
         assert T.read_wave(bytes(f.media))["data"] == payload
         assert r.media_sha256 == hashlib.sha256(f.media).hexdigest() and r.media_bytes == len(f.media)
-        assert len(f.pcm) == 4 * len(payload) and f.feature == r.feature
+        tag = T.coding_of(payload, None)
+        assert T.read_wave(bytes(f.media))["tag"] == tag and f.feature == r.feature and f.feature.startswith(T.NAMES[tag])
+        assert len(f.pcm) == (4 * 121 * len(payload) // 64 if tag == T.IMA_ADPCM else 4 * len(payload))
+        if tag == T.IMA_ADPCM and len(payload) < 1000:
+            plain = np.concatenate([one_block([*payload[i : i + 2], min(payload[i + 2], 88), *payload[i + 3 : i + 64]]) for i in range(0, len(payload), 64)])
+            assert np.frombuffer(f.pcm, "<i2").tolist() == T.resample(plain.astype("<i2"), 8000, 16000).tolist()
     assert len({(r.payload_sha256, r.feature, r.media_sha256) for r in got if r.doc_id in (3, 6)}) == 1
     assert T.store_audio(df.limit(0)).collect() == []
 
@@ -91,3 +97,21 @@ def test_decoding_column(spark):
         assert got[i].samples == 2400 and got[i].error is None
         assert np.abs(np.frombuffer(got[i].pcm, "<i2")[::2].astype(int) - pcm).max() < 1000
     assert got[4].error and got[4].pcm is None and got[5].error is None and got[5].samples is None
+
+
+def test_all_codings_are_met(spark):
+    df = spark.createDataFrame([(i, f"text {i} " * (i + 1)) for i in range(60)], "doc_id long, text string")
+    assert {r.feature.split()[0] for r in T.store_audio(df, digest=True).collect()} == {"mulaw", "alaw", "adpcm"}
+    assert {r.feature.split()[0] for r in T.store_audio(df, law=T.ALAW).collect()} == {"alaw"}
+
+
+def test_broken_files_say_why(spark):
+    good = T.write_wave(b"abcd" * 40, T.MULAW)
+    head = lambda tag, channels, rate, align, bits: b"RIFF" + struct.pack("<I", 44) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, tag, channels, rate, rate, align, bits) + b"data" + struct.pack("<I", 8) + b"12345678"
+    bad = [good[:20], good[:11], b"", head(T.IMA_ADPCM, 1, 8000, 0, 4), head(T.IMA_ADPCM, 1, 8000, 4, 4), head(T.MULAW, 1, 0, 1, 8), head(T.MULAW, 2, 8000, 1, 8), head(3, 1, 8000, 4, 32), head(T.PCM, 1, 8000, 1, 12), head(T.MULAW, 1, 2**32 - 1, 1, 8), b"RIFF\0\0\0\0WAVEfmt \x02\0\0\0\x01\0"]
+    fine = [good, good[: len(good) // 2], head(T.PCM, 1, 8000, 2, 16), head(T.IMA_ADPCM, 1, 8000, 8, 4)]
+    rows = [(i, b) for i, b in enumerate(bad)] + [(100 + i, b) for i, b in enumerate(fine)] + [(None, None)]
+    got = {r.id: r for r in T.decode_audio(spark.createDataFrame(rows, "id long, media binary"), "id", "media").collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].error and got[i].pcm is None for i in range(len(bad)))
+    assert all(got[100 + i].error is None and got[100 + i].samples is not None for i in range(len(fine)))
