@@ -1,10 +1,10 @@
 """Content-addressed WARC archive.
 
-Three tables stand for an archive: `payloads` holds each distinct payload once, compressed, under its SHA-256; `headers` holds the
+Two tables stand for an archive: `payloads` holds each distinct payload once, compressed, under its SHA-256; `headers` holds the
 exact header block of each record (WARC headers and HTTP head) with the digest that it refers to; records come back by a join
-of the two. When an archive is read, each stored payload's digest is computed again from its bytes and compared, so a result
-never rests on an unverified digest. A payload is shuffled once, compressed; copies are combined before that shuffle, and
-everything else that moves is narrow.
+of the two and are parsed from their bytes. When an archive is read, each payload's digest is computed again from the rebuilt
+record and compared with its header, so a result never rests on an unverified digest. A payload is shuffled compressed, once when
+it is stored (copies are combined before that) and once when its record is rebuilt; everything else that moves is narrow.
 """
 
 from __future__ import annotations
@@ -59,7 +59,9 @@ def write_archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     payloads: digest, packed. headers: page_id, digest, header. Of records with equal payloads of at least
     REVISIT_BYTES the one with the smallest page_id is a response, others are revisits that refer to it; smaller payloads are
     always responses. A null html is an empty payload, a null url an empty target. Rows that repeat a page_id with one payload
-    are all what that page_id is; null page_ids come last in the order and are named urn:quillmesh:page:null.
+    are all what that page_id is; null page_ids come last in the order and are named urn:quillmesh:page:null. Line breaks in a url,
+    which would end its header line, are written as %0D and %0A. Very long payloads are stored whole; an empty table gives empty
+    tables; other columns are not read.
     """
     small_batches(pages.sparkSession)
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -78,7 +80,7 @@ def write_archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", name("page_id")),
         line("WARC-Date", F.lit(FETCHED)),
-        line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "")),
+        line("WARC-Target-URI", F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         F.when(again, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", name("first")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -95,44 +97,84 @@ def verify(payloads: DataFrame) -> DataFrame:
     return read.withColumn("intact", F.col("digest") == F.col("found"))
 
 
-def parse_headers(headers: DataFrame) -> DataFrame:
-    """page_id, digest, record_type, uri, refers_to (null but for revisits), length of the whole record block, http_length."""
-    of = lambda key: F.regexp_extract("header", rf"\r\n{key}: ([^\r\n]*)\r\n", 1)
-    page = lambda key: F.regexp_extract("header", rf"\r\n{key}: <urn:quillmesh:page:(-?[0-9]+)>\r\n", 1).try_cast("long")
-    before = F.octet_length(F.substring_index("header", "\r\n\r\nHTTP", 1)) + 4
-    return headers.select(
-        page("WARC-Record-ID").alias("page_id"),
-        F.regexp_replace(of("WARC-Payload-Digest"), "^sha256:", "").alias("digest"),
-        of("WARC-Type").alias("record_type"),
-        of("WARC-Target-URI").alias("uri"),
-        page("WARC-Refers-To").alias("refers_to"),
-        F.regexp_extract("header", r"\r\nContent-Length: ([0-9]+)\r\n\r\nHTTP", 1).try_cast("long").alias("length"),
-        (F.octet_length("header") - before).cast("long").alias("http_length"),
-    )
+def parse_record(record: bytes) -> dict:
+    """What the bytes of one record say: page_id, record_type, uri, refers_to, declared digest, block length (declared and found)
+    and payload (None for revisits). ValueError if it is no record."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    first, *lines = head.decode().split("\r\n")
+    if first != "WARC/1.1" or not rest.endswith(b"\r\n\r\n"):
+        raise ValueError("not a WARC record")
+    fields = dict(line.split(": ", 1) for line in lines)
+    block = rest[:-4]
+    page = lambda name: (v := fields.get(name, "<urn:quillmesh:page:null>")[len("<urn:quillmesh:page:") : -1]) and (None if v == "null" else int(v))
+    response = fields["WARC-Type"] == "response"
+    return {
+        "page_id": page("WARC-Record-ID"), "record_type": fields["WARC-Type"], "uri": fields["WARC-Target-URI"], "refers_to": page("WARC-Refers-To"),
+        "digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"), "declared": int(fields["Content-Length"]), "length": len(block),
+        "payload": block.partition(b"\r\n\r\n")[2] if response else None,
+    }
+
+
+def _joined(payloads: DataFrame, headers: DataFrame) -> DataFrame:
+    """(header, packed) of every record; packed is null for revisits."""
+    full = F.when(F.col("header").contains("\r\nWARC-Type: response\r\n"), F.col("digest"))
+    return headers.select("header", full.alias("needs")).join(payloads.select("digest", "packed"), F.col("needs") == F.col("digest"), "left").select("header", "packed")
+
+
+def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The bytes of the records (header block and, for responses, payload) of rows (header, packed), about 8 MB at a time."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        out, held = [], 0
+        for header, packed in zip(batch.column(0), batch.column(1), strict=True):
+            out.append(header.as_py().encode("utf-8", "surrogatepass") + (unpack.decompress(packed.as_py()) if packed.is_valid else b"") + b"\r\n\r\n")
+            held += len(out[-1])
+            if held > 8 << 20:
+                yield out
+                out, held = [], 0
+        yield out
 
 
 def read_records(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """(page_id, record): the original bytes of every record, header block and, for responses, payload, by a join on the digest."""
+    """(page_id, record): the original bytes of every record, by a join on the digest."""
 
-    def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for page, header, packed in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                body = unpack.decompress(packed.as_py()) if packed.is_valid else b""
-                yield pa.record_batch([pa.array([page.as_py()], pa.int64()), pa.array([header.as_py().encode() + body + b"\r\n\r\n"], pa.binary())], ["page_id", "record"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in _rebuilt(batches):
+            yield pa.record_batch([pa.array([parse_record(r)["page_id"] for r in records], pa.int64()), pa.array(records, pa.binary())], ["page_id", "record"])
 
-    full = F.when(F.col("header").contains("\r\nWARC-Type: response\r\n"), F.col("digest"))
-    keyed = headers.select("page_id", "header", full.alias("needs"))
-    joined = keyed.join(payloads.select("digest", "packed"), F.col("needs") == F.col("digest"), "left")
-    return joined.select("page_id", "header", "packed").mapInArrow(rebuilt, "page_id long, record binary")
+    return _joined(payloads, headers).mapInArrow(run, "page_id long, record binary")
+
+
+_READ = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("fault", pa.string())])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for records in _rebuilt(batches):
+        out = []
+        for record in records:
+            r = parse_record(record)
+            payload, fault = r["payload"], None
+            if r["declared"] != r["length"]:
+                fault = "length"
+            elif payload is not None and hashlib.sha256(payload).hexdigest() != r["digest"]:
+                fault = "digest"
+            out.append((r["page_id"], r["record_type"], r["refers_to"], r["digest"], None if payload is None else len(payload), fault))
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(_READ)
+        yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, _READ, strict=True)], schema=_READ)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Writes the archive of pages, reads it back and returns per record: page_id, payload_bytes, payload_digest, record_type,
-    refers_to. Digest and size are those of the stored bytes; a record whose payload is missing or damaged raises an error."""
+    """Writes the archive of pages, rebuilds its records by joins, parses their bytes and returns per record: page_id, payload_bytes,
+    payload_digest, record_type, refers_to. A revisit's size is that of the response that it refers to, found by page_id and digest. A
+    record whose payload or response is missing or damaged raises an error. Null html: an empty payload, a response; null page_ids and
+    repeated rows pass through; an empty table gives no row."""
     payloads, headers = write_archive(pages)
-    stored = verify(payloads).select(F.col("digest").alias("of"), "found", "found_size", "intact")
-    read = parse_headers(headers).join(stored, F.col("digest") == F.col("of"), "left")
-    sound = F.coalesce(F.col("intact"), F.lit(False)) & (F.col("length") == F.col("http_length") + F.when(F.col("record_type") == "response", F.col("found_size")).otherwise(0))
-    checked = F.when(sound, F.col("found")).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))))
-    return read.select("page_id", F.col("found_size").alias("payload_bytes"), checked.cast("string").alias("payload_digest"), "record_type", "refers_to")
+    read = written(_joined(payloads, headers).mapInArrow(_read, "page_id long, record_type string, refers_to long, digest string, payload_bytes long, fault string"), "warc-read")
+    # A page_id may be repeated with one payload: one row of it is enough to resolve revisits.
+    of = read.where(f"record_type = 'response' and payload_bytes >= {REVISIT_BYTES}").groupBy(F.col("digest").alias("of"), F.col("page_id").alias("at")).agg(F.max("payload_bytes").alias("size"))
+    revisits = read.where("record_type = 'revisit'").join(of, (F.col("digest") == F.col("of")) & F.col("refers_to").eqNullSafe(F.col("at")), "left")
+    columns = ["page_id", "digest", "record_type", "refers_to", "fault"]
+    every = read.where("record_type = 'response'").select(*columns, "payload_bytes").unionByName(revisits.select(*columns, F.col("size").alias("payload_bytes")))
+    damage = F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("payload_bytes").isNull(), F.lit("no response"))
+    checked = F.when(damage.isNull(), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(": "), damage)))
+    return every.select("page_id", "payload_bytes", checked.cast("string").alias("payload_digest"), "record_type", "refers_to")

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quillmesh.llm import warc_store as A
@@ -43,6 +44,10 @@ def test_round_trip(spark):
         block = bytes(r.record).split(b"\r\n\r\n", 1)[1][:-4]
         length = int(head[r.page_id].split("Content-Length: ")[1].split("\r\n")[0])
         assert len(block) == length and b"\nEvil" not in head[r.page_id].encode()
+        parsed = A.parse_record(bytes(r.record))
+        url = next(u for p, u, _ in table if p == r.page_id) or ""
+        assert parsed["uri"] == url.replace("\r", "%0D").replace("\n", "%0A") and parsed["declared"] == parsed["length"]
+        assert (parsed["payload"] is None) == (want[r.page_id][2] == "revisit") and parsed["refers_to"] == want[r.page_id][3]
 
 
 def test_damage_is_noticed(spark):
@@ -52,6 +57,22 @@ def test_damage_is_noticed(spark):
     assert [r.intact for r in A.verify(payloads.withColumn("digest", F.lit("0" * 64))).collect()] == [False]
 
 
+def test_damaged_records_raise(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "u", BIG), (2, "u", BIG)], "page_id long, url string, html string")
+    payloads, headers = A.write_archive(df)
+    spoilt = payloads.withColumn("packed", F.lit(zstandard.ZstdCompressor().compress(b"x" * len(BIG))))
+    for broken in ((spoilt, headers), (payloads, headers.where("page_id = 2")), (payloads.limit(0), headers)):
+        monkeypatch.setattr(A, "write_archive", lambda pages, broken=broken: broken)
+        with pytest.raises(Exception, match="damaged record of page"):
+            A.archive_pages(df).collect()
+
+
+def test_a_long_payload(spark):
+    html = "<p>é</p>" * 400_000
+    got = A.archive_pages(spark.createDataFrame([(1, "u", html), (2, "v", html)], "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(1, 9 * 400_000, "response"), (2, 9 * 400_000, "revisit")]
+
+
 @pytest.mark.parametrize("table", [[], [(None, None, None), (2, "u", BIG), (2, "u", BIG)]])
 def test_edges(spark, table):
     got = A.archive_pages(spark.createDataFrame(table, "page_id long, url string, html string")).collect()
