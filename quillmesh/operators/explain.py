@@ -46,7 +46,7 @@ add("aggregate_influence", "SELECT i.relation, i.neighbour, CAST(count(*) AS BIG
 add("neighbour_tables", "SELECT i.relation, CAST(count(DISTINCT i.target) AS BIGINT) AS targets, CAST(count(*) AS BIGINT) AS edges, round(avg(abs(i.delta_margin)), 6) AS mean_abs, round(avg(CASE WHEN i.out_of_range THEN 1e0 ELSE 0e0 END), 6) AS outside, max(d.median_degree) AS median_degree FROM {influence} i JOIN (SELECT relation, $Q($DBL(degree), 0.5) AS median_degree FROM (SELECT DISTINCT relation, target, degree FROM {influence}) t GROUP BY relation) d ON d.relation = i.relation GROUP BY i.relation", "O-EX21")
 add("top_influencers", "SELECT relation, neighbour, place FROM (SELECT relation, neighbour, row_number() OVER (PARTITION BY relation ORDER BY total DESC, neighbour) AS place FROM {aggregate_influence}) r WHERE place <= 10", "O-EX21 O-EX29")
 add("neighbour_shapley", """
-    SELECT relation, target, neighbour, round(avg(coalesce(now_mean - before_mean, now_mean)), 6) AS phi FROM (
+    SELECT relation, target, neighbour, round(avg(coalesce(now_mean - before_mean, now_mean)), 6) + 0e0 AS phi FROM (
         SELECT relation, target, neighbour, p, now_mean, lag(now_mean) OVER (PARTITION BY relation, target, p ORDER BY k) AS before_mean FROM (
             SELECT relation, target, neighbour, p, avg(v) OVER (PARTITION BY relation, target, p ORDER BY h, neighbour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now_mean, row_number() OVER (PARTITION BY relation, target, p ORDER BY h, neighbour) AS k
             FROM (SELECT e.relation, e.target, e.neighbour, e.v, q.p, $H(81, q.p / 2, e.target, e.neighbour) * CASE WHEN q.p % 2 = 0 THEN 1 ELSE -1 END AS h FROM {edge_values} e CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS p FROM {region} WHERE r_regionkey < 4) q ) x) y) z

@@ -146,10 +146,14 @@ add("gnn_data", "SELECT i.node_id, i.label, f.fold, i.group_id, 'train' AS part
 # Feature blocks
 
 _OWN = [f"own__f0{i}" for i in range(7)]
-add("own_long", " UNION ALL ".join(f"SELECT o.node_id, '{c}' AS name, o.{c} AS v, s.split, s.label FROM {{own_block}} o JOIN {{split_nodes}} s ON s.node_id = o.node_id" for c in _OWN), public=False)
+_VALUE = "CASE c.b " + " ".join(f"WHEN {i} THEN o.{c}" for i, c in enumerate(_OWN)) + " END"
+add("own_long", f"SELECT o.node_id, 'own__f0' || CAST(c.b AS VARCHAR(2)) AS name, {_VALUE} AS v, s.split, s.label FROM {{own_block}} o JOIN {{split_nodes}} s ON s.node_id = o.node_id CROSS JOIN $SERIES({len(_OWN)}) c", public=False,
+    oracle=" UNION ALL ".join(f"SELECT o.node_id, '{c}' AS name, o.{c} AS v, s.split, s.label FROM {{own_block}} o JOIN {{split_nodes}} s ON s.node_id = o.node_id" for c in _OWN))
 add("column_spec", """
-    SELECT name, CAST(count(DISTINCT v) AS BIGINT) AS n_unique, CASE WHEN count(DISTINCT v) = 1 THEN 'constant' WHEN count(DISTINCT v) = 2 THEN 'binary'
-        WHEN bool_and(v = round(v)) AND count(DISTINCT v) <= 20 THEN 'ordinal' ELSE 'continuous' END AS kind FROM {own_long} WHERE split = 'train' GROUP BY name""", "O-FT5 O-ST3 O-FB7")
+    SELECT name, CAST(count(DISTINCT v) AS BIGINT) AS n_unique, CASE WHEN count(DISTINCT v) <= 1 THEN 'constant' WHEN count(DISTINCT v) = 2 THEN 'binary'
+        WHEN bool_and(v = round(v)) THEN 'ordinal' ELSE 'continuous' END AS kind FROM {own_long} WHERE split = 'train' GROUP BY name""", "O-FT5 O-ST3 O-FB7",
+    oracle="""WITH kinds AS (SELECT name, len(list(DISTINCT v)) AS n, count(*) FILTER (WHERE v <> trunc(v)) AS parts FROM {own_long} WHERE split = 'train' AND v IS NOT NULL GROUP BY name)
+        SELECT name, CAST(n AS BIGINT) AS n_unique, CASE WHEN n < 2 THEN 'constant' WHEN n = 2 THEN 'binary' WHEN parts = 0 THEN 'ordinal' ELSE 'continuous' END AS kind FROM kinds""")
 add("own_view", "SELECT node_id, own__f01, own__f02, own__f04 FROM {own_block}", "O-FB3 O-FB1 O-FB2")
 add("feature_join", "SELECT o.*, d.deg__cpm_degree, d.deg__cns_degree, d.deg__cdp_degree FROM {own_view} o JOIN {deg_block} d ON d.node_id = o.node_id", "O-FB4")
 add("validate_block", f"""

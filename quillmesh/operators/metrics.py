@@ -5,10 +5,12 @@ Scores are reduced to distinct (score, label counts) before any window, so a win
 
 from __future__ import annotations
 
-import quillmesh.operators.graph  # noqa: F401  defines the inputs
+from quillmesh.operators.graph import add_ranks
 from quillmesh.plans.dialect import LIBRARY
 
 add = LIBRARY.add
+#: Draws of a group bootstrap.
+DRAWS = 1_000
 
 # Scores of two models for labelled nodes, rounded so that ties occur; predictions in the long layout
 
@@ -23,41 +25,66 @@ add("predictions", """
 
 # Audit
 
-add("labelled_values", "SELECT name, v, CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS p FROM {own_long} WHERE split = 'train' GROUP BY name, v", public=False)
+add("labelled_values", "SELECT name, v, CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS p FROM {own_long} WHERE split = 'train' AND v IS NOT NULL GROUP BY name, v", public=False)
+add("value_ranges", """
+    SELECT name, b, coalesce(sum(n) OVER (PARTITION BY name ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_before, coalesce(sum(p) OVER (PARTITION BY name ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p_before,
+        sum(n) OVER (PARTITION BY name) AS total, sum(p) OVER (PARTITION BY name) AS pos FROM (SELECT name, CAST(floor(sign(v) * ln(1e0 + abs(v)) * 256e0) AS BIGINT) AS b, sum(n) AS n, sum(p) AS p FROM {labelled_values} GROUP BY name, CAST(floor(sign(v) * ln(1e0 + abs(v)) * 256e0) AS BIGINT)) g""", public=False)
 add("value_ranks", """
-    SELECT name, v, n, p, coalesce(sum(n - p) OVER (PARTITION BY name ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
-        sum(p) OVER (PARTITION BY name ORDER BY v DESC) AS tp_from, sum(n - p) OVER (PARTITION BY name ORDER BY v DESC) AS fp_from, sum(n) OVER (PARTITION BY name) AS total, sum(p) OVER (PARTITION BY name) AS pos
-    FROM {labelled_values}""", public=False)
-add("value_auroc", "SELECT name, CAST(sum(p * (neg_below + 0.5e0 * (n - p))) AS DOUBLE) / nullif(max(pos) * (max(total) - max(pos)), 0) AS auroc FROM {value_ranks} GROUP BY name", public=False)
+    SELECT r.name, r.v, r.n, r.p, r.n_upto - r.n - (r.p_upto - r.p) AS neg_below, r.pos - r.p_upto + r.p AS tp_from, (r.total - r.pos) - (r.n_upto - r.p_upto) + (r.n - r.p) AS fp_from, r.p_upto AS tp_upto, r.n_upto - r.p_upto AS fp_upto, r.total, r.pos
+    FROM (SELECT l.name, l.v, l.n, l.p, g.n_before + sum(l.n) OVER (PARTITION BY l.name, g.b ORDER BY l.v) AS n_upto, g.p_before + sum(l.p) OVER (PARTITION BY l.name, g.b ORDER BY l.v) AS p_upto, g.total, g.pos
+        FROM {labelled_values} l JOIN {value_ranges} g ON g.name = l.name AND g.b = CAST(floor(sign(l.v) * ln(1e0 + abs(l.v)) * 256e0) AS BIGINT)) r""", public=False)
+add("value_auroc", "SELECT name, CASE WHEN count(*) > 1 THEN CAST(sum(p * (neg_below + 0.5e0 * (n - p))) AS DOUBLE) / nullif(max(pos) * (max(total) - max(pos)), 0) END AS auroc FROM {value_ranks} GROUP BY name", public=False,
+    oracle="""WITH ranked AS (SELECT name, label, v, rank() OVER (PARTITION BY name ORDER BY v) + (count(*) OVER (PARTITION BY name, v) - 1) / 2e0 AS r FROM {own_long} WHERE split = 'train' AND v IS NOT NULL),
+        sums AS (SELECT name, sum(r) FILTER (WHERE label = 1) AS s, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS q, count(DISTINCT v) AS k FROM ranked GROUP BY name)
+        SELECT name, CASE WHEN k > 1 AND p > 0 AND q > 0 THEN (s - p * (p + 1) / 2e0) / (p * q) END AS auroc FROM sums""")
 add("oriented_auroc", "SELECT name, round(greatest(auroc, 1e0 - auroc), 9) AS auroc, auroc < 0.5e0 AS flipped FROM {value_auroc}", "O-AU1")
 add("feature_audit", """
-    SELECT s.name, s.kind, s.n_unique, r.low, r.high, r.nulls, round(greatest(a.auroc, 1e0 - a.auroc), 9) AS auroc, greatest(a.auroc, 1e0 - a.auroc) >= 0.95e0 AS shortcut
+    SELECT s.name, s.kind, s.n_unique, r.low, r.high, r.nulls, s.kind = 'constant' AS constant, round(greatest(a.auroc, 1e0 - a.auroc), 9) AS auroc, coalesce(greatest(a.auroc, 1e0 - a.auroc) >= 0.95e0, false) AS shortcut
     FROM {column_spec} s JOIN (SELECT name, min(v) AS low, max(v) AS high, CAST(sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls FROM {own_long} WHERE split = 'train' GROUP BY name) r ON r.name = s.name
-    JOIN {value_auroc} a ON a.name = s.name""", "O-AU2 O-ST4")
+    LEFT JOIN {value_auroc} a ON a.name = s.name""", "O-AU2 O-ST4")
 _ALL = "own__f01, own__f02, own__f03, own__f04, own__f05"
 add("split_rows", f"SELECT s.split, {_ALL} FROM {{own_block}} o JOIN {{split_nodes}} s ON s.node_id = o.node_id", public=False)
 add("duplicate_counts", f"""
     SELECT 'within_' || split AS what, CAST(sum(n - 1) AS BIGINT) AS rows_found FROM (SELECT split, {_ALL}, count(*) AS n FROM {{split_rows}} WHERE split <> 'unlabelled' GROUP BY split, {_ALL}) g GROUP BY split
     UNION ALL SELECT 'test_in_train', CAST(count(*) AS BIGINT) FROM {{split_rows}} t WHERE t.split = 'test' AND EXISTS (SELECT 1 FROM {{split_rows}} r WHERE r.split = 'train' AND {" AND ".join(f"r.{c} = t.{c}" for c in _ALL.split(", "))})""", "O-AU3")
-add("group_sizes", "SELECT split, group_id, count(*) AS size FROM {split_nodes} GROUP BY split, group_id", public=False)
-add("group_table", "SELECT split, CAST(size AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS groups FROM {group_sizes} GROUP BY split, size", "O-AU4")
+add("group_sizes", "SELECT split, group_id, count(*) AS size FROM {split_nodes} WHERE is_labelled GROUP BY split, group_id", public=False)
+add("group_table", "SELECT split, CAST(size AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS groups, CAST(size * count(*) AS BIGINT) AS n_nodes FROM {group_sizes} GROUP BY split, size", "O-AU4",
+    oracle="WITH sized AS (SELECT split, count(*) OVER (PARTITION BY split, group_id) AS size FROM {split_nodes} WHERE label IS NOT NULL) SELECT split, CAST(size AS BIGINT) AS size, CAST(count(*) // size AS BIGINT) AS groups, CAST(count(*) AS BIGINT) AS n_nodes FROM sized GROUP BY split, size")
 add("group_purity", """
-    SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN y = majority THEN 1e0 ELSE 0e0 END), 9) AS purity FROM (
-        SELECT y, CASE WHEN avg($DBL(y)) OVER (PARTITION BY group_id) >= 0.5e0 THEN 1 ELSE 0 END AS majority, count(*) OVER (PARTITION BY group_id) AS size FROM {scored}) s WHERE size > 1""", "O-AU5")
+    SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS groups, round(sum(CASE WHEN 2 * p >= n THEN p ELSE n - p END) / nullif($DBL(sum(n)), 0), 9) AS purity
+    FROM (SELECT group_id, count(*) AS n, sum(label) AS p FROM {split_nodes} WHERE split = 'train' GROUP BY group_id) g WHERE n > 1""", "O-AU5",
+    oracle="""WITH train AS (SELECT label, group_id, avg(label) OVER (PARTITION BY group_id) AS share, count(*) OVER (PARTITION BY group_id) AS size FROM {split_nodes} WHERE split = 'train')
+        SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT group_id) AS BIGINT) AS groups, round(avg(CASE WHEN (share >= 0.5) = (label = 1) THEN 1e0 ELSE 0e0 END), 9) AS purity FROM train WHERE size > 1""")
 add("edge_labels", "SELECT e.relation, a.label AS ya, b.label AS yb, a.split AS sa, b.split AS sb FROM {edges_canonical} e JOIN {split_nodes} a ON a.node_id = e.src JOIN {split_nodes} b ON b.node_id = e.dst", public=False)
 add("labelled_degrees", """
     SELECT r.relation, n.node_id, coalesce(d.degree, 0) AS degree FROM {split_nodes} n CROSS JOIN (SELECT DISTINCT relation FROM {edges_canonical}) r
     LEFT JOIN {degree_by_relation} d ON d.node_id = n.node_id AND d.relation = r.relation WHERE n.label IS NOT NULL""", public=False)
 add("relation_homophily", """
     SELECT e.relation, e.edges, round(d.mean_degree, 9) AS mean_degree, round(d.isolated, 9) AS isolated, e.train_train, round(e.homophily, 9) AS homophily, round(e.positive_homophily, 9) AS positive_homophily
-    FROM (SELECT relation, CAST(count(*) AS BIGINT) AS edges, CAST(sum(CASE WHEN sa = 'train' AND sb = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train_train, avg(CASE WHEN ya IS NOT NULL AND yb IS NOT NULL THEN CASE WHEN ya = yb THEN 1e0 ELSE 0e0 END END) AS homophily,
-            2e0 * sum(CASE WHEN ya = 1 AND yb = 1 THEN 1 ELSE 0 END) / nullif(2 * sum(CASE WHEN ya = 1 AND yb = 1 THEN 1 ELSE 0 END) + sum(CASE WHEN ya + yb = 1 THEN 1 ELSE 0 END), 0) AS positive_homophily FROM {edge_labels} GROUP BY relation) e
-    JOIN (SELECT relation, avg($DBL(degree)) AS mean_degree, avg(CASE WHEN degree = 0 THEN 1e0 ELSE 0e0 END) AS isolated FROM {labelled_degrees} GROUP BY relation) d ON d.relation = e.relation""", "O-AU6")
-add("value_ap", "SELECT name, sum(p / nullif($DBL(pos), 0) * (tp_from / $DBL(tp_from + fp_from))) AS ap FROM {value_ranks} GROUP BY name, pos", public=False)
+    FROM (SELECT relation, CAST(count(*) AS BIGINT) AS edges, CAST(sum(inside) AS BIGINT) AS train_train, sum(CASE WHEN inside = 1 AND ya = yb THEN 1 ELSE 0 END) / nullif($DBL(sum(inside)), 0) AS homophily,
+            2e0 * sum(CASE WHEN inside = 1 AND ya + yb = 2 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN inside = 1 THEN ya + yb ELSE 0 END), 0) AS positive_homophily
+        FROM (SELECT relation, ya, yb, CASE WHEN sa = 'train' AND sb = 'train' THEN 1 ELSE 0 END AS inside FROM {edge_labels}) l GROUP BY relation) e
+    JOIN (SELECT relation, avg($DBL(degree)) AS mean_degree, avg(CASE WHEN degree = 0 THEN 1e0 ELSE 0e0 END) AS isolated FROM {labelled_degrees} GROUP BY relation) d ON d.relation = e.relation""", "O-AU6",
+    oracle="""WITH inside AS (SELECT e.relation, a.label AS x, b.label AS y FROM {edges_canonical} e JOIN {split_nodes} a ON a.node_id = e.src AND a.split = 'train' JOIN {split_nodes} b ON b.node_id = e.dst AND b.split = 'train'),
+        ends AS (SELECT relation, unnest([src, dst]) AS node_id FROM {edges_canonical}), sizes AS (SELECT relation, node_id, count(*) AS d FROM ends GROUP BY ALL),
+        labelled AS (SELECT r.relation, coalesce(s.d, 0) AS d FROM {split_nodes} n CROSS JOIN (SELECT DISTINCT relation FROM {edges_canonical}) r LEFT JOIN sizes s ON s.node_id = n.node_id AND s.relation = r.relation WHERE n.is_labelled)
+        SELECT r.relation, r.edges, (SELECT round(avg(d), 9) FROM labelled l WHERE l.relation = r.relation) AS mean_degree, (SELECT round(avg(CASE WHEN d = 0 THEN 1e0 ELSE 0e0 END), 9) FROM labelled l WHERE l.relation = r.relation) AS isolated,
+            (SELECT count(*) FROM inside i WHERE i.relation = r.relation) AS train_train, (SELECT round(avg(CASE WHEN x = y THEN 1e0 ELSE 0e0 END), 9) FROM inside i WHERE i.relation = r.relation) AS homophily,
+            (SELECT round(2e0 * count(*) FILTER (WHERE x = 1 AND y = 1) / nullif(sum(x) + sum(y), 0), 9) FROM inside i WHERE i.relation = r.relation) AS positive_homophily
+        FROM (SELECT relation, count(*) AS edges FROM {edges_canonical} GROUP BY relation) r""")
+add("oriented_ranks", """
+    SELECT r.name, r.p, CASE WHEN coalesce(a.auroc, 0.5e0) >= 0.5e0 THEN 'high' ELSE 'low' END AS direction, coalesce(a.auroc, 0.5e0) AS auroc, CASE WHEN coalesce(a.auroc, 0.5e0) >= 0.5e0 THEN r.tp_from ELSE r.tp_upto END AS tp,
+        CASE WHEN coalesce(a.auroc, 0.5e0) >= 0.5e0 THEN r.fp_from ELSE r.fp_upto END AS fp, r.total, r.pos FROM {value_ranks} r JOIN {value_auroc} a ON a.name = r.name""", public=False)
 add("single_feature_check", """
-    SELECT r.name, CASE WHEN max(a.auroc) >= 0.5e0 THEN 'high' ELSE 'low' END AS direction, round(greatest(max(a.auroc), 1e0 - max(a.auroc)), 9) AS auroc, round(max(p.ap), 9) AS pr_auc,
-        round(max(greatest((tp_from / nullif($DBL(pos), 0) + 1e0 - fp_from / nullif($DBL(total - pos), 0)) / 2e0, (1e0 - tp_from / nullif($DBL(pos), 0) + fp_from / nullif($DBL(total - pos), 0)) / 2e0)), 9) AS best_balanced
-    FROM {value_ranks} r JOIN {value_auroc} a ON a.name = r.name JOIN {value_ap} p ON p.name = r.name GROUP BY r.name""", "O-AU9")
+    SELECT name, direction, round(greatest(max(auroc), 1e0 - max(auroc)), 9) AS auroc, round(sum(p / nullif($DBL(pos), 0) * (tp / $DBL(tp + fp))), 9) AS pr_auc,
+        round(max((tp / nullif($DBL(pos), 0) + 1e0 - fp / nullif($DBL(total - pos), 0)) / 2e0), 9) AS best_balanced, CAST(count(*) AS BIGINT) AS n_unique, CAST(max(total) AS BIGINT) AS n_train
+    FROM {oriented_ranks} GROUP BY name, direction""", "O-AU9",
+    oracle="""WITH signs AS (SELECT name, coalesce(auroc, 0.5e0) AS auroc, CASE WHEN coalesce(auroc, 0.5e0) >= 0.5e0 THEN 1 ELSE -1 END AS sign FROM {value_auroc}),
+        scores AS (SELECT l.name, s.auroc, s.sign, s.sign * l.v AS score, l.label FROM {own_long} l JOIN signs s ON s.name = l.name WHERE l.split = 'train' AND l.v IS NOT NULL),
+        steps AS (SELECT name, auroc, sign, score, sum(label) AS p, count(*) AS n FROM scores GROUP BY ALL),
+        cuts AS (SELECT name, auroc, sign, p, sum(p) OVER w AS tp, sum(n) OVER w AS taken, sum(p) OVER (PARTITION BY name) AS pos, sum(n) OVER (PARTITION BY name) AS total FROM steps WINDOW w AS (PARTITION BY name ORDER BY score DESC))
+        SELECT name, CASE sign WHEN 1 THEN 'high' ELSE 'low' END AS direction, round(greatest(auroc, 1 - auroc), 9) AS auroc, round(sum(p / CAST(pos AS DOUBLE) * tp / taken), 9) AS pr_auc,
+            round(max((tp / CAST(pos AS DOUBLE) + 1 - (taken - tp) / CAST(total - pos AS DOUBLE)) / 2), 9) AS best_balanced, CAST(count(*) AS BIGINT) AS n_unique, CAST(max(total) AS BIGINT) AS n_train FROM cuts GROUP BY name, sign, auroc""")
 add("vote_ratio_check", """
     SELECT name, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN ratio <= 0.2e0 THEN 1e0 ELSE 0e0 END), 9) AS low_share, round(avg(CASE WHEN ratio >= 0.8e0 THEN 1e0 ELSE 0e0 END), 9) AS high_share,
         round(avg(CASE WHEN total = 0 THEN 1e0 ELSE 0e0 END), 9) AS zero_share, min(total) AS min_total
@@ -105,10 +132,11 @@ add("f1_curve", "SELECT s, n, p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVE
 add("f1_threshold", "SELECT s AS threshold, round(2e0 * tp / (taken + pos), 9) AS f1 FROM {f1_curve} ORDER BY 2e0 * tp / (taken + pos) DESC, s DESC LIMIT 1", "O-EV4")
 add("test_metrics", f"""
     SELECT cut, tp, fp, fn, tn, {_FROM} FROM (SELECT 'chosen' AS cut, {_confusion('t.pa', 'h.threshold')} FROM {{test_scores}} t CROSS JOIN {{f1_threshold}} h UNION ALL SELECT 'half', {_confusion('pa', '0.5e0')} FROM {{test_scores}}) c""", "O-EV3 O-EV9")
-add("draws", """
-    SELECT d.b, k.group_id, CAST(count(*) AS BIGINT) AS times FROM (SELECT CAST(n_nationkey AS BIGINT) AS b FROM {nation}) d
-    CROSS JOIN (SELECT CAST(row_number() OVER (ORDER BY group_id) - 1 AS BIGINT) AS i, count(*) OVER () AS groups FROM (SELECT DISTINCT group_id FROM {test_scores}) x) i
-    JOIN (SELECT group_id, CAST(row_number() OVER (ORDER BY group_id) - 1 AS BIGINT) AS i FROM (SELECT DISTINCT group_id FROM {test_scores}) y) k ON k.i = $H(61, d.b, i.i) % i.groups GROUP BY d.b, k.group_id""", public=False)
+add("test_groups", "SELECT group_id, CAST(count(*) AS BIGINT) AS rows_in FROM {test_scores} GROUP BY group_id", public=False)
+add_ranks("group_order", "test_groups", "group_id", "CAST(floor(group_id / 1024e0) AS BIGINT)", "group_id")
+add("draws", f"""
+    SELECT d.b, k.group_id, CAST(count(*) AS BIGINT) AS times FROM (SELECT r.b, i.place, i.total FROM {{group_order}} i CROSS JOIN $SERIES({DRAWS}) r) d
+    JOIN {{group_order}} k ON k.place = $H(61, d.b, d.place) % d.total GROUP BY d.b, k.group_id""", public=False)
 
 
 def _drawn(score: str) -> str:
@@ -127,7 +155,7 @@ add("recall_at_k", """
 add("fold_scores", "SELECT p.model, p.settings, p.fold, round(avg((p.y - p.prob) * (p.y - p.prob)), 9) AS brier, max(a.ap) AS ap, max(u.auroc) AS auroc FROM {predictions} p JOIN {average_precision} a ON a.model = p.model AND a.settings = p.settings AND a.fold = p.fold JOIN {auroc} u ON u.model = p.model AND u.settings = p.settings AND u.fold = p.fold GROUP BY p.model, p.settings, p.fold", "O-EV10")
 add("nested_scores", "SELECT s.node_id, f.fold AS outer_fold, round(s.pa + f.fold / 100e0, 4) AS score FROM {scored} s CROSS JOIN (SELECT DISTINCT fold FROM {folds_table}) f WHERE s.split = 'train' AND s.cv_fold <> f.fold", public=False)
 add("nested_coverage", "SELECT f.fold AS outer_fold, CAST(count(s.node_id) AS BIGINT) AS covered, CAST(sum(CASE WHEN s.node_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM (SELECT x.fold, i.node_id FROM {folds_table} i CROSS JOIN (SELECT DISTINCT fold FROM {folds_table}) x WHERE i.fold <> x.fold) f LEFT JOIN {nested_scores} s ON s.node_id = f.node_id AND s.outer_fold = f.fold GROUP BY f.fold", "O-EV11 O-IO13")
-add("nested_overlay", "SELECT s.node_id, x.fold AS outer_fold, coalesce(n.score, s.pa) AS score FROM {scored} s CROSS JOIN (SELECT DISTINCT fold FROM {folds_table} WHERE fold < 2) x LEFT JOIN {nested_scores} n ON n.node_id = s.node_id AND n.outer_fold = x.fold WHERE s.split = 'train'", "O-EV11 O-FT10")
+add("nested_overlay", "SELECT s.node_id, x.fold AS outer_fold, coalesce(n.score, s.pa) AS score FROM {scored} s CROSS JOIN (SELECT DISTINCT fold FROM {folds_table}) x LEFT JOIN {nested_scores} n ON n.node_id = s.node_id AND n.outer_fold = x.fold WHERE s.split = 'train'", "O-EV11 O-FT10")
 add("logit_block", "SELECT node_id, round(ln(greatest(1e-6, least(1e0 - 1e-6, pa)) / (1e0 - greatest(1e-6, least(1e0 - 1e-6, pa)))), 6) AS gnnsup__score, round(1e0 / (1e0 + exp(-pa)), 9) AS sig FROM {scored}", "O-FT10 O-FT11")
 add("config_cv", "SELECT model, CASE WHEN model = 'lr' THEN 'filter' ELSE 'none' END AS selection, settings, avg(ap) AS cv_mean, stddev_samp(ap) AS cv_sd, CAST(count(*) AS BIGINT) AS folds FROM {average_precision} GROUP BY model, settings", public=False)
 add("metrics_table", """
@@ -136,10 +164,15 @@ add("metrics_table", """
 add("best_default_row", "SELECT model, selection, round(cv_mean, 9) AS cv_mean FROM {config_cv} WHERE settings = 'default' AND model <> 'dummy' ORDER BY cv_mean DESC, model LIMIT 1", "O-EV13 O-ST17")
 add("configuration_oof", "SELECT p.node_id, p.fold, p.prob FROM {predictions} p JOIN {best_default_row} b ON b.model = p.model AND coalesce(b.selection, '') = coalesce(p.selection, '') WHERE p.settings = 'default'", "O-EV13 O-IO12 O-EV26")
 add("deltas", "SELECT CAST(o_custkey % 12 AS BIGINT) AS contrast, CAST(o_orderkey % 5 AS BIGINT) AS split, round((avg(o_totalprice) - 150000e0) / 1e6, 6) AS delta FROM {orders} WHERE o_custkey % 12 <> 7 OR o_orderkey % 5 < 1 GROUP BY o_custkey % 12, o_orderkey % 5", public=False)
-add("contrast_stats", "SELECT contrast, CAST(count(*) AS BIGINT) AS n, avg(delta) AS mean, stddev_samp(delta) AS sd, min(delta) AS least, avg(delta) / nullif(sqrt((1e0 / count(*) + 0.25e0) * var_samp(delta)), 0) AS t FROM {deltas} GROUP BY contrast", public=False)
+add("contrast_stats", """
+    SELECT contrast, n, mean, coalesce(sd, 0e0) AS sd, least, CASE WHEN n < 2 THEN NULL WHEN sd > 0 THEN mean / sqrt((1e0 / n + 0.25e0) * sd * sd) WHEN mean = 0 THEN 0e0 ELSE CAST('Infinity' AS DOUBLE) END AS t
+    FROM (SELECT contrast, CAST(count(*) AS BIGINT) AS n, avg(delta) AS mean, stddev_samp(delta) AS sd, min(delta) AS least FROM {deltas} GROUP BY contrast) d""", public=False)
 add("corrected_t", "SELECT contrast, n, round(mean, 9) AS mean, round(t, 6) AS t, n - 1 AS df FROM {contrast_stats}", "O-EV14 O-EV22")
-add("p_values", "SELECT contrast, n, mean, coalesce(sd, 0e0) AS sd, least, round(least(1e0, exp(-0.717e0 * abs(coalesce(t, 0e0)) - 0.416e0 * coalesce(t, 0e0) * coalesce(t, 0e0))), 9) AS p FROM {contrast_stats}", public=False)
-add("verdicts", "SELECT contrast, p, CASE WHEN least > 0 AND mean > sd AND p < 0.05e0 THEN 'supported' WHEN mean < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM {p_values}", "O-EV15 O-EV23")
+add("p_values", "SELECT contrast, n, mean, sd, least, round(CASE WHEN sd > 0 THEN $P(t, (n - 1)) WHEN mean = 0 THEN 1e0 ELSE 0e0 END, 9) AS p FROM {contrast_stats} WHERE n > 1", public=False)
+add("corrected_p", "SELECT contrast, p FROM {p_values}", "O-EV14")
+add("verdicts", """
+    SELECT s.contrast, p.p, CASE WHEN s.least > 0 AND s.mean > s.sd AND coalesce(p.p < 0.05e0, false) THEN 'supported' WHEN s.mean > 0 THEN 'not distinguishable' ELSE 'worse' END AS verdict
+    FROM {contrast_stats} s LEFT JOIN {p_values} p ON p.contrast = s.contrast""", "O-EV15 O-EV23")
 add("repeat_summary", "SELECT metric, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd FROM (SELECT fold, 'ap' AS metric, ap AS v FROM {fold_scores} WHERE model = 'gbt' AND settings = 'tuned' UNION ALL SELECT fold, 'auroc', auroc FROM {fold_scores} WHERE model = 'gbt' AND settings = 'tuned' UNION ALL SELECT fold, 'brier', brier FROM {fold_scores} WHERE model = 'gbt' AND settings = 'tuned') m GROUP BY metric", "O-EV16")
 add("best_gnn", "SELECT other AS pick, round(gain, 9) AS gain FROM (SELECT b.model || '/' || b.settings AS other, avg(b.ap - a.ap) AS gain, stddev_samp(b.ap - a.ap) AS sd, count(*) AS n FROM {average_precision} a JOIN {average_precision} b ON b.fold = a.fold WHERE a.model = 'dummy' AND b.model <> 'dummy' GROUP BY b.model, b.settings) g WHERE gain > sd / sqrt($DBL(n)) ORDER BY gain DESC, other LIMIT 1", "O-EV17 O-ML9")
 add("choose_k", "SELECT min(k) AS k FROM (SELECT CASE model WHEN 'dummy' THEN 1 WHEN 'lr' THEN 8 ELSE 16 END AS k, cv_mean, max(cv_mean) OVER () AS top, max_by(cv_sd / sqrt($DBL(folds)), cv_mean) OVER () AS se FROM {config_cv} WHERE settings = 'default') c WHERE cv_mean >= top - se", "O-EV18")

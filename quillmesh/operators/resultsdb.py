@@ -58,9 +58,10 @@ add("wide_deltas", "SELECT contrast, " + ", ".join(f"max(CASE WHEN split = {k} T
 add("split_deltas", "SELECT contrast, split, delta FROM (" + " UNION ALL ".join(f"SELECT contrast, {k} AS split, d{k} AS delta FROM {{wide_deltas}}" for k in range(5)) + ") u WHERE delta IS NOT NULL", "O-DB21")
 add("pairs", "SELECT a.dataset, a.budget_read, a.suffix, a.base AS a, b.base AS b, a.split, a.test_pr_auc AS va, b.test_pr_auc AS vb, b.test_pr_auc - a.test_pr_auc AS delta, CASE WHEN a.base = 'own' THEN 'graph' ELSE 'other' END AS family FROM {one_run} a JOIN {one_run} b ON b.dataset = a.dataset AND b.budget_read = a.budget_read AND b.suffix = a.suffix AND b.split = a.split AND a.base < b.base", public=False)
 add("all_contrasts", """
-    SELECT dataset, budget_read, suffix, a, b, family, n, round(mean, 7) AS mean, round(p, 7) AS p, round(max(least(1e0, (m - rn + 1) * p)) OVER (PARTITION BY dataset, budget_read, suffix, family ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 7) AS p_holm, round(headroom, 7) AS headroom
+    SELECT dataset, budget_read, suffix, a, b, family, n, round(mean, 7) AS mean, round(p, 7) AS p, CASE WHEN family = 'graph' THEN round(max(least(1e0, (m - rn + 1) * p)) OVER (PARTITION BY dataset, budget_read, suffix, family ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 7) END AS p_holm, round(headroom, 7) AS headroom
     FROM (SELECT c.*, row_number() OVER (PARTITION BY dataset, budget_read, suffix, family ORDER BY p, a, b) AS rn, count(*) OVER (PARTITION BY dataset, budget_read, suffix, family) AS m FROM (
-        SELECT dataset, budget_read, suffix, a, b, family, CAST(count(*) AS BIGINT) AS n, avg(delta) AS mean, round(exp(-abs(avg(delta)) * 20e0), 9) AS p, avg(delta) / (1e0 - avg(va)) AS headroom FROM {pairs} GROUP BY dataset, budget_read, suffix, a, b, family) c) d""", "O-DB22 O-EV23")
+        SELECT dataset, budget_read, suffix, a, b, family, n, mean, headroom, round(CASE WHEN n < 2 THEN 1e0 WHEN sd > 0 THEN $P(mean / sqrt((1e0 / n + 1e0 / (n - 1)) * sd * sd), (n - 1)) WHEN mean = 0 THEN 1e0 ELSE 0e0 END, 9) AS p
+            FROM (SELECT dataset, budget_read, suffix, a, b, family, CAST(count(*) AS BIGINT) AS n, avg(delta) AS mean, stddev_samp(delta) AS sd, avg(delta) / (1e0 - avg(va)) AS headroom FROM {pairs} GROUP BY dataset, budget_read, suffix, a, b, family) e) c) d""", "O-DB22 O-EV23")
 add("current_contrasts", "SELECT dataset, a, b, budget_read, n, older FROM (SELECT dataset, a, b, budget_read, n, row_number() OVER (PARTITION BY dataset, a, b ORDER BY n DESC, budget_read, suffix) AS rn, CAST(count(*) OVER (PARTITION BY dataset, a, b) - 1 AS BIGINT) AS older FROM {all_contrasts}) c WHERE rn = 1", "O-DB23")
 add("replication_splits", "SELECT p.dataset, p.budget_read, p.suffix, p.a, p.b, p.split, CAST(count(*) AS BIGINT) AS explained FROM {pairs} p JOIN {usable_runs} x ON x.dataset = p.dataset AND x.budget_read = p.budget_read AND x.suffix = p.suffix AND x.base = p.a AND x.split = p.split JOIN {usable_runs} y ON y.dataset = p.dataset AND y.budget_read = p.budget_read AND y.suffix = p.suffix AND y.base = p.b AND y.split = p.split WHERE abs((y.test_pr_auc - x.test_pr_auc) - p.delta) <= 1e-6 GROUP BY p.dataset, p.budget_read, p.suffix, p.a, p.b, p.split", "O-DB24")
 add("key_questions", "SELECT dataset, a, b, max(CASE WHEN budget_read = 'full' THEN mean END) AS full_mean, max(CASE WHEN budget_read = 'pilot' THEN mean END) AS pilot_mean FROM {all_contrasts} WHERE suffix = '' AND a IN ('own', 'gnn') GROUP BY dataset, a, b", "O-DB25")

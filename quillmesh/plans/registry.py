@@ -131,11 +131,6 @@ def saved_model_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predict(path, _get(spark, sf_dir, "own_block")[0], OWN)
 
 
-def corrected_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (stats,) = _get(spark, sf_dir, "contrast_stats")
-    return models.corrected_p(stats)
-
-
 def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.sources.files import file_digests as digests
 
@@ -143,7 +138,7 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (components, swap_rewire, rewired_degrees, grouped_folds, pca_block, raw_block, embedding_rank, gbt_probe, permutation_importance, sign_mlp, untrained_encoder, corrected_p, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests)
+    f.__name__: f for f in (components, swap_rewire, rewired_degrees, grouped_folds, pca_block, raw_block, embedding_rank, gbt_probe, permutation_importance, sign_mlp, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests)
 }
 QUERIES = {n: LIBRARY.query(n) for n in LIBRARY.public} | CUSTOM
 ORACLES = {n: LIBRARY.oracle(n) for n in LIBRARY.public} | {"raw_block": "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS gnnraw__z{i + 1:02d}" for i in range(16)) + " FROM embeddings"}
