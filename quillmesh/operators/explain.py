@@ -56,8 +56,11 @@ add("group_shapley", """
     SELECT node_id, round(0.5e0 * (max(CASE WHEN mask = 1 THEN v END) - max(CASE WHEN mask = 0 THEN v END)) + 0.5e0 * (max(CASE WHEN mask = 3 THEN v END) - max(CASE WHEN mask = 2 THEN v END)), 7) AS orders, round(0.5e0 * (max(CASE WHEN mask = 2 THEN v END) - max(CASE WHEN mask = 0 THEN v END)) + 0.5e0 * (max(CASE WHEN mask = 3 THEN v END) - max(CASE WHEN mask = 1 THEN v END)), 7) AS person
     FROM (SELECT s.node_id, c.mask, sum(CASE WHEN s.player = 'orders' AND c.mask % 2 = 1 OR s.player = 'person' AND c.mask >= 2 THEN s.total ELSE 0e0 END) AS v FROM {summed_by_group} s CROSS JOIN {coalitions} c GROUP BY s.node_id, c.mask) m GROUP BY node_id""", "O-EX16")
 add("interactions", "SELECT a.name AS first_name, b.name AS second_name, round(avg(abs(a.phi * b.phi)), 6) AS strength FROM {attributions} a JOIN {attributions} b ON b.node_id = a.node_id AND a.name < b.name GROUP BY a.name, b.name", "O-EX27")
-add("roar_scores", "SELECT fold, k, kind, round(ap - k * CASE WHEN kind = 'top' THEN 0.03e0 ELSE 0.01e0 END - ($H(91, fold, k, kind, r) % 100) / 10000e0, 6) AS ap FROM (SELECT fold, ap FROM {average_precision} WHERE model = 'gbt' AND settings = 'tuned') a CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 3 UNION ALL SELECT 5) k CROSS JOIN (SELECT 'top' AS kind, 0 AS r UNION ALL SELECT 'random', 0 UNION ALL SELECT 'random', 1) d", public=False)
-add("roar_summary", "SELECT t.k, round(t.mean, 6) AS top_mean, round(r.mean, 6) AS random_mean, round(r.sd, 6) AS random_sd, t.mean < r.mean AS beats_random FROM (SELECT k, avg(m) AS mean FROM (SELECT k, fold, avg(ap) AS m FROM {roar_scores} WHERE kind = 'top' GROUP BY k, fold) x GROUP BY k) t JOIN (SELECT k, avg(m) AS mean, stddev_samp(m) AS sd FROM (SELECT k, fold, avg(ap) AS m FROM {roar_scores} WHERE kind = 'random' GROUP BY k, fold) y GROUP BY k) r ON r.k = t.k", "O-EX18 O-EX17 O-ST14")
+# Removal and retraining, from its rows (see models.roar): given as the input `roar_scores`.
+add("roar_by_fold", "SELECT k, fold, kind, avg(pr_auc) AS ap FROM {roar_scores} WHERE kind IN ('top_k', 'random') GROUP BY k, fold, kind", public=False)
+add("roar_summary", """
+    SELECT t.k, round(t.mean, 6) AS top_mean, round(r.mean, 6) AS random_mean, round(r.sd, 6) AS random_sd, t.mean < r.mean AS beats_random
+    FROM (SELECT k, avg(ap) AS mean FROM {roar_by_fold} WHERE kind = 'top_k' GROUP BY k) t JOIN (SELECT k, avg(ap) AS mean, stddev_samp(ap) AS sd FROM {roar_by_fold} WHERE kind = 'random' GROUP BY k) r ON r.k = t.k""", "O-EX18 O-EX17 O-ST14")
 add("rank_recurrence", "SELECT name, CAST(sum(CASE WHEN place <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS in_top, round(avg($DBL(place)), 6) AS mean_rank, CAST(min(place) AS BIGINT) AS best, CAST(max(place) AS BIGINT) AS worst FROM {drawn_ranks} GROUP BY name", "O-EX22")
 add("vectors", "SELECT node_id, max(CASE WHEN name = 'own__f01' THEN phi END) AS a, max(CASE WHEN name = 'own__f02' THEN phi END) AS b, max(CASE WHEN name = 'own__f04' THEN phi END) AS c FROM {attributions} GROUP BY node_id", public=False)
 add("knn_cards", "SELECT node_id, near, place FROM (SELECT q.node_id, v.node_id AS near, row_number() OVER (PARTITION BY q.node_id ORDER BY round((q.a - v.a) * (q.a - v.a) + (q.b - v.b) * (q.b - v.b) + (q.c - v.c) * (q.c - v.c), 5), v.node_id) AS place FROM (SELECT * FROM {vectors} WHERE node_id % 20 = 0) q JOIN {vectors} v ON v.node_id <> q.node_id) n WHERE place <= 5", "O-EX29 O-DQ4")

@@ -1,23 +1,25 @@
-"""Operators that iterate or fit: components, rewiring, grouped folds, PCA, probes, importance, SIGN, encoders.
+"""Operators that iterate or fit: components, rewiring, grouped folds, PCA, probes, importance, removal and retraining, encoders.
 
-Models run in pyspark.ml on the cluster. What reaches the driver is bounded: a row for each group (folds), a matrix of features
-x features (PCA), or a few metrics.
+Boosted trees are fitted on a bounded sample of training rows (`forest.SAMPLE_ROWS`; all rows where there are fewer), many fits side by
+side in tasks; rows are scored where they are. Networks are trained in data-parallel passes (`encoders`). What reaches the
+driver is bounded: the sample, a matrix of features x features (PCA), one row for each group (folds), weights or metrics.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmesh.operators import forest
 from quillmesh.operators.components import connected_components
 from quillmesh.storage import written
 
@@ -49,36 +51,60 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     return ranged.withColumn("__r", rank).join(F.broadcast(at), "__p").select(key, (F.col("__at") + F.col("__r")).alias(name))
 
 
-def swap_rewire(edges: DataFrame, swaps_per_edge: float = 2.0, max_rounds: int = 12, seed: int = 3) -> DataFrame:
-    """(src, dst): double-edge swaps in batches. Every node keeps its degree; there are no loops and no repeated edges.
+def dealt(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """(key, from_key): a seeded permutation of the distinct keys, by two numberings (no single-task window)."""
+    own = rows.select(F.col(key).cast("long").alias(key)).distinct()
+    mixed = own.select(F.struct(hashed(seed, key).alias("h"), F.col(key).alias("k")).alias("o"))
+    return numbered(own, key, "i").join(numbered(mixed, "o", "i").select("i", F.col("o.k").alias(f"from_{key}")), "i").select(key, f"from_{key}")
+
+
+def swap_rewire(edges: DataFrame, swaps_per_edge: float = 10.0, max_rounds: int = 500, seed: int = 3) -> tuple[DataFrame, dict[str, int]]:
+    """((relation, src, dst), swaps made in each relation): double-edge swaps in batches, in all relations at once. Every node
+    keeps its degree; there are no loops and no repeated edges. It ends when every relation has its swaps, when a round makes none, or
+    after `max_rounds`; the counts tell which.
 
     A round pairs edges in a hashed order and proposes (a,b),(c,d) -> (a,d),(c,b). Proposals that make a loop, an edge that exists,
     or an edge that another proposal makes are dropped. Pairs are formed within hashed buckets, so no task sees all edges.
     """
-    now = written(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct(), "rewire")
-    total = now.count()
-    target, done = swaps_per_edge * total, 0
-    buckets = max(1, total // 2000)
+    now = written(edges.select("relation", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct(), "rewire")
+    total = {r.relation: r["count"] for r in now.groupBy("relation").count().collect()}
+    done, at = dict.fromkeys(total, 0), ["relation", "src", "dst"]
+    buckets = max(1, max(total.values(), default=1) // 2000)
     for turn in range(max_rounds):
-        keyed = now.withColumn("h", hashed(seed + turn, "src", "dst")).withColumn("b", F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(buckets)))
-        place = F.row_number().over(Window.partitionBy("b").orderBy("h", "src", "dst")) - 1
-        halves = keyed.withColumn("i", place).withColumn("pair", F.floor(F.col("i") / 2))
-        left = halves.where("i % 2 = 0").select("b", "pair", F.col("src").alias("a"), F.col("dst").alias("z"), "h")
-        right = halves.where("i % 2 = 1").select("b", "pair", F.col("src").alias("c"), F.col("dst").alias("d"))
-        made = left.join(right, ["b", "pair"]).withColumn("id", F.struct("b", "pair"))
+        left = [r for r in total if done[r] < swaps_per_edge * total[r]]
+        if not left:
+            break
+        keyed = now.where(F.col("relation").isin(left)).withColumn("h", hashed(seed + turn, "src", "dst")).withColumn("b", F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(buckets)))
+        place = F.row_number().over(Window.partitionBy("relation", "b").orderBy("h", "src", "dst")) - 1
+        # Two edges of a pair meet in one aggregate.
+        halves = keyed.withColumn("i", place).groupBy("relation", "b", F.floor(F.col("i") / 2).alias("pair"))
+        pick = lambda side, c: F.max(F.when(F.col("i") % 2 == side, F.col(c)))
+        made = halves.agg(pick(0, "src").alias("a"), pick(0, "dst").alias("z"), pick(1, "src").alias("c"), pick(1, "dst").alias("d"), pick(0, "h").alias("h")).where("c is not null").withColumn("id", F.struct("b", "pair"))
         flip = F.pmod("h", F.lit(2)) == 0  # either way of crossing the two edges
-        made = made.select("id", "a", "z", "c", "d", F.when(flip, F.col("d")).otherwise(F.col("c")).alias("p"), F.when(flip, F.col("c")).otherwise(F.col("d")).alias("q"))
-        new = made.select("id", "a", "z", "c", "d", F.least("a", "p").alias("s1"), F.greatest("a", "p").alias("t1"), F.least("q", "z").alias("s2"), F.greatest("q", "z").alias("t2")).where("s1 <> t1 and s2 <> t2 and not (s1 = s2 and t1 = t2)")
-        long = new.select("id", F.explode(F.array(F.struct(F.col("s1").alias("src"), F.col("t1").alias("dst")), F.struct(F.col("s2").alias("src"), F.col("t2").alias("dst")))).alias("e")).select("id", "e.src", "e.dst")
-        bad = long.join(now, ["src", "dst"], "left_semi").select("id").unionByName(long.join(long.groupBy("src", "dst").count().where("count > 1"), ["src", "dst"]).select("id")).distinct()
-        good = written(new.join(bad, "id", "left_anti"), "swaps")
-        out = good.select(F.col("a").alias("src"), F.col("z").alias("dst")).unionByName(good.select(F.col("c").alias("src"), F.col("d").alias("dst")))
-        into = good.select(F.col("s1").alias("src"), F.col("t1").alias("dst")).unionByName(good.select(F.col("s2").alias("src"), F.col("t2").alias("dst")))
-        now = written(now.join(out, ["src", "dst"], "left_anti").unionByName(into), "rewire")
-        done += good.count()
-        if done >= target:
+        made = made.select("relation", "id", "a", "z", "c", "d", F.when(flip, F.col("d")).otherwise(F.col("c")).alias("p"), F.when(flip, F.col("c")).otherwise(F.col("d")).alias("q"))
+        new = made.select("relation", "id", "a", "z", "c", "d", F.least("a", "p").alias("s1"), F.greatest("a", "p").alias("t1"), F.least("q", "z").alias("s2"), F.greatest("q", "z").alias("t2")).where("s1 <> t1 and s2 <> t2 and not (s1 = s2 and t1 = t2)")
+        new = written(new, "proposed")
+        long = new.select("relation", "id", F.explode(F.array(F.struct(F.col("s1").alias("src"), F.col("t1").alias("dst")), F.struct(F.col("s2").alias("src"), F.col("t2").alias("dst")))).alias("e")).select("relation", "id", "e.src", "e.dst")
+        bad = long.join(now, at, "left_semi").select("relation", "id").unionByName(long.join(long.groupBy(*at).count().where("count > 1"), at).select("relation", "id")).distinct()
+        good = written(new.join(bad, ["relation", "id"], "left_anti"), "swaps")
+        out = good.select("relation", F.col("a").alias("src"), F.col("z").alias("dst")).unionByName(good.select("relation", F.col("c").alias("src"), F.col("d").alias("dst")))
+        into = good.select("relation", F.col("s1").alias("src"), F.col("t1").alias("dst")).unionByName(good.select("relation", F.col("s2").alias("src"), F.col("t2").alias("dst")))
+        now = written(now.join(out, at, "left_anti").unionByName(into), "rewire")
+        found = {r.relation: r["count"] for r in good.groupBy("relation").count().collect()}
+        if not found:
             break
-    return now
+        for r, n in found.items():
+            done[r] += n
+    return now, done
+
+
+def rewired_report(edges: DataFrame, **settings: float) -> DataFrame:
+    """(relation, edges, swaps, surviving): swaps made and the share of the old edges that are still there."""
+    after, swaps = swap_rewire(edges, **settings)
+    same = edges.select("relation", "src", "dst").distinct().join(after.withColumn("kept", F.lit(1)), ["relation", "src", "dst"], "left")
+    made = edges.sparkSession.createDataFrame(sorted(swaps.items()) or [("", 0)], "relation string, swaps long")
+    out = same.groupBy("relation").agg(F.count("*").alias("edges"), F.round(F.count("kept") / F.count("*"), 9).alias("surviving"))
+    return out.join(made, "relation").select("relation", "edges", "swaps", "surviving")
 
 
 def grouped_folds(groups: DataFrame, folds: int) -> list[tuple[int, int]]:
@@ -146,55 +172,101 @@ def effective_rank(vectors: DataFrame, columns: list[str]) -> DataFrame:
     return vectors.sparkSession.createDataFrame([row], "constant int, numerical_rank int, effective_rank double, k90 int")
 
 
-def average_precision(scored: DataFrame, score: str, label: str) -> float:
-    """AP over distinct scores: sums over a window of one row for each distinct (rounded) score."""
-    curve = scored.groupBy(F.round(score, 4).alias("s")).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    w = Window.orderBy(F.desc("s"))
-    curve = curve.select("p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("taken"))
-    found = curve.agg((F.sum(F.col("p") * F.col("tp") / F.col("taken")) / F.sum("p")).alias("ap")).first()
-    return float(found.ap) if found.ap is not None else float("nan")
-
-
-def probe(rows: DataFrame, columns: list[str], folds: list[int], trees: int = 8) -> DataFrame:
-    """(fold, ap): a fixed boosted-tree probe fitted outside each saved fold and scored on it. rows: columns, label, fold."""
-    assembled = VectorAssembler(inputCols=columns, outputCol="x").transform(rows.where("fold is not null")).select("x", F.col("label").cast("double").alias("label"), "fold").persist()
-    out = []
-    for k in folds:
-        model = GBTClassifier(featuresCol="x", maxIter=trees, maxDepth=3, seed=7).fit(assembled.where(F.col("fold") != k))
-        scored = model.transform(assembled.where(F.col("fold") == k)).select("label", vector_to_array("probability")[1].alias("p"))
-        out.append((k, round(average_precision(scored, "p", "label"), 6)))
-    assembled.unpersist()
-    return rows.sparkSession.createDataFrame(out, "fold int, ap double")
-
-
-def permutation_importance(rows: DataFrame, columns: list[str], fold: int, shuffles: int = 2, trees: int = 8) -> DataFrame:
-    """(name, drop): loss of AP on a fold when one column's values are dealt to other rows, in a hashed order, averaged."""
-    held = rows.where(F.col("fold") == fold).select("node_id", "label", *columns).persist()
-    maker = VectorAssembler(inputCols=columns, outputCol="x")
-    model = GBTClassifier(featuresCol="x", maxIter=trees, maxDepth=3, seed=7).fit(maker.transform(rows.where(F.col("fold") != fold)).select("x", F.col("label").cast("double").alias("label")))
-
-    def ap(frame: DataFrame) -> float:
-        return average_precision(model.transform(maker.transform(frame)).select("label", vector_to_array("probability")[1].alias("p")), "p", "label")
-
-    whole, out = ap(held), []
-    for c in columns:
-        drops = []
-        for s in range(shuffles):
-            here = held.withColumn("__i", F.row_number().over(Window.orderBy("node_id")))
-            dealt = held.select(F.col(c).alias("__v"), F.row_number().over(Window.orderBy(hashed(17 + s, "node_id"), "node_id")).alias("__i"))
-            drops.append(whole - ap(here.join(dealt, "__i").withColumn(c, F.col("__v"))))
-        out.append((c, round(sum(drops) / len(drops), 6)))
-    held.unpersist()
-    return rows.sparkSession.createDataFrame(out, "name string, drop double")
-
-
-def sign_classifier(hops: DataFrame, columns: list[str], fold: int, seed: int = 5) -> DataFrame:
-    """(node_id, prob): a multilayer perceptron over precomputed hop features, fitted on the training rows outside `fold` and
-    applied to every node. hops: node_id, columns, label, fold."""
-    data = VectorAssembler(inputCols=columns, outputCol="x").transform(hops)
-    train = data.where((F.col("fold") != fold) & F.col("label").isNotNull()).select("x", F.col("label").cast("double").alias("label"))
-    model = MultilayerPerceptronClassifier(featuresCol="x", layers=[len(columns), 8, 2], maxIter=25, seed=seed).fit(train)
-    return model.transform(data).select("node_id", F.round(vector_to_array("probability")[1], 4).alias("prob"))
+def fan_out(spark: SparkSession, jobs: list[tuple], work: Callable[..., list[tuple]], ddl: str) -> DataFrame:
+    """The rows of work(*job) of all jobs, a task each. What `work` closes over (a bounded sample) goes to the tasks once."""
+    columns = [c.split()[0] for c in ddl.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                rows = work(*jobs[i])
+                if rows:
+                    yield pa.record_batch([pa.array(list(c)) for c in zip(*rows, strict=True)], columns)
+
+    return spark.range(len(jobs)).repartition(max(1, len(jobs)), "id").mapInArrow(run, ddl)
+
+
+def probe(rows: DataFrame, columns: list[str], trees: int = 30) -> DataFrame:
+    """(fold, ap): a fixed boosted-tree probe fitted outside each saved fold and scored on it. rows: node_id, columns, label, fold."""
+    _, x, y, fold = forest.sampled(rows, columns)
+
+    def work(k: int) -> list[tuple]:
+        model = forest.fit(x[fold != k], y[fold != k], trees=trees)
+        return [(k, round(forest.ranking_score(y[fold == k], model.margin(x[fold == k])), 6))]
+
+    return fan_out(rows.sparkSession, [(int(k),) for k in np.unique(fold)], work, "fold long, ap double")
+
+
+def permutation_importance(rows: DataFrame, columns: list[str], shuffles: int = 10, trees: int = 30) -> DataFrame:
+    """(name, importance, sd, folds, place): for each fold a probe fitted outside it, and the mean loss of AP on the fold over
+    `shuffles` shuffles of one column; then mean and deviation over the folds, and the place by mean."""
+    _, x, y, fold = forest.sampled(rows, columns)
+
+    def work(k: int) -> list[tuple]:
+        held = fold == k
+        model, hx, hy = forest.fit(x[~held], y[~held], trees=trees), x[held], y[held]
+        whole, out = forest.ranking_score(hy, model.margin(hx)), []
+        for j, name in enumerate(columns):
+            drops = []
+            for s in range(shuffles):
+                moved = hx.copy()
+                moved[:, j] = moved[np.random.default_rng([17, k, s]).permutation(len(moved)), j]
+                drops.append(whole - forest.ranking_score(hy, model.margin(moved)))
+            out.append((k, name, float(np.mean(drops))))
+        return out
+
+    found = fan_out(rows.sparkSession, [(int(k),) for k in np.unique(fold)], work, "fold long, name string, drop double")
+    out = found.groupBy("name").agg(F.round(F.avg("drop"), 6).alias("importance"), F.round(F.stddev_samp("drop"), 6).alias("sd"), F.count("*").alias("folds"))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "name")))  # one row for each column
+
+
+def importance_of(model: forest.Forest, x: np.ndarray, most: int = 1000) -> np.ndarray:
+    """Mean absolute Shapley value of each column over at most `most` rows, evenly spaced."""
+    return np.abs(model.shapley(x[:: max(1, len(x) // most)][:most])).mean(0) if len(x) else np.zeros(x.shape[1])
+
+
+def roar(rows: DataFrame, columns: list[str], players: dict[str, list[str]], top_ks: tuple[int, ...] = (1, 2, 4), draws: int = 5, trees: int = 20, seed: int = 0) -> DataFrame:
+    """(fold, kind, name, k, draw, pr_auc, drop): AP on each held-out fold after removing columns and fitting again: each player, the
+    k columns of highest attribution in the fold's own baseline model, and k random columns (the same draws in every fold)."""
+    _, x, y, fold = forest.sampled(rows, columns)
+    removals = [("baseline", "baseline", 0, 0)] + [("block", n, len(c), 0) for n, c in sorted(players.items()) if len(c) < len(columns)]
+    for k in top_ks:
+        if k < len(columns):
+            removals += [("top_k", f"top {k}", k, 0), *[("random", f"random {k}", k, d) for d in range(draws)]]
+
+    def work(of: int, kind: str, name: str, k: int, draw: int) -> list[tuple]:
+        held = fold == of
+        first = forest.fit(x[~held], y[~held], trees=trees, depth=3)
+        base = forest.ranking_score(y[held], first.margin(x[held]))
+        if kind == "baseline":
+            return [(of, kind, name, k, draw, round(base, 6), 0.0)]
+        if kind == "top_k":
+            gone = set(np.argsort(-importance_of(first, x[~held]), kind="stable")[:k].tolist())
+        elif kind == "block":
+            gone = {columns.index(c) for c in players[name]}
+        else:
+            gone = set(np.random.default_rng([seed, k, draw]).choice(len(columns), size=k, replace=False).tolist())
+        keep = [j for j in range(len(columns)) if j not in gone]
+        model = forest.fit(x[~held][:, keep], y[~held], trees=trees, depth=3)
+        value = forest.ranking_score(y[held], model.margin(x[held][:, keep]))
+        return [(of, kind, name, k, draw, round(value, 6), round(base - value, 6))]
+
+    jobs = [(int(f), *r) for f in np.unique(fold) for r in removals]
+    return fan_out(rows.sparkSession, jobs, work, "fold long, kind string, name string, k long, draw long, pr_auc double, drop double")
+
+
+def tree_shapley(rows: DataFrame, columns: list[str], trees: int = 20, depth: int = 3) -> DataFrame:
+    """(node_id, base, margin, phi_<column>...): exact Shapley values of a boosted-tree model fitted on the training rows, for every
+    row; base + the values is the margin."""
+    _, x, y, _ = forest.sampled(rows, columns)
+    model = forest.fit(x, y, trees=trees, depth=depth)
+    base = model.expected()
+
+    def score(values: np.ndarray) -> np.ndarray:
+        parts = model.shapley(values)
+        return np.round(np.column_stack([np.full(len(values), base), model.margin(values), parts]), 9)
+
+    return forest.scored(rows, columns, ["base", "margin", *[f"phi_{c}" for c in columns]], score)
 
 
 def untrained_encoder(block: DataFrame, weights: DataFrame, columns: list[str], dim: int = 4, seed: int = 19) -> DataFrame:
@@ -216,115 +288,97 @@ def untrained_encoder(block: DataFrame, weights: DataFrame, columns: list[str],
     return h.select("node_id", *[F.round(z, 5).alias(z) for z in names])
 
 
-def student_t_tail(t: float, df: float) -> float:
-    """Two-sided p of Student's t: the regularised incomplete beta function by its continued fraction."""
-    if not math.isfinite(t):
-        return 0.0 if t == t else float("nan")
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    flipped = x > (a + 1) / (a + b + 2)
-    if flipped:
-        x, a, b = 1 - x, b, a
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    value = d
-    for m in range(1, 300):
-        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + step * d or 1e-300)
-            c = 1 + step / c or 1e-300
-            value *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    p = front * value
-    return 1 - p if flipped else p
-
-
-def corrected_p(stats: DataFrame) -> DataFrame:
-    """(contrast, t, p) from (contrast, n, t): one small row for each contrast."""
-    rows = [(r.contrast, r.t, None if r.t is None or r.n < 2 else round(student_t_tail(r.t, r.n - 1), 9)) for r in stats.collect()]
-    return stats.sparkSession.createDataFrame(rows, "contrast long, t double, p double")
-
-
-def cross_fit(rows: DataFrame, columns: list[str], folds: list[int], nested: bool = False, trees: int = 6) -> DataFrame:
+def cross_fit(rows: DataFrame, columns: list[str], nested: bool = False, trees: int = 20) -> DataFrame:
     """(outer_fold, node_id, score): out-of-fold scores of training rows, and for rows without a fold the mean over the folds'
     models. nested: for each outer fold the rows outside it are scored by models that saw neither their own fold nor the outer
     one; else outer_fold is null. Positives weigh as negatives do together. rows: node_id, columns, label, fold."""
-    data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).select("node_id", "x", F.col("label").cast("double").alias("label"), "fold").persist()
-
-    def fitted(without: set[int]):
-        train = data.where(F.col("fold").isNotNull() & ~F.col("fold").isin(*without))
-        share = train.agg(F.avg("label")).first()[0] or 0.5
-        weighted = train.withColumn("w", F.when(F.col("label") == 1, (1 - share) / max(share, 1e-9)).otherwise(1.0))
-        return GBTClassifier(featuresCol="x", weightCol="w", maxIter=trees, maxDepth=3, seed=11).fit(weighted)
-
-    def scored(model, part: DataFrame) -> DataFrame:
-        return model.transform(part).select("node_id", vector_to_array("probability")[1].alias("s"))
-
-    out, rest = None, None
-    for outer in folds if nested else [None]:
-        for k in folds:
-            if k == outer:
-                continue
-            model = fitted({k} | ({outer} if outer is not None else set()))
-            own = scored(model, data.where(F.col("fold") == k)).select(F.lit(outer).cast("int").alias("outer_fold"), "node_id", F.round("s", 6).alias("score"))
-            out = own if out is None else out.unionByName(own)
-            if not nested:
-                others = scored(model, data.where("fold is null"))
-                rest = others if rest is None else rest.unionByName(others)
-    if rest is not None:
-        out = out.unionByName(rest.groupBy("node_id").agg(F.round(F.avg("s"), 6).alias("score")).select(F.lit(None).cast("int").alias("outer_fold"), "node_id", "score"))
-    return out
-
-
-def tree_thresholds(model) -> list[tuple[int, float]]:
-    """(feature, threshold) of every split of a fitted tree ensemble, distinct and sorted."""
-    import re
-
-    return sorted({(int(f), float(t)) for f, t in re.findall(r"If \(feature (\d+) <= ([-+0-9.eE]+)\)", model.toDebugString)})
-
-
-def split_thresholds(rows: DataFrame, columns: list[str], trees: int = 6) -> DataFrame:
-    """(name, threshold) of a boosted-tree model fitted on the rows."""
-    data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).select("x", F.col("label").cast("double").alias("label"))
-    found = tree_thresholds(GBTClassifier(featuresCol="x", maxIter=trees, maxDepth=3, seed=11).fit(data))
+    _, x, y, fold = forest.sampled(rows, columns)
+    folds = [int(k) for k in np.unique(fold)]
+    pairs = [(o, k) for o in folds for k in folds if o != k] if nested else [(None, k) for k in folds]
+
+    def fitted(outer: int | None, k: int) -> forest.Forest:
+        use = (fold != k) & (fold != (k if outer is None else outer))
+        share = y[use].mean() if use.any() else 0.5
+        return forest.fit(x[use], y[use], trees=trees, depth=3, weight=np.where(y[use] == 1, (1 - share) / max(share, 1e-9), 1.0))
+
+    def work(i: int) -> list[tuple]:
+        return [(i, pickle.dumps(fitted(*pairs[i])))]
+
+    made = {r.i: pickle.loads(r.model) for r in fan_out(rows.sparkSession, [(i,) for i in range(len(pairs))], work, "i long, model binary").collect()}
+    names = [f"s{i}" for i in range(len(pairs))]
+    wide = forest.scored(rows, columns, names, lambda v: np.round(np.column_stack([made[i].probability(v) for i in range(len(pairs))]), 6)) if pairs else rows.select("node_id").limit(0)
+    # An array of (outer fold, fold that the model has not seen, score): the entries that are for this row's fold stay.
+    entries = F.array(*[F.struct(F.lit(o).cast("int").alias("outer_fold"), F.lit(k).alias("k"), F.col(n).alias("s")) for (o, k), n in zip(pairs, names, strict=True)])
+    joined = wide.join(rows.select(F.col("node_id").cast("long").alias("node_id"), "fold", "label"), "node_id")
+    known = F.col("fold").isNotNull() & F.col("label").isNotNull()
+    own = joined.where(known).select("node_id", "fold", F.explode(entries).alias("e")).where("e.k = fold").select("e.outer_fold", "node_id", F.col("e.s").alias("score"))
+    if nested:
+        return own
+    mean = F.round(sum(F.col(n) for n in names) / len(names), 6)
+    return own.unionByName(joined.where(~known).select(F.lit(None).cast("int").alias("outer_fold"), "node_id", mean.alias("score")))
+
+
+def split_thresholds(rows: DataFrame, columns: list[str], trees: int = 20) -> DataFrame:
+    """(name, threshold) of every split of a boosted-tree model fitted on the training rows, distinct."""
+    _, x, y, _ = forest.sampled(rows, columns)
+    found = forest.fit(x, y, trees=trees, depth=3).thresholds()
     return rows.sparkSession.createDataFrame([(columns[f], t) for f, t in found], "name string, threshold double")
 
 
-def randomisation_check(rows: DataFrame, columns: list[str], permutations: int = 2, trees: int = 5) -> DataFrame:
-    """(permutation, spearman): agreement of the feature importances of a model on true labels with those of models whose
-    labels were dealt to other rows in a hashed order. rows: node_id, columns, label."""
-    maker = VectorAssembler(inputCols=columns, outputCol="x")
+def spearman(a: np.ndarray, b: np.ndarray) -> float:
+    """Correlation of ranks, ties in the middle; NaN for constants."""
+    ranks = []
+    for v in (a, b):
+        values, place, times = np.unique(v, return_inverse=True, return_counts=True)
+        ranks.append((np.cumsum(times) - (times - 1) / 2)[place])
+    return float(np.corrcoef(*ranks)[0, 1]) if min(r.std() for r in ranks) > 0 else float("nan")
+
+
+def randomisation_check(rows: DataFrame, columns: list[str], permutations: int = 3, trees: int = 20) -> DataFrame:
+    """(run, pr_auc, total_mean_abs, spearman_with_true, prevalence): models fitted outside the first fold with the true labels and
+    with permuted ones, attributed and scored on that fold."""
+    _, x, y, fold = forest.sampled(rows, columns)
+    held = fold == (fold.min() if len(fold) else 0)
+
+    def run_of(labels: np.ndarray) -> tuple[float, np.ndarray]:
+        model = forest.fit(x[~held], labels, trees=trees, depth=3)
+        return forest.ranking_score(y[held], model.margin(x[held])), importance_of(model, x[held])
+
+    def work(i: int) -> list[tuple]:
+        ap, true = run_of(y[~held])
+        if i < 0:
+            return [("true labels", round(ap, 6), round(float(true.sum()), 6), 1.0, round(float(y[held].mean()), 6))]
+        ap, own = run_of(np.random.default_rng([0, i]).permutation(y[~held]))
+        return [(f"permuted labels {i}", round(ap, 6), round(float(own.sum()), 6), round(spearman(true, own), 6), round(float(y[held].mean()), 6))]
+
+    return fan_out(rows.sparkSession, [(i,) for i in range(-1, permutations)], work, "run string, pr_auc double, total_mean_abs double, spearman_with_true double, prevalence double")
+
+
+def propagated(values: DataFrame, columns: list[str], weights: DataFrame, prefix: str = "p_") -> DataFrame:
+    """(relation, node_id, prefix + columns): weighted sums of the neighbours' values. weights: relation, node_id, nb, w."""
+    near = values.select(F.col("node_id").alias("nb"), *[F.col(c).alias(f"__{c}") for c in columns])
+    return weights.join(near, "nb").groupBy("relation", "node_id").agg(*[F.sum(F.col("w") * F.col(f"__{c}")).alias(f"{prefix}{c}") for c in columns])
 
-    def ranking(frame: DataFrame) -> list[float]:
-        model = GBTClassifier(featuresCol="x", maxIter=trees, maxDepth=3, seed=11).fit(maker.transform(frame).select("x", F.col("label").cast("double").alias("label")))
-        weight = model.featureImportances.toArray()
-        order = sorted(range(len(weight)), key=lambda i: (-weight[i], i))
-        return [float(order.index(i)) for i in range(len(weight))]
 
-    truth, out = ranking(rows), []
-    for k in range(permutations):
-        here = numbered(rows.select("node_id").distinct(), "node_id", "i")
-        dealt = numbered(rows.select(F.concat(F.lpad(hashed(23 + k, "node_id").cast("string"), 10, "0"), F.lit("|"), F.col("node_id").cast("string")).alias("key"), "label").select("key").distinct(), "key", "i")
-        labels = dealt.select("i", F.split("key", r"\|")[1].cast("long").alias("from")).join(rows.select(F.col("node_id").alias("from"), "label"), "from").select("i", "label")
-        shuffled = ranking(rows.drop("label").join(here, "node_id").join(labels, "i"))
-        out.append((k, round(float(np.corrcoef(truth, shuffled)[0, 1]), 6)))
-    return rows.sparkSession.createDataFrame(out, "permutation int, spearman double")
+def dgi_inputs(values: DataFrame, columns: list[str], weights: DataFrame, seed: int = 29) -> DataFrame:
+    """(relation, node_id, p_*, q_*): propagated values, and those of a graph whose nodes got the values of others (the corruption)."""
+    moved = dealt(values, "node_id", seed).join(values.select(F.col("node_id").alias("from_node_id"), *columns), "from_node_id").select("node_id", *columns)
+    return written(propagated(values, columns, weights).join(propagated(moved, columns, weights, "q_"), ["relation", "node_id"]), "dgi-inputs")
 
 
 def removal_influence(h: DataFrame, edges: DataFrame, column: str) -> DataFrame:
-    """(target, neighbour, delta): exact change of a target's one-layer graph convolution of `column` when the edge to one
+    """(relation, target, neighbour, delta): exact change of a target's one-layer graph convolution of `column` when the edge to one
     neighbour goes: its degree changes, and so do the weights of all its other edges. h: node_id,
-    column; edges: directed node_id, nb, each once in both directions. The sum over the others comes from one aggregate."""
-    degree = edges.groupBy("node_id").agg(F.count("*").alias("d"))
-    known = h.select("node_id", F.col(column).alias("v")).join(degree, "node_id", "left").select("node_id", "v", F.coalesce("d", F.lit(0)).alias("d"))
-    near = known.select(F.col("node_id").alias("nb"), F.col("v").alias("nv"), F.col("d").alias("nd"))
-    each = edges.select("node_id", "nb").join(near, "nb").withColumn("part", F.col("nv") / F.sqrt(F.col("nd") + 1.0))
-    whole = each.groupBy("node_id").agg(F.sum("part").alias("total"))
-    rows = each.join(whole, "node_id").join(known, "node_id")
+    column; edges: directed relation, node_id, nb, each once in both directions. The sum over the others comes from one aggregate."""
+    degree = edges.groupBy("relation", "node_id").agg(F.count("*").alias("d"))
+    known = degree.join(h.select("node_id", F.col(column).alias("v")), "node_id").select("relation", "node_id", "v", "d")
+    near = known.select("relation", F.col("node_id").alias("nb"), F.col("v").alias("nv"), F.col("d").alias("nd"))
+    each = edges.select("relation", "node_id", "nb").join(near, ["relation", "nb"]).withColumn("part", F.col("nv") / F.sqrt(F.col("nd") + 1.0))
+    whole = each.groupBy("relation", "node_id").agg(F.sum("part").alias("total"))
+    rows = each.join(whole, ["relation", "node_id"]).join(known, ["relation", "node_id"])
     before = F.col("total") / F.sqrt(F.col("d") + 1.0) + F.col("v") / (F.col("d") + 1.0)
     after = F.when(F.col("d") > 1, (F.col("total") - F.col("part")) / F.sqrt(F.col("d") * 1.0)).otherwise(0.0) + F.col("v") / F.col("d")
-    return rows.select(F.col("node_id").alias("target"), F.col("nb").alias("neighbour"), (F.round(before - after, 6) + 0.0).alias("delta"))
+    return rows.select("relation", F.col("node_id").alias("target"), F.col("nb").alias("neighbour"), (F.round(before - after, 6) + 0.0).alias("delta"))
 
 
 def predict(model_path: str, rows: DataFrame, columns: list[str]) -> DataFrame:

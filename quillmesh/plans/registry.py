@@ -14,9 +14,9 @@ import quillmesh.operators.explain
 import quillmesh.operators.graph
 import quillmesh.operators.metrics
 import quillmesh.operators.resultsdb  # noqa: F401  these define the templates
-from quillmesh.operators import models
+from quillmesh.operators import encoders, models
 from quillmesh.plans.dialect import LIBRARY
-from quillmesh.storage import shared_dir, table
+from quillmesh.storage import run_dir, table, written
 
 
 def _get(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -25,7 +25,7 @@ def _get(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [LIBRARY.apply(spark, n, lambda t: table(spark, sf_dir, t), None, built) for n in names]
 
 
-OWN = [f"own__f0{i}" for i in range(1, 7)]
+OWN = [f"own__f0{i}" for i in range(7)]
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +35,19 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def swap_rewire(spark: SparkSession, sf_dir: str) -> DataFrame:
     (edges,) = _get(spark, sf_dir, "edges_canonical")
-    return models.swap_rewire(edges.where("relation = 'cns'"))
+    return models.swap_rewire(edges)[0]
 
 
 def rewired_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every degree before and after: the two must be equal."""
+    (own,) = _get(spark, sf_dir, "edges_canonical")
+    count = lambda e, name: e.select("relation", F.col("src").alias("node_id")).unionByName(e.select("relation", F.col("dst").alias("node_id"))).groupBy("relation", "node_id").agg(F.count("*").alias(name))
+    return count(own, "before").join(count(models.swap_rewire(own)[0], "after"), ["relation", "node_id"], "full")
+
+
+def rewired_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     (edges,) = _get(spark, sf_dir, "edges_canonical")
-    own = edges.where("relation = 'cns'").select("src", "dst")
-    count = lambda e, name: e.select(F.col("src").alias("node_id")).unionByName(e.select(F.col("dst").alias("node_id"))).groupBy("node_id").agg(F.count("*").alias(name))
-    return count(own, "before").join(count(models.swap_rewire(own), "after"), "node_id", "full")
+    return models.rewired_report(edges)
 
 
 def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,21 +56,29 @@ def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(models.grouped_folds(groups, 5), "group_id long, fold int")
 
 
+def _wide_embeddings(spark: SparkSession, sf_dir: str, places: int | None = None) -> DataFrame:
+    """A column for each place of the vectors."""
+    raw = table(spark, sf_dir, "embeddings")
+    places = places or raw.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return raw.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"gnnraw__z{i + 1:02d}") for i in range(places)])
+
+
 def pca_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = _wide_embeddings(spark, sf_dir)
     return models.train_pca(z, "vec_id", z.columns[1:], F.col("vec_id") % 5 < 3, 4)
 
 
-def _wide_embeddings(spark: SparkSession, sf_dir: str, places: int | None = None) -> DataFrame:
-    """A column for each place of the vectors, or for the first `places`."""
-    raw = table(spark, sf_dir, "embeddings")
-    places = places or raw.agg(F.max(F.size("embedding"))).first()[0] or 0
-    return raw.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"gnnraw__z{i + 1:02d}") for i in range(places)])
+def projection_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two components of standardised places, fitted on the training vectors."""
+    z = _wide_embeddings(spark, sf_dir)
+    fit = F.col("vec_id") % 5 < 3
+    stats = z.where(fit).agg(*[f(c).alias(f"{n}_{c}") for c in z.columns[1:] for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = z.select("vec_id", *[((F.col(c) - (stats[f"m_{c}"] or 0.0)) / (stats[f"s_{c}"] or 1.0)).alias(c) for c in z.columns[1:]])
+    return models.train_pca(scaled, "vec_id", z.columns[1:], fit, 2)
 
 
 def raw_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 16 places, as in its oracle."""
-    return _wide_embeddings(spark, sf_dir, 16)
+    return _wide_embeddings(spark, sf_dir, RAW_PLACES)
 
 
 def embedding_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,34 +91,80 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block.join(nodes.where("split = 'train'").select("node_id", "label", F.col("cv_fold").alias("fold")), "node_id")
 
 
+def _all_nodes(spark: SparkSession, sf_dir: str, block: DataFrame, nodes: DataFrame) -> DataFrame:
+    return block.join(nodes.select("node_id", F.when(F.col("split") == "train", F.col("label")).alias("label"), F.col("cv_fold").alias("fold")), "node_id")
+
+
 def gbt_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.probe(_training(spark, sf_dir), OWN, [0, 1])
+    return models.probe(_training(spark, sf_dir), OWN)
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.permutation_importance(_training(spark, sf_dir), OWN[:3], 0, shuffles=1)
+    return models.permutation_importance(_training(spark, sf_dir), OWN)
+
+
+def roar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.roar(_training(spark, sf_dir), OWN, {"orders": OWN[1:4], "person": [OWN[0], *OWN[4:]]})
+
+
+def roar_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LIBRARY.apply(spark, "roar_summary", lambda t: table(spark, sf_dir, t), {"roar_scores": roar(spark, sf_dir)})
+
+
+def tree_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block, nodes = _get(spark, sf_dir, "own_block", "split_nodes")
+    return models.tree_shapley(_all_nodes(spark, sf_dir, block, nodes), OWN)
 
 
 def sign_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     hops, nodes = _get(spark, sf_dir, "sign_hops", "split_nodes")
     wide = hops.groupBy("node_id").pivot("relation", ["cdp", "cns", "cpm"]).agg(F.first("h0").alias("h0"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
-    data = wide.join(nodes.select("node_id", F.when(F.col("split") == "train", F.col("label")).alias("label"), F.col("cv_fold").alias("fold")), "node_id")
-    return models.sign_classifier(data, ["cdp_h0", "cdp_h1", "cdp_h2", "cns_h1", "cns_h2", "cpm_h1", "cpm_h2"], 0)
+    return encoders.cross_fit_mlp(_all_nodes(spark, sf_dir, wide, nodes), ["cdp_h0", "cdp_h1", "cdp_h2", "cns_h1", "cns_h2", "cpm_h1", "cpm_h2"])[0]
+
+
+def _standard(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Standardised own features (wide), weights of the relations and nodes."""
+    weights, z, nodes = _get(spark, sf_dir, "gcn_weights", "standardise", "split_nodes")
+    return written(z.groupBy("node_id").pivot("name", OWN).agg(F.first("z")), "wide"), weights, nodes
+
+
+def rel_sage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relational convolution, trained: root weights and a matrix for each relation's propagated features."""
+    block, weights, nodes = _standard(spark, sf_dir)
+    near = models.propagated(block, OWN, weights).groupBy("node_id").pivot("relation", ["cdp", "cns", "cpm"]).agg(*[F.first(f"p_{c}").alias(c) for c in OWN])
+    columns = [f"{r}_{c}" for r in ("cdp", "cns", "cpm") for c in OWN]
+    return encoders.cross_fit_mlp(_all_nodes(spark, sf_dir, block.join(near.fillna(0.0), "node_id"), nodes), OWN + columns)[0]
+
+
+def dgi_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Self-supervised embeddings, one encoder for each relation; test nodes count in no loss."""
+    block, weights, nodes = _standard(spark, sf_dir)
+    rows = models.dgi_inputs(block, OWN, weights).join(nodes.select("node_id", (F.col("split") != "test").alias("loss")), "node_id")
+    out = None
+    for relation in ("cdp", "cns", "cpm"):
+        z, _ = encoders.train_dgi(rows.where(F.col("relation") == relation), [f"p_{c}" for c in OWN], [f"q_{c}" for c in OWN])
+        own = z.select(F.lit(relation).alias("relation"), *z.columns)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def untrained_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, z = _get(spark, sf_dir, "gcn_weights", "standardise")
-    block = z.groupBy("node_id").pivot("name", OWN).agg(F.first("z"))
-    return models.untrained_encoder(block, weights.where("relation = 'cns'"), OWN)
+    block, weights, _ = _standard(spark, sf_dir)
+    out = None
+    for relation in ("cdp", "cns", "cpm"):
+        z = models.untrained_encoder(block, weights.where(F.col("relation") == relation), OWN)
+        own = z.select(F.lit(relation).alias("relation"), *z.columns)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def cross_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     block, nodes = _get(spark, sf_dir, "own_block", "split_nodes")
-    return models.cross_fit(block.join(nodes.select("node_id", F.when(F.col("split") == "train", F.col("label")).alias("label"), F.col("cv_fold").alias("fold")), "node_id"), OWN, list(range(5)), trees=3)
+    return models.cross_fit(_all_nodes(spark, sf_dir, block, nodes), OWN)
 
 
 def nested_cross_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.cross_fit(_training(spark, sf_dir), OWN, [0, 1, 2], nested=True, trees=3)
+    return models.cross_fit(_training(spark, sf_dir), OWN, nested=True)
 
 
 def split_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,18 +172,18 @@ def split_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def randomisation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.randomisation_check(_training(spark, sf_dir), OWN, permutations=1, trees=3)
+    return models.randomisation_check(_training(spark, sf_dir), OWN)
 
 
 def removal_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, edges = _get(spark, sf_dir, "own_block", "adjacency_directed")
-    return models.removal_influence(own, edges.where("relation = 'cns'"), "own__f01")
+    return models.removal_influence(own, edges, "own__f01")
 
 
 def saved_model_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits, saves to shared storage, loads and scores."""
     rows = _training(spark, sf_dir)
-    path = f"{shared_dir(spark)}/quillmesh/model-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/model-{uuid.uuid4().hex}"
     data = VectorAssembler(inputCols=OWN, outputCol="x").transform(rows).select("x", F.col("label").cast("double").alias("label"))
     GBTClassifier(featuresCol="x", maxIter=4, maxDepth=3, seed=11).fit(data).write().save(path)
     return models.predict(path, _get(spark, sf_dir, "own_block")[0], OWN)
@@ -137,13 +195,24 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark, f"{sf_dir}/nation.parquet")
 
 
+#: Places of the embeddings in `raw_block`: all of them, named here as its oracle has to list them.
+RAW_PLACES = 64
+
 CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (components, swap_rewire, rewired_degrees, grouped_folds, pca_block, raw_block, embedding_rank, gbt_probe, permutation_importance, sign_mlp, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests)
-}
+    f.__name__: f
+    for f in (
+        components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, tree_shapley,
+        sign_mlp, rel_sage, dgi_embeddings, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests,
+    )
+}
 QUERIES = {n: LIBRARY.query(n) for n in LIBRARY.public} | CUSTOM
-ORACLES = {n: LIBRARY.oracle(n) for n in LIBRARY.public} | {"raw_block": "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS gnnraw__z{i + 1:02d}" for i in range(16)) + " FROM embeddings"}
-ORACLES["removal_influence"] = LIBRARY.oracle("adjacency_directed").replace("SELECT * FROM adjacency_directed", """SELECT r.node_id AS target, r.nb AS neighbour, round(
-    (SELECT sum(o.own__f01 / sqrt((d1.d + 1e0) * (d2.d + 1e0))) FROM e x JOIN own o ON o.node_id = x.nb JOIN deg d1 ON d1.node_id = x.node_id JOIN deg d2 ON d2.node_id = x.nb WHERE x.node_id = r.node_id) + t.own__f01 / (g.d + 1e0)
-    - coalesce((SELECT sum(o.own__f01 / sqrt((d1.d - 1 + 1e0) * (d2.d + 1e0))) FROM e x JOIN own o ON o.node_id = x.nb JOIN deg d1 ON d1.node_id = x.node_id JOIN deg d2 ON d2.node_id = x.nb WHERE x.node_id = r.node_id AND x.nb <> r.nb), 0e0) - t.own__f01 / $d, 6) + 0e0 AS delta
-    FROM e r JOIN own t ON t.node_id = r.node_id JOIN deg g ON g.node_id = r.node_id""".replace("$d", "g.d")).replace("WITH ", "WITH own AS (SELECT c.c_custkey AS node_id, CAST(coalesce(f.orders, 0) AS DOUBLE) AS own__f01 FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey), ", 1)
-ORACLES["removal_influence"] = ORACLES["removal_influence"].replace(" SELECT r.node_id AS target", ", e AS (SELECT node_id, nb FROM adjacency_directed WHERE relation = 'cns'), deg AS (SELECT node_id, count(*) AS d FROM e GROUP BY node_id) SELECT r.node_id AS target")
+ORACLES = {n: LIBRARY.oracle(n) for n in LIBRARY.public if n not in CUSTOM} | {
+    "raw_block": "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS gnnraw__z{i + 1:02d}" for i in range(RAW_PLACES)) + " FROM embeddings",
+    # Both sides of the removal, summed over all neighbours but one.
+    "removal_influence": LIBRARY.oracle("adjacency_directed").replace("SELECT * FROM adjacency_directed", """, own AS (SELECT c.c_custkey AS node_id, CAST(coalesce(f.orders, 0) AS DOUBLE) AS v FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey),
+        deg AS (SELECT relation, node_id, count(*) AS d FROM adjacency_directed GROUP BY relation, node_id),
+        parts AS (SELECT a.relation, a.node_id, a.nb, o.v / sqrt(d.d + 1e0) AS part FROM adjacency_directed a JOIN own o ON o.node_id = a.nb JOIN deg d ON d.relation = a.relation AND d.node_id = a.nb),
+        others AS (SELECT relation, node_id, nb, part, sum(part) OVER (PARTITION BY relation, node_id) AS every FROM parts)
+        SELECT p.relation, p.node_id AS target, p.nb AS neighbour, round(p.every / sqrt(g.d + 1e0) + t.v / (g.d + 1e0) - CASE WHEN g.d > 1 THEN (p.every - p.part) / sqrt(g.d + 0e0) ELSE 0e0 END - t.v / g.d, 6) + 0e0 AS delta
+        FROM others p JOIN own t ON t.node_id = p.node_id JOIN deg g ON g.relation = p.relation AND g.node_id = p.node_id""").replace(") , own AS", "), own AS"),
+}

@@ -106,10 +106,69 @@ def test_average_precision_and_auroc_with_ties(spark):
 
 
 def test_verdicts(spark):
-    rows = [(0, 3, 0.025, 0.005, 0.02, 0.01), (1, 3, 0.01, 0.02, -0.01, 0.01), (2, 3, 0.025, 0.005, 0.02, 0.2), (3, 3, -0.01, 0.02, -0.02, 0.01)]
+    rows = [(0, 3, 0.025, 0.005, 0.02, 0.01), (1, 3, 0.01, 0.02, -0.01, 0.01), (2, 3, 0.025, 0.005, 0.02, 0.2), (3, 3, -0.01, 0.02, -0.02, 0.01), (4, 3, 0.0, 0.01, -0.01, 1.0)]
     frame = spark.createDataFrame(rows, "contrast long, n long, mean double, sd double, least double, p double")
-    got = [r.verdict for r in apply(spark, "verdicts", p_values=frame).orderBy("contrast").collect()]
-    assert got == ["supported", "not distinguishable", "not distinguishable", "worse"]
+    got = [r.verdict for r in apply(spark, "verdicts", p_values=frame, contrast_stats=frame).orderBy("contrast").collect()]
+    assert got == ["supported", "not distinguishable", "not distinguishable", "worse", "worse"]
+
+
+def test_p_of_students_t(spark):
+    """Against the integral of the density."""
+    import math
+
+    import numpy as np
+
+    rows = [(i, float(t), df + 1, float(t), 1.0) for i, (t, df) in enumerate((t, df) for df in (1, 2, 3, 4, 5, 9, 10, 24) for t in (0.0, 0.3, -1.0, 2.5, 7.0))]
+    frame = spark.createDataFrame([(i, n, m, sd, 0.0, t) for i, t, n, m, sd in rows], "contrast long, n long, mean double, sd double, least double, t double")
+    got = {r.contrast: r.p for r in apply(spark, "p_values", contrast_stats=frame).collect()}
+    for i, t, n, *_ in rows:
+        df, x = n - 1, np.linspace(0, abs(t), 200_001)
+        density = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+        assert got[i] == pytest.approx(1 - 2 * np.trapezoid(density, x), abs=1e-7)
+    flat = spark.createDataFrame([(0, 3, 0.1, 0.0, 0.1, float("inf")), (1, 3, 0.0, 0.0, 0.0, 0.0), (2, 1, 0.1, 0.0, 0.1, None)], "contrast long, n long, mean double, sd double, least double, t double")
+    assert {r.contrast: r.p for r in apply(spark, "p_values", contrast_stats=flat).collect()} == {0: 0.0, 1: 1.0}
+
+
+def test_audit_of_training_nodes_only(spark):
+    nodes = spark.createDataFrame([(0, 1, True, 5, "train", 0), (1, 1, True, 5, "train", 0), (2, 0, True, 5, "train", 1), (3, 0, True, 6, "test", None), (4, 1, True, 6, "test", None), (5, None, False, 6, "unlabelled", None), (6, 0, True, 7, "train", 1)], "node_id long, label int, is_labelled boolean, group_id long, split string, cv_fold long")
+    (p,) = apply(spark, "group_purity", split_nodes=nodes).collect()
+    assert (p.n, p.groups, p.purity) == (3, 1, pytest.approx(2 / 3))
+    assert sorted((r.split, r.size, r.groups, r.n_nodes) for r in apply(spark, "group_table", split_nodes=nodes).collect()) == [("test", 2, 1, 2), ("train", 1, 1, 1), ("train", 3, 1, 3)]
+    edges = spark.createDataFrame([("r", 0, 1), ("r", 0, 2), ("r", 3, 4), ("r", 1, 3), ("r", 2, 6)], "relation string, src long, dst long")
+    (r,) = apply(spark, "relation_homophily", split_nodes=nodes, edges_canonical=edges).collect()
+    assert (r.edges, r.train_train) == (5, 3) and r.homophily == pytest.approx(2 / 3) and r.positive_homophily == pytest.approx(2 / 3)
+    assert r.mean_degree == pytest.approx(10 / 6) and r.isolated == 0
+
+
+def test_columns_alone(spark):
+    values = {"up": [0, 1, 2, 3, 4, 5], "down": [5, 4, 3, 2, 1, 0], "flat": [7] * 6, "mixed": [1, 0, 1, 0, 1, 1]}
+    labels = [0, 0, 1, 0, 1, 1]
+    long = spark.createDataFrame([(i, n, float(v), "train", y) for n, vs in values.items() for i, (v, y) in enumerate(zip(vs, labels, strict=True))], "node_id long, name string, v double, split string, label int")
+    got = {r.name: r for r in apply(spark, "single_feature_check", own_long=long).collect()}
+    for name, vs in values.items():
+        pairs = [(a > b) + 0.5 * (a == b) for a, y in zip(vs, labels, strict=True) for b, z in zip(vs, labels, strict=True) if y > z]
+        auroc = sum(pairs) / len(pairs)
+        score = [v if auroc >= 0.5 else -v for v in vs]
+        cuts = sorted(set(score), reverse=True)
+        taken = [[y for s, y in zip(score, labels, strict=True) if s >= c] for c in cuts]
+        ap = sum((sum(t) - before) / 3 * sum(t) / len(t) for t, before in zip(taken, [0, *[sum(t) for t in taken]], strict=False))
+        best = max((sum(t) / 3 + 1 - (len(t) - sum(t)) / 3) / 2 for t in taken)
+        r = got[name]
+        assert r.auroc == pytest.approx(max(auroc, 1 - auroc)) and r.pr_auc == pytest.approx(ap) and r.best_balanced == pytest.approx(best) and r.direction == ("high" if auroc >= 0.5 else "low"), name
+    assert {r.name: r.auroc for r in apply(spark, "oriented_auroc", own_long=long).collect()}["flat"] is None
+    kinds = {r.name: r.kind for r in apply(spark, "column_spec", own_long=long).collect()}
+    assert kinds == {"up": "ordinal", "down": "ordinal", "flat": "constant", "mixed": "binary"}
+
+
+def test_plans_do_not_repeat_their_inputs(spark):
+    from quillmesh.plans.registry import QUERIES
+
+    # rank_agreement pairs its few columns with each other
+    for name, most in (("feature_audit", 30), ("rank_agreement", 30), ("nbr_block", 30), ("aggregate_influence", 30)):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") + plan.count("RelationV2") <= 12, name
+        physical = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert physical.count("CartesianProduct") <= (name == "rank_agreement") and physical.count("Join") <= most, name
 
 
 def test_corrected_t(spark):

@@ -1,11 +1,12 @@
 import hashlib
+import itertools
 import math
 import random
 
 import numpy as np
 import pytest
 
-from quillmesh.operators import models
+from quillmesh.operators import encoders, forest, models
 from quillmesh.plans.dialect import LIBRARY
 from quillmesh.plans import registry  # noqa: F401
 from quillmesh.sources import files
@@ -22,17 +23,157 @@ def planted(spark, n=400, seed=1):
 
 def test_probe_ignores_labels_of_the_scored_fold_when_fitting(spark):
     rows = planted(spark)
-    found = models.cross_fit(rows, ["signal", "noise"], [0, 1], trees=3)
+    found = models.cross_fit(rows, ["signal", "noise"], trees=3)
     garbled = rows.selectExpr("node_id", "signal", "noise", "CASE WHEN fold = 0 THEN 1 - label ELSE label END AS label", "fold")
-    again = models.cross_fit(garbled, ["signal", "noise"], [0, 1], trees=3)
+    again = models.cross_fit(garbled, ["signal", "noise"], trees=3)
     own = lambda d: sorted((r.node_id, r.score) for r in d.collect() if r.node_id % 4 == 0)
     assert own(found) == own(again) and len(own(found)) == 100
 
 
 def test_importance_finds_the_signal(spark):
-    found = {r.name: r["drop"] for r in models.permutation_importance(planted(spark), ["signal", "noise"], 0, shuffles=1, trees=4).collect()}
-    assert found["signal"] > 0.2 > abs(found["noise"])
-    assert {r.name for r in models.split_thresholds(planted(spark), ["signal", "noise"], trees=2).collect()} >= {"signal"}
+    rows = planted(spark)
+    found = {r.name: r for r in models.permutation_importance(rows, ["signal", "noise"], shuffles=3, trees=8).collect()}
+    assert found["signal"].importance > 0.2 > abs(found["noise"].importance) and found["signal"].folds == 4
+    assert [found[n].place for n in ("signal", "noise")] == [1, 2]
+    assert {r.name for r in models.split_thresholds(rows, ["signal", "noise"], trees=2).collect()} >= {"signal"}
+    assert len(models.probe(rows, ["signal", "noise"]).collect()) == 4
+
+
+def test_nested_scores_come_from_models_that_saw_neither_fold(spark):
+    rows = planted(spark, 200)
+    got = {(r.outer_fold, r.node_id): r.score for r in models.cross_fit(rows, ["signal", "noise"], nested=True, trees=3).collect()}
+    assert len(got) == 200 * 3 and all(o != n % 4 for o, n in got)
+    garbled = rows.selectExpr("node_id", "signal", "noise", "CASE WHEN fold IN (0, 2) THEN 1 - label ELSE label END AS label", "fold")
+    again = {(r.outer_fold, r.node_id): r.score for r in models.cross_fit(garbled, ["signal", "noise"], nested=True, trees=3).collect()}
+    assert all(got[o, n] == again[o, n] for o, n in got if {o, n % 4} == {0, 2})
+    extra = rows.unionByName(spark.createDataFrame([(999, 2.0, 0.0, None, None)], rows.schema))
+    (r,) = [r for r in models.cross_fit(extra, ["signal", "noise"], trees=3).collect() if r.node_id == 999]
+    assert r.outer_fold is None and 0.5 < r.score <= 1
+
+
+def test_tree_shapley_values_are_exact():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=300)) > 0).astype(int)
+    model = forest.fit(x, y, trees=4, depth=3, weight=rng.uniform(0.5, 2, 300))
+    inner = model.column.shape[1]
+
+    def value(row, known):
+        def below(t, node):
+            if node >= inner:
+                return model.leaf[t, node - inner]
+            if not np.isfinite(model.cut[t, node]):
+                return below(t, 2 * node + 1)
+            if model.column[t, node] in known:
+                return below(t, 2 * node + 1 + (row[model.column[t, node]] > model.cut[t, node]))
+            shares = [model.cover[t, 2 * node + s] / model.cover[t, node] for s in (1, 2)]
+            return sum(p * below(t, 2 * node + s) for s, p in zip((1, 2), shares, strict=True))
+
+        return model.base + sum(below(t, 0) for t in range(len(model.column)))
+
+    got = model.shapley(x[:12])
+    for i in range(12):
+        for j in range(4):
+            want = 0.0
+            for size in range(4):
+                for known in itertools.combinations([c for c in range(4) if c != j], size):
+                    want += math.factorial(size) * math.factorial(3 - size) / 24 * (value(x[i], {*known, j}) - value(x[i], set(known)))
+            assert got[i, j] == pytest.approx(want, abs=1e-9)
+    assert np.allclose(model.expected() + model.shapley(x).sum(1), model.margin(x))
+
+
+def test_roar_removes_and_fits_again(spark):
+    rows = planted(spark, 600).withColumn("other", models.hashed(3, "node_id") % 100)
+    got = models.roar(rows, ["signal", "noise", "other"], {"good": ["signal"], "bad": ["noise", "other"]}, top_ks=(1, 2), draws=3, trees=8).collect()
+    assert len(got) == 4 * (1 + 2 + 2 * (1 + 3))
+    of = lambda name: np.mean([r["drop"] for r in got if r.name == name])
+    assert of("good") > 0.2 and of("top 1") == pytest.approx(of("good")) and abs(of("bad")) < 0.1
+    assert {(r.k, r.draw): 0 for r in got if r.kind == "random"}.keys() == {(k, d) for k in (1, 2) for d in range(3)}
+    scores = spark.createDataFrame(got)
+    summary = {r.k: r for r in LIBRARY.apply(spark, "roar_summary", lambda t: None, {"roar_scores": scores}).collect()}
+    top = [np.mean([r.pr_auc for r in got if r.kind == "top_k" and r.k == 1 and r.fold == f]) for f in range(4)]
+    assert summary[1].top_mean == pytest.approx(np.mean(top), abs=1e-5)
+    rand = [np.mean([r.pr_auc for r in got if r.kind == "random" and r.k == 1 and r.fold == f]) for f in range(4)]
+    assert summary[1].random_mean == pytest.approx(np.mean(rand), abs=1e-5) and summary[1].random_sd == pytest.approx(np.std(rand, ddof=1), abs=1e-5)
+
+
+def test_permuted_labels_lose_the_signal(spark):
+    got = {r.run: r for r in models.randomisation_check(planted(spark), ["signal", "noise"], permutations=2).collect()}
+    assert set(got) == {"true labels", "permuted labels 0", "permuted labels 1"}
+    assert got["true labels"].pr_auc > 0.8 > got["permuted labels 0"].pr_auc and got["true labels"].spearman_with_true == 1.0
+
+
+def test_rewiring_keeps_degrees_and_counts_swaps(spark):
+    rng = random.Random(4)
+    edges = {(r, *sorted(rng.sample(range(60), 2))) for r in "ab" for _ in range(150)}
+    frame = spark.createDataFrame(sorted(edges), "relation string, src long, dst long")
+    after, swaps = models.swap_rewire(frame, swaps_per_edge=2.0)
+    got = [(r.relation, r.src, r.dst) for r in after.collect()]
+    assert len(got) == len(set(got)) == len(edges) and all(s < d for _, s, d in got)
+    degree = lambda es: sorted((r, v) for r, s, d in es for v in (s, d))
+    assert degree(got) == degree(edges) and all(swaps[r] >= 2 * sum(e[0] == r for e in edges) for r in "ab")
+    report = {r.relation: r for r in models.rewired_report(frame, swaps_per_edge=2.0).collect()}
+    assert all(report[r].surviving < 0.6 and report[r].swaps == swaps[r] for r in "ab")
+
+
+def numeric(f, theta, eps=1e-5):
+    return np.array([(f(theta + eps * e) - f(theta - eps * e)) / (2 * eps) for e in np.eye(len(theta))])
+
+
+def test_network_gradients():
+    rng = np.random.default_rng(2)
+    x, y, w = rng.normal(size=(30, 3)), (rng.random(30) < 0.4).astype(float), rng.uniform(0.5, 2, 30)
+    theta = rng.normal(size=3 * 4 + 2 * 4 + 1)
+    got = encoders.mlp_gradient(theta, x, y, w, 4)
+    assert np.allclose(got[:-1], numeric(lambda t: encoders.mlp_gradient(t, x, y, w, 4)[-1], theta), atol=1e-4)
+    noise, dim = x[rng.permutation(30)], 2
+    theta = rng.normal(size=3 * dim + 2 * dim + dim * dim)
+
+    def loss(t):
+        mean = encoders.dgi_encode(t, x, dim)[0].mean(0)
+        return encoders.dgi_gradient(t, x, noise, mean, dim)[-1] / 30
+
+    mean = encoders.dgi_encode(theta, x, dim)[0].mean(0)
+    found = encoders.dgi_gradient(theta, x, noise, mean, dim) / 30
+    s = 1 / (1 + np.exp(-mean))
+    whole = found[: len(theta)] + encoders.dgi_through_summary(theta, x, found[len(theta) : -1] * s * (1 - s), dim) / 30
+    assert np.allclose(whole, numeric(loss, theta), atol=1e-6)
+
+
+def test_networks_learn_without_their_own_fold(spark):
+    rows = planted(spark)
+    out, losses = encoders.cross_fit_mlp(rows, ["signal", "noise"], epochs=60)
+    got = {r.node_id: r.score for r in out.collect()}
+    truth = {r.node_id: r.label for r in rows.collect()}
+    assert (losses[-1] < 0.7 * losses[0]).all()
+    assert forest.ranking_score(np.array([truth[i] for i in got]), np.array(list(got.values()))) > 0.85
+    garbled = rows.selectExpr("node_id", "signal", "noise", "CASE WHEN fold = 0 THEN 1 - label ELSE label END AS label", "fold")
+    again = {r.node_id: r.score for r in encoders.cross_fit_mlp(garbled, ["signal", "noise"], epochs=60)[0].collect()}
+    assert all(got[i] == pytest.approx(again[i], abs=1e-5) for i in got if i % 4 == 0)
+    blank = rows.selectExpr("node_id", "signal", "noise", "CAST(NULL AS INT) AS label", "CAST(NULL AS INT) AS fold").limit(3)
+    assert len(encoders.cross_fit_mlp(rows.unionByName(blank.selectExpr("node_id + 5000 AS node_id", "signal", "noise", "label", "fold")), ["signal", "noise"], epochs=2)[0].where("fold is null and score is not null").collect()) == 3
+
+
+def test_infomax_tells_the_graph_from_the_corrupted_one(spark):
+    rng = np.random.default_rng(7)
+    side = np.repeat([1.0, -1.0], 60)
+    x = side[:, None] * np.array([1.5, -1.0]) + 0.5 * rng.normal(size=(120, 2))
+    edges = [(int(a), int(b)) for a in range(120) for b in rng.choice(60, 4) + 60 * (a >= 60) if a != b]
+    both = sorted({(a, b) for a, b in edges} | {(b, a) for a, b in edges} | {(a, a) for a in range(120)})
+    degree = {i: sum(a == i for a, _ in both) for i in range(120)}
+    weights = spark.createDataFrame([("r", a, b, 1 / math.sqrt(degree[a] * degree[b])) for a, b in both], "relation string, node_id long, nb long, w double")
+    values = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "node_id long, a double, b double")
+    made = models.dgi_inputs(values, ["a", "b"], weights)
+    a_hat = np.zeros((120, 120))
+    for a, b in both:
+        a_hat[a, b] = 1 / math.sqrt(degree[a] * degree[b])
+    got = {r.node_id: r for r in made.collect()}
+    assert np.allclose([[got[i].p_a, got[i].p_b] for i in range(120)], a_hat @ x)
+    moved = {r.node_id: r.from_node_id for r in models.dealt(values, "node_id", 29).collect()}
+    assert sorted(moved.values()) == list(range(120))
+    assert np.allclose([[got[i].q_a, got[i].q_b] for i in range(120)], a_hat @ x[[moved[i] for i in range(120)]])
+    z, losses = encoders.train_dgi(made.selectExpr("node_id", "p_a", "p_b", "q_a", "q_b", "node_id % 10 <> 0 AS loss"), ["p_a", "p_b"], ["q_a", "q_b"], dim=2, epochs=25)
+    assert min(losses) < 0.8 * losses[0] and z.count() == 120
 
 
 def test_pca_is_fitted_on_training_rows_only(spark):
@@ -64,7 +205,7 @@ def test_removing_a_neighbour_matches_recomputing(spark):
         return sum(v[b] / math.sqrt((d[a] + 1) * (dict_full[b] + 1)) for a, b in pairs if a == t) + v[t] / (d[t] + 1)
 
     dict_full = {i: sum(a == i for a, _ in both) for i in range(5)}
-    got = models.removal_influence(spark.createDataFrame(list(v.items()), "node_id long, x double"), spark.createDataFrame(both, "node_id long, nb long"), "x").collect()
+    got = models.removal_influence(spark.createDataFrame(list(v.items()), "node_id long, x double"), spark.createDataFrame([("r", *e) for e in both], "relation string, node_id long, nb long"), "x").collect()
     assert len(got) == len(both)
     for r in got:
         assert r.delta == pytest.approx(layer(both, r.target) - layer([p for p in both if p != (r.target, r.neighbour)], r.target), abs=1e-5)

@@ -25,7 +25,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES)[:: 1 if len(ORACLES) < 40 else 4])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, oracle, name):
     got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
