@@ -196,7 +196,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that have a language with a cosine of at least `least`; one pass without a shuffle."""
+    """The rows, with all their columns (whatever their names), that have a language with a cosine of at least `least`; one pass
+    without a shuffle. Null, empty and letterless texts go; an empty table stays empty."""
     small_batches(docs.sparkSession)
     langs, prototypes = model[0], model[1].T.astype(np.float32)
 
@@ -214,7 +215,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def language_of_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document."""
+    """doc_id, held_out, lang_pred, score of every document. Null, empty and letterless texts are `und` with score 0; whole texts count,
+    however long; of languages that tie the first in order is taken; repeated rows and null ids (never held out, never learnt from)
+    pass through; an empty table gives no row; other columns are not read."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     found = identify(docs, learn(training_rows(docs)))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.boosting import Forest, fit
+from quillmesh.operators.forest import Forest, fit
 from quillmesh.llm.textscan import small_batches
 
 #: Fixed values of HTML: elements without content, with raw text, inline ones, and those that a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp img math mi mn mo ms mrow mfrac msup msub msqrt mtext".split())
 CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
@@ -56,7 +56,8 @@ reactions feedback announcement teaser toc links""".split())
 INNER = frozenset("article content main post entry story body text page document prose copy lead headline title".split())
 
 NAMES = [*(f"family_{i}" for i in range(len(FAMILIES))), "depth", "log_chars", "share", "link_share", "tags_per_char", "log_words", "marks_per_word", "own_foreign", "above_foreign", "own_furniture", "above_furniture", "own_inner", "above_inner",
-         "in_article", "in_outer_tag", "in_form", "siblings", "place", "sibling_share", "same_tag_before", "paragraphs", "list_share", "text_before", "inputs", "mean_word", "article_on_page", "outer_child_share"]
+         "in_article", "in_outer_tag", "in_form", "siblings", "place", "sibling_share", "same_tag_before", "paragraphs", "list_share", "text_before", "inputs", "mean_word", "article_on_page", "outer_child_share",
+         "parent_log_chars", "parent_paragraphs", "parent_link_share", "parent_share"]
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
@@ -288,6 +289,7 @@ class Page:
                 min(self.depth[i], 30), np.log1p(chars[i]), chars[i] / total, link[i] / c, tags[i] / c, np.log1p(words[i]), marks[i] / max(1, words[i]), min(own_foreign[i], 3), min(above_foreign[i], 3), min(own_furniture[i], 3), min(above_furniture[i], 3), min(own_inner[i], 3),
                 min(above_inner[i], 3), min(in_article[i], 2), min(in_outer[i], 2), min(in_form[i], 1), min(count[p], 50) if p >= 0 else 0, first[i] / max(1, count[p]) if p >= 0 else 0,
                 chars[i] / max(1, child_chars[p]) if p >= 0 else 1, min(same, 20), min(paragraphs[i], 50), items[i] / max(1, tags[i]), before[i] / total, min(inputs[i], 5), chars[i] / max(1, words[i]), page_article, outer_children[i] / c,
+                *((np.log1p(chars[p]), min(paragraphs[p], 50), link[p] / max(1, chars[p]), chars[p] / total) if p >= 0 else (0, 0, 0, 1)),
             )
         return out
 
@@ -427,6 +429,8 @@ def synthetic_pages(count: int, seed: int = 1) -> Iterator[tuple[str, set[int]]]
                     body += element("table", element("tr", "".join(element("td", words(2), True) for _ in range(3)), True), True)
                 elif draw < 0.24:
                     body += element("div", rng.choice([inner, element("p", inner, True) + element("p", sentence(9), True)]), True, hint())
+                elif draw < 0.28:
+                    body += element(rng.choice(["object", "map", "figure", "details", "section", "pre", "dl", "x-part", "canvas", "button"]), rng.choice([inner, element("p", inner, True)]), True, hint())
                 elif sloppy and draw < 0.4:
                     body += element("p", f"<b>{inner}<br>", True, void=True)
                 else:

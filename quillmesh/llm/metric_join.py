@@ -591,14 +591,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
 
 def keep_representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of one document of each component: that with the smallest id. Of rows that repeat its
-    id one stays. Rows without an id have no component and stay."""
-    found = written(jaccard_components(docs, k, num, den, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "components")
-    gone = written(found.where("component_id <> __id").select("__id").distinct(), "gone")
-    again = written(found.where("component_id = __id").groupBy("__id").count().where("count > 1").select("__id"), "again")
-    small = lambda ids: F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
-    kept = docs.join(small(gone), F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    """The rows, with all their columns (whatever their names), of one document of each component: that with the smallest id. Of rows
+    that repeat its id one stays. Rows without an id have no component and stay, as do documents without words; an empty table
+    stays empty."""
+    found = written(jaccard_components(docs, k, num, den, id_col, text_col).select(F.col(id_col).alias("id"), "component_id"), "components")
+    gone = written(found.where("component_id <> id").select("id").distinct(), "gone")
+    again = written(found.where("component_id = id").groupBy("id").count().where("count > 1").select("id"), "again")
+
+    def joined(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        few = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
+        return rows.join(few, rows[id_col].cast("long") == ids["id"], how)
+
+    kept = joined(docs, gone, "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(small(again), F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(small(again), F.col(id_col).cast("long") == F.col("__id"), "left_anti").unionByName(once)
+    return joined(kept, again, "left_anti").unionByName(joined(kept, again, "left_semi").dropDuplicates([id_col]))

@@ -3,6 +3,10 @@
 The forest is fitted on the driver on the statistics of at most SAMPLE labelled documents, those with the smallest seeded hash
 of doc_id. Their ids are chosen from the narrow labels and broadcast (a bounded number), so texts are never shuffled. Every
 document's statistics are then computed and scored in one pass, all trees at once.
+
+Defined results: a null text is an empty one and has a score like all others; whole texts count, however long; equal texts have equal
+scores; repeated rows and null ids pass through; an empty table gives no row; other columns, those named as results too, are
+not read (the filter keeps them as they are).
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.boosting import Forest, fit
+from quillmesh.operators.forest import Forest, fit
 from quillmesh.llm.docstats import FEATURES, feature_rows
 from quillmesh.llm.textscan import small_batches
 
@@ -52,11 +56,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """The forest of labelled documents. Null labels are left out; of contradicting labels of one id the more frequent counts,
     1 on a tie. Without labelled documents, or with one label, every score is the smoothed share of label 1."""
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("of")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
-    chosen = smallest_hashes(own, sample, "of", 3)
+    label = {r.of: r.y for r in smallest_hashes(own, sample, "of", 3).collect()}
+    chosen = docs.sparkSession.createDataFrame(list(label.items()), "of long, y int")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = document_statistics(text.join(F.broadcast(chosen.select("of")), F.col("id") == F.col("of"), "left_semi"), "id", "text")
     rows = sorted({(r.id, tuple(r.stats)) for r in found.collect()})
-    label = {r.of: r.y for r in chosen.collect()}
     x = np.array([s for _, s in rows], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([label[i] for i, _ in rows], float))
 
@@ -95,7 +99,7 @@ def may_teach(id_col: str = "doc_id"):
 
 
 def quality_of_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every document (see the module's text for null, empty, long and repeated ones)."""
     forest = learn(docs, labels.where(may_teach()).select("doc_id", "quality"))
     scored = score(docs, forest)
     return scored.select("doc_id", F.coalesce(~may_teach(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))

@@ -68,7 +68,9 @@ def stratified_shards(rows: DataFrame, shards: int, key: str, source: str, seed:
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is `rows`), source. A null text has no bytes."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is `rows`), source. A null text has no bytes; texts of
+    any length count by their size and checksum only; null sources are one source; repeated rows and null ids are placed like
+    others; an empty table gives no row; other columns are not read."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", "source", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     dealt = stratified_shards(rows, shards, "doc_id", "source", carry=("size", "text_crc32"))

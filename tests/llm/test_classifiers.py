@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 
-from quillmesh.llm import boosting, hdc_language, quality_trees
+from quillmesh.llm import hdc_language, quality_trees
 from quillmesh.llm.docstats import FEATURES, base_counts, feature_rows
+from quillmesh.operators import forest as forests
 import pyarrow as pa
 import re
 
@@ -12,7 +13,7 @@ def test_trees_learn_and_traverse():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
     y = ((x[:, 0] > 0.3) ^ (x[:, 2] < -0.2)).astype(int)
-    forest = boosting.fit(x[:2000], y[:2000])
+    forest = forests.fit(x[:2000], y[:2000])
     p = forest.probability(x[2000:])
     assert ((p > 0.5) == y[2000:]).mean() > 0.97
     for i in range(20):  # one row, one tree at a time
@@ -26,8 +27,8 @@ def test_trees_learn_and_traverse():
 
 
 def test_trees_without_two_labels():
-    assert 0 < boosting.fit(np.zeros((0, 3)), np.zeros(0)).probability(np.zeros((2, 3)))[0] < 1
-    assert boosting.fit(np.ones((4, 3)), np.ones(4)).probability(np.zeros((1, 3)))[0] > 0.7
+    assert 0 < forests.fit(np.zeros((0, 3)), np.zeros(0)).probability(np.zeros((2, 3)))[0] < 1
+    assert forests.fit(np.ones((4, 3)), np.ones(4)).probability(np.zeros((1, 3)))[0] > 0.7
 
 
 def brute_counts(text):
@@ -146,3 +147,99 @@ def test_runs_of_many_trigrams_are_halved(monkeypatch):
     assert len(runs) > 4 and runs[0][0] == 0 and runs[-1][1] == len(texts) and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
     halved = hdc_language._nearest(texts, ["a", "b"], np.random.default_rng(1).normal(size=(hdc_language.DIMENSION, 2)).astype(np.float32))
     assert halved[0] == whole[0] and np.allclose(halved[1], whole[1], atol=1e-5)
+
+
+def brute_features(text):
+    """FEATURES of one text, a value at a time."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = raw.split(b"\n")
+    full = [x for x in lines if re.search(rb"[^\x20\x09-\x0D]", x)]
+    share = lambda of: sum(b in of for b in raw) / max(len(raw), 1)
+    n, sizes = max(len(words), 1), [len(w) for w in words]
+    mean = sum(sizes) / n
+    fours = [tuple(words[i : i + 4]) for i in range(len(words) - 3)]
+    marks = b".,;:?"
+    lower, upper = set(range(97, 123)), set(range(65, 91))
+    in_line = [len(re.findall(rb"[^\x20\x09-\x0D]+", x)) for x in lines]
+    return [
+        np.log1p(len(raw)), np.log1p(len(words)), mean, (sum(s * s for s in sizes) / n - mean**2) ** 0.5 if words else 0, np.log1p(max(sizes, default=0)), share(b"\t\x0b\x0c\r "), share(lower), share(upper),
+        share(b"0123456789"), share(marks), share(b"#*$%&<>"), share(b"|"), share(b"!"), share(b"'\"()-_/\\@+=~^`[]{}"), share(range(192, 256)), len(lines) / n, len(words) / len(lines), sum(b in marks for b in raw) / n,
+        sum(any(b in b"#*$%&|<>" for b in w) for w in words) / n, sum(sum(b in upper for b in w) > 1 and not any(b in lower for b in w) for w in words) / n, len(set(words)) / n if words else 0,
+        max((words.count(w) for w in set(words)), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / max(len(words) - 1, 1), (len(fours) - len(set(fours))) / max(len(fours), 1),
+        (len(full) - len(set(full))) / max(len(full), 1), sum(0 < c < 4 for c in in_line) / max(len(full), 1), float(bool(words) and words[-1][-1] in marks + b"!"),
+    ]
+
+
+def test_statistics_match_brute_force():
+    texts = [*messy(3, 60), "One two. Two two!\nTHE END | x", "é" * 30 + " a"]
+    got = np.concatenate(list(feature_rows(pa.array(texts, pa.string()))))
+    for text, row in zip(texts, got, strict=True):
+        want = np.array(brute_features(text))
+        assert np.allclose(row, want, atol=1e-4), (text, [(n, a, b) for n, a, b in zip(FEATURES, row, want, strict=True) if abs(a - b) > 1e-4])
+
+
+def test_a_long_text_is_scored_whole(spark):
+    forest = forests.fit(np.concatenate(list(feature_rows(pa.array([prose(random.Random(i), i % 2) for i in range(200)])))).astype(float), np.arange(200) % 2 == 0)
+    text = " ".join(prose(random.Random(i), False) for i in range(5000))
+    junk = " ".join(prose(random.Random(i), True) for i in range(5000))
+    rows = spark.createDataFrame([(1, text), (2, text[:5000] + " " + junk)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality_trees.score(rows, forest).collect()}
+    assert got[1] > 0.9 and got[2] < 0.1
+
+
+def test_hyperdimensional_vectors_match_brute_force():
+    texts, langs = ["Ab ab, été", "ba ba", "été ici", "AB-ab"], ["x", "x", "y", "x"]
+    letters, kinds = hdc_language.letter_vectors().astype(int), hdc_language.letter_classes()
+
+    def bundle(text):
+        marked = []
+        for c in " " + text.lower() + " ":
+            k = int(kinds[ord(c)])
+            if k or not marked or marked[-1]:
+                marked.append(k)
+        out, n = np.zeros(hdc_language.DIMENSION, int), 0
+        for a, b, c in zip(marked, marked[1:], marked[2:]):
+            if a or b or c:
+                out, n = out + np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c], n + 1
+        return out, n
+
+    prototypes = {}
+    for text, lang in zip(texts, langs, strict=True):
+        v, n = bundle(text)
+        prototypes[lang] = prototypes.get(lang, 0) + v * (hdc_language.DOCUMENT_WEIGHT // n)
+    batch = pa.record_batch([pa.array(texts), pa.array(langs)], ["text", "lang"])
+    got = {}
+    for b in hdc_language._bundles(iter([batch])):
+        for lang, place, total in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault(lang, np.zeros(hdc_language.DIMENSION, int))[place] += total
+    assert got.keys() == prototypes.keys() and all((got[k] == prototypes[k]).all() for k in got)
+    names = sorted(prototypes)
+    matrix = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).T
+    found = hdc_language._nearest(["ab été", "ba"], names, matrix.astype(np.float32))
+    for text, name, score in zip(["ab été", "ba"], *found, strict=True):
+        v, _ = bundle(text)
+        cosines = v @ matrix / np.linalg.norm(v)
+        assert name == names[int(cosines.argmax())] and abs(score - cosines.max()) < 1e-5
+
+
+def test_languages_of_one_script_are_told_apart(spark):
+    """Invented languages that share a script and differ in which letters are common."""
+    rng = random.Random(12)
+    rows = []
+    for script, (low, high) in {"cyrillic": (0x430, 0x450), "greek": (0x3B1, 0x3CA), "arabic": (0x627, 0x64B), "cjk": (0x4E00, 0x4E80), "latin": (97, 123), "hangul": (0xAC00, 0xAC60)}.items():
+        for lang in "abc":
+            weights = {c: rng.random() ** 3 for c in range(low, high)}
+            stems = ["".join(chr(c) for c in rng.choices(list(weights), list(weights.values()), k=rng.randint(2, 6))) for _ in range(150)]
+            rows += [(len(rows) + i, " ".join(rng.choice(stems) for _ in range(40)), f"{script}-{lang}") for i in range(40)]
+    got = hdc_language.language_of_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {d: lang for d, _, lang in rows}
+    held = [r.lang_pred == truth[r.doc_id] for r in got if r.held_out]
+    assert len(held) > 100 and np.mean(held) > 0.97
+
+
+def test_language_ties_go_to_the_first(spark):
+    rows = spark.createDataFrame([(1, "la casa"), (2, "la casa")], "doc_id long, text string")
+    v = hdc_language.bundled(*hdc_language.trigram_counts(["la casa"]), np.float64)[0]
+    model = (["aa", "bb"], np.array([v, v]) / np.linalg.norm(v))
+    assert [r.lang_pred for r in hdc_language.identify(rows, model).collect()] == ["aa", "aa"]

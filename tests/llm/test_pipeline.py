@@ -64,3 +64,35 @@ def test_repeated_and_odd_rows(spark):
     for _, stage in P.STAGES[:-1]:
         none = stage(spark, none, SF)
     assert P.pack(spark, none, SF).collect() == []
+
+
+def test_clashing_names_and_long_texts(spark):
+    """Columns named as the operators' own inner ones are carried through."""
+    docs = table(spark, SF, "documents")
+    names = ["id", "component_id", "count", "__id", "of", "y", "score", "lang_pred", "h", "tie", "one"]
+    long = spark.createDataFrame([(7_100_000, " ".join(r.text for r in docs.limit(60).collect()) * 20, "en", "s", 1), (7_100_001, "word " * 300_000, "en", "s", 1)], docs.schema)
+    wide = docs.unionByName(long).selectExpr("*", *[f"doc_id + {i} AS `{n}`" for i, n in enumerate(names)])
+    plain = docs.unionByName(long)
+    for _, stage in P.STAGES[:-1]:
+        wide, plain = stage(spark, wide, SF), stage(spark, plain, SF)
+        found = wide.collect()
+        assert wide.columns == [*docs.columns, *names] and sorted(r.doc_id for r in found) == sorted(r.doc_id for r in plain.collect())
+        assert all(r[n] == r.doc_id + i for r in found for i, n in enumerate(names))
+    assert 7_100_000 in {r.doc_id for r in plain.select("doc_id").collect()}
+    assert P.pack(spark, wide, SF).count() == P.pack(spark, plain, SF).count()
+
+
+def test_oracles_of_the_corpus_queries(spark):
+    import duckdb
+
+    from quillmesh.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    for name, sql in ORACLES.items():
+        mine = QUERIES[name](spark, SF)
+        found = con.execute(sql)
+        columns = [d[0] for d in found.description]
+        assert sorted(columns) == sorted(mine.columns)
+        assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in mine.collect()), name
