@@ -89,14 +89,14 @@ add("gcn_weights", """
     SELECT s.relation, s.node_id, s.nb, round(1e0 / sqrt((coalesce(d.degree, 0) + 1e0) * (coalesce(e.degree, 0) + 1e0)), 9) AS w
     FROM (SELECT relation, node_id, nb FROM {adjacency_directed} UNION ALL SELECT r.relation, n.node_id, n.node_id FROM {node_table} n CROSS JOIN (SELECT DISTINCT relation FROM {edges_canonical}) r) s
     LEFT JOIN {degree_by_relation} d ON d.relation = s.relation AND d.node_id = s.node_id LEFT JOIN {degree_by_relation} e ON e.relation = s.relation AND e.node_id = s.nb""", "O-GR17")
-add("hop_one", "SELECT a.node_id, a.relation, sum(o.own__f01 * a.w_mean) AS h1 FROM {normalised_adjacency} a JOIN {raw_features} o ON o.node_id = a.nb GROUP BY a.node_id, a.relation", public=False)
-add("hop_two", "SELECT a.node_id, a.relation, sum(h.h1 * a.w_mean) AS h2 FROM {normalised_adjacency} a JOIN {hop_one} h ON h.relation = a.relation AND h.node_id = a.nb GROUP BY a.node_id, a.relation", public=False)
-add("sign_hops", """
-    SELECT n.node_id, r.relation, n.own__f01 AS h0, round(coalesce(h.h1, 0e0), 6) AS h1, round(coalesce(k.h2, 0e0), 6) AS h2
+_COLUMNS = [f"f0{i}" for i in range(7)]
+_DIGITS = {c: 0 if c == "f02" else 4 for c in _COLUMNS}  # f02 has nine digits before the point
+add("hop_one", "SELECT a.node_id, a.relation, " + ", ".join(f"sum(o.own__{c} * a.w_mean) AS h1_{c}" for c in _COLUMNS) + " FROM {normalised_adjacency} a JOIN {raw_features} o ON o.node_id = a.nb GROUP BY a.node_id, a.relation", public=False)
+add("hop_two", "SELECT a.node_id, a.relation, " + ", ".join(f"sum(h.h1_{c} * a.w_mean) AS h2_{c}" for c in _COLUMNS) + " FROM {normalised_adjacency} a JOIN {hop_one} h ON h.relation = a.relation AND h.node_id = a.nb GROUP BY a.node_id, a.relation", public=False)
+add("sign_hops", "SELECT n.node_id, r.relation, " + ", ".join(f"n.own__{c} AS h0_{c}, $R(coalesce(h.h1_{c}, 0e0), {_DIGITS[c]}) AS h1_{c}, $R(coalesce(k.h2_{c}, 0e0), {_DIGITS[c]}) AS h2_{c}" for c in _COLUMNS) + """
     FROM {raw_features} n CROSS JOIN (SELECT DISTINCT relation FROM {edges_canonical}) r LEFT JOIN {hop_one} h ON h.node_id = n.node_id AND h.relation = r.relation
     LEFT JOIN {hop_two} k ON k.node_id = n.node_id AND k.relation = r.relation""", "O-GR18")
-add("gcn_propagate", """
-    SELECT w.node_id, w.relation, round(sum(w.w * o.own__f01), 5) AS z1, round(sum(w.w * o.own__f04), 5) AS z4 FROM {gcn_weights} w JOIN {raw_features} o ON o.node_id = w.nb GROUP BY w.node_id, w.relation""", "O-EX14 O-GR17")
+add("gcn_propagate", "SELECT w.node_id, w.relation, " + ", ".join(f"$R(sum(w.w * o.own__{c}), {_DIGITS[c]}) AS z_{c}" for c in _COLUMNS) + " FROM {gcn_weights} w JOIN {raw_features} o ON o.node_id = w.nb GROUP BY w.node_id, w.relation", "O-EX14 O-GR17")
 
 # Features
 
@@ -172,3 +172,9 @@ add("ego_network", """
         SELECT a.relation, a.node_id, a.nb, count(*) OVER (PARTITION BY a.relation, a.node_id) AS degree, avg(CASE WHEN s.split = 'train' THEN $DBL(s.label) END) OVER (PARTITION BY a.relation, a.node_id) AS train_fraud,
             CASE WHEN s.split = 'train' AND s.label = 1 THEN 'train fraud' WHEN s.split = 'train' THEN 'train benign' ELSE s.split END AS kind, row_number() OVER (PARTITION BY a.relation, a.node_id ORDER BY $H(41, a.nb), a.nb) AS rn
         FROM {adjacency_directed} a JOIN {split_nodes} s ON s.node_id = a.nb) e WHERE e.rn <= 12""", "O-GR19 O-ST13")
+add("ego_links", """
+    SELECT a.relation, a.node_id, a.nb AS first_nb, b.nb AS second_nb FROM {ego_network} a JOIN {edges_canonical} e ON e.relation = a.relation AND e.src = a.nb
+    JOIN {ego_network} b ON b.relation = a.relation AND b.node_id = a.node_id AND b.nb = e.dst""", "O-GR19")
+add("fit_seeds", """
+    SELECT s.b AS seed, o.b AS outer_fold, CASE WHEN i.b < 5 THEN i.b END AS inner_fold, s.b * 100 + o.b * 10 + CASE WHEN i.b < 5 THEN i.b ELSE 9 END AS fit_seed
+    FROM $SERIES(5) s CROSS JOIN $SERIES(5) o CROSS JOIN $SERIES(6) i WHERE i.b <> o.b""", "O-ST11")

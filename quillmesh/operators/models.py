@@ -354,6 +354,68 @@ def randomisation_check(rows: DataFrame, columns: list[str], permutations: int =
     return fan_out(rows.sparkSession, [(i,) for i in range(-1, permutations)], work, "run string, pr_auc double, total_mean_abs double, spearman_with_true double, prevalence double")
 
 
+def compare_classifiers(train: DataFrame, blocks: dict[str, DataFrame]) -> DataFrame:
+    """(block, classifier, fold, ap): `pyspark.ml` pipelines (scaling, then a classifier) fitted outside each fold on each block, and
+    the AP on the fold. train: node_id, label, fold."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    kinds = {
+        "logistic": LogisticRegression(featuresCol="z", maxIter=30, regParam=1e-3), "forest": RandomForestClassifier(featuresCol="z", numTrees=10, maxDepth=6, seed=3),
+        "tree": DecisionTreeClassifier(featuresCol="z", maxDepth=6, seed=3),
+    }
+    out = None
+    for block, features in blocks.items():
+        columns = [c for c in features.columns if c != "node_id"]
+        data = written(train.join(features, "node_id").select(F.col("label").cast("double").alias("label"), "fold", *columns), "block")
+        for k in sorted(r.fold for r in data.select("fold").distinct().where("fold is not null").collect()):
+            for name, kind in kinds.items():
+                steps = [VectorAssembler(inputCols=columns, outputCol="x"), StandardScaler(inputCol="x", outputCol="z", withMean=True), kind]
+                model = Pipeline(stages=steps).fit(data.where(F.col("fold") != k))
+                scores = model.transform(data.where(F.col("fold") == k)).select("label", F.round(vector_to_array("probability")[1], 4).alias("s"))
+                curve = scores.groupBy("s").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+                own = curve.select(F.lit(block).alias("block"), F.lit(name).alias("classifier"), F.lit(k).cast("long").alias("fold"), "s", "n", "p")
+                out = own if out is None else out.unionByName(own)
+    # One row for each distinct rounded score.
+    steps = Window.partitionBy("block", "classifier", "fold").orderBy(F.desc("s"))
+    curve = out.select("block", "classifier", "fold", "p", F.sum("p").over(steps).alias("tp"), F.sum("n").over(steps).alias("taken"))
+    return curve.groupBy("block", "classifier", "fold").agg(F.round(F.sum(F.col("p") * F.col("tp") / F.col("taken")) / F.sum("p"), 6).alias("ap"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, columns: list[str], k: int = 5, block: int = 4096) -> DataFrame:
+    """(node_id, near, place): for each query the k nearest other vectors (squared distance rounded to 5 digits, then id), exactly, in
+    blocks: blocks of queries meet blocks of vectors, each meeting keeps k for each query, and these few are ranked. Rows of
+    a block go through the shuffle once for each block of queries."""
+    count, groups = queries.count(), max(1, vectors.count() // (8 * block))
+    parts = max(1, -(-count // block))
+    packed = lambda f, b: f.select(F.pmod(F.xxhash64("node_id"), F.lit(b)).cast("int").alias("b"), F.struct(F.col("node_id").cast("long").alias("node_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v")).alias("s")).groupBy("b").agg(F.collect_list("s").alias("s"))
+    q = packed(queries, parts).select(F.col("b").alias("qb"), F.col("s").alias("q"))
+    v = packed(vectors, groups).select(F.col("b").alias("vb"), F.col("s").alias("v")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, other in zip(batch.column(0), batch.column(1), strict=True):
+                own, other = own.values, other.values
+                ids, to = own.field("node_id").to_numpy(), other.field("node_id").to_numpy()
+                x, y = (f.field("v").flatten().to_numpy().reshape(len(f), -1) for f in (own, other))
+                order = np.argsort(to, kind="stable")
+                to, y = to[order], y[order]
+                for i in range(0, len(ids), 256):
+                    d = np.zeros((len(ids[i : i + 256]), len(to)))
+                    for c in range(x.shape[1]):
+                        d += (x[i : i + 256, None, c] - y[None, :, c]) ** 2
+                    d = np.where(ids[i : i + 256, None] == to[None, :], np.inf, np.round(d, 5))
+                    at = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    best = np.take_along_axis(d, at, 1)
+                    real = np.isfinite(best)
+                    yield pa.record_batch([pa.array(np.repeat(ids[i : i + 256], real.sum(1))), pa.array(to[at][real]), pa.array(best[real])], ["node_id", "near", "d"])
+
+    few = q.join(v, "qb").select("q", "v").mapInArrow(run, "node_id long, near long, d double")
+    return few.withColumn("place", F.row_number().over(Window.partitionBy("node_id").orderBy("d", "near"))).where(F.col("place") <= k).select("node_id", "near", "place")
+
+
 def propagated(values: DataFrame, columns: list[str], weights: DataFrame, prefix: str = "p_") -> DataFrame:
     """(relation, node_id, prefix + columns): weighted sums of the neighbours' values. weights: relation, node_id, nb, w."""
     near = values.select(F.col("node_id").alias("nb"), *[F.col(c).alias(f"__{c}") for c in columns])

@@ -11,6 +11,7 @@ $DBL(x)             cast to double
 $RX(x, re, by)      replace all matches
 $TWICE(t)           after a table: each of its rows twice, with t.k = 0 and 1
 $SERIES(n)          a table of the numbers b from 0 to n - 1
+$R(x, n)            x to n decimals, cut a little off the half, where sums of few decimals don't tie
 $P(t, df)           two-sided p of Student's t with a whole number of degrees of freedom
 """
 
@@ -163,6 +164,8 @@ def expand(sql: str, dialect: str) -> str:
             return f"regexp_replace({args[0]}, {args[1]}, {args[2]})" if spark else f"regexp_replace({args[0]}, {args[1]}, {args[2]}, 'g')"
         if name == "SERIES":
             return f"(SELECT id AS b FROM range({args[0]}))" if spark else f"(SELECT range AS b FROM range({args[0]}))"
+        if name == "R":
+            return f"(floor(({args[0]}) * 1e{args[1]} + 0.5314159e0) / 1e{args[1]})"
         if name == "P":
             return _student(*args, spark)
         raise ValueError(f"no macro ${name}")

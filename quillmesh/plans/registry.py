@@ -118,8 +118,9 @@ def tree_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sign_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     hops, nodes = _get(spark, sf_dir, "sign_hops", "split_nodes")
-    wide = hops.groupBy("node_id").pivot("relation", ["cdp", "cns", "cpm"]).agg(F.first("h0").alias("h0"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
-    return encoders.cross_fit_mlp(_all_nodes(spark, sf_dir, wide, nodes), ["cdp_h0", "cdp_h1", "cdp_h2", "cns_h1", "cns_h2", "cpm_h1", "cpm_h2"])[0]
+    wide = hops.groupBy("node_id").pivot("relation", ["cdp", "cns", "cpm"]).agg(*[F.first(f"h{k}_f0{i}").alias(f"h{k}_f0{i}") for k in range(3) for i in range(7)])
+    columns = [f"cdp_h0_f0{i}" for i in range(7)] + [f"{r}_h{k}_f0{i}" for r in ("cdp", "cns", "cpm") for k in (1, 2) for i in range(7)]
+    return encoders.cross_fit_mlp(_all_nodes(spark, sf_dir, wide, nodes), columns)[0]
 
 
 def _standard(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -140,12 +141,7 @@ def dgi_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Self-supervised embeddings, one encoder for each relation; test nodes count in no loss."""
     block, weights, nodes = _standard(spark, sf_dir)
     rows = models.dgi_inputs(block, OWN, weights).join(nodes.select("node_id", (F.col("split") != "test").alias("loss")), "node_id")
-    out = None
-    for relation in ("cdp", "cns", "cpm"):
-        z, _ = encoders.train_dgi(rows.where(F.col("relation") == relation), [f"p_{c}" for c in OWN], [f"q_{c}" for c in OWN])
-        own = z.select(F.lit(relation).alias("relation"), *z.columns)
-        out = own if out is None else out.unionByName(own)
-    return out
+    return encoders.train_dgi(rows, ["cdp", "cns", "cpm"], [f"p_{c}" for c in OWN], [f"q_{c}" for c in OWN])[0]
 
 
 def untrained_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +176,31 @@ def removal_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.removal_influence(own, edges, "own__f01")
 
 
+def knn_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest cards of every node whose id is divisible by 20, among all."""
+    (made,) = _get(spark, sf_dir, "vectors")
+    vectors = written(made, "vectors")
+    return models.nearest(vectors, vectors.where("node_id % 20 = 0"), ["a", "b", "c"])
+
+
+def model_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking metrics of this library's own models: out-of-fold scores of boosted trees, SIGN and the relational convolution."""
+    (nodes,) = _get(spark, sf_dir, "split_nodes")
+    own = nodes.where("split = 'train'").select("node_id", F.col("label").alias("y"), F.col("cv_fold").alias("fold"))
+    scores = cross_fit(spark, sf_dir).select("node_id", "score", F.lit("gbt").alias("model"))
+    for name, made in (("sign", sign_mlp(spark, sf_dir)), ("sage", rel_sage(spark, sf_dir))):
+        scores = scores.unionByName(made.select("node_id", "score", F.lit(name).alias("model")))
+    predictions = scores.join(own, "node_id").select("model", F.lit("none").alias("selection"), F.lit("default").alias("settings"), "node_id", "y", "fold", F.round("score", 4).alias("prob"))
+    return LIBRARY.apply(spark, "fold_scores", lambda t: table(spark, sf_dir, t), {"predictions": written(predictions, "predictions")})
+
+
+def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(block, classifier, fold, ap): pipelines of several classifiers over feature blocks, fitted outside each saved fold."""
+    own, near, nodes = _get(spark, sf_dir, "own_block", "nbr_block", "split_nodes")
+    train = nodes.where("split = 'train'").select("node_id", "label", F.col("cv_fold").alias("fold"))
+    return models.compare_classifiers(train, {"own": own, "own_nbr": own.join(near, "node_id")})
+
+
 def saved_model_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits, saves to shared storage, loads and scores."""
     rows = _training(spark, sf_dir)
@@ -202,11 +223,11 @@ CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, tree_shapley,
-        sign_mlp, rel_sage, dgi_embeddings, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests,
+        sign_mlp, rel_sage, dgi_embeddings, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests,
     )
 }
 QUERIES = {n: LIBRARY.query(n) for n in LIBRARY.public} | CUSTOM
-ORACLES = {n: LIBRARY.oracle(n) for n in LIBRARY.public if n not in CUSTOM} | {
+ORACLES = {n: LIBRARY.oracle(n) for n in LIBRARY.public if n not in CUSTOM or n == "knn_cards"} | {
     "raw_block": "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS gnnraw__z{i + 1:02d}" for i in range(RAW_PLACES)) + " FROM embeddings",
     # Both sides of the removal, summed over all neighbours but one.
     "removal_influence": LIBRARY.oracle("adjacency_directed").replace("SELECT * FROM adjacency_directed", """, own AS (SELECT c.c_custkey AS node_id, CAST(coalesce(f.orders, 0) AS DOUBLE) AS v FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey),

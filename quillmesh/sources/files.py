@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -49,43 +48,9 @@ def exactly_one(spark: SparkSession, path: str, fmt: str = "parquet", **options:
     return found
 
 
-class CooSource(DataSource):
-    """`spark.read.format("coo")`: entries (row, col, value) of a coordinate text file with 1-based indices and % comments.
-    Files are split into line ranges by byte offsets; the path must be readable where tasks run."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "coo"
-
-    def schema(self) -> str:
-        return "row bigint, col bigint, value double"
-
-    def reader(self, schema):
-        return _CooReader(self.options)
-
-
-class _Range(InputPartition):
-    def __init__(self, start: int, end: int) -> None:
-        self.start, self.end = start, end
-
-
-class _CooReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.path, self.chunk = options["path"].removeprefix("file://"), int(options.get("chunk", 8 << 20))
-
-    def partitions(self):
-        import os
-
-        size = os.path.getsize(self.path)
-        return [_Range(i, min(i + self.chunk, size)) for i in range(0, size, self.chunk)]
-
-    def read(self, partition):
-        with open(self.path, "rb") as f:
-            # A line belongs to the range in which it starts.
-            f.seek(max(0, partition.start - 1))
-            if partition.start:
-                f.readline()
-            while f.tell() < partition.end and (line := f.readline()):
-                parts = line.split()
-                if len(parts) in (2, 3) and not line.startswith(b"%"):
-                    yield int(parts[0]) - 1, int(parts[1]) - 1, float(parts[2]) if len(parts) == 3 else 1.0
+def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, value): entries of coordinate text files with 1-based indices, % comments and an optional value (else 1), from any
+    store that Spark reads; files are split as Spark splits text."""
+    parts = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).where(~F.col("value").startswith("%")).select(parts.alias("p")).where("size(p) in (2, 3)")
+    return lines.select((F.col("p")[0].cast("long") - 1).alias("row"), (F.col("p")[1].cast("long") - 1).alias("col"), F.coalesce(F.get("p", F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))

@@ -1 +1 @@
-"""Streams: the graph engine has no streaming operators; events are read as a table."""
+"""The same operators over streams: scoring rows as they arrive and windowed counts with late data."""

@@ -2,6 +2,8 @@ import hashlib
 import itertools
 import math
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +11,8 @@ import pytest
 from quillmesh.operators import encoders, forest, models
 from quillmesh.plans.dialect import LIBRARY
 from quillmesh.plans import registry  # noqa: F401
-from quillmesh.sources import files
+from quillmesh.sources import files, mat
+from quillmesh.streaming import scoring
 
 
 def planted(spark, n=400, seed=1):
@@ -172,8 +175,12 @@ def test_infomax_tells_the_graph_from_the_corrupted_one(spark):
     moved = {r.node_id: r.from_node_id for r in models.dealt(values, "node_id", 29).collect()}
     assert sorted(moved.values()) == list(range(120))
     assert np.allclose([[got[i].q_a, got[i].q_b] for i in range(120)], a_hat @ x[[moved[i] for i in range(120)]])
-    z, losses = encoders.train_dgi(made.selectExpr("node_id", "p_a", "p_b", "q_a", "q_b", "node_id % 10 <> 0 AS loss"), ["p_a", "p_b"], ["q_a", "q_b"], dim=2, epochs=25)
-    assert min(losses) < 0.8 * losses[0] and z.count() == 120
+    rows = made.selectExpr("relation", "node_id", "p_a", "p_b", "q_a", "q_b", "node_id % 10 <> 0 AS loss")
+    z, losses = encoders.train_dgi(rows.unionByName(rows.selectExpr("'s' AS relation", "node_id", "q_a AS p_a", "q_b AS p_b", "p_a AS q_a", "p_b AS q_b", "loss")), ["r", "s"], ["p_a", "p_b"], ["q_a", "q_b"], dim=2, epochs=25)
+    assert losses[:, 0].min() < 0.8 * losses[0, 0] and z.count() == 240
+    alone, one = encoders.train_dgi(rows, ["r"], ["p_a", "p_b"], ["q_a", "q_b"], dim=2, epochs=25)
+    assert np.allclose(one[:, 0], losses[:, 0])
+    assert {(r.node_id, r.z1, r.z2) for r in alone.collect()} == {(r.node_id, r.z1, r.z2) for r in z.where("relation = 'r'").collect()}
 
 
 def test_pca_is_fitted_on_training_rows_only(spark):
@@ -234,10 +241,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"new")
     changes = {r.path: r.change for r in files.changed_files(before, files.file_digests(spark, str(tmp_path))).collect()}
     assert changes == {"a.txt": "changed", "b.txt": "added"}
-    spark.dataSource.register(files.CooSource)
-    for chunk in (13, 100, 1 << 20):
-        rows = spark.read.format("coo").option("path", str(tmp_path / "m.coo")).option("chunk", chunk).load().collect()
-        assert len(rows) == 402 and sorted((r.row, r.col, r.value) for r in rows)[:2] == [(0, 1, 0.5), (0, 1, 1.0)]
+    rows = files.read_coordinates(spark, str(tmp_path / "m.coo")).collect()
+    assert len(rows) == 402 and sorted((r.row, r.col, r.value) for r in rows)[:2] == [(0, 1, 0.5), (0, 1, 1.0)]
     db = str(tmp_path / "db")
     files.append_entry(spark.createDataFrame([("gbt", 0.5)], "model string, ap double"), db, "r1")
     files.append_entry(spark.createDataFrame([("lr", 0.4, "x")], "model string, ap double, note string"), db, "r2")
@@ -269,3 +274,90 @@ def test_components_and_rank_of_whole_vectors(spark):
     for j in range(4):
         load = vt[j] * np.sign(vt[j][np.abs(vt[j]).argmax()])
         assert np.allclose([got[i][f"pc{j + 1}"] for i, _ in rows], (x - fit.mean(0)) @ load, atol=1e-4)
+
+
+def mat_file(path, variables, deflate=True):
+    """A small MAT file: dense arrays, or (rows, columns, values, shape) for sparse ones."""
+    def element(kind, body):
+        return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+    out = b"MATLAB 5.0".ljust(124) + struct.pack("<H", 0x0100) + b"IM"
+    for name, v in variables.items():
+        sparse = isinstance(v, tuple)
+        shape = v[3] if sparse else v.shape
+        body = element(6, struct.pack("<II", 5 if sparse else 6, len(v[0]) if sparse else 0)) + element(5, struct.pack("<ii", *shape)) + (struct.pack("<HH", 1, len(name)) + name.encode().ljust(4, b"\0") if len(name) <= 4 else element(1, name.encode()))
+        if sparse:
+            order = np.lexsort((v[0], v[1]))
+            starts = np.concatenate([[0], np.cumsum(np.bincount(np.array(v[1])[order], minlength=shape[1]))])
+            body += element(5, np.array(v[0], "<i4")[order].tobytes()) + element(5, starts.astype("<i4").tobytes()) + element(9, np.array(v[2], "<f8")[order].tobytes())
+        else:
+            small = (v == np.round(v)).all() and abs(v).max() < 100
+            body += element(1, v.T.astype("i1").tobytes()) if small else element(9, v.T.astype("<f8").tobytes())
+        whole = element(14, body)
+        if deflate:
+            packed = zlib.compress(whole)
+            whole = struct.pack("<II", 15, len(packed)) + packed
+        out += whole
+    path.write_bytes(out)
+
+
+@pytest.mark.parametrize("deflate", [False, True])
+def test_graph_of_a_mat_file(spark, tmp_path, deflate):
+    x = np.array([[1.5, 2, 0], [0, 1, 3], [7, 0, 0], [0, 0, 0.25]])
+    rows, cols = [0, 1, 1, 2, 3], [1, 0, 2, 1, 3]
+    mat_file(tmp_path / "g.mat", {"features": x, "label": np.array([[0, 1, 1, 0]]), "net": (rows, cols, [1, 1, 2, 2, 1], (4, 4))}, deflate)
+    nodes, labels, entries = mat.read_graph(spark, str(tmp_path / "g.mat"), {"rur": "net"})
+    assert [tuple(r)[1:] for r in nodes.orderBy("node_id").collect()] == [tuple(v) for v in x.tolist()] and nodes.columns[1] == "own__f00"
+    assert [r.y for r in labels.orderBy("node_id").collect()] == [0, 1, 1, 0]
+    assert sorted((r.relation, r.i, r.j, r.v) for r in entries.collect()) == [("rur", i, j, v) for i, j, v in zip(rows, cols, (1, 1, 2, 2, 1), strict=True)]
+    edges = LIBRARY.apply(spark, "edges_canonical", lambda t: None, {"entries": entries}).collect()
+    assert sorted((r.src, r.dst) for r in edges) == [(0, 1), (1, 2)]
+    with pytest.raises(mat.MatError, match="has no other"):
+        mat.read_graph(spark, str(tmp_path / "g.mat"), {"r": "other"})
+    mat_file(tmp_path / "b.mat", {"features": x, "label": np.array([[0, 2, 1, 0]]), "net": (rows, cols, [1] * 5, (4, 4))})
+    with pytest.raises(mat.MatError, match="neither 0 nor 1"):
+        mat.read_graph(spark, str(tmp_path / "b.mat"), {"r": "net"})
+    for broken in (b"", b"x" * 200, (tmp_path / "g.mat").read_bytes()[:150]):
+        with pytest.raises(mat.MatError):
+            list(mat.variables(broken))
+
+
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 2)), 1)  # many ties
+    frame = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "node_id long, a double, b double")
+    for block in (7, 4096):
+        got = models.nearest(frame, frame.where("node_id % 5 = 0"), ["a", "b"], k=4, block=block).collect()
+        want = []
+        for q in range(0, 300, 5):
+            near = sorted((round(float(((x[q] - x[o]) ** 2).sum()), 5), o) for o in range(300) if o != q)[:4]
+            want += [(q, o, i + 1) for i, (_, o) in enumerate(near)]
+        assert sorted((r.node_id, r.near, r.place) for r in got) == sorted(want)
+
+
+def test_classifiers_over_blocks(spark):
+    rows = planted(spark)
+    got = models.compare_classifiers(rows.select("node_id", "label", "fold"), {"both": rows.select("node_id", "signal", "noise"), "noise": rows.select("node_id", "noise")}).collect()
+    assert len(got) == 2 * 3 * 4
+    mean = {b: np.mean([r.ap for r in got if r.block == b]) for b in ("both", "noise")}
+    assert mean["both"] > 0.85 > 0.6 > mean["noise"]
+
+
+def test_streams(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 2))
+    model = forest.fit(x, (x[:, 0] > 0).astype(int), trees=5, depth=2)
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(200, None, None)], "node_id long, a double, b double")
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = scoring.score_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), model, ["a", "b"])
+    run = stream.writeStream.format("memory").queryName("scored").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    batch = {r.node_id: r.prob for r in scoring.score_stream(rows, model, ["a", "b"]).collect()}
+    assert {r.node_id: r.prob for r in spark.table("scored").collect()} == batch and len(batch) == 201
+    times = [("2024-01-01 10:05:00", "a"), ("2024-01-01 10:55:00", "a"), ("2024-01-01 11:05:00", "b")]
+    events = spark.createDataFrame(times, "t string, kind string").selectExpr("CAST(t AS TIMESTAMP) AS t", "kind")
+    events.write.parquet(str(tmp_path / "ev"))
+    counts = scoring.windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev")), "t", "kind")
+    run = counts.writeStream.format("memory").outputMode("complete").queryName("counts").option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted((str(r.start), r.kind, r.n) for r in spark.table("counts").collect()) == [("2024-01-01 10:00:00", "a", 2), ("2024-01-01 11:00:00", "b", 1)]
