@@ -64,7 +64,10 @@ add("observed_counts", """
     SELECT 'nodes' AS what, CAST(count(*) AS BIGINT) AS found FROM {node_table} UNION ALL SELECT 'positive', CAST(coalesce(sum(label), 0) AS BIGINT) FROM {node_table}
     UNION ALL SELECT 'unlabelled', CAST(sum(CASE WHEN is_labelled THEN 0 ELSE 1 END) AS BIGINT) FROM {node_table}
     UNION ALL SELECT 'edges_' || relation, CAST(count(*) AS BIGINT) FROM {edges_canonical} GROUP BY relation""", "O-GR7")
-add("expected_counts", "SELECT what, found + CASE WHEN what = 'positive' THEN 1 ELSE 0 END AS expected FROM {observed_counts} WHERE what <> 'unlabelled' UNION ALL SELECT 'features', 7", public=False)
+add("expected_counts", """
+    SELECT 'nodes' AS what, CAST(count(*) AS BIGINT) AS expected FROM {customer} UNION ALL SELECT 'positive', CAST(coalesce(sum(y), 0) AS BIGINT) FROM {labels_raw} WHERE node_id >= prefix
+    UNION ALL SELECT 'unlabelled', max(prefix) FROM {labels_raw} UNION ALL SELECT 'features', 7
+    UNION ALL SELECT 'edges_' || relation, CAST(count(*) AS BIGINT) FROM (SELECT relation, i + j AS both_ends, abs(i - j) AS apart FROM {entries} WHERE v > 0 AND i IS NOT NULL AND j IS NOT NULL AND i <> j GROUP BY relation, i + j, abs(i - j)) e GROUP BY relation""", public=False)
 add("count_table", """
     SELECT coalesce(f.what, e.what) AS what, f.found, e.expected, CASE WHEN f.found = e.expected THEN true ELSE false END AS same
     FROM {observed_counts} f FULL OUTER JOIN {expected_counts} e ON e.what = f.what""", "O-GR7 O-AU7")

@@ -107,24 +107,58 @@ def rewired_report(edges: DataFrame, **settings: float) -> DataFrame:
     return out.join(made, "relation").select("relation", "edges", "swaps", "surviving")
 
 
-def grouped_folds(groups: DataFrame, folds: int) -> list[tuple[int, int]]:
-    """(group, fold) by the public greedy rule of stratified group folds: groups in falling order of the spread of their class
-    counts, each to the fold that leaves class shares most even. groups: (group_id, positives, negatives), a row for each."""
-    rows = groups.select("group_id", "positives", "negatives").collect()
-    counts = np.array([(r.negatives, r.positives) for r in rows], float).reshape(-1, 2)
-    total = np.maximum(counts.sum(0), 1)
-    order = sorted(range(len(rows)), key=lambda i: (-counts[i].std(), rows[i].group_id))
-    held, out = np.zeros((folds, 2)), []
-    for i in order:
-        spread = []
-        for k in range(folds):
-            held[k] += counts[i]
-            spread.append((round(float((held / total).std(0).mean()), 12), float(held[k].sum()), k))
-            held[k] -= counts[i]
-        k = min(spread)[2]
-        held[k] += counts[i]
-        out.append((rows[i].group_id, k))
-    return sorted(out)
+def grouped_folds(groups: DataFrame, folds: int, exact: int = 10_000) -> DataFrame:
+    """(group_id, fold) by the public greedy rule of stratified group folds: groups in falling order of the spread of their class
+    counts, each to the fold that leaves class shares most even. groups: (group_id, positives, negatives), a row for each.
+
+    Groups with equal counts are interchangeable, so the driver sees one row for each pair of counts and decides how many of its groups
+    each fold gets (one by one up to `exact` groups of a kind, beyond that in runs of a share of 1 / `exact`); which ones
+    follows from their rank, which range partitions give."""
+    kinds = {(r.negatives, r.positives): r["count"] for r in groups.groupBy("negatives", "positives").count().collect()}
+    total = np.maximum(sum((np.array(k, float) * n for k, n in kinds.items()), np.zeros(2)), 1)
+    held, ranges, first, at = np.zeros((folds, 2)), [], {}, 0
+    for k in sorted(kinds):
+        first[k], at = at, at + kinds[k]
+    for k in sorted(kinds, key=lambda c: (-np.std(c), c)):
+        own, left = np.zeros(folds, np.int64), kinds[k]
+        run = max(1, left // exact)
+        while left:
+            step = min(run, left)
+            spread = []
+            for f in range(folds):
+                held[f] += np.array(k) * step
+                spread.append((round(float((held / total).std(0).mean()), 12), float(held[f].sum()), f))
+                held[f] -= np.array(k) * step
+            f = min(spread)[2]
+            held[f] += np.array(k) * step
+            own[f] += step
+            left -= step
+        start = first[k]
+        for f in range(folds):
+            ranges.append((int(k[0]), int(k[1]), f, int(start), int(start + own[f])))
+            start += own[f]
+    ranked = numbered(groups.select(F.struct(F.col("negatives").cast("long").alias("n"), F.col("positives").cast("long").alias("p"), F.col("group_id").cast("long").alias("g")).alias("o")), "o", "place")
+    of = groups.sparkSession.createDataFrame(ranges or [(0, 0, 0, 0, 0)], "n long, p long, fold int, low long, high long")
+    placed = ranked.select("o.n", "o.p", "o.g", "place").join(F.broadcast(of), ["n", "p"]).where("place >= low and place < high")
+    return placed.select(F.col("g").alias("group_id"), "fold")
+
+
+def stratified_group_split(nodes: DataFrame, parts: int = 5, test_parts: int = 2, folds: int = 5) -> DataFrame:
+    """(node_id, group_id, split, cv_fold): groups go to a test part (test_parts of `parts`) and a training part by the greedy rule of
+    `grouped_folds`, training groups to `folds` folds by the same rule. Unlabelled nodes have the split `unlabelled`; labelled nodes of
+    one group stay together. nodes: node_id, label, group_id."""
+    labelled = nodes.where("label is not null")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("group_id").agg(F.sum("label").alias("positives"), F.sum(1 - F.col("label")).alias("negatives"))
+
+    part = written(grouped_folds(counted(labelled), parts), "parts")
+    train = part.where(F.col("fold") >= test_parts).select("group_id")
+    fold = written(grouped_folds(counted(labelled.join(train, "group_id", "left_semi")), folds).withColumnRenamed("fold", "cv_fold"), "folds")
+    out = nodes.join(part, "group_id", "left").join(fold, "group_id", "left")
+    known = F.col("label").isNotNull()
+    split = F.when(~known, "unlabelled").when(F.col("fold") < test_parts, "test").otherwise("train")
+    return out.select("node_id", "group_id", split.alias("split"), F.when(known, F.col("cv_fold")).alias("cv_fold"))
 
 
 def covariance(vectors: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ import quillmesh.operators.metrics
 import quillmesh.operators.resultsdb  # noqa: F401  these define the templates
 from quillmesh.operators import encoders, models
 from quillmesh.plans.dialect import LIBRARY
+from quillmesh.sources import files
 from quillmesh.storage import run_dir, table, written
 
 
@@ -53,7 +54,36 @@ def rewired_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     (nodes,) = _get(spark, sf_dir, "split_nodes")
     groups = nodes.where("label is not null").groupBy("group_id").agg(F.sum("label").alias("positives"), F.sum(1 - F.col("label")).alias("negatives"))
-    return spark.createDataFrame(models.grouped_folds(groups, 5), "group_id long, fold int")
+    return models.grouped_folds(groups, 5)
+
+
+def stratified_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (nodes,) = _get(spark, sf_dir, "node_table")
+    return models.stratified_group_split(nodes)
+
+
+def results_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked appends of result rows, an entry for each kind of model, read back with their run ids."""
+    (rows,) = _get(spark, sf_dir, "combined_results")
+    path, kept = f"{run_dir(spark)}/results-{uuid.uuid4().hex}", written(rows, "results")
+    for model in ("gbt", "lr"):
+        files.append_entry(kept.where(F.col("model") == model).groupBy("model").agg(F.count("*").alias("rows_in"), F.round(F.avg("cv_pr_auc"), 6).alias("cv_pr_auc")), path, f"run_{model}")
+    return files.read_entries(spark, path).select("run_id", "model", "rows_in", "cv_pr_auc")
+
+
+def edges_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written by relation; a read of one relation touches its folder only."""
+    (edges,) = _get(spark, sf_dir, "edges_canonical")
+    path = f"{run_dir(spark)}/edges-{uuid.uuid4().hex}"
+    files.write_partitioned(edges, path)
+    return spark.read.parquet(path).where("relation = 'cdp'").select("src", "dst")
+
+
+def changed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that differ between two digest tables: here one table's files against themselves and another's."""
+    before = files.file_digests(spark, f"{sf_dir}/nation.parquet")
+    after = before.unionByName(files.file_digests(spark, f"{sf_dir}/region.parquet"))
+    return files.changed_files(before, after).groupBy("change").agg(F.count("*").alias("files"))
 
 
 def _wide_embeddings(spark: SparkSession, sf_dir: str, places: int | None = None) -> DataFrame:
@@ -211,9 +241,8 @@ def saved_model_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmesh.sources.files import file_digests as digests
-
-    return digests(spark, f"{sf_dir}/nation.parquet")
+    """Digests of the files of the small tables."""
+    return files.file_digests(spark, f"{sf_dir}/nation.parquet").unionByName(files.file_digests(spark, f"{sf_dir}/region.parquet"))
 
 
 #: Places of the embeddings in `raw_block`: all of them, named here as its oracle has to list them.
@@ -223,12 +252,15 @@ CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, tree_shapley,
-        sign_mlp, rel_sage, dgi_embeddings, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests,
+        sign_mlp, rel_sage, dgi_embeddings, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
+        results_sink, edges_sink, changed_tables,
     )
 }
 QUERIES = {n: LIBRARY.query(n) for n in LIBRARY.public} | CUSTOM
 ORACLES = {n: LIBRARY.oracle(n) for n in LIBRARY.public if n not in CUSTOM or n == "knn_cards"} | {
     "raw_block": "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS gnnraw__z{i + 1:02d}" for i in range(RAW_PLACES)) + " FROM embeddings",
+    "edges_sink": LIBRARY.oracle("edges_canonical").replace("SELECT * FROM edges_canonical", "SELECT src, dst FROM edges_canonical WHERE relation = 'cdp'"),
+    "results_sink": LIBRARY.oracle("combined_results").replace("SELECT * FROM combined_results", "SELECT 'run_' || model AS run_id, model, count(*) AS rows_in, round(avg(cv_pr_auc), 6) AS cv_pr_auc FROM combined_results GROUP BY model"),
     # Both sides of the removal, summed over all neighbours but one.
     "removal_influence": LIBRARY.oracle("adjacency_directed").replace("SELECT * FROM adjacency_directed", """, own AS (SELECT c.c_custkey AS node_id, CAST(coalesce(f.orders, 0) AS DOUBLE) AS v FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey),
         deg AS (SELECT relation, node_id, count(*) AS d FROM adjacency_directed GROUP BY relation, node_id),

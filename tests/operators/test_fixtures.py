@@ -178,34 +178,39 @@ def test_corrected_t(spark):
     var = sum((v - mean) ** 2 for v in d) / 9
     (r,) = apply(spark, "corrected_t", deltas=rows).collect()
     assert r.t == pytest.approx(mean / math.sqrt((0.1 + 0.25) * var), abs=1e-6) and r.df == 9
-    assert models.student_t_tail(r.t, 9) > models.student_t_tail(mean / math.sqrt(0.1 * var), 9)
-    assert models.student_t_tail(2.2621571628, 9) == pytest.approx(0.05, abs=1e-8)
-    assert models.student_t_tail(1.0, 1) == pytest.approx(0.5, abs=1e-12)
-
-
-def test_swaps_keep_degrees(spark):
-    edges = spark.createDataFrame(sorted({tuple(sorted(((i * 7) % 300, (i * 13 + 5) % 300))) for i in range(900) if (i * 7) % 300 != (i * 13 + 5) % 300}), "src long, dst long")
-    after = models.swap_rewire(edges, swaps_per_edge=2).collect()
-    degree = lambda rows: sorted(x for r in rows for x in (r.src, r.dst))
-    before = edges.collect()
-    assert degree(before) == degree(after) and len({(r.src, r.dst) for r in after}) == len(before)
-    assert all(r.src < r.dst for r in after) and len({tuple(r) for r in after} & {tuple(r) for r in before}) < len(before) / 2
+    flat = spark.createDataFrame([(0, i, v) for i, v in enumerate((0.5, 0.5, 0.5))] + [(1, 0, 0.1)], "contrast long, split long, delta double")
+    assert {r.contrast: r.t for r in apply(spark, "corrected_t", deltas=flat).collect()} == {0: math.inf, 1: None}
 
 
 def test_group_folds_keep_groups_and_balance(spark):
     groups = spark.createDataFrame([(g, g % 5 == 0 and 2 or 0, 1 + g % 4) for g in range(60)], "group_id long, positives long, negatives long")
-    folds = dict(models.grouped_folds(groups, 5))
+    folds = {r.group_id: r.fold for r in models.grouped_folds(groups, 5).collect()}
     assert len(folds) == 60
     positives = [sum(2 for g, k in folds.items() if k == f and g % 5 == 0) for f in range(5)]
     assert max(positives) - min(positives) <= 2
+    # One group after the other, as the rule says.
+    kinds = sorted(((g % 5 == 0 and 2 or 0, 1 + g % 4) for g in range(60)), key=lambda c: (-abs(c[0] - c[1]) / 2, c[1], c[0]))
+    held, total = [[0, 0] for _ in range(5)], [sum(k[i] for k in kinds) for i in (1, 0)]
+    for p, n in kinds:
+        def spread(f, p=p, n=n):
+            after = [[h[0] + n * (i == f), h[1] + p * (i == f)] for i, h in enumerate(held)]
+            shares = [[h[j] / total[j] for h in after] for j in (0, 1)]
+            return round(sum((sum((v - sum(x) / 5) ** 2 for v in x) / 5) ** 0.5 for x in shares) / 2, 12), sum(after[f]), f
+        f = min(map(spread, range(5)))[2]
+        held[f] = [held[f][0] + n, held[f][1] + p]
+    got = [[sum(1 + g % 4 for g, k in folds.items() if k == f), sum(2 for g, k in folds.items() if k == f and g % 5 == 0)] for f in range(5)]
+    assert got == held
+    many = spark.range(3000).selectExpr("id AS group_id", "id % 3 AS positives", "1L AS negatives")
+    sizes = [r["count"] for r in models.grouped_folds(many, 5, exact=50).groupBy("fold").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) - min(sizes) < 100
+    assert models.grouped_folds(many.limit(0), 5).collect() == []
 
 
 def test_identical_scores_have_no_difference(spark):
     test = spark.createDataFrame([(i, int(i % 3 == 0), i // 2, (i % 7) / 10, (i % 7) / 10) for i in range(60)], "node_id long, y int, group_id long, pa double, pb double")
-    nation = spark.createDataFrame([(i,) for i in range(25)], "n_nationkey int")
-    (r,) = LIBRARY.apply(spark, "paired_bootstrap", lambda t: nation, {"test_scores": test}).collect()
-    assert (r.low, r.high) == (0, 0) and r.kept == 25
-    draws = LIBRARY.apply(spark, "draws", lambda t: nation, {"test_scores": test}).groupBy("b").sum("times").collect()
+    (r,) = apply(spark, "paired_bootstrap", test_scores=test).collect()
+    assert (r.low, r.high) == (0, 0) and r.kept == 1000
+    draws = apply(spark, "draws", test_scores=test).groupBy("b").sum("times").collect()
     assert {v for _, v in draws} == {30}
 
 

@@ -361,3 +361,19 @@ def test_streams(spark, tmp_path):
     run = counts.writeStream.format("memory").outputMode("complete").queryName("counts").option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted((str(r.start), r.kind, r.n) for r in spark.table("counts").collect()) == [("2024-01-01 10:00:00", "a", 2), ("2024-01-01 11:00:00", "b", 1)]
+
+
+def test_stratified_group_split(spark):
+    rng = random.Random(6)
+    rows = [(i, None if i < 40 else int(rng.random() < 0.2), rng.randrange(150)) for i in range(600)]
+    got = models.stratified_group_split(spark.createDataFrame(rows, "node_id long, label int, group_id long")).collect()
+    label = {n: y for n, y, _ in rows}
+    assert len(got) == 600 and all((r.split == "unlabelled") == (label[r.node_id] is None) for r in got)
+    known = [r for r in got if r.split != "unlabelled"]
+    for of in ("split", "cv_fold"):
+        assert len({(r.group_id, r[of]) for r in known}) == len({r.group_id for r in known})
+    assert all((r.cv_fold is not None) == (r.split == "train") for r in known)
+    share = lambda part: np.mean([label[r.node_id] for r in known if part(r)])
+    whole = share(lambda r: True)
+    assert abs(share(lambda r: r.split == "test") - whole) < 0.03 and 0.35 < np.mean([r.split == "test" for r in known]) < 0.45
+    assert all(abs(share(lambda r, k=k: r.cv_fold == k) - whole) < 0.06 for k in range(5))
