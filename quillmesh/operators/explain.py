@@ -18,33 +18,56 @@ add("parse_columns", """
         CASE WHEN name LIKE '%mean%' THEN 'mean' WHEN name LIKE '%degree' THEN 'degree' ELSE 'own' END AS stat, CASE WHEN name LIKE '%f0_' THEN substr(name, length(name) - 2, 3) END AS feature FROM {column_names}""".replace("LIKE '%\\_%' ESCAPE '\\'", "LIKE '%no19'"), "O-EX1")
 add("summed_by_group", "SELECT node_id, player, round(sum(phi), 6) AS total FROM (SELECT node_id, phi, CASE WHEN name IN ('own__f01', 'own__f02', 'own__f03') THEN 'orders' ELSE 'person' END AS player FROM {attributions}) a GROUP BY node_id, player", "O-EX2 O-EX3")
 add("strata", """
-    SELECT m.stratum, CAST(count(*) AS BIGINT) AS n FROM {test_scores} t CROSS JOIN (SELECT 'all' AS stratum UNION ALL SELECT 'flagged' UNION ALL SELECT 'unflagged' UNION ALL SELECT 'tp' UNION ALL SELECT 'fp' UNION ALL SELECT 'fn' UNION ALL SELECT 'tn') m
-    WHERE m.stratum = 'all' OR m.stratum = CASE WHEN pa >= 0.5e0 THEN 'flagged' ELSE 'unflagged' END OR m.stratum = CASE WHEN pa >= 0.5e0 AND y = 1 THEN 'tp' WHEN pa >= 0.5e0 THEN 'fp' WHEN y = 1 THEN 'fn' ELSE 'tn' END GROUP BY m.stratum""", "O-EX4")
+    SELECT m.stratum, CAST(count(*) AS BIGINT) AS n FROM (SELECT t.y, t.pa >= h.threshold AS flagged FROM {test_scores} t CROSS JOIN {f1_threshold} h) t
+    CROSS JOIN (SELECT 'all' AS stratum UNION ALL SELECT 'fraud' UNION ALL SELECT 'not_fraud' UNION ALL SELECT 'flagged' UNION ALL SELECT 'true_positive' UNION ALL SELECT 'false_positive' UNION ALL SELECT 'false_negative') m
+    WHERE m.stratum = 'all' OR m.stratum = CASE WHEN y = 1 THEN 'fraud' ELSE 'not_fraud' END OR m.stratum = CASE WHEN flagged THEN 'flagged' END OR m.stratum = CASE WHEN flagged AND y = 1 THEN 'true_positive' WHEN flagged THEN 'false_positive' WHEN y = 1 THEN 'false_negative' END GROUP BY m.stratum""", "O-EX4",
+    oracle="""WITH f AS (SELECT t.y, t.pa >= (SELECT threshold FROM {f1_threshold}) AS flagged FROM {test_scores} t)
+        SELECT * FROM (SELECT 'all' AS stratum, count(*) AS n FROM f UNION ALL SELECT 'fraud', count(*) FROM f WHERE y = 1 UNION ALL SELECT 'not_fraud', count(*) FROM f WHERE y = 0 UNION ALL SELECT 'flagged', count(*) FROM f WHERE flagged
+            UNION ALL SELECT 'true_positive', count(*) FROM f WHERE flagged AND y = 1 UNION ALL SELECT 'false_positive', count(*) FROM f WHERE flagged AND y = 0 UNION ALL SELECT 'false_negative', count(*) FROM f WHERE NOT flagged AND y = 1) x WHERE n > 0""")
 add("group_attribution", "SELECT group_id, name, sum(abs(phi)) AS total, CAST(count(*) AS BIGINT) AS n FROM {attributions} GROUP BY group_id, name", public=False)
 add("importance", "SELECT name, round(sum(total) / sum(n), 6) AS importance FROM {group_attribution} GROUP BY name", "O-EX30 O-EX20")
 add("drawn_importance", "SELECT d.b, g.name, round(sum(d.times * g.total) / sum(d.times * g.n), 7) AS importance FROM {draws} d JOIN {group_attribution} g ON g.group_id = d.group_id GROUP BY d.b, g.name", public=False)
 add("drawn_ranks", "SELECT b, name, importance, rank() OVER (PARTITION BY b ORDER BY importance DESC, name) AS place FROM {drawn_importance}", public=False)
-add("importance_ci", "SELECT name, round($Q(importance, 0.025), 6) AS low, round($Q(importance, 0.975), 6) AS high, round($Q($DBL(place), 0.025), 4) AS rank_low, round($Q($DBL(place), 0.975), 4) AS rank_high, $Q($DBL(place), 0.975) - $Q($DBL(place), 0.025) > 5 AS unstable FROM {drawn_ranks} GROUP BY name", "O-EX5 O-EX20")
+add("importance_signed", "SELECT name, avg(abs(phi)) AS importance, avg(phi) AS signed_mean FROM {attributions} GROUP BY name", public=False)
+add("importance_ci", """
+    SELECT i.name, round(i.importance, 6) AS importance, round(i.signed_mean, 6) + 0e0 AS signed_mean, CAST(row_number() OVER (ORDER BY round(i.importance, 6) DESC, i.name) AS BIGINT) AS place, d.low, d.high, d.rank_low, d.rank_high, d.rank_high - d.rank_low > 5 AS unstable
+    FROM {importance_signed} i JOIN (SELECT name, round($Q(importance, 0.025), 6) AS low, round($Q(importance, 0.975), 6) AS high, round($Q($DBL(place), 0.025), 4) AS rank_low, round($Q($DBL(place), 0.975), 4) AS rank_high FROM {drawn_ranks} GROUP BY name) d ON d.name = i.name""", "O-EX5 O-EX20")
 add("two_rankings", "SELECT a.name, a.importance AS x, b.importance AS z FROM {drawn_importance} a JOIN {drawn_importance} b ON b.name = a.name AND b.b = a.b + 1 WHERE a.b = 0", public=False)
+add("placed_rankings", "SELECT name, x, z, row_number() OVER (ORDER BY x DESC, name) AS rx, row_number() OVER (ORDER BY z DESC, name) AS rz FROM {two_rankings}", public=False)
 add("rank_agreement", """
-    SELECT round((c.concordant - c.discordant) / nullif(sqrt($DBL(c.concordant + c.discordant + c.tx) * (c.concordant + c.discordant + c.tz)), 0), 6) AS kendall, j.jaccard, j.largest_move, round(j.spearman, 6) AS spearman
+    SELECT round((c.concordant - c.discordant) / nullif(sqrt($DBL(c.concordant + c.discordant + c.tx) * (c.concordant + c.discordant + c.tz)), 0), 6) AS kendall, round(j.jaccard, 6) AS jaccard, j.largest_move, j.n_columns
     FROM (SELECT sum(CASE WHEN (a.x - b.x) * (a.z - b.z) > 0 THEN 1 ELSE 0 END) AS concordant, sum(CASE WHEN (a.x - b.x) * (a.z - b.z) < 0 THEN 1 ELSE 0 END) AS discordant, sum(CASE WHEN a.x = b.x AND a.z <> b.z THEN 1 ELSE 0 END) AS tz, sum(CASE WHEN a.z = b.z AND a.x <> b.x THEN 1 ELSE 0 END) AS tx
         FROM {two_rankings} a JOIN {two_rankings} b ON a.name < b.name) c
-    CROSS JOIN (SELECT sum(CASE WHEN rx <= 3 AND rz <= 3 THEN 1 ELSE 0 END) / $DBL(sum(CASE WHEN rx <= 3 OR rz <= 3 THEN 1 ELSE 0 END)) AS jaccard, CAST(max(abs(rx - rz)) AS BIGINT) AS largest_move, corr($DBL(rx), $DBL(rz)) AS spearman
-        FROM (SELECT name, row_number() OVER (ORDER BY x DESC, name) AS rx, row_number() OVER (ORDER BY z DESC, name) AS rz FROM {two_rankings}) r) j""", "O-EX6 O-EX26")
+    CROSS JOIN (SELECT sum(CASE WHEN rx <= 3 AND rz <= 3 THEN 1 ELSE 0 END) / $DBL(sum(CASE WHEN rx <= 3 OR rz <= 3 THEN 1 ELSE 0 END)) AS jaccard, CAST(max(CASE WHEN rx <= 3 THEN abs(rx - rz) END) AS BIGINT) AS largest_move, CAST(count(*) AS BIGINT) AS n_columns FROM {placed_rankings}) j""", "O-EX6 O-EX26")
 add("split_agreement", "SELECT a.b AS first_draw, b.b AS second_draw, round(corr($DBL(a.place), $DBL(b.place)), 6) AS spearman FROM {drawn_ranks} a JOIN {drawn_ranks} b ON b.name = a.name AND a.b < b.b GROUP BY a.b, b.b", "O-EX23")
 add("margins", "SELECT node_id, round(sum(phi), 6) AS margin FROM {attributions} GROUP BY node_id", public=False)
-add("implementation_check", "SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN abs(m.margin - a.total) > 1e-3 THEN 1e0 ELSE 0e0 END), 6) AS missed FROM {margins} m JOIN (SELECT node_id, sum(total) AS total FROM {summed_by_group} GROUP BY node_id) a ON a.node_id = m.node_id", "O-EX7 O-ML14 O-ST16 O-ST19")
+add("additivity", """
+    SELECT e.error, 1e-4 * greatest(1e0, m.largest) AS tolerance FROM (SELECT abs(m.margin - a.total) AS error FROM {margins} m JOIN (SELECT node_id, sum(total) AS total FROM {summed_by_group} GROUP BY node_id) a ON a.node_id = m.node_id) e
+    CROSS JOIN (SELECT max(abs(margin)) AS largest FROM {margins}) m""", public=False)
+add("implementation_check", """
+    SELECT CAST(count(*) AS BIGINT) AS n, round(max(tolerance), 9) AS tolerance, CAST(sum(CASE WHEN error > tolerance THEN 1 ELSE 0 END) AS BIGINT) AS n_excluded, round(max(CASE WHEN error <= tolerance THEN error END), 6) AS largest_error,
+        round(max(CASE WHEN error > tolerance THEN error ELSE 0e0 END), 6) AS largest_excluded, avg(CASE WHEN error > tolerance THEN 1e0 ELSE 0e0 END) > 0.01e0 AS broken FROM {additivity}""", "O-EX7 O-ML14 O-ST16 O-ST19")
 add("layout_check", "SELECT n.node_id, abs(n.nbr__cpm_mean_f01 - coalesce(s.mean_f01, 0e0)) <= 1e-3 AS same FROM {nbr_block} n LEFT JOIN {neighbour_sums} s ON s.node_id = n.node_id AND s.relation = 'cpm'", "O-EX8")
 add("edge_values", "SELECT a.relation, a.node_id AS target, a.nb AS neighbour, o.own__f01 AS v, sum(o.own__f01) OVER (PARTITION BY a.relation, a.node_id) AS total, count(*) OVER (PARTITION BY a.relation, a.node_id) AS degree FROM {adjacency_directed} a JOIN {own_block} o ON o.node_id = a.nb", public=False)
 add("loo_neighbour_means", "SELECT relation, target, neighbour, CAST(degree AS BIGINT) AS degree, round(CASE WHEN degree > 1 THEN (total - v) / (degree - 1e0) ELSE 0e0 END, 7) AS mean_without, round(ln($DBL(degree)), 7) AS log_degree_without FROM {edge_values}", "O-EX9")
 add("mean_ranges", "SELECT relation, min(m) AS low, max(m) AS high FROM (SELECT relation, target, max(total / degree) AS m FROM {edge_values} e JOIN {ids_table} i ON i.node_id = e.target GROUP BY relation, target) t GROUP BY relation", public=False)
-add("influence", """
-    SELECT l.relation, l.target, l.neighbour, l.degree, round((e.total / e.degree - l.mean_without) * 0.05e0, 7) AS delta_margin, round(1e0 / (1e0 + exp(-0.05e0 * (e.total / e.degree - 10e0))) - 1e0 / (1e0 + exp(-0.05e0 * (l.mean_without - 10e0))), 7) AS delta_prob, l.mean_without < r.low OR l.mean_without > r.high AS out_of_range
-    FROM {loo_neighbour_means} l JOIN {edge_values} e ON e.relation = l.relation AND e.target = l.target AND e.neighbour = l.neighbour JOIN {mean_ranges} r ON r.relation = l.relation""", "O-EX10 O-EX11 O-EX28")
-add("aggregate_influence", "SELECT i.relation, i.neighbour, CAST(count(*) AS BIGINT) AS n, round(sum(abs(i.delta_margin)), 7) AS total, round(sum(abs(i.delta_margin) * i.degree), 7) AS scaled_total, round(sum(CASE WHEN i.delta_margin > 0 THEN i.delta_margin ELSE 0e0 END), 7) AS up, round(sum(CASE WHEN f.node_id IS NOT NULL THEN abs(i.delta_margin) ELSE 0e0 END), 7) AS on_flagged FROM {influence} i LEFT JOIN (SELECT node_id FROM {test_scores} WHERE pa >= 0.5e0) f ON f.node_id = i.target GROUP BY i.relation, i.neighbour", "O-EX13")
+_SIGMOID = "1e0 / (1e0 + exp(-({m})))"
+add("influence_margins", """
+    SELECT l.relation, l.target, l.neighbour, l.degree, l.mean_without < r.low OR l.mean_without > r.high AS out_of_range, 0.05e0 * (e.total / e.degree - 10e0) + 0.2e0 * ln(1e0 + e.degree) AS now,
+        0.05e0 * (l.mean_without - 10e0) + 0.2e0 * ln(1e0 + e.degree) AS without_mean, 0.05e0 * (l.mean_without - 10e0) + 0.2e0 * l.log_degree_without AS without
+    FROM {loo_neighbour_means} l JOIN {edge_values} e ON e.relation = l.relation AND e.target = l.target AND e.neighbour = l.neighbour JOIN {mean_ranges} r ON r.relation = l.relation""", public=False)
+add("influence", f"""
+    SELECT relation, target, neighbour, degree, out_of_range, round(now - without, 7) AS delta_margin, round({_SIGMOID.replace("{m}", "now")} - {_SIGMOID.replace("{m}", "without")}, 7) AS delta_prob,
+        round({_SIGMOID.replace("{m}", "now")} - {_SIGMOID.replace("{m}", "without_mean")}, 7) AS delta_prob_mean FROM {{influence_margins}}""", "O-EX10 O-EX11 O-EX28")
+add("aggregate_influence", """
+    SELECT i.relation, i.neighbour, CAST(count(*) AS BIGINT) AS n_targets, round(sum(abs(i.delta_prob)), 7) AS sum_abs, $R(avg(abs(i.delta_prob)), 6) AS mean_abs, $R(avg(abs(i.delta_prob) * i.degree), 6) AS mean_abs_x_degree,
+        round(sum(greatest(i.delta_prob, 0e0)), 7) AS towards_fraud, round(sum(greatest(-i.delta_prob, 0e0)), 7) AS away_from_fraud, round(sum(CASE WHEN f.node_id IS NOT NULL THEN abs(i.delta_prob) ELSE 0e0 END), 7) AS sum_abs_flagged
+    FROM {influence} i LEFT JOIN (SELECT node_id FROM {test_scores} WHERE pa >= 0.5e0) f ON f.node_id = i.target GROUP BY i.relation, i.neighbour""", "O-EX13",
+    oracle="""WITH w AS (SELECT relation, neighbour, target, degree, delta_prob, abs(delta_prob) AS a FROM {influence}), flagged AS (SELECT w.relation, w.neighbour, sum(w.a) AS s FROM w WHERE w.target IN (SELECT node_id FROM {test_scores} WHERE pa >= 0.5) GROUP BY ALL)
+        SELECT w.relation, w.neighbour, count(*) AS n_targets, round(sum(a), 7) AS sum_abs, $R(sum(a) / count(*), 6) AS mean_abs, $R(sum(a * degree) / count(*), 6) AS mean_abs_x_degree, round(sum((a + delta_prob) / 2), 7) AS towards_fraud, round(sum((a - delta_prob) / 2), 7) AS away_from_fraud,
+            round(coalesce(any_value(f.s), 0), 7) AS sum_abs_flagged FROM w LEFT JOIN flagged f ON f.relation = w.relation AND f.neighbour = w.neighbour GROUP BY w.relation, w.neighbour""")
 add("neighbour_tables", "SELECT i.relation, CAST(count(DISTINCT i.target) AS BIGINT) AS targets, CAST(count(*) AS BIGINT) AS edges, round(avg(abs(i.delta_margin)), 6) AS mean_abs, round(avg(CASE WHEN i.out_of_range THEN 1e0 ELSE 0e0 END), 6) AS outside, max(d.median_degree) AS median_degree FROM {influence} i JOIN (SELECT relation, $Q($DBL(degree), 0.5) AS median_degree FROM (SELECT DISTINCT relation, target, degree FROM {influence}) t GROUP BY relation) d ON d.relation = i.relation GROUP BY i.relation", "O-EX21")
-add("top_influencers", "SELECT relation, neighbour, place FROM (SELECT relation, neighbour, row_number() OVER (PARTITION BY relation ORDER BY total DESC, neighbour) AS place FROM {aggregate_influence}) r WHERE place <= 10", "O-EX21 O-EX29")
+add("top_influencers", "SELECT relation, neighbour, place FROM (SELECT relation, neighbour, row_number() OVER (PARTITION BY relation ORDER BY sum_abs DESC, neighbour) AS place FROM {aggregate_influence}) r WHERE place <= 10", "O-EX21 O-EX29")
 add("neighbour_shapley", """
     SELECT relation, target, neighbour, round(avg(coalesce(now_mean - before_mean, now_mean)), 6) + 0e0 AS phi FROM (
         SELECT relation, target, neighbour, p, now_mean, lag(now_mean) OVER (PARTITION BY relation, target, p ORDER BY k) AS before_mean FROM (
@@ -56,11 +79,12 @@ add("group_shapley", """
     SELECT node_id, round(0.5e0 * (max(CASE WHEN mask = 1 THEN v END) - max(CASE WHEN mask = 0 THEN v END)) + 0.5e0 * (max(CASE WHEN mask = 3 THEN v END) - max(CASE WHEN mask = 2 THEN v END)), 7) AS orders, round(0.5e0 * (max(CASE WHEN mask = 2 THEN v END) - max(CASE WHEN mask = 0 THEN v END)) + 0.5e0 * (max(CASE WHEN mask = 3 THEN v END) - max(CASE WHEN mask = 1 THEN v END)), 7) AS person
     FROM (SELECT s.node_id, c.mask, sum(CASE WHEN s.player = 'orders' AND c.mask % 2 = 1 OR s.player = 'person' AND c.mask >= 2 THEN s.total ELSE 0e0 END) AS v FROM {summed_by_group} s CROSS JOIN {coalitions} c GROUP BY s.node_id, c.mask) m GROUP BY node_id""", "O-EX16")
 add("interactions", "SELECT a.name AS first_name, b.name AS second_name, round(avg(abs(a.phi * b.phi)), 6) AS strength FROM {attributions} a JOIN {attributions} b ON b.node_id = a.node_id AND a.name < b.name GROUP BY a.name, b.name", "O-EX27")
-# Removal and retraining, from its rows (see models.roar): given as the input `roar_scores`.
-add("roar_by_fold", "SELECT k, fold, kind, avg(pr_auc) AS ap FROM {roar_scores} WHERE kind IN ('top_k', 'random') GROUP BY k, fold, kind", public=False)
-add("roar_summary", """
-    SELECT t.k, round(t.mean, 6) AS top_mean, round(r.mean, 6) AS random_mean, round(r.sd, 6) AS random_sd, t.mean < r.mean AS beats_random
-    FROM (SELECT k, avg(ap) AS mean FROM {roar_by_fold} WHERE kind = 'top_k' GROUP BY k) t JOIN (SELECT k, avg(ap) AS mean, stddev_samp(ap) AS sd FROM {roar_by_fold} WHERE kind = 'random' GROUP BY k) r ON r.k = t.k""", "O-EX18 O-EX17 O-ST14")
+# Removal and retraining, from its rows (see models.roar; `fall` is its drop): given as the input `roar_scores`.
+add("roar_by_fold", "SELECT kind, name, k, fold, avg(fall) AS fall FROM {roar_scores} GROUP BY kind, name, k, fold", public=False)
+add("roar_summary", "SELECT kind, name, k, round(avg(fall), 6) AS mean_drop, round(stddev_samp(fall), 6) AS sd_drop, CAST(count(*) AS BIGINT) AS n_folds FROM {roar_by_fold} GROUP BY kind, name, k", "O-EX18 O-EX17 O-ST14")
+add("roar_top_or_random", """
+    SELECT t.k, t.mean_drop AS top_k_drop, r.mean_drop AS random_drop, round(t.mean_drop - r.mean_drop, 6) AS gap, t.mean_drop > r.mean_drop AS top_k_hurts_more
+    FROM {roar_summary} t JOIN {roar_summary} r ON r.k = t.k WHERE t.kind = 'top_k' AND r.kind = 'random'""", "O-EX18 O-EX24")
 add("rank_recurrence", "SELECT name, CAST(sum(CASE WHEN place <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS in_top, round(avg($DBL(place)), 6) AS mean_rank, CAST(min(place) AS BIGINT) AS best, CAST(max(place) AS BIGINT) AS worst FROM {drawn_ranks} GROUP BY name", "O-EX22")
 add("vectors", "SELECT node_id, max(CASE WHEN name = 'own__f01' THEN phi END) AS a, max(CASE WHEN name = 'own__f02' THEN phi END) AS b, max(CASE WHEN name = 'own__f04' THEN phi END) AS c FROM {attributions} GROUP BY node_id", public=False)
 add("knn_cards", "SELECT node_id, near, place FROM (SELECT q.node_id, v.node_id AS near, row_number() OVER (PARTITION BY q.node_id ORDER BY round((q.a - v.a) * (q.a - v.a) + (q.b - v.b) * (q.b - v.b) + (q.c - v.c) * (q.c - v.c), 5), v.node_id) AS place FROM (SELECT * FROM {vectors} WHERE node_id % 20 = 0) q JOIN {vectors} v ON v.node_id <> q.node_id) n WHERE place <= 5", "O-EX29 O-DQ4")

@@ -174,7 +174,9 @@ add("verdicts", """
     SELECT s.contrast, p.p, CASE WHEN s.least > 0 AND s.mean > s.sd AND coalesce(p.p < 0.05e0, false) THEN 'supported' WHEN s.mean > 0 THEN 'not distinguishable' ELSE 'worse' END AS verdict
     FROM {contrast_stats} s LEFT JOIN {p_values} p ON p.contrast = s.contrast""", "O-EV15 O-EV23")
 add("repeat_summary", "SELECT metric, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd FROM (SELECT fold, 'ap' AS metric, ap AS v FROM {fold_scores} WHERE model = 'gbt' AND settings = 'tuned' UNION ALL SELECT fold, 'auroc', auroc FROM {fold_scores} WHERE model = 'gbt' AND settings = 'tuned' UNION ALL SELECT fold, 'brier', brier FROM {fold_scores} WHERE model = 'gbt' AND settings = 'tuned') m GROUP BY metric", "O-EV16")
-add("best_gnn", "SELECT other AS pick, round(gain, 9) AS gain FROM (SELECT b.model || '/' || b.settings AS other, avg(b.ap - a.ap) AS gain, stddev_samp(b.ap - a.ap) AS sd, count(*) AS n FROM {average_precision} a JOIN {average_precision} b ON b.fold = a.fold WHERE a.model = 'dummy' AND b.model <> 'dummy' GROUP BY b.model, b.settings) g WHERE gain > sd / sqrt($DBL(n)) ORDER BY gain DESC, other LIMIT 1", "O-EV17 O-ML9")
+add("candidate_gains", "SELECT b.model || '/' || b.settings AS pick, avg(b.ap - a.ap) AS gain, stddev_samp(b.ap - a.ap) / sqrt($DBL(count(*))) AS se FROM {average_precision} a JOIN {average_precision} b ON b.fold = a.fold WHERE a.model = 'dummy' AND b.model <> 'dummy' GROUP BY b.model, b.settings", public=False)
+add("best_gnn", """
+    SELECT pick, round(gain, 9) AS gain FROM (SELECT pick, gain FROM {candidate_gains} WHERE gain > se AND gain > 0 UNION ALL SELECT 'dummy/default', 0e0 FROM (SELECT count(*) AS n FROM {candidate_gains}) c) g ORDER BY gain DESC, pick LIMIT 1""", "O-EV17 O-ML9")
 add("choose_k", "SELECT min(k) AS k FROM (SELECT CASE model WHEN 'dummy' THEN 1 WHEN 'lr' THEN 8 ELSE 16 END AS k, cv_mean, max(cv_mean) OVER () AS top, max_by(cv_sd / sqrt($DBL(folds)), cv_mean) OVER () AS se FROM {config_cv} WHERE settings = 'default') c WHERE cv_mean >= top - se", "O-EV18")
 add("best_rows", "SELECT settings, model, round(cv_mean, 9) AS cv_mean FROM (SELECT settings, model, cv_mean, row_number() OVER (PARTITION BY settings ORDER BY cv_mean DESC, model) AS rn FROM {config_cv}) r WHERE rn = 1", "O-EV21")
 add("confidence_table", "SELECT node_id, y, CASE WHEN pa >= 0.5e0 THEN 1 ELSE 0 END AS predicted, round(CASE WHEN pa >= 0.5e0 THEN pa ELSE 1e0 - pa END, 4) AS confidence FROM {test_scores}", public=False)

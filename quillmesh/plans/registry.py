@@ -137,8 +137,16 @@ def roar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.roar(_training(spark, sf_dir), OWN, {"orders": OWN[1:4], "person": [OWN[0], *OWN[4:]]})
 
 
+def _roar_scores(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"roar_scores": written(roar(spark, sf_dir).withColumnRenamed("drop", "fall"), "roar")}
+
+
 def roar_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LIBRARY.apply(spark, "roar_summary", lambda t: table(spark, sf_dir, t), {"roar_scores": roar(spark, sf_dir)})
+    return LIBRARY.apply(spark, "roar_summary", lambda t: table(spark, sf_dir, t), _roar_scores(spark, sf_dir))
+
+
+def roar_top_or_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LIBRARY.apply(spark, "roar_top_or_random", lambda t: table(spark, sf_dir, t), _roar_scores(spark, sf_dir))
 
 
 def tree_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +259,7 @@ RAW_PLACES = 64
 CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, tree_shapley,
+        components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, roar_top_or_random, tree_shapley,
         sign_mlp, rel_sage, dgi_embeddings, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
         results_sink, edges_sink, changed_tables,
     )

@@ -255,3 +255,29 @@ def test_whole_graph_and_log_are_read(spark):
             trial = i % 7 == 3
             want[section] = (i % 100 if trial else was[0], was[1] and trial, was[2] + 1)
     assert {r.section: (r.trials, r.ran_out, r.lines_found) for r in apply(spark, "tuning_budget_log", events=log).collect()} == want
+
+
+def test_strata_and_agreement(spark):
+    test = spark.createDataFrame([(0, 1, 0, 0.9, 0.1), (1, 0, 0, 0.8, 0.1), (2, 1, 1, 0.2, 0.1), (3, 0, 1, 0.1, 0.1)], "node_id long, y int, group_id long, pa double, pb double")
+    cut = spark.createDataFrame([(0.7, 1.0)], "threshold double, f1 double")
+    got = {r.stratum: r.n for r in apply(spark, "strata", test_scores=test, f1_threshold=cut).collect()}
+    assert got == {"all": 4, "fraud": 2, "not_fraud": 2, "flagged": 2, "true_positive": 1, "false_positive": 1, "false_negative": 1}
+    ranks = spark.createDataFrame([("a", 5.0, 1.0), ("b", 4.0, 2.0), ("c", 3.0, 3.0), ("d", 2.0, 4.0), ("e", 1.0, 0.0)], "name string, x double, z double")
+    (r,) = apply(spark, "rank_agreement", two_rankings=ranks).collect()
+    assert (r.jaccard, r.largest_move, r.n_columns) == (pytest.approx(2 / 4), 3, 5) and r.kendall == pytest.approx((4 - 6) / 10)
+
+
+def test_influence_of_neighbours_is_summed_by_probability(spark):
+    rows = [("r", 1, 9, 2, 0.3), ("r", 2, 9, 4, -0.1), ("r", 3, 8, 1, 0.2)]
+    infl = spark.createDataFrame(rows, "relation string, target long, neighbour long, degree long, delta_prob double")
+    test = spark.createDataFrame([(1, 1, 0, 0.9, 0.1), (2, 1, 0, 0.1, 0.1)], "node_id long, y int, group_id long, pa double, pb double")
+    got = {r.neighbour: r for r in apply(spark, "aggregate_influence", influence=infl, test_scores=test).collect()}
+    r = got[9]
+    assert (r.n_targets, r.sum_abs, r.mean_abs, r.mean_abs_x_degree, r.towards_fraud, r.away_from_fraud, r.sum_abs_flagged) == (2, pytest.approx(0.4), pytest.approx(0.2), pytest.approx(0.5), pytest.approx(0.3), pytest.approx(0.1), pytest.approx(0.3))
+    assert got[8].sum_abs_flagged == 0
+
+
+def test_the_first_candidate_stays_unless_beaten(spark):
+    ap = lambda gains: spark.createDataFrame([("dummy", "default", f, 0.5) for f in range(3)] + [("m", "tuned", f, 0.5 + g) for f, g in enumerate(gains)], "model string, settings string, fold long, ap double")
+    pick = lambda gains: apply(spark, "best_gnn", average_precision=ap(gains)).collect()[0].pick
+    assert pick((0.1, 0.12, 0.11)) == "m/tuned" and pick((0.1, -0.1, 0.02)) == "dummy/default" and pick((-0.1, -0.11, -0.1)) == "dummy/default"

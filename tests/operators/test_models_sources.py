@@ -92,12 +92,13 @@ def test_roar_removes_and_fits_again(spark):
     of = lambda name: np.mean([r["drop"] for r in got if r.name == name])
     assert of("good") > 0.2 and of("top 1") == pytest.approx(of("good")) and abs(of("bad")) < 0.1
     assert {(r.k, r.draw): 0 for r in got if r.kind == "random"}.keys() == {(k, d) for k in (1, 2) for d in range(3)}
-    scores = spark.createDataFrame(got)
-    summary = {r.k: r for r in LIBRARY.apply(spark, "roar_summary", lambda t: None, {"roar_scores": scores}).collect()}
-    top = [np.mean([r.pr_auc for r in got if r.kind == "top_k" and r.k == 1 and r.fold == f]) for f in range(4)]
-    assert summary[1].top_mean == pytest.approx(np.mean(top), abs=1e-5)
-    rand = [np.mean([r.pr_auc for r in got if r.kind == "random" and r.k == 1 and r.fold == f]) for f in range(4)]
-    assert summary[1].random_mean == pytest.approx(np.mean(rand), abs=1e-5) and summary[1].random_sd == pytest.approx(np.std(rand, ddof=1), abs=1e-5)
+    scores = spark.createDataFrame(got).withColumnRenamed("drop", "fall")
+    summary = {(r.kind, r.k, r.name): r for r in LIBRARY.apply(spark, "roar_summary", lambda t: None, {"roar_scores": scores}).collect()}
+    falls = [np.mean([r["drop"] for r in got if r.kind == "random" and r.k == 1 and r.fold == f]) for f in range(4)]
+    one = summary["random", 1, "random 1"]
+    assert one.mean_drop == pytest.approx(np.mean(falls), abs=1e-5) and one.sd_drop == pytest.approx(np.std(falls, ddof=1), abs=1e-5) and one.n_folds == 4
+    versus = {r.k: r for r in LIBRARY.apply(spark, "roar_top_or_random", lambda t: None, {"roar_scores": scores}).collect()}
+    assert versus[1].top_k_hurts_more and versus[1].gap == pytest.approx(summary["top_k", 1, "top 1"].mean_drop - one.mean_drop, abs=1e-5)
 
 
 def test_permuted_labels_lose_the_signal(spark):
