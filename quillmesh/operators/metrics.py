@@ -186,7 +186,10 @@ add("top_features_ecdf", "SELECT node_id, $JOIN(name, rn) AS names, round(max(pc
 
 # Comparison of two sides
 
-add("same_test_nodes", "SELECT CAST(count(*) AS BIGINT) AS differing FROM (SELECT node_id, y FROM {test_scores} EXCEPT SELECT node_id, label FROM {split_nodes} WHERE split = 'test') d", "O-CP2")
+add("other_side", "SELECT node_id, label AS y FROM {split_nodes} WHERE split = 'test'", public=False)
+add("same_test_nodes", """
+    SELECT CAST(sum(CASE WHEN a.node_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_second, CAST(sum(CASE WHEN b.node_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_first, CAST(sum(CASE WHEN a.y <> b.y THEN 1 ELSE 0 END) AS BIGINT) AS other_label
+    FROM {test_scores} a FULL OUTER JOIN {other_side} b ON b.node_id = a.node_id""", "O-CP2")
 add("node_outcomes", """
     SELECT node_id, y, pa, pb, CASE WHEN fa = fb AND fa = y THEN 'both right' WHEN fa = fb THEN 'both wrong' WHEN fb = y THEN 'rescued' ELSE 'broken' END || CASE WHEN y = 1 THEN ' fraud' ELSE ' benign' END AS outcome, round(abs(pa - pb), 4) AS gap
     FROM (SELECT node_id, y, pa, pb, CASE WHEN pa >= 0.5e0 THEN 1 ELSE 0 END AS fa, CASE WHEN pb >= 0.5e0 THEN 1 ELSE 0 END AS fb FROM {test_scores}) s""", "O-CP3 O-CP1")

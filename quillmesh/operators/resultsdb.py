@@ -32,7 +32,7 @@ add("combined_results", "SELECT run_id, model, selection, pr_auc, cv_pr_auc FROM
 add("run_slugs", "SELECT run_id, $RX(lower(run_id || ' ' || device), '[^a-z0-9]+', '-') || '-' || substr(md5(run_id), 1, 6) AS slug FROM {meta}", "O-DB7")
 add("filtered_entries", "SELECT run_id FROM {meta} WHERE dataset = 'first' AND ', ' || tags || ',' LIKE '%, tag1,%' AND run_id LIKE 'first_p%'", "O-DB8")
 add("superseded", "SELECT m.run_id, s.supersedes IS NOT NULL AS superseded FROM {meta} m LEFT JOIN (SELECT DISTINCT supersedes FROM {meta} WHERE supersedes IS NOT NULL) s ON s.supersedes = m.run_id", "O-DB9")
-add("setups", "SELECT 'own' AS base, 'B' AS letter UNION ALL SELECT 'own_nbr', 'E1' UNION ALL SELECT 'own_ssl', 'E2' UNION ALL SELECT 'own_nbr_ssl', 'E7' UNION ALL SELECT 'gnn', 'E5'", public=False)
+add("setups", "SELECT 'own' AS base, 'B' AS letter, 1 AS position UNION ALL SELECT 'own_nbr', 'E1', 2 UNION ALL SELECT 'own_ssl', 'E2', 3 UNION ALL SELECT 'gnn', 'E5', 4 UNION ALL SELECT 'own_nbr_ssl', 'E7', 5", public=False)
 add("runs_table", """
     SELECT run_id, dataset, budget_read, base, letter, suffix, split, started, hash_id, test_pr_auc, cv_pr_auc, round((test_pr_auc - no_skill) / (1e0 - no_skill), 9) AS skill, status, superseded, n_test, no_skill FROM (
         SELECT m.*, p.superseded, split_part(m.feature_set, '_', 1) AS budget_read, s.base, s.letter, substr(m.feature_set, length(split_part(m.feature_set, '_', 1)) + length(s.base) + 3) AS suffix,
@@ -45,13 +45,21 @@ add("replications", """
 add("usable_runs", "SELECT r.* FROM {runs_table} r JOIN {replications} p ON p.run_id = r.run_id WHERE r.status = 'ok' AND NOT r.superseded AND NOT p.replication", "O-DB13")
 add("duplicate_runs", "SELECT dataset, budget_read, base, suffix, split, CAST(count(*) AS BIGINT) AS n FROM {usable_runs} GROUP BY dataset, budget_read, base, suffix, split HAVING count(*) > 1", "O-DB14")
 add("one_run", "SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY dataset, budget_read, base, suffix, split ORDER BY started DESC, run_id) AS latest FROM {usable_runs} u) l WHERE latest = 1", public=False)
-add("setup_summary", "SELECT dataset, budget_read, suffix, base, CAST(count(*) AS BIGINT) AS n, round(avg(test_pr_auc), 7) AS test_mean, round(stddev_samp(test_pr_auc), 7) AS test_sd, round(avg(cv_pr_auc), 7) AS cv_mean, round(stddev_samp(cv_pr_auc), 7) AS cv_sd, round(avg(skill), 7) AS skill_mean, $JOIN(CAST(split AS VARCHAR(4)), split) AS splits FROM {one_run} GROUP BY dataset, budget_read, suffix, base", "O-DB15 O-DQ7")
+add("setup_summary", "SELECT dataset, budget_read, suffix, base, CAST(count(*) AS BIGINT) AS n, round(avg(test_pr_auc), 7) AS test_mean, round(stddev_samp(test_pr_auc), 7) AS test_sd, round(avg(cv_pr_auc), 7) AS cv_mean, round(stddev_samp(cv_pr_auc), 7) AS cv_sd, round(avg(skill), 7) AS skill_mean, round(stddev_samp(skill), 7) AS skill_sd, max(no_skill) AS no_skill, max(CASE WHEN split = 0 THEN 1 ELSE 0 END) AS has_first, $JOIN(CAST(split AS VARCHAR(4)), split) AS splits FROM {one_run} GROUP BY dataset, budget_read, suffix, base", "O-DB15 O-DQ7")
 add("normalised_skill", "SELECT run_id, skill FROM {runs_table}", "O-DB16")
-add("budget_with_every_setup", "SELECT dataset, suffix, max(budget_read) AS budget FROM (SELECT dataset, suffix, budget_read FROM {one_run} GROUP BY dataset, suffix, budget_read HAVING count(DISTINCT base) = (SELECT count(*) FROM {setups})) b GROUP BY dataset, suffix", "O-DB17")
+add("budget_setups", "SELECT dataset, suffix, budget_read, CASE budget_read WHEN 'full' THEN 2 ELSE 1 END AS size, count(DISTINCT base) AS n FROM {one_run} GROUP BY dataset, suffix, budget_read", public=False)
+add("budget_with_every_setup", """
+    SELECT a.dataset, a.suffix, max_by(CASE WHEN b.n = a.n THEN b.budget_read END, CASE WHEN b.n = a.n THEN b.size ELSE 0 END) AS budget
+    FROM (SELECT dataset, suffix, count(DISTINCT base) AS n FROM {one_run} GROUP BY dataset, suffix) a JOIN {budget_setups} b ON b.dataset = a.dataset AND b.suffix = a.suffix GROUP BY a.dataset, a.suffix""", "O-DB17",
+    oracle="""WITH every AS (SELECT dataset, suffix, list_sort(list(DISTINCT base)) AS wanted FROM {one_run} GROUP BY ALL), own AS (SELECT dataset, suffix, budget_read, list_sort(list(DISTINCT base)) AS got FROM {one_run} GROUP BY ALL)
+        SELECT e.dataset, e.suffix, CASE WHEN EXISTS (SELECT 1 FROM own o WHERE o.dataset = e.dataset AND o.suffix = e.suffix AND o.budget_read = 'full' AND o.got = e.wanted) THEN 'full'
+            WHEN EXISTS (SELECT 1 FROM own o WHERE o.dataset = e.dataset AND o.suffix = e.suffix AND o.budget_read = 'pilot' AND o.got = e.wanted) THEN 'pilot' END AS budget FROM every e""")
+add("setup_places", """
+    SELECT s.dataset, s.suffix, s.budget_read, s.base, s.cv_mean, s.cv_sd, row_number() OVER (PARTITION BY s.dataset, s.suffix ORDER BY s.cv_mean DESC, k.position) AS place
+    FROM {setup_summary} s JOIN {budget_with_every_setup} b ON b.dataset = s.dataset AND b.suffix = s.suffix AND b.budget = s.budget_read JOIN {setups} k ON k.base = s.base WHERE s.has_first = 1""", public=False)
 add("best_setup", """
-    SELECT dataset, budget_read, base AS top, CAST(sum(CASE WHEN close AND place > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY dataset, budget_read) AS BIGINT) AS close_others FROM (
-        SELECT dataset, budget_read, base, place, cv_mean >= max(CASE WHEN place = 1 THEN cv_mean - coalesce(cv_sd, 0e0) END) OVER (PARTITION BY dataset, budget_read) AS close FROM (
-            SELECT dataset, budget_read, base, cv_mean, cv_sd, row_number() OVER (PARTITION BY dataset, budget_read ORDER BY cv_mean DESC, base) AS place FROM {setup_summary} WHERE suffix = '') s) c WHERE place >= 1""", "O-DB18")
+    SELECT t.dataset, t.suffix, t.budget_read AS budget, t.base AS top, CAST(sum(CASE WHEN o.place > 1 AND t.cv_mean - o.cv_mean <= coalesce(t.cv_sd, 0e0) THEN 1 ELSE 0 END) AS BIGINT) AS close_others
+    FROM {setup_places} t JOIN {setup_places} o ON o.dataset = t.dataset AND o.suffix = t.suffix WHERE t.place = 1 GROUP BY t.dataset, t.suffix, t.budget_read, t.base""", "O-DB18")
 add("holm", "SELECT contrast, p, max(least(1e0, (m - rn + 1) * p)) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS adjusted FROM (SELECT contrast, p, row_number() OVER (ORDER BY p, contrast) AS rn, count(*) OVER () AS m FROM {p_values}) r", "O-DB19")
 add("verdict_kind", "SELECT v.contrast, CASE WHEN s.n = 1 THEN 'descriptive' WHEN v.verdict = 'supported' THEN 'supported' WHEN v.verdict = 'worse' AND v.p < 0.05e0 THEN 'significant' WHEN v.verdict = 'worse' THEN 'mean only' ELSE 'open' END AS kind FROM {verdicts} v JOIN {contrast_stats} s ON s.contrast = v.contrast", "O-DB20")
 add("wide_deltas", "SELECT contrast, " + ", ".join(f"max(CASE WHEN split = {k} THEN delta END) AS d{k}" for k in range(5)) + " FROM {deltas} GROUP BY contrast", public=False)
@@ -68,13 +76,19 @@ add("key_questions", "SELECT dataset, a, b, max(CASE WHEN budget_read = 'full' T
 add("tuned_vs_default", "SELECT dataset, base, round(max(CASE WHEN budget_read = 'full' THEN cv_mean END), 7) AS full_cv, round(max(CASE WHEN budget_read = 'pilot' THEN cv_mean END), 7) AS pilot_cv FROM {setup_summary} WHERE suffix = '' GROUP BY dataset, base", "O-DB26")
 add("graph_gain", "SELECT dataset, budget_read, b, CAST(count(*) AS BIGINT) AS n, round(avg(delta), 7) AS mean, round(stddev_samp(delta), 7) AS sd, round(min(delta), 7) AS low, round(max(delta), 7) AS high FROM {pairs} WHERE a = 'own' AND suffix = '' GROUP BY dataset, budget_read, b", "O-DB27")
 add("agreement", "SELECT x.budget_read, x.a, x.b, x.mean > 0 AS up_first, y.mean > 0 AS up_second, (x.mean > 0) = (y.mean > 0) AS same FROM {all_contrasts} x JOIN {all_contrasts} y ON y.budget_read = x.budget_read AND y.a = x.a AND y.b = x.b AND y.suffix = x.suffix WHERE x.dataset = 'first' AND y.dataset = 'second' AND x.suffix = ''", "O-DB28")
-add("cross_dataset", "SELECT x.base, x.budget_read, x.test_mean AS first_mean, y.test_mean AS second_mean, z.test_mean AS variant_mean FROM {setup_summary} x JOIN {setup_summary} y ON y.base = x.base AND y.budget_read = x.budget_read AND y.suffix = '' AND y.dataset = 'second' LEFT JOIN {setup_summary} z ON z.base = x.base AND z.budget_read = x.budget_read AND z.suffix = 'no19' AND z.dataset = 'first' WHERE x.dataset = 'first' AND x.suffix = ''", "O-DB29")
+add("cross_dataset", """
+    SELECT x.base, x.budget_read, x.test_mean AS first_mean, x.test_sd AS first_sd, x.skill_mean AS first_skill, x.skill_sd AS first_skill_sd, x.n AS first_n, y.test_mean AS second_mean, y.test_sd AS second_sd, y.skill_mean AS second_skill, y.skill_sd AS second_skill_sd, y.n AS second_n,
+        g.mean AS first_gain, h.mean AS second_gain, z.test_mean AS variant_mean, z.skill_mean AS variant_skill
+    FROM {setup_summary} x JOIN {setup_summary} y ON y.base = x.base AND y.budget_read = x.budget_read AND y.suffix = '' AND y.dataset = 'second'
+    LEFT JOIN {setup_summary} z ON z.base = x.base AND z.budget_read = x.budget_read AND z.suffix = 'no19' AND z.dataset = 'first'
+    LEFT JOIN {graph_gain} g ON g.dataset = 'first' AND g.budget_read = x.budget_read AND g.b = x.base LEFT JOIN {graph_gain} h ON h.dataset = 'second' AND h.budget_read = x.budget_read AND h.b = x.base
+    WHERE x.dataset = 'first' AND x.suffix = ''""", "O-DB29")
 add("overview", " UNION ALL ".join(f"SELECT '{c}' AS what, CAST({c} AS VARCHAR(20)) AS value, CAST(count(*) AS BIGINT) AS n, CAST(min(started) AS BIGINT) AS first_started, CAST(max(finished) AS BIGINT) AS last_finished FROM {{meta}} GROUP BY {c}" for c in ("kind", "budget", "dataset", "device")), "O-DB30")
 add("failed_entries", "SELECT run_id, status, kind FROM {meta} WHERE status <> 'ok'", "O-DB31")
 add("coverage", "SELECT c.dataset, c.suffix, c.base, c.splits, max(c.splits) OVER (PARTITION BY c.dataset, c.suffix) AS most FROM (SELECT dataset, suffix, base, CAST(count(DISTINCT split) AS BIGINT) AS splits FROM {one_run} GROUP BY dataset, suffix, base) c", "O-DB32")
 add("split_gaps", "SELECT e.dataset, e.budget_read, e.base, e.split FROM (SELECT d.dataset, d.budget_read, s.base, k.split FROM (SELECT DISTINCT dataset, budget_read FROM {one_run}) d CROSS JOIN {setups} s CROSS JOIN (SELECT DISTINCT split FROM {one_run}) k) e LEFT JOIN (SELECT * FROM {one_run} WHERE suffix = 'no19') r ON r.dataset = e.dataset AND r.budget_read = e.budget_read AND r.base = e.base AND r.split = e.split WHERE r.run_id IS NULL", "O-DB33")
-add("metric_ranges", "SELECT run_id, test_pr_auc, cv_pr_auc FROM {runs_table} WHERE NOT (test_pr_auc BETWEEN 0.52e0 AND 1e0) OR NOT (cv_pr_auc BETWEEN 0e0 AND 0.84e0)", "O-DB35")
-add("frozen_test_set", "SELECT dataset, split, CAST(count(DISTINCT n_test) AS BIGINT) AS sizes, CAST(count(DISTINCT no_skill) AS BIGINT) AS rates FROM {runs_table} GROUP BY dataset, split HAVING count(DISTINCT n_test) > 1", "O-DB35")
+add("metric_ranges", " UNION ALL ".join(f"SELECT run_id, '{c}' AS metric, {c} AS value FROM {{usable_runs}} WHERE {c} IS NULL OR {c} < 0 OR {c} > 1" for c in ("test_pr_auc", "cv_pr_auc", "no_skill")) + " UNION ALL SELECT run_id, 'not above no skill', test_pr_auc FROM {usable_runs} WHERE test_pr_auc <= no_skill", "O-DB35")
+add("frozen_test_set", "SELECT dataset, split, CAST(count(DISTINCT n_test) AS BIGINT) AS sizes, CAST(count(DISTINCT no_skill) AS BIGINT) AS rates FROM {usable_runs} GROUP BY dataset, split HAVING count(DISTINCT n_test) > 1 OR count(DISTINCT no_skill) > 1", "O-DB35")
 add("contrasts_recomputed", "SELECT c.dataset, c.budget_read, c.suffix, c.a, c.b, abs(c.mean - (y.test_mean - x.test_mean)) > 1e-4 AS differs FROM {all_contrasts} c JOIN {setup_summary} x ON x.dataset = c.dataset AND x.budget_read = c.budget_read AND x.suffix = c.suffix AND x.base = c.a JOIN {setup_summary} y ON y.dataset = c.dataset AND y.budget_read = c.budget_read AND y.suffix = c.suffix AND y.base = c.b", "O-DB36")
 add("run_all_checks", "SELECT name, bad = 0 AS ok, bad FROM (SELECT 'ranges' AS name, CAST(count(*) AS BIGINT) AS bad FROM {metric_ranges} UNION ALL SELECT 'frozen', CAST(count(*) AS BIGINT) FROM {frozen_test_set} UNION ALL SELECT 'duplicates', CAST(count(*) AS BIGINT) FROM {duplicate_runs} UNION ALL SELECT 'contrasts', CAST(sum(CASE WHEN differs THEN 1 ELSE 0 END) AS BIGINT) FROM {contrasts_recomputed}) c", "O-ST21 O-DB34")
 add("report_rows", "SELECT budget_read, base, round(avg(test_mean), 7) AS mean, round(max(test_sd), 7) AS largest_sd FROM {setup_summary} GROUP BY budget_read, base", "O-DB37")

@@ -281,3 +281,23 @@ def test_the_first_candidate_stays_unless_beaten(spark):
     ap = lambda gains: spark.createDataFrame([("dummy", "default", f, 0.5) for f in range(3)] + [("m", "tuned", f, 0.5 + g) for f, g in enumerate(gains)], "model string, settings string, fold long, ap double")
     pick = lambda gains: apply(spark, "best_gnn", average_precision=ap(gains)).collect()[0].pick
     assert pick((0.1, 0.12, 0.11)) == "m/tuned" and pick((0.1, -0.1, 0.02)) == "dummy/default" and pick((-0.1, -0.11, -0.1)) == "dummy/default"
+
+
+def test_budgets_and_the_best_setup(spark):
+    """The largest budget that has every setup of a variant; there the highest mean CV score among setups with a first split."""
+    one = [("d", b, "", s, k, 0.6, cv, 0.1) for b, s, k, cv in [
+        ("full", "own", 0, 0.70), ("full", "own", 1, 0.72), ("full", "own_nbr", 0, 0.71), ("full", "own_nbr", 1, 0.71), ("pilot", "own", 0, 0.9), ("pilot", "own_nbr", 0, 0.8), ("full", "gnn", 1, 0.99),
+    ]]
+    one += [("e", "full", "", "own", 0, 0.6, 0.5, 0.1), ("e", "pilot", "", "own", 0, 0.6, 0.5, 0.1), ("e", "pilot", "", "gnn", 0, 0.6, 0.5, 0.1)]
+    runs = spark.createDataFrame([(f"r{i}", *r, 0.5) for i, r in enumerate(one)], "run_id string, dataset string, budget_read string, suffix string, base string, split long, test_pr_auc double, cv_pr_auc double, no_skill double, skill double")
+    assert {r.dataset: r.budget for r in apply(spark, "budget_with_every_setup", one_run=runs).collect()} == {"d": "full", "e": "pilot"}
+    best = {r.dataset: r for r in apply(spark, "best_setup", one_run=runs).collect()}
+    assert (best["d"].top, best["d"].close_others) == ("own", 1)  # gnn has no first split; own_nbr ties and comes later
+    assert best["e"].top == "own" and best["e"].close_others == 1
+
+
+def test_same_test_nodes(spark):
+    a = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "node_id long, y int")
+    b = spark.createDataFrame([(2, 1), (3, 0), (4, 0)], "node_id long, y int")
+    (r,) = apply(spark, "same_test_nodes", test_scores=a, other_side=b).collect()
+    assert (r.only_first, r.only_second, r.other_label) == (1, 1, 1)
