@@ -64,6 +64,7 @@ def holm(p_values: DataFrame, key: str, p: str = "p") -> DataFrame:
     return operator("holm", p_values=p_values.select(F.col(key).alias("contrast"), F.col(p).alias("p"))).withColumnRenamed("contrast", key)
 
 
-def outcome_table(scores: DataFrame) -> DataFrame:
-    """node_id, y, pa, pb, outcome, gap of two models' scores (node_id, y, pa, pb)."""
-    return operator("node_outcomes", test_scores=scores.select("node_id", "y", "pa", "pb"))
+def outcome_table(scores: DataFrame, threshold_a: float = 0.5, threshold_b: float = 0.5) -> DataFrame:
+    """node_id, y, pa, pb, outcome, gap of two models' scores (node_id, y, pa, pb) at their thresholds."""
+    cut = lambda t: scores.sparkSession.createDataFrame([(float(t),)], "threshold double")
+    return operator("node_outcomes", test_scores=scores.select("node_id", "y", "pa", "pb"), f1_threshold=cut(threshold_a), f1_threshold_b=cut(threshold_b))

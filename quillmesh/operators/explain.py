@@ -66,7 +66,9 @@ add("aggregate_influence", """
     oracle="""WITH w AS (SELECT relation, neighbour, target, degree, delta_prob, abs(delta_prob) AS a FROM {influence}), flagged AS (SELECT w.relation, w.neighbour, sum(w.a) AS s FROM w WHERE w.target IN (SELECT node_id FROM {test_scores} WHERE pa >= 0.5) GROUP BY ALL)
         SELECT w.relation, w.neighbour, count(*) AS n_targets, round(sum(a), 7) AS sum_abs, $R(sum(a) / count(*), 6) AS mean_abs, $R(sum(a * degree) / count(*), 6) AS mean_abs_x_degree, round(sum((a + delta_prob) / 2), 7) AS towards_fraud, round(sum((a - delta_prob) / 2), 7) AS away_from_fraud,
             round(coalesce(any_value(f.s), 0), 7) AS sum_abs_flagged FROM w LEFT JOIN flagged f ON f.relation = w.relation AND f.neighbour = w.neighbour GROUP BY w.relation, w.neighbour""")
-add("neighbour_tables", "SELECT i.relation, CAST(count(DISTINCT i.target) AS BIGINT) AS targets, CAST(count(*) AS BIGINT) AS edges, round(avg(abs(i.delta_margin)), 6) AS mean_abs, round(avg(CASE WHEN i.out_of_range THEN 1e0 ELSE 0e0 END), 6) AS outside, max(d.median_degree) AS median_degree FROM {influence} i JOIN (SELECT relation, $Q($DBL(degree), 0.5) AS median_degree FROM (SELECT DISTINCT relation, target, degree FROM {influence}) t GROUP BY relation) d ON d.relation = i.relation GROUP BY i.relation", "O-EX21")
+add("neighbour_tables", """
+    SELECT relation, CAST(count(DISTINCT target) AS BIGINT) AS n_targets, CAST(count(*) AS BIGINT) AS n_influences, $R(avg(abs(delta_prob)), 6) AS mean_abs_delta_prob, $R(avg(abs(delta_prob_mean)), 6) AS mean_abs_mean_part,
+        $R(avg(abs(delta_prob - delta_prob_mean)), 6) AS mean_abs_degree_part, $R(avg(abs(delta_prob) * degree), 6) AS mean_abs_x_degree, $R(avg(CASE WHEN out_of_range THEN 1e0 ELSE 0e0 END), 6) AS share_out_of_range FROM {influence} GROUP BY relation""", "O-EX21")
 add("top_influencers", "SELECT relation, neighbour, place FROM (SELECT relation, neighbour, row_number() OVER (PARTITION BY relation ORDER BY sum_abs DESC, neighbour) AS place FROM {aggregate_influence}) r WHERE place <= 10", "O-EX21 O-EX29")
 add("neighbour_shapley", """
     SELECT relation, target, neighbour, round(avg(coalesce(now_mean - before_mean, now_mean)), 6) + 0e0 AS phi FROM (

@@ -85,10 +85,20 @@ add("single_feature_check", """
         cuts AS (SELECT name, auroc, sign, p, sum(p) OVER w AS tp, sum(n) OVER w AS taken, sum(p) OVER (PARTITION BY name) AS pos, sum(n) OVER (PARTITION BY name) AS total FROM steps WINDOW w AS (PARTITION BY name ORDER BY score DESC))
         SELECT name, CASE sign WHEN 1 THEN 'high' ELSE 'low' END AS direction, round(greatest(auroc, 1 - auroc), 9) AS auroc, round(sum(p / CAST(pos AS DOUBLE) * tp / taken), 9) AS pr_auc,
             round(max((tp / CAST(pos AS DOUBLE) + 1 - (taken - tp) / CAST(total - pos AS DOUBLE)) / 2), 9) AS best_balanced, CAST(count(*) AS BIGINT) AS n_unique, CAST(max(total) AS BIGINT) AS n_train FROM cuts GROUP BY name, sign, auroc""")
+add("vote_ratios", """
+    SELECT l.name, l.label, l.v + o.own__f01 AS total, l.v / nullif(l.v + o.own__f01, 0) AS ratio FROM {own_long} l JOIN {own_block} o ON o.node_id = l.node_id
+    JOIN (SELECT name FROM {own_long} WHERE split = 'train' GROUP BY name HAVING min(v) >= 0) k ON k.name = l.name WHERE l.split = 'train' AND l.name <> 'own__f01'""", public=False)
+add("ratio_steps", """
+    SELECT name, n, q, coalesce(sum(n - q) OVER (PARTITION BY name ORDER BY ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fraud_below, sum(n) OVER (PARTITION BY name) AS total, sum(q) OVER (PARTITION BY name) AS benign
+    FROM (SELECT name, round(ratio, 9) AS ratio, count(*) AS n, sum(1 - label) AS q FROM {vote_ratios} WHERE ratio IS NOT NULL GROUP BY name, round(ratio, 9)) g""", public=False)
 add("vote_ratio_check", """
-    SELECT name, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN ratio <= 0.2e0 THEN 1e0 ELSE 0e0 END), 9) AS low_share, round(avg(CASE WHEN ratio >= 0.8e0 THEN 1e0 ELSE 0e0 END), 9) AS high_share,
-        round(avg(CASE WHEN total = 0 THEN 1e0 ELSE 0e0 END), 9) AS zero_share, min(total) AS min_total
-    FROM (SELECT l.name, l.v + o.own__f01 AS total, l.v / nullif(l.v + o.own__f01, 0) AS ratio FROM {own_long} l JOIN {own_block} o ON o.node_id = l.node_id WHERE l.split = 'train' AND l.name NOT IN ('own__f01', 'own__f00') AND l.v >= 0) r GROUP BY name""", "O-AU10")
+    SELECT r.name, round(a.auroc, 9) AS ratio_auroc_benign, round(r.fraud_below, 9) AS fraud_below_low, round(r.benign_above, 9) AS benign_above_high, r.min_total
+    FROM (SELECT name, sum(CASE WHEN label = 1 AND ratio < 0.2e0 THEN 1 ELSE 0 END) / nullif($DBL(sum(label)), 0) AS fraud_below, sum(CASE WHEN label = 0 AND ratio > 0.8e0 THEN 1 ELSE 0 END) / nullif($DBL(sum(1 - label)), 0) AS benign_above, min(total) AS min_total FROM {vote_ratios} GROUP BY name) r
+    LEFT JOIN (SELECT name, sum(q * (fraud_below + 0.5e0 * (n - q))) / nullif($DBL(max(benign) * (max(total) - max(benign))), 0) AS auroc FROM {ratio_steps} GROUP BY name) a ON a.name = r.name""", "O-AU10",
+    oracle="""WITH ranked AS (SELECT name, 1 - label AS y, rank() OVER (PARTITION BY name ORDER BY round(ratio, 9)) + (count(*) OVER (PARTITION BY name, round(ratio, 9)) - 1) / 2e0 AS r FROM {vote_ratios} WHERE ratio IS NOT NULL),
+        a AS (SELECT name, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2e0) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auroc FROM ranked GROUP BY name)
+        SELECT v.name, round(any_value(a.auroc), 9) AS ratio_auroc_benign, round(coalesce(avg(CASE WHEN v.ratio < 0.2e0 THEN 1e0 ELSE 0e0 END) FILTER (WHERE v.label = 1), NULL), 9) AS fraud_below_low, round(avg(CASE WHEN v.ratio > 0.8e0 THEN 1e0 ELSE 0e0 END) FILTER (WHERE v.label = 0), 9) AS benign_above_high, min(v.total) AS min_total
+        FROM {vote_ratios} v LEFT JOIN a ON a.name = v.name GROUP BY v.name""")
 add("identity_checks", """
     SELECT round(avg(CASE WHEN own__f04 <= own__f01 THEN 1e0 ELSE 0e0 END), 9) AS distinct_at_most_all, round(avg(CASE WHEN abs(own__f03 * own__f01 - round(own__f03 * own__f01)) <= 1e-9 THEN 1e0 ELSE 0e0 END), 9) AS share_times_count_whole,
         round(avg(CASE WHEN own__f02 >= own__f01 THEN 1e0 ELSE 0e0 END), 9) AS cents_at_least_orders,
@@ -130,6 +140,8 @@ _FROM = """round(coalesce(tp / nullif($DBL(tp + fp), 0), 0e0), 9) AS prec, round
 add("binary_metrics", f"SELECT model, settings, tp, fp, fn, tn, {_FROM} FROM (SELECT model, settings, {_confusion('prob', '0.5e0')} FROM {{predictions}} GROUP BY model, settings) c", "O-EV2 O-ML10")
 add("f1_curve", "SELECT s, n, p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS taken, sum(p) OVER () AS pos FROM (SELECT pa AS s, count(*) AS n, sum(y) AS p FROM {scored} WHERE split = 'train' GROUP BY pa) g", public=False)
 add("f1_threshold", "SELECT s AS threshold, round(2e0 * tp / (taken + pos), 9) AS f1 FROM {f1_curve} ORDER BY 2e0 * tp / (taken + pos) DESC, s DESC LIMIT 1", "O-EV4")
+add("f1_curve_b", "SELECT s, n, p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS taken, sum(p) OVER () AS pos FROM (SELECT pb AS s, count(*) AS n, sum(y) AS p FROM {scored} WHERE split = 'train' GROUP BY pb) g", public=False)
+add("f1_threshold_b", "SELECT s AS threshold, round(2e0 * tp / (taken + pos), 9) AS f1 FROM {f1_curve_b} ORDER BY 2e0 * tp / (taken + pos) DESC, s DESC LIMIT 1", public=False)
 add("test_metrics", f"""
     SELECT cut, tp, fp, fn, tn, {_FROM} FROM (SELECT 'chosen' AS cut, {_confusion('t.pa', 'h.threshold')} FROM {{test_scores}} t CROSS JOIN {{f1_threshold}} h UNION ALL SELECT 'half', {_confusion('pa', '0.5e0')} FROM {{test_scores}}) c""", "O-EV3 O-EV9")
 add("test_groups", "SELECT group_id, CAST(count(*) AS BIGINT) AS rows_in FROM {test_scores} GROUP BY group_id", public=False)
@@ -152,7 +164,7 @@ add("sanity_band", "SELECT model, settings, fold, ap, CASE WHEN ap < 0.35e0 - 0.
 add("recall_at_k", """
     SELECT CAST(max(k) AS BIGINT) AS k, round(sum(CASE WHEN rn <= k THEN y ELSE 0 END) / $DBL(max(k)), 9) AS recall FROM (
         SELECT y, row_number() OVER (ORDER BY pa DESC, node_id) AS rn, sum(y) OVER () AS k FROM {test_scores}) s""", "O-EV7")
-add("fold_scores", "SELECT p.model, p.settings, p.fold, round(avg((p.y - p.prob) * (p.y - p.prob)), 9) AS brier, max(a.ap) AS ap, max(u.auroc) AS auroc FROM {predictions} p JOIN {average_precision} a ON a.model = p.model AND a.settings = p.settings AND a.fold = p.fold JOIN {auroc} u ON u.model = p.model AND u.settings = p.settings AND u.fold = p.fold GROUP BY p.model, p.settings, p.fold", "O-EV10")
+add("fold_scores", "SELECT p.model, p.settings, p.fold, round(avg((p.y - p.prob) * (p.y - p.prob)), 9) AS brier, round((avg(CASE WHEN p.y = 1 THEN CASE WHEN p.prob >= 0.5e0 THEN 1e0 ELSE 0e0 END END) + avg(CASE WHEN p.y = 0 THEN CASE WHEN p.prob >= 0.5e0 THEN 0e0 ELSE 1e0 END END)) / 2e0, 9) AS balanced, max(a.ap) AS ap, max(u.auroc) AS auroc FROM {predictions} p JOIN {average_precision} a ON a.model = p.model AND a.settings = p.settings AND a.fold = p.fold JOIN {auroc} u ON u.model = p.model AND u.settings = p.settings AND u.fold = p.fold GROUP BY p.model, p.settings, p.fold", "O-EV10")
 add("nested_scores", "SELECT s.node_id, f.fold AS outer_fold, round(s.pa + f.fold / 100e0, 4) AS score FROM {scored} s CROSS JOIN (SELECT DISTINCT fold FROM {folds_table}) f WHERE s.split = 'train' AND s.cv_fold <> f.fold", public=False)
 add("nested_coverage", "SELECT f.fold AS outer_fold, CAST(count(s.node_id) AS BIGINT) AS covered, CAST(sum(CASE WHEN s.node_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM (SELECT x.fold, i.node_id FROM {folds_table} i CROSS JOIN (SELECT DISTINCT fold FROM {folds_table}) x WHERE i.fold <> x.fold) f LEFT JOIN {nested_scores} s ON s.node_id = f.node_id AND s.outer_fold = f.fold GROUP BY f.fold", "O-EV11 O-IO13")
 add("nested_overlay", "SELECT s.node_id, x.fold AS outer_fold, coalesce(n.score, s.pa) AS score FROM {scored} s CROSS JOIN (SELECT DISTINCT fold FROM {folds_table}) x LEFT JOIN {nested_scores} n ON n.node_id = s.node_id AND n.outer_fold = x.fold WHERE s.split = 'train'", "O-EV11 O-FT10")
@@ -192,7 +204,7 @@ add("same_test_nodes", """
     FROM {test_scores} a FULL OUTER JOIN {other_side} b ON b.node_id = a.node_id""", "O-CP2")
 add("node_outcomes", """
     SELECT node_id, y, pa, pb, CASE WHEN fa = fb AND fa = y THEN 'both right' WHEN fa = fb THEN 'both wrong' WHEN fb = y THEN 'rescued' ELSE 'broken' END || CASE WHEN y = 1 THEN ' fraud' ELSE ' benign' END AS outcome, round(abs(pa - pb), 4) AS gap
-    FROM (SELECT node_id, y, pa, pb, CASE WHEN pa >= 0.5e0 THEN 1 ELSE 0 END AS fa, CASE WHEN pb >= 0.5e0 THEN 1 ELSE 0 END AS fb FROM {test_scores}) s""", "O-CP3 O-CP1")
+    FROM (SELECT t.node_id, t.y, t.pa, t.pb, CASE WHEN t.pa >= a.threshold THEN 1 ELSE 0 END AS fa, CASE WHEN t.pb >= b.threshold THEN 1 ELSE 0 END AS fb FROM {test_scores} t CROSS JOIN {f1_threshold} a CROSS JOIN {f1_threshold_b} b) s""", "O-CP3 O-CP1")
 add("outcome_counts", """
     SELECT a.kind || b.who AS outcome, CAST(count(n.node_id) AS BIGINT) AS n FROM (SELECT 'both right' AS kind UNION ALL SELECT 'both wrong' UNION ALL SELECT 'rescued' UNION ALL SELECT 'broken') a
     CROSS JOIN (SELECT ' fraud' AS who UNION ALL SELECT ' benign') b LEFT JOIN {node_outcomes} n ON n.outcome = a.kind || b.who GROUP BY a.kind, b.who""", "O-CP4 O-CP7")

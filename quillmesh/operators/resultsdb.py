@@ -39,9 +39,9 @@ add("runs_table", """
             row_number() OVER (PARTITION BY m.run_id ORDER BY length(s.base) DESC) AS rn
         FROM {meta} m JOIN {superseded} p ON p.run_id = m.run_id JOIN {setups} s ON substr(m.feature_set, length(split_part(m.feature_set, '_', 1)) + 2) || '_' LIKE replace(s.base, '_', '_') || '_%' WHERE m.kind = 'pipeline') r WHERE rn = 1""", "O-DB10 O-DB12 O-DB16")
 add("replications", """
-    SELECT run_id, hash_id, first_hash, first_hash IS NOT NULL AND hash_id IS NOT NULL AND hash_id <> first_hash AND nth = 1 AS replication FROM (
+    SELECT r.run_id, r.hash_id, t.first_hash, coalesce(t.first_hash IS NOT NULL AND t.hash_id IS NOT NULL AND t.hash_id <> t.first_hash AND t.nth = 1, false) AS replication FROM {runs_table} r LEFT JOIN (
         SELECT run_id, hash_id, max(CASE WHEN rn = 1 THEN hash_id END) OVER (PARTITION BY dataset, budget_read, base, suffix, split) AS first_hash, row_number() OVER (PARTITION BY dataset, budget_read, base, suffix, split, hash_id ORDER BY started, run_id) AS nth
-        FROM (SELECT r.*, row_number() OVER (PARTITION BY dataset, budget_read, base, suffix, split ORDER BY started, run_id) AS rn FROM {runs_table} r) s) t""", "O-DB11")
+        FROM (SELECT u.*, row_number() OVER (PARTITION BY dataset, budget_read, base, suffix, split ORDER BY started, run_id) AS rn FROM {runs_table} u WHERE u.status = 'ok' AND NOT u.superseded) s) t ON t.run_id = r.run_id""", "O-DB11")
 add("usable_runs", "SELECT r.* FROM {runs_table} r JOIN {replications} p ON p.run_id = r.run_id WHERE r.status = 'ok' AND NOT r.superseded AND NOT p.replication", "O-DB13")
 add("duplicate_runs", "SELECT dataset, budget_read, base, suffix, split, CAST(count(*) AS BIGINT) AS n FROM {usable_runs} GROUP BY dataset, budget_read, base, suffix, split HAVING count(*) > 1", "O-DB14")
 add("one_run", "SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY dataset, budget_read, base, suffix, split ORDER BY started DESC, run_id) AS latest FROM {usable_runs} u) l WHERE latest = 1", public=False)
