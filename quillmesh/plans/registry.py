@@ -14,7 +14,7 @@ import quillmesh.operators.explain
 import quillmesh.operators.graph
 import quillmesh.operators.metrics
 import quillmesh.operators.resultsdb  # noqa: F401  these define the templates
-from quillmesh.operators import encoders, models
+from quillmesh.operators import attention, encoders, models
 from quillmesh.plans.dialect import LIBRARY
 from quillmesh.sources import files
 from quillmesh.storage import run_dir, table, written
@@ -182,6 +182,24 @@ def dgi_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoders.train_dgi(rows, ["cdp", "cns", "cpm"], [f"p_{c}" for c in OWN], [f"q_{c}" for c in OWN])[0]
 
 
+def _gat(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    block, _, nodes = _standard(spark, sf_dir)
+    (edges,) = _get(spark, sf_dir, "adjacency_directed")
+    rows = block.join(nodes.select("node_id", F.when(F.col("split") == "train", F.col("label")).alias("label")), "node_id")
+    return attention.train_gat(rows, edges, OWN, ["cdp", "cns", "cpm"])[:2]
+
+
+def gat_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all nodes by a graph attention layer trained on the training nodes."""
+    return _gat(spark, sf_dir)[0]
+
+
+def gat_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How that layer spreads its attention, by relation and kind of target."""
+    logits = written(_gat(spark, sf_dir)[1], "attention")
+    return LIBRARY.apply(spark, "attention_summary", lambda t: table(spark, sf_dir, t), {"attention_logits": logits})
+
+
 def untrained_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     block, weights, _ = _standard(spark, sf_dir)
     out = None
@@ -260,7 +278,7 @@ CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, roar_top_or_random, tree_shapley,
-        sign_mlp, rel_sage, dgi_embeddings, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
+        sign_mlp, rel_sage, dgi_embeddings, gat_scores, gat_attention, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
         results_sink, edges_sink, changed_tables,
     )
 }

@@ -301,3 +301,19 @@ def test_same_test_nodes(spark):
     b = spark.createDataFrame([(2, 1), (3, 0), (4, 0)], "node_id long, y int")
     (r,) = apply(spark, "same_test_nodes", test_scores=a, other_side=b).collect()
     assert (r.only_first, r.only_second, r.other_label) == (1, 1, 1)
+
+
+def test_vote_ratios(spark):
+    up, votes, y = [9, 8, 0, 1, 5, 0], [1, 1, 9, 9, 5, 0], [0, 0, 1, 1, 0, 1]
+    long = spark.createDataFrame([(i, "own__f02", float(v), "train", y[i]) for i, v in enumerate(up)] + [(i, "own__f03", float(v) - 1, "train", y[i]) for i, v in enumerate(up)], "node_id long, name string, v double, split string, label int")
+    own = spark.createDataFrame([(i, float(v)) for i, v in enumerate(votes)], "node_id long, own__f01 double")
+    (r,) = apply(spark, "vote_ratio_check", own_long=long, own_block=own).collect()  # own__f03 has a negative value
+    assert r.name == "own__f02" and r.ratio_auroc_benign == 1.0 and r.fraud_below_low == pytest.approx(2 / 3) and r.benign_above_high == pytest.approx(2 / 3) and r.min_total == 0
+
+
+def test_replications_count_only_sound_runs(spark):
+    rows = [("a", "failed", False, 1, "h0"), ("b", "ok", True, 2, "h1"), ("c", "ok", False, 3, "h2"), ("d", "ok", False, 4, "h2"), ("e", "ok", False, 5, "h3"), ("f", "ok", False, 6, None)]
+    runs = spark.createDataFrame([(i, "d", "full", "own", "", 0, s, sup, t, h) for i, s, sup, t, h in rows], "run_id string, dataset string, budget_read string, base string, suffix string, split long, status string, superseded boolean, started long, hash_id string")
+    got = {r.run_id: r.replication for r in apply(spark, "replications", runs_table=runs).collect()}
+    assert got == {"a": False, "b": False, "c": False, "d": False, "e": True, "f": False}
+    assert sorted(r.run_id for r in apply(spark, "usable_runs", runs_table=runs).collect()) == ["c", "d", "f"]

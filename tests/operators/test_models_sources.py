@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillmesh.operators import encoders, forest, models
+from quillmesh.operators import attention, encoders, forest, models
 from quillmesh.plans.dialect import LIBRARY
 from quillmesh.plans import registry  # noqa: F401
 from quillmesh.sources import files, mat
@@ -378,3 +378,76 @@ def test_stratified_group_split(spark):
     whole = share(lambda r: True)
     assert abs(share(lambda r: r.split == "test") - whole) < 0.03 and 0.35 < np.mean([r.split == "test" for r in known]) < 0.45
     assert all(abs(share(lambda r, k=k: r.cv_fold == k) - whole) < 0.06 for k in range(5))
+
+
+def gat_graph():
+    rng = np.random.default_rng(9)
+    n, k = 40, 3
+    x = rng.normal(size=(n, k))
+    edges = sorted({(r, int(a), int(b)) for r in range(2) for a, b in rng.integers(0, n, (90, 2)) if a != b})
+    edges = sorted({(r, *p) for r, a, b in edges for p in ((a, b), (b, a))})
+    y = (x[:, 0] + 0.5 * rng.normal(size=n) > 0.3).astype(float)
+    y[::5] = np.nan
+    return x, edges, y
+
+
+def plain_gat(shape, theta, x, edges, y, up):
+    """Loss and margins by plain loops over nodes and their edges."""
+    root, b, v, c = shape.root(theta)
+    margins, loss, weights = [], 0.0, 0.0
+    for i in range(len(x)):
+        out = x[i] @ root + b
+        for r in range(shape.relations):
+            w, src, dst = shape.relation(theta, r)
+            near = [j for q, t, j in edges if q == r and t == i]
+            for h in range(shape.heads):
+                at = slice(h * shape.channels, (h + 1) * shape.channels)
+                if near:
+                    u = np.array([x[i] @ w[:, at] @ dst[h] + x[j] @ w[:, at] @ src[h] for j in near])
+                    e = np.exp(np.where(u > 0, u, 0.2 * u))
+                    out[at] = out[at] + sum(p * (x[j] @ w[:, at]) for p, j in zip(e / e.sum(), near, strict=True))
+        m = float(np.maximum(out, 0) @ v + c[0])
+        margins.append(m)
+        if not np.isnan(y[i]):
+            weight = up if y[i] == 1 else 1.0
+            loss, weights = loss + weight * (np.logaddexp(0, m) - y[i] * m), weights + weight
+    return loss / weights, np.array(margins)
+
+
+def test_attention_layer_against_plain_loops_and_differences():
+    x, edges, y = gat_graph()
+    shape = attention.Shape(3, 2, 2, 2)
+    rng = np.random.default_rng(1)
+    theta = rng.normal(size=shape.size) * 0.5
+    r, t, nb = (np.array(c) for c in zip(*edges, strict=True))
+    known = ~np.isnan(y)
+    up = (known.sum() - np.nansum(y)) / np.nansum(y)
+    weight = np.where(known, np.where(y == 1, up, 1.0), 0.0)
+    weight = weight / weight.sum()
+
+    def forward(now):
+        sums = np.zeros((len(x), 2 * (2 + 4)))
+        np.add.at(sums, t, attention.edge_sums(shape, now, r, x[t], x[nb]))
+        return sums
+
+    sums = forward(theta)
+    total, below, loss = attention.node_gradient(shape, theta, x, sums, np.nan_to_num(y), weight)
+    want, margins = plain_gat(shape, theta, x, edges, y, up)
+    assert loss == pytest.approx(want) and np.allclose(attention.node_out(shape, theta, x, sums)[0], margins)
+    got = total + attention.edge_gradient(shape, theta, r, x[t], x[nb], sums[t], below[t])
+    assert np.allclose(got, numeric(lambda now: attention.node_gradient(shape, now, x, forward(now), np.nan_to_num(y), weight)[2], theta), atol=1e-6)
+
+
+def test_attention_layer_is_trained(spark):
+    x, edges, y = gat_graph()
+    nodes = spark.createDataFrame([(i, *map(float, v), None if np.isnan(y[i]) else int(y[i])) for i, v in enumerate(x)] + [(99, 0.0, 0.0, 0.0, None)], "node_id long, a double, b double, c double, label int")
+    frame = spark.createDataFrame([("pq"[r], t, j) for r, t, j in edges], "relation string, node_id long, nb long")
+    scores, logits, losses = attention.train_gat(nodes, frame, ["a", "b", "c"], ["p", "q"], heads=2, channels=2, epochs=12)
+    assert min(losses) < 0.8 * losses[0]
+    probs = {r.node_id: r.prob for r in scores.collect()}
+    assert len(probs) == 41
+    known = [i for i in range(40) if not np.isnan(y[i])]
+    assert forest.ranking_score(y[known].astype(int), np.array([probs[i] for i in known])) > 0.8
+    assert logits.count() == 2 * len(edges)
+    alpha = LIBRARY.apply(spark, "edge_softmax", lambda t: None, {"attention_logits": logits}).groupBy("relation", "target", "head").sum("alpha").collect()
+    assert all(r[3] == pytest.approx(1, abs=1e-6) for r in alpha)
