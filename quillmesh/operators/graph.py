@@ -139,9 +139,12 @@ add("saved_ids_check", """
     UNION ALL SELECT 'extra', node_id FROM (SELECT node_id FROM {ids_table} WHERE node_id % 97 <> 5 EXCEPT SELECT node_id FROM {ids_table}) b""", "O-SP6")
 add_ranks("id_places", "ids_table", "node_id, label, group_id", "CAST(floor(node_id / 1024e0) AS BIGINT)", "node_id")
 add("folds_in_order", "SELECT i.place AS row_at, i.node_id, f.fold, f.fold IS NULL AS missing FROM {id_places} i LEFT JOIN {folds_table} f ON f.node_id = i.node_id", "O-SP7")
+add("label_hashes", "SELECT node_id, label, $H(31, node_id) AS h FROM {ids_table}", public=False)
+add_ranks("label_places", "label_hashes", "node_id, label", "CAST(floor(h / 1048576e0) AS BIGINT)", "h, node_id", "label")
 add("stratified_sample", """
-    SELECT node_id, label FROM (SELECT node_id, label, row_number() OVER (PARTITION BY label ORDER BY $H(31, node_id), node_id) AS rn,
-        count(*) OVER (PARTITION BY label) AS ny, count(*) OVER () AS n FROM {ids_table}) s WHERE rn <= greatest(1, floor(200e0 * ny / n + 0.5e0))""", "O-SP8")
+    SELECT s.node_id, s.label FROM {label_places} s CROSS JOIN (SELECT count(*) AS n FROM {ids_table}) a WHERE s.place < greatest(1, floor(200e0 * s.total / a.n + 0.5e0))""", "O-SP8",
+    oracle="""SELECT node_id, label FROM (SELECT node_id, label, row_number() OVER (PARTITION BY label ORDER BY $H(31, node_id), node_id) AS rn,
+        count(*) OVER (PARTITION BY label) AS ny, count(*) OVER () AS n FROM {ids_table}) s WHERE rn <= greatest(1, floor(200e0 * ny / n + 0.5e0))""")
 add("draw_row", "SELECT node_id, label FROM {split_nodes} WHERE split = 'test' AND label = 1 ORDER BY $H(77, 3, node_id), node_id LIMIT 1", "O-SP9")
 add("split_masks", "SELECT node_id, split = 'train' AS fit, split <> 'test' AS loss FROM {split_nodes}", "O-FT9")
 add("gnn_data", "SELECT i.node_id, i.label, f.fold, i.group_id, 'train' AS part FROM {ids_table} i JOIN {folds_table} f ON f.node_id = i.node_id UNION ALL SELECT node_id, NULL, NULL, NULL, 'test' FROM {split_nodes} WHERE split = 'test'", "O-ST7")

@@ -138,9 +138,20 @@ def _confusion(s: str, t: str) -> str:
 _FROM = """round(coalesce(tp / nullif($DBL(tp + fp), 0), 0e0), 9) AS prec, round(coalesce(tp / nullif($DBL(tp + fn), 0), 0e0), 9) AS recall, round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0e0), 9) AS f1,
     round((tp + tn) / $DBL(tp + fp + fn + tn), 9) AS accuracy, round((coalesce(tp / nullif($DBL(tp + fn), 0), 0e0) + coalesce(tn / nullif($DBL(tn + fp), 0), 0e0)) / 2e0, 9) AS balanced"""
 add("binary_metrics", f"SELECT model, settings, tp, fp, fn, tn, {_FROM} FROM (SELECT model, settings, {_confusion('prob', '0.5e0')} FROM {{predictions}} GROUP BY model, settings) c", "O-EV2 O-ML10")
-add("f1_curve", "SELECT s, n, p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS taken, sum(p) OVER () AS pos FROM (SELECT pa AS s, count(*) AS n, sum(y) AS p FROM {scored} WHERE split = 'train' GROUP BY pa) g", public=False)
+
+
+def _f1(name: str, score: str) -> None:
+    """Counts of distinct training scores, of ranges of scores, and the running counts from the top: only ranges meet in one window."""
+    add(f"f1_steps{name}", f"SELECT {score} AS s, CAST(floor({score} * 4096e0) AS BIGINT) AS b, count(*) AS n, sum(y) AS p FROM {{scored}} WHERE split = 'train' GROUP BY {score}", public=False)
+    add(f"f1_ranges{name}", f"""
+        SELECT b, coalesce(sum(n) OVER (ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_above, coalesce(sum(p) OVER (ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p_above, sum(p) OVER () AS pos
+        FROM (SELECT b, sum(n) AS n, sum(p) AS p FROM {{f1_steps{name}}} GROUP BY b) r""", public=False)
+    add(f"f1_curve{name}", f"SELECT x.s, x.n, x.p, r.p_above + sum(x.p) OVER (PARTITION BY x.b ORDER BY x.s DESC) AS tp, r.n_above + sum(x.n) OVER (PARTITION BY x.b ORDER BY x.s DESC) AS taken, r.pos FROM {{f1_steps{name}}} x JOIN {{f1_ranges{name}}} r ON r.b = x.b", public=False)
+
+
+_f1("", "pa")
 add("f1_threshold", "SELECT s AS threshold, round(2e0 * tp / (taken + pos), 9) AS f1 FROM {f1_curve} ORDER BY 2e0 * tp / (taken + pos) DESC, s DESC LIMIT 1", "O-EV4")
-add("f1_curve_b", "SELECT s, n, p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS taken, sum(p) OVER () AS pos FROM (SELECT pb AS s, count(*) AS n, sum(y) AS p FROM {scored} WHERE split = 'train' GROUP BY pb) g", public=False)
+_f1("_b", "pb")
 add("f1_threshold_b", "SELECT s AS threshold, round(2e0 * tp / (taken + pos), 9) AS f1 FROM {f1_curve_b} ORDER BY 2e0 * tp / (taken + pos) DESC, s DESC LIMIT 1", public=False)
 add("test_metrics", f"""
     SELECT cut, tp, fp, fn, tn, {_FROM} FROM (SELECT 'chosen' AS cut, {_confusion('t.pa', 'h.threshold')} FROM {{test_scores}} t CROSS JOIN {{f1_threshold}} h UNION ALL SELECT 'half', {_confusion('pa', '0.5e0')} FROM {{test_scores}}) c""", "O-EV3 O-EV9")
@@ -161,9 +172,10 @@ for _score in ("pa", "pb"):
 add("group_bootstrap", "SELECT CAST(count(*) AS BIGINT) AS kept, round($Q(ap, 0.025), 7) AS low, round($Q(ap, 0.975), 7) AS high, round(avg(ap), 7) AS mean FROM {draw_ap_pa}", "O-EV5 O-EV8")
 add("paired_bootstrap", "SELECT CAST(count(*) AS BIGINT) AS kept, round($Q(b.ap - a.ap, 0.025), 7) AS low, round($Q(b.ap - a.ap, 0.975), 7) AS high, round(avg(CASE WHEN b.ap > a.ap THEN 1e0 ELSE 0e0 END), 7) AS better FROM {draw_ap_pa} a JOIN {draw_ap_pb} b ON b.b = a.b", "O-EV5 O-EV8")
 add("sanity_band", "SELECT model, settings, fold, ap, CASE WHEN ap < 0.35e0 - 0.05e0 THEN 'below the band' ELSE 'ok' END AS verdict FROM {average_precision}", "O-EV6 O-ST8")
+add_ranks("score_places", "test_scores", "node_id, y", "CAST(floor(-pa * 4096e0) AS BIGINT)", "pa DESC, node_id")
 add("recall_at_k", """
-    SELECT CAST(max(k) AS BIGINT) AS k, round(sum(CASE WHEN rn <= k THEN y ELSE 0 END) / $DBL(max(k)), 9) AS recall FROM (
-        SELECT y, row_number() OVER (ORDER BY pa DESC, node_id) AS rn, sum(y) OVER () AS k FROM {test_scores}) s""", "O-EV7")
+    SELECT CAST(max(k.k) AS BIGINT) AS k, round(sum(CASE WHEN s.place < k.k THEN s.y ELSE 0 END) / nullif($DBL(max(k.k)), 0), 9) AS recall FROM {score_places} s CROSS JOIN (SELECT sum(y) AS k FROM {test_scores}) k""", "O-EV7",
+    oracle="SELECT CAST(max(k) AS BIGINT) AS k, round(sum(CASE WHEN rn <= k THEN y ELSE 0 END) / nullif($DBL(max(k)), 0), 9) AS recall FROM (SELECT y, row_number() OVER (ORDER BY pa DESC, node_id) AS rn, sum(y) OVER () AS k FROM {test_scores}) s")
 add("fold_scores", "SELECT p.model, p.settings, p.fold, round(avg((p.y - p.prob) * (p.y - p.prob)), 9) AS brier, round((avg(CASE WHEN p.y = 1 THEN CASE WHEN p.prob >= 0.5e0 THEN 1e0 ELSE 0e0 END END) + avg(CASE WHEN p.y = 0 THEN CASE WHEN p.prob >= 0.5e0 THEN 0e0 ELSE 1e0 END END)) / 2e0, 9) AS balanced, max(a.ap) AS ap, max(u.auroc) AS auroc FROM {predictions} p JOIN {average_precision} a ON a.model = p.model AND a.settings = p.settings AND a.fold = p.fold JOIN {auroc} u ON u.model = p.model AND u.settings = p.settings AND u.fold = p.fold GROUP BY p.model, p.settings, p.fold", "O-EV10")
 add("nested_scores", "SELECT s.node_id, f.fold AS outer_fold, round(s.pa + f.fold / 100e0, 4) AS score FROM {scored} s CROSS JOIN (SELECT DISTINCT fold FROM {folds_table}) f WHERE s.split = 'train' AND s.cv_fold <> f.fold", public=False)
 add("nested_coverage", "SELECT f.fold AS outer_fold, CAST(count(s.node_id) AS BIGINT) AS covered, CAST(sum(CASE WHEN s.node_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM (SELECT x.fold, i.node_id FROM {folds_table} i CROSS JOIN (SELECT DISTINCT fold FROM {folds_table}) x WHERE i.fold <> x.fold) f LEFT JOIN {nested_scores} s ON s.node_id = f.node_id AND s.outer_fold = f.fold GROUP BY f.fold", "O-EV11 O-IO13")

@@ -6,6 +6,7 @@ Entries are derived from the test tables: an entry is a customer segment's order
 from __future__ import annotations
 
 import quillmesh.operators.metrics  # noqa: F401  defines the inputs
+from quillmesh.operators.graph import add_ranks
 from quillmesh.plans.dialect import LIBRARY
 
 add = LIBRARY.add
@@ -27,7 +28,9 @@ add("meta", """
 add("check_meta", """
     SELECT run_id, CASE WHEN status NOT IN ('ok') THEN 'status' WHEN finished < started THEN 'time' WHEN length(run_id) > 40 THEN 'length' END AS problem, round((finished - started) / 60e0, 1) AS minutes FROM {meta}""", "O-DB1 O-DB2")
 add("check_db", "SELECT problem, CAST(count(*) AS BIGINT) AS n FROM (SELECT run_id, 'not ok' AS problem FROM {meta} WHERE status <> 'ok' UNION ALL SELECT m.run_id, 'supersedes nothing' FROM {meta} m LEFT JOIN {meta} o ON o.run_id = m.supersedes WHERE m.supersedes IS NOT NULL AND o.run_id IS NULL UNION ALL SELECT run_id, 'no hash' FROM {meta} WHERE hash_id IS NULL) p GROUP BY problem", "O-DB3 O-DB34 O-IO9")
-add("index_table", "SELECT CAST(row_number() OVER (ORDER BY started, run_id) AS BIGINT) AS place, run_id, dataset, feature_set, device || ' / ' || split_part(tags, ', ', 1) AS where_run, test_pr_auc FROM {meta}", "O-DB4")
+add_ranks("entry_places", "meta", "run_id, dataset, feature_set, device, tags, test_pr_auc", "CAST(floor(started / 65536e0) AS BIGINT)", "started, run_id")
+add("index_table", "SELECT CAST(place + 1 AS BIGINT) AS place, run_id, dataset, feature_set, device || ' / ' || split_part(tags, ', ', 1) AS where_run, test_pr_auc FROM {entry_places}", "O-DB4",
+    oracle="SELECT CAST(row_number() OVER (ORDER BY started, run_id) AS BIGINT) AS place, run_id, dataset, feature_set, device || ' / ' || split_part(tags, ', ', 1) AS where_run, test_pr_auc FROM {meta}")
 add("combined_results", "SELECT run_id, model, selection, pr_auc, cv_pr_auc FROM (SELECT run_id, 'gbt' AS model, CAST(NULL AS VARCHAR(9)) AS selection, test_pr_auc AS pr_auc, cv_pr_auc FROM {meta} WHERE kind = 'pipeline' UNION ALL SELECT run_id, 'lr', 'filter', CAST(NULL AS DOUBLE), cv_pr_auc - 0.01e0 FROM {meta} WHERE kind <> 'pipeline') r", "O-DB5 O-IO14 O-IO15 O-DB6")
 add("run_slugs", "SELECT run_id, $RX(lower(run_id || ' ' || device), '[^a-z0-9]+', '-') || '-' || substr(md5(run_id), 1, 6) AS slug FROM {meta}", "O-DB7")
 add("filtered_entries", "SELECT run_id FROM {meta} WHERE dataset = 'first' AND ', ' || tags || ',' LIKE '%, tag1,%' AND run_id LIKE 'first_p%'", "O-DB8")
