@@ -156,3 +156,16 @@ def test_one_document_of_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:190_000])), (3, " ".join(words[:150_000]))]
     got = M.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_sketches_of_very_large_sets_stay_lower_bounds():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.unique(rng.integers(0, (1 << 64) - 1, 6_000_000, dtype=np.uint64))
+    sets = [x, x[rng.random(len(x)) > 0.05], np.unique(rng.integers(0, (1 << 64) - 1, 1000, dtype=np.uint64))]
+    sketches = [M.sketch_of(v) for v in sets]
+    assert [s[0] for s in sketches] == [4, 4, 1] and [M.counts_of(s).sum() for s in sketches] == [len(v) for v in sets]
+    every = np.arange(3)
+    (near, may), (far, must) = M.SketchSpace(sketches, 85, 100).measured(0, every), M.SetSpace(sets, 85, 100).measured(0, every)
+    assert (near <= far + 1e-9).all() and must[1] and (may | ~must).all()
