@@ -29,7 +29,7 @@ def neighbour_block(own: DataFrame, edges: DataFrame, columns: list[str], name:
     joined = both.join(own.select(F.col("node_id").alias("nb"), *columns), "nb")
     sums = joined.groupBy("node_id").agg(
         *[F.avg(F.when(F.col("relation") == r, F.col(c))).alias(f"{name}__{r}_mean_{c.split('__')[-1]}") for r in relations for c in columns],
-        *[F.log1p(F.count_if(F.col("relation") == r)).alias(f"{name}__{r}_degree") for r in relations],
+        *[F.log1p(F.count_if(F.col("relation") == r)).alias(f"{name}__{r}_log1p_degree") for r in relations],
     )
     return own.select("node_id").join(sums, "node_id", "left").fillna(0.0)
 

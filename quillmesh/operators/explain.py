@@ -12,7 +12,7 @@ add = LIBRARY.add
 
 add("weights", "SELECT name, CAST($H(71, name) % 21 - 10 AS BIGINT) / 10e0 AS w FROM {column_spec}", public=False)
 add("attributions", "SELECT z.node_id, z.name, round(z.z * w.w, 6) AS phi, s.group_id, s.y, s.pa FROM {standardise} z JOIN {weights} w ON w.name = z.name JOIN {test_scores} s ON s.node_id = z.node_id", public=False)
-add("column_names", "SELECT 'own__f0' || CAST(r_regionkey AS VARCHAR(4)) AS name FROM {region} UNION ALL SELECT 'nbr__cpm_mean_f0' || CAST(r_regionkey AS VARCHAR(4)) FROM {region} UNION ALL SELECT 'deg__' || substr(lower(r_name), 1, 3) || '_degree' FROM {region} UNION ALL SELECT 'nbr_no19__cns_degree' FROM {region} WHERE r_regionkey = 0", public=False)
+add("column_names", "SELECT 'own__f0' || CAST(r_regionkey AS VARCHAR(4)) AS name FROM {region} UNION ALL SELECT 'nbr__cpm_mean_f0' || CAST(r_regionkey AS VARCHAR(4)) FROM {region} UNION ALL SELECT 'deg__' || substr(lower(r_name), 1, 3) || '_log1p_degree' FROM {region} UNION ALL SELECT 'nbr_no19__cns_log1p_degree' FROM {region} WHERE r_regionkey = 0", public=False)
 add("parse_columns", """
     SELECT name, split_part(split_part(name, '__', 1), '_', 1) AS kind, CASE WHEN split_part(name, '__', 1) LIKE '%\\_%' ESCAPE '\\' THEN split_part(split_part(name, '__', 1), '_', 2) END AS variant, CASE WHEN name LIKE 'own%' THEN NULL ELSE split_part(split_part(name, '__', 2), '_', 1) END AS relation,
         CASE WHEN name LIKE '%mean%' THEN 'mean' WHEN name LIKE '%degree' THEN 'degree' ELSE 'own' END AS stat, CASE WHEN name LIKE '%f0_' THEN substr(name, length(name) - 2, 3) END AS feature FROM {column_names}""".replace("LIKE '%\\_%' ESCAPE '\\'", "LIKE '%no19'"), "O-EX1")

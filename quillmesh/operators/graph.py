@@ -111,10 +111,10 @@ add("neighbour_sums", f"""
     FROM {{adjacency_directed}} a JOIN {{own_block}} o ON o.node_id = a.nb GROUP BY a.node_id, a.relation""", public=False)
 add("nbr_block", f"""
     SELECT n.node_id, {", ".join(f"round(coalesce(max(CASE WHEN s.relation = '{r}' THEN s.mean_{f} END), 0e0), 4) AS nbr__{r}_mean_{f}" for r in _RELATIONS for f in _USED)},
-        {", ".join(f"round(ln(1e0 + coalesce(max(CASE WHEN s.relation = '{r}' THEN s.degree END), 0)), 9) AS nbr__{r}_degree" for r in _RELATIONS)}
+        {", ".join(f"round(ln(1e0 + coalesce(max(CASE WHEN s.relation = '{r}' THEN s.degree END), 0)), 9) AS nbr__{r}_log1p_degree" for r in _RELATIONS)}
     FROM {{own_block}} n LEFT JOIN {{neighbour_sums}} s ON s.node_id = n.node_id GROUP BY n.node_id""", "O-FT2 O-ST5 O-ML16")
 add("deg_block", f"""
-    SELECT n.node_id, {", ".join(f"round(ln(1e0 + coalesce(max(CASE WHEN d.relation = '{r}' THEN d.degree END), 0)), 9) AS deg__{r}_degree" for r in _RELATIONS)}
+    SELECT n.node_id, {", ".join(f"round(ln(1e0 + coalesce(max(CASE WHEN d.relation = '{r}' THEN d.degree END), 0)), 9) AS deg__{r}_log1p_degree" for r in _RELATIONS)}
     FROM {{own_block}} n LEFT JOIN {{degree_by_relation}} d ON d.node_id = n.node_id GROUP BY n.node_id""", "O-FT3")
 add("own_matrix_check", "SELECT count(*) = count(DISTINCT node_id) AND min(node_id) = 0 AND max(node_id) = count(*) - 1 AS sound, CAST(count(*) AS BIGINT) AS nodes FROM {own_block}", "O-FT4 O-ST10")
 
@@ -161,7 +161,7 @@ add("column_spec", """
     oracle="""WITH kinds AS (SELECT name, len(list(DISTINCT v)) AS n, count(*) FILTER (WHERE v <> trunc(v)) AS parts FROM {own_long} WHERE split = 'train' AND v IS NOT NULL GROUP BY name)
         SELECT name, CAST(n AS BIGINT) AS n_unique, CASE WHEN n < 2 THEN 'constant' WHEN n = 2 THEN 'binary' WHEN parts = 0 THEN 'ordinal' ELSE 'continuous' END AS kind FROM kinds""")
 add("own_view", "SELECT node_id, own__f01, own__f02, own__f04 FROM {own_block}", "O-FB3 O-FB1 O-FB2")
-add("feature_join", "SELECT o.*, d.deg__cpm_degree, d.deg__cns_degree, d.deg__cdp_degree FROM {own_view} o JOIN {deg_block} d ON d.node_id = o.node_id", "O-FB4")
+add("feature_join", "SELECT o.*, d.deg__cpm_log1p_degree, d.deg__cns_log1p_degree, d.deg__cdp_log1p_degree FROM {own_view} o JOIN {deg_block} d ON d.node_id = o.node_id", "O-FB4")
 add("validate_block", f"""
     SELECT CAST(count(*) - count(DISTINCT node_id) AS BIGINT) AS repeated, CAST(sum({" + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in _OWN)}) AS BIGINT) AS nulls FROM {{own_block}}""", "O-FB5")
 add("model_table", "SELECT i.place AS row_at, f.*, i.label AS target FROM {id_places} i JOIN {feature_join} f ON f.node_id = i.node_id", "O-FB6 O-FB9")
@@ -171,7 +171,7 @@ add("sanitise_names", """
 add("train_moments", "SELECT name, avg(v) AS mean, stddev_pop(v) AS sd FROM {own_long} WHERE split = 'train' GROUP BY name", public=False)
 add("standardise", "SELECT o.node_id, o.name, round((o.v - m.mean) / CASE WHEN m.sd = 0 THEN 1e0 ELSE m.sd END, 6) AS z FROM {own_long} o JOIN {train_moments} m ON m.name = o.name", "O-FT6")
 add("all_node_matrix", """
-    SELECT o.node_id, o.own__f01, b.nbr__cpm_mean_f01, b.nbr__cpm_degree, CASE WHEN abs(o.own__f05 - 1e0) <= 1e-9 THEN 1 ELSE 0 END AS "own__f05_1", CASE WHEN abs(o.own__f05 - 2e0) <= 1e-9 THEN 1 ELSE 0 END AS "own__f05_2"
+    SELECT o.node_id, o.own__f01, b.nbr__cpm_mean_f01, b.nbr__cpm_log1p_degree, CASE WHEN abs(o.own__f05 - 1e0) <= 1e-9 THEN 1 ELSE 0 END AS "own__f05_1", CASE WHEN abs(o.own__f05 - 2e0) <= 1e-9 THEN 1 ELSE 0 END AS "own__f05_2"
     FROM {own_block} o JOIN {nbr_block} b ON b.node_id = o.node_id""".replace('"own__f05_1"', "own__f05_1").replace('"own__f05_2"', "own__f05_2"), "O-FT12")
 add("ego_network", """
     SELECT e.relation, e.node_id, e.nb, e.degree, round(e.train_fraud, 6) AS train_fraud, e.kind FROM (

@@ -86,9 +86,16 @@ add("cross_dataset", """
     LEFT JOIN {setup_summary} z ON z.base = x.base AND z.budget_read = x.budget_read AND z.suffix = 'no19' AND z.dataset = 'first'
     LEFT JOIN {graph_gain} g ON g.dataset = 'first' AND g.budget_read = x.budget_read AND g.b = x.base LEFT JOIN {graph_gain} h ON h.dataset = 'second' AND h.budget_read = x.budget_read AND h.b = x.base
     WHERE x.dataset = 'first' AND x.suffix = ''""", "O-DB29")
-add("overview", " UNION ALL ".join(f"SELECT '{c}' AS what, CAST({c} AS VARCHAR(20)) AS value, CAST(count(*) AS BIGINT) AS n, CAST(min(started) AS BIGINT) AS first_started, CAST(max(finished) AS BIGINT) AS last_finished FROM {{meta}} GROUP BY {c}" for c in ("kind", "budget", "dataset", "device")), "O-DB30")
+add("overview", """
+    SELECT 'entries' AS what, 'all' AS value, CAST(count(*) AS BIGINT) AS n FROM {meta} UNION ALL SELECT 'kind', kind, CAST(count(*) AS BIGINT) FROM {meta} GROUP BY kind UNION ALL SELECT 'device', device, CAST(count(*) AS BIGINT) FROM {meta} GROUP BY device
+    UNION ALL SELECT 'runs', 'usable', CAST(count(*) AS BIGINT) FROM {usable_runs} UNION ALL SELECT 'budget', budget_read, CAST(count(*) AS BIGINT) FROM {usable_runs} GROUP BY budget_read UNION ALL SELECT 'dataset', dataset, CAST(count(*) AS BIGINT) FROM {usable_runs} GROUP BY dataset""", "O-DB30")
 add("failed_entries", "SELECT run_id, status, kind FROM {meta} WHERE status <> 'ok'", "O-DB31")
-add("coverage", "SELECT c.dataset, c.suffix, c.base, c.splits, max(c.splits) OVER (PARTITION BY c.dataset, c.suffix) AS most FROM (SELECT dataset, suffix, base, CAST(count(DISTINCT split) AS BIGINT) AS splits FROM {one_run} GROUP BY dataset, suffix, base) c", "O-DB32")
+add("coverage", """
+    SELECT c.dataset, c.suffix, c.budget_read, c.base, c.splits, max(c.splits) OVER (PARTITION BY c.dataset, c.budget_read) AS most, c.splits < max(c.splits) OVER (PARTITION BY c.dataset, c.budget_read) AS short
+    FROM (SELECT dataset, suffix, budget_read, base, CAST(count(DISTINCT split) AS BIGINT) AS splits FROM {usable_runs} GROUP BY dataset, suffix, budget_read, base) c""", "O-DB32")
+add("budget_gaps", """
+    SELECT dataset, suffix, base, CASE WHEN base = 'gnn' THEN 'gnn rung' ELSE 'pilot only' END AS kind FROM {usable_runs} GROUP BY dataset, suffix, base
+    HAVING max(CASE WHEN budget_read = 'pilot' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN budget_read = 'full' THEN 1 ELSE 0 END) = 0""", "O-DB33")
 add("split_gaps", "SELECT e.dataset, e.budget_read, e.base, e.split FROM (SELECT d.dataset, d.budget_read, s.base, k.split FROM (SELECT DISTINCT dataset, budget_read FROM {one_run}) d CROSS JOIN {setups} s CROSS JOIN (SELECT DISTINCT split FROM {one_run}) k) e LEFT JOIN (SELECT * FROM {one_run} WHERE suffix = 'no19') r ON r.dataset = e.dataset AND r.budget_read = e.budget_read AND r.base = e.base AND r.split = e.split WHERE r.run_id IS NULL", "O-DB33")
 add("metric_ranges", " UNION ALL ".join(f"SELECT run_id, '{c}' AS metric, {c} AS value FROM {{usable_runs}} WHERE {c} IS NULL OR {c} < 0 OR {c} > 1" for c in ("test_pr_auc", "cv_pr_auc", "no_skill")) + " UNION ALL SELECT run_id, 'not above no skill', test_pr_auc FROM {usable_runs} WHERE test_pr_auc <= no_skill", "O-DB35")
 add("frozen_test_set", "SELECT dataset, split, CAST(count(DISTINCT n_test) AS BIGINT) AS sizes, CAST(count(DISTINCT no_skill) AS BIGINT) AS rates FROM {usable_runs} GROUP BY dataset, split HAVING count(DISTINCT n_test) > 1 OR count(DISTINCT no_skill) > 1", "O-DB35")

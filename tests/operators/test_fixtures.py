@@ -33,7 +33,7 @@ def test_neighbour_means(spark):
     assert [got[i].nbr__cpm_mean_f02 for i in range(5)] == [0, 10, 5, 0, 0]
     assert [got[i].nbr__cns_mean_f01 for i in range(5)] == [5, 0, 0, 0, 1]
     for name, degrees in (("cpm", [2, 1, 2, 1, 0]), ("cns", [1, 0, 0, 0, 1]), ("cdp", [0] * 5)):
-        assert [got[i][f"nbr__{name}_degree"] for i in range(5)] == pytest.approx([math.log1p(d) for d in degrees], abs=1e-8)
+        assert [got[i][f"nbr__{name}_log1p_degree"] for i in range(5)] == pytest.approx([math.log1p(d) for d in degrees], abs=1e-8)
 
 
 def test_neighbour_means_ignore_row_order_and_partitions(spark):
@@ -50,7 +50,7 @@ def test_leaving_one_neighbour_out_is_the_block_of_the_smaller_graph(spark):
         rest = edges.where(f"not (relation = '{r.relation}' and src = {a} and dst = {b})")
         block = {x.node_id: x for x in apply(spark, "nbr_block", own_block=own, edges_canonical=rest).collect()}[r.target]
         assert r.mean_without == pytest.approx(block[f"nbr__{r.relation}_mean_f01"], abs=1e-4)
-        assert r.log_degree_without == pytest.approx(block[f"nbr__{r.relation}_degree"], abs=1e-6)
+        assert r.log_degree_without == pytest.approx(block[f"nbr__{r.relation}_log1p_degree"], abs=1e-6)
 
 
 def test_components_and_groups(spark):

@@ -12,7 +12,7 @@ def test_neighbour_block_of_five_nodes(spark):
     got = {r.node_id: r for r in Q.neighbour_block(own, edges, ["own__f00", "own__f01"]).collect()}
     assert [got[i].nbr__aaa_mean_f00 for i in range(5)] == [2.5, 1, 2.5, 3, 0] and [got[i].nbr__aaa_mean_f01 for i in range(5)] == [0, 10, 5, 0, 0]
     assert [got[i].nbr__bbb_mean_f00 for i in range(5)] == [5, 0, 0, 0, 1]
-    assert [got[i].nbr__aaa_degree for i in range(5)] == pytest.approx([math.log1p(d) for d in (2, 1, 2, 1, 0)])
+    assert [got[i].nbr__aaa_log1p_degree for i in range(5)] == pytest.approx([math.log1p(d) for d in (2, 1, 2, 1, 0)])
 
 
 def test_curves_by_group(spark):
