@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from quillmesh.llm.textscan import chunks, small_batches
+from quillmesh.llm.textscan import chunks, gather, small_batches, strings
 
 #: Marks before the prefix, the suffix and the middle. A text that holds one of them stays plain, so outputs can be undone.
 MARKS = ("<P>", "<S>", "<M>")
@@ -72,18 +72,6 @@ def marked(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((data[:-2] == ord("<")) & (data[2:] == ord(">")) & np.isin(data[1:-1], names))
 
 
-def _gather(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches [first, last) of each row, one after another, and the offsets of the rows in the result."""
-    size = (last - first).ravel()
-    ends = np.cumsum(size)
-    index = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) + np.repeat(first.ravel() - (ends - size), size)
-    return data[index], np.concatenate([[0], ends.reshape(first.shape)[:, -1]])
-
-
-def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
-
-
 def cut_rows(data: np.ndarray, offsets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """(tokens, form, code points of prefix and middle, bytes and offsets of the outputs) of the rows of one chunk; h has the
     four hashes of each row."""
@@ -105,7 +93,7 @@ def cut_rows(data: np.ndarray, offsets: np.ndarray, h: np.ndarray) -> tuple[np.n
     none, text = np.zeros((len(n), 2), np.int64), np.stack([offsets[:-1], offsets[1:]], 1)
     plain, psm, spm = (np.stack(x, 1) for x in ([text, none, none, none, none, none], [p, pre, s, suf, m, mid], [s, suf, p, pre, m, mid]))
     parts = np.choose(form[:, None, None], [plain, psm, spm])
-    return n, form, prefix, middle, *_gather(whole, parts[:, :, 0], parts[:, :, 1])
+    return n, form, prefix, middle, *gather(whole, parts[:, :, 0], parts[:, :, 1])
 
 
 def undo_rows(data: np.ndarray, offsets: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +109,7 @@ def undo_rows(data: np.ndarray, offsets: np.ndarray, form: np.ndarray) -> tuple[
     order = [np.where(second[:, None], part[1], part[0]), part[2], np.where(second[:, None], part[0], part[1])]
     for i, x in enumerate(order):
         first[moved, i], last[moved, i] = x[:, 0], x[:, 1]
-    return _gather(data, first, last)
+    return gather(data, first, last)
 
 
 def _transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +118,14 @@ def _transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in chunks(batch.column(1)):
             n, form, prefix, middle, out, at = cut_rows(data, offsets, hashes[i:j])
             plain = form == 0
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(FORMS[form].tolist(), pa.string()), pa.array(prefix, pa.int64(), mask=plain), pa.array(middle, pa.int64(), mask=plain), _strings(out, at)], ["id", "n", "form", "prefix_chars", "middle_chars", "output"])
+            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(FORMS[form].tolist(), pa.string()), pa.array(prefix, pa.int64(), mask=plain), pa.array(middle, pa.int64(), mask=plain), strings(out, at)], ["id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
 
 def _undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         form = np.select([np.asarray(batch.column(1).to_pylist(), object) == f for f in (PSM, SPM)], [1, 2], 0)
         for i, j, data, offsets in chunks(batch.column(0)):
-            text = _strings(*undo_rows(data, offsets, form[i:j]))
+            text = strings(*undo_rows(data, offsets, form[i:j]))
             rest = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns)]
             yield pa.record_batch([*rest, text], [*batch.schema.names, "restored"])
 

@@ -14,6 +14,7 @@ from quillmesh.llm.line_crf import quality_rules
 from quillmesh.llm.metric_join import jaccard_components
 from quillmesh.llm.packing import pack_power_of_two
 from quillmesh.llm.quality_trees import quality_of_documents
+from quillmesh.llm.recompression import deduplicated_documents
 from quillmesh.llm.sentencepiece_fst import encode_documents
 from quillmesh.llm.sharding import shard_documents
 from quillmesh.llm.telephony import store_audio
@@ -62,6 +63,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -81,11 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_power_packing": op8_power_packing,
     "op9_line_crf": op9_line_crf,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_recompression": op11_recompression,
     "op12_infill": op12_infill,
     "op13_filter_audit": op13_filter_audit,
 }
 #: DuckDB SQL where it can express a query: digests and smallest ids of equal payloads; shingle sets joined by their shingles;
-#: lists of tokens cut at hashed places; the fate of each document in each order of filters.
+#: windows numbered by their words; lists of tokens cut at hashed places; the fate of each document in each order of filters.
 ORACLES: dict[str, str] = {
     "op5_warc_store": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
@@ -98,6 +104,14 @@ ORACLES: dict[str, str] = {
         links AS (SELECT a, b FROM shared WHERE 100 * n >= 85 * (both_sizes - n)), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach AS (SELECT a AS doc_id, b AS other FROM ways UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other)
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(least(s.doc_id, coalesce(r.least_id, s.doc_id)) AS BIGINT) AS component_id FROM sets s LEFT JOIN (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id""",
+    "op11_recompression": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        wins AS (SELECT doc_id, i AS start, array_to_string(w[i:i + 19], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+        again AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY x ORDER BY doc_id, start) AS n FROM wins) WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS i FROM again),
+        words AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op12_infill": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w FROM documents),
         h AS (SELECT doc_id, t, w, len(w) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),

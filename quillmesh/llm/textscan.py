@@ -151,6 +151,19 @@ def windows(words: np.ndarray, k: int, family: int = 0) -> np.ndarray:
     return out
 
 
+def gather(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches [first, last) of each row, one after another, and the offsets of the rows in the result."""
+    size = (last - first).ravel()
+    ends = np.cumsum(size)
+    index = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) + np.repeat(first.ravel() - (ends - size), size)
+    return data[index], np.concatenate([[0], ends.reshape(first.shape)[:, -1]])
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Bytes and offsets as an Arrow column of texts."""
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
+
+
 def shingle_sets(texts: pa.Array, k: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, int]]:
     """(row, sorted distinct hashes of its k-word shingles, a second hash of the set), A-Z in lower case; a text with fewer words
     has its whole sequence as one shingle; without words the set is empty. The second hash is the sum of shingle hashes that
