@@ -47,7 +47,10 @@ add("additivity", """
 add("implementation_check", """
     SELECT CAST(count(*) AS BIGINT) AS n, round(max(tolerance), 9) AS tolerance, CAST(sum(CASE WHEN error > tolerance THEN 1 ELSE 0 END) AS BIGINT) AS n_excluded, round(max(CASE WHEN error <= tolerance THEN error END), 6) AS largest_error,
         round(max(CASE WHEN error > tolerance THEN error ELSE 0e0 END), 6) AS largest_excluded, avg(CASE WHEN error > tolerance THEN 1e0 ELSE 0e0 END) > 0.01e0 AS broken FROM {additivity}""", "O-EX7 O-ML14 O-ST16 O-ST19")
-add("layout_check", "SELECT n.node_id, abs(n.nbr__cpm_mean_f01 - coalesce(s.mean_f01, 0e0)) <= 1e-3 AS same FROM {nbr_block} n LEFT JOIN {neighbour_sums} s ON s.node_id = n.node_id AND s.relation = 'cpm'", "O-EX8")
+_GAPS = [(f"n.nbr__{r}_mean_f0{i}", f"coalesce({r}.mean_f0{i}, 0e0)") for r in ("cpm", "cns", "cdp") for i in range(7)] + [(f"n.nbr__{r}_log1p_degree", f"ln(1e0 + coalesce({r}.degree, 0))") for r in ("cpm", "cns", "cdp")]
+# A block's columns are rounded: means of whole numbers of nine digits to whole numbers, all others to four places.
+add("layout_check", f"""SELECT n.node_id, {" AND ".join(f"abs({a} - {b}) <= 1e-4 + {'0.5e0' if a.endswith('f02') else '1e-6'} * greatest(1e0, abs({b}) * 1e-6)" for a, b in _GAPS)} AS same
+    FROM {{nbr_block}} n {" ".join(f"LEFT JOIN {{neighbour_sums}} {r} ON {r}.node_id = n.node_id AND {r}.relation = '{r}'" for r in ("cpm", "cns", "cdp"))}""", "O-EX8")
 add("edge_values", "SELECT a.relation, a.node_id AS target, a.nb AS neighbour, o.own__f01 AS v, sum(o.own__f01) OVER (PARTITION BY a.relation, a.node_id) AS total, count(*) OVER (PARTITION BY a.relation, a.node_id) AS degree FROM {adjacency_directed} a JOIN {own_block} o ON o.node_id = a.nb", public=False)
 add("loo_neighbour_means", "SELECT relation, target, neighbour, CAST(degree AS BIGINT) AS degree, round(CASE WHEN degree > 1 THEN (total - v) / (degree - 1e0) ELSE 0e0 END, 7) AS mean_without, round(ln($DBL(degree)), 7) AS log_degree_without FROM {edge_values}", "O-EX9")
 add("mean_ranges", "SELECT relation, min(m) AS low, max(m) AS high FROM (SELECT relation, target, max(total / degree) AS m FROM {edge_values} e JOIN {ids_table} i ON i.node_id = e.target GROUP BY relation, target) t GROUP BY relation", public=False)
@@ -70,17 +73,6 @@ add("neighbour_tables", """
     SELECT relation, CAST(count(DISTINCT target) AS BIGINT) AS n_targets, CAST(count(*) AS BIGINT) AS n_influences, $R(avg(abs(delta_prob)), 6) AS mean_abs_delta_prob, $R(avg(abs(delta_prob_mean)), 6) AS mean_abs_mean_part,
         $R(avg(abs(delta_prob - delta_prob_mean)), 6) AS mean_abs_degree_part, $R(avg(abs(delta_prob) * degree), 6) AS mean_abs_x_degree, $R(avg(CASE WHEN out_of_range THEN 1e0 ELSE 0e0 END), 6) AS share_out_of_range FROM {influence} GROUP BY relation""", "O-EX21")
 add("top_influencers", "SELECT relation, neighbour, place FROM (SELECT relation, neighbour, row_number() OVER (PARTITION BY relation ORDER BY sum_abs DESC, neighbour) AS place FROM {aggregate_influence}) r WHERE place <= 10", "O-EX21 O-EX29")
-add("neighbour_shapley", """
-    SELECT relation, target, neighbour, round(avg(coalesce(now_mean - before_mean, now_mean)), 6) + 0e0 AS phi FROM (
-        SELECT relation, target, neighbour, p, now_mean, lag(now_mean) OVER (PARTITION BY relation, target, p ORDER BY k) AS before_mean FROM (
-            SELECT relation, target, neighbour, p, avg(v) OVER (PARTITION BY relation, target, p ORDER BY h, neighbour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now_mean, row_number() OVER (PARTITION BY relation, target, p ORDER BY h, neighbour) AS k
-            FROM (SELECT e.relation, e.target, e.neighbour, e.v, q.p, $H(81, q.p / 2, e.target, e.neighbour) * CASE WHEN q.p % 2 = 0 THEN 1 ELSE -1 END AS h FROM {edge_values} e CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS p FROM {region} WHERE r_regionkey < 4) q ) x) y) z
-    GROUP BY relation, target, neighbour""".replace("$H(81, q.p / 2,", "$H(81, CASE WHEN q.p < 2 THEN 0 ELSE 1 END,"), "O-EX12")
-add("coalitions", "SELECT CAST(r_regionkey AS BIGINT) AS mask FROM {region} WHERE r_regionkey < 4", public=False)
-add("group_shapley", """
-    SELECT node_id, round(0.5e0 * (max(CASE WHEN mask = 1 THEN v END) - max(CASE WHEN mask = 0 THEN v END)) + 0.5e0 * (max(CASE WHEN mask = 3 THEN v END) - max(CASE WHEN mask = 2 THEN v END)), 7) AS orders, round(0.5e0 * (max(CASE WHEN mask = 2 THEN v END) - max(CASE WHEN mask = 0 THEN v END)) + 0.5e0 * (max(CASE WHEN mask = 3 THEN v END) - max(CASE WHEN mask = 1 THEN v END)), 7) AS person
-    FROM (SELECT s.node_id, c.mask, sum(CASE WHEN s.player = 'orders' AND c.mask % 2 = 1 OR s.player = 'person' AND c.mask >= 2 THEN s.total ELSE 0e0 END) AS v FROM {summed_by_group} s CROSS JOIN {coalitions} c GROUP BY s.node_id, c.mask) m GROUP BY node_id""", "O-EX16")
-add("interactions", "SELECT a.name AS first_name, b.name AS second_name, round(avg(abs(a.phi * b.phi)), 6) AS strength FROM {attributions} a JOIN {attributions} b ON b.node_id = a.node_id AND a.name < b.name GROUP BY a.name, b.name", "O-EX27")
 # Removal and retraining, from its rows (see models.roar; `fall` is its drop): given as the input `roar_scores`.
 add("roar_by_fold", "SELECT kind, name, k, fold, avg(fall) AS fall FROM {roar_scores} GROUP BY kind, name, k, fold", public=False)
 add("roar_summary", "SELECT kind, name, k, round(avg(fall), 6) AS mean_drop, round(stddev_samp(fall), 6) AS sd_drop, CAST(count(*) AS BIGINT) AS n_folds FROM {roar_by_fold} GROUP BY kind, name, k", "O-EX18 O-EX17 O-ST14")

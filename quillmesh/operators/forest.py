@@ -57,48 +57,117 @@ class Forest:
         """The mean margin over the training weights."""
         return self.base + sum(float((v * c).sum() / max(c.sum(), 1e-300)) for v, c in zip(self.leaf, self.cover[:, self.column.shape[1] :], strict=True))
 
-    def shapley(self, x: np.ndarray) -> np.ndarray:
-        """rows x columns: exact Shapley values of the margin, where an unknown column sends a row down both sides of a split in the
-        shares of the training weights. A leaf's value counts with the product, over the columns on its path, of (does the row
-        go this way at all splits of the column?) if the column is known, else of the shares; so its Shapley values run over the
-        subsets of its few columns."""
-        out = np.zeros(x.shape)
+    def leaves(self) -> Iterator[tuple[int, np.ndarray, list[list[tuple[int, bool]]], np.ndarray, float]]:
+        """Each leaf with a value: its tree, the columns of its path, for each of these the (inner node, goes right) tests on the path,
+        the share of training weight that passes them, and the value."""
         inner = self.column.shape[1]
         depth = int(np.log2(inner + 1)) if inner else 0
-        for column, cut, leaf, cover in zip(self.column, self.cut, self.leaf, self.cover, strict=True):
-            right = x[:, column] > cut  # rows x inner nodes
+        for t, (column, cut, leaf, cover) in enumerate(zip(self.column, self.cut, self.leaf, self.cover, strict=True)):
             for at in np.flatnonzero(leaf):
-                node, path = at + inner, []
+                node, tests, share, real = int(at) + inner, {}, {}, True
                 for _ in range(depth):
-                    up = (node - 1) // 2
-                    path.append((up, node == 2 * up + 2, cover[node] / cover[up] if cover[up] > 0 else 0.0))
+                    up, is_right = (node - 1) // 2, node % 2 == 0
+                    if np.isfinite(cut[up]):
+                        c = int(column[up])
+                        tests.setdefault(c, []).append((up, is_right))
+                        share[c] = share.get(c, 1.0) * (cover[node] / cover[up] if cover[up] > 0 else 0.0)
+                    elif is_right:  # no split: all rows go left
+                        real = False
                     node = up
-                known: dict[int, np.ndarray] = {}
-                share: dict[int, float] = {}
-                for up, is_right, part in path:
-                    if not np.isfinite(cut[up]):
-                        continue  # no split: all rows go left
-                    c = int(column[up])
-                    way = right[:, up] == is_right
-                    known[c] = known[c] & way if c in known else way
-                    share[c] = share.get(c, 1.0) * part
-                if any(not np.isfinite(cut[up]) and is_right for up, is_right, _ in path):
-                    continue
-                names = list(known)
-                k = len(names)
-                one = {c: known[c].astype(float) for c in names}
-                for c in names:
-                    others = [o for o in names if o != c]
-                    for size in range(k):
-                        weight = math.factorial(size) * math.factorial(k - size - 1) / math.factorial(k)
-                        for chosen in itertools.combinations(others, size):
-                            rest = math.prod(share[o] for o in others if o not in chosen)
-                            whole = np.full(len(x), rest * weight * leaf[at])
-                            for o in chosen:
-                                whole = whole * one[o]
-                            out[:, c] += whole * (one[c] - share[c])
+                if real:
+                    yield t, np.array(list(tests), np.int64), list(tests.values()), np.array(list(share.values())), float(leaf[at])
+
+    def patterns(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+        """(columns, shares, pattern of each row, value) of each leaf: bit i of a row's pattern says whether the row passes all tests
+        of the leaf's i-th column. A leaf has few columns, so what a row gets from it is looked up by its pattern."""
+        last, right = -1, None
+        for t, columns, tests, share, value in self.leaves():
+            if t != last:
+                right, last = x[:, self.column[t]] > self.cut[t], t
+            pattern = np.zeros(len(x), np.int64)
+            for i, own in enumerate(tests):
+                passed = np.ones(len(x), bool)
+                for node, is_right in own:
+                    passed &= right[:, node] == is_right
+                pattern |= passed.astype(np.int64) << i
+            yield columns, share, pattern, value
+
+    def shapley(self, x: np.ndarray) -> np.ndarray:
+        """rows x columns: exact Shapley values of the margin, where an unknown column sends a row down both sides of a split in the
+        shares of the training weights. A leaf counts with the product, over the columns of its path, of (does the row pass?) if the
+        column is known, else of the shares, so its values run over the subsets of its few columns."""
+        out = np.zeros(x.shape)
+        for columns, share, pattern, value in self.patterns(x):
+            k = len(columns)
+            bits = _bits(k)
+            for i in range(k):
+                rest = np.zeros(len(bits))
+                for chosen, weight in _coalitions(k, [i]):
+                    rest += weight * np.prod(np.where(chosen, bits, share), axis=1, where=np.arange(k) != i)
+                out[:, columns[i]] += (value * rest * (bits[:, i] - share[i]))[pattern]
+        return out
+
+    def interactions(self, x: np.ndarray) -> np.ndarray:
+        """rows x columns x columns: exact Shapley interaction values of the same game. A pair's interaction stands in equal halves at
+        (a, b) and (b, a); the diagonal is what is left of a column's Shapley value, so each row sums to it."""
+        out = np.zeros((len(x), x.shape[1], x.shape[1]))
+        for columns, share, pattern, value in self.patterns(x):
+            k = len(columns)
+            bits = _bits(k)
+            for i, j in itertools.combinations(range(k), 2):
+                rest = np.zeros(len(bits))
+                for chosen, weight in _coalitions(k, [i, j]):
+                    rest += weight * np.prod(np.where(chosen, bits, share), axis=1, where=(np.arange(k) != i) & (np.arange(k) != j))
+                half = (0.5 * value * rest * (bits[:, i] - share[i]) * (bits[:, j] - share[j]))[pattern]
+                out[:, columns[i], columns[j]] += half
+                out[:, columns[j], columns[i]] += half
+        at = np.arange(x.shape[1])
+        out[:, at, at] = self.shapley(x) - out.sum(2)
         return out
 
+    def shapley_against(self, x: np.ndarray, background: np.ndarray) -> np.ndarray:
+        """rows x columns: exact interventional Shapley values of the margin, where unknown columns are those of a background row, averaged
+        over all of these. Row and background row go down a tree together: a leaf is reached if the columns that only the row
+        passes (p of them) are known and those that only the background passes (q) are not, which gives the former
+        (p-1)! q! / (p+q)! of its value each and the latter -p! (q-1)! / (p+q)!."""
+        out = np.zeros(x.shape)
+        if not len(background):
+            return out
+        for (columns, _, pattern, value), (_, _, behind, _) in zip(self.patterns(x), self.patterns(background), strict=True):
+            k = len(columns)
+            bits = _bits(k).astype(bool)
+            seen = np.bincount(behind, minlength=1 << k) / len(background)
+            table = np.zeros((1 << k, k))
+            for b in np.flatnonzero(seen):
+                p, q = (bits & ~bits[b]).sum(1), (~bits & bits[b]).sum(1)
+                open_ = (bits | bits[b]).all(1)
+                for i in range(k):
+                    mine, its = open_ & bits[:, i] & ~bits[b, i], open_ & ~bits[:, i] & bits[b, i]
+                    table[mine, i] += seen[b] * _FACTORIAL[p[mine] - 1] * _FACTORIAL[q[mine]] / _FACTORIAL[p[mine] + q[mine]]
+                    table[its, i] -= seen[b] * _FACTORIAL[p[its]] * _FACTORIAL[q[its] - 1] / _FACTORIAL[p[its] + q[its]]
+            out[:, columns] += value * table[pattern]
+        return out
+
+
+_FACTORIAL = np.array([math.factorial(i) for i in range(21)], float)
+
+
+def _bits(k: int) -> np.ndarray:
+    """All patterns of k bits, a row each."""
+    return (np.arange(1 << k)[:, None] >> np.arange(k) & 1).astype(float)
+
+
+def _coalitions(k: int, out: list[int]) -> Iterator[tuple[np.ndarray, float]]:
+    """The subsets of k players without those in `out`, as masks, with their weights in the Shapley value (one player out) or
+    interaction (two)."""
+    others = [i for i in range(k) if i not in out]
+    n = len(others) + 1
+    for size in range(n):
+        for chosen in itertools.combinations(others, size):
+            mask = np.zeros(k, bool)
+            mask[list(chosen)] = True
+            yield mask, math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
+
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least_hessian: float = 1.0, weight: np.ndarray | None = None) -> Forest:
     """A forest for labels y in {0, 1}. Without rows, or with one label, it is the smoothed share of label 1."""
@@ -161,11 +230,14 @@ def ranking_score(y: np.ndarray, s: np.ndarray) -> float:
 
 def sampled(rows: DataFrame, columns: list[str], most: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(node ids, x, labels, folds) of the training rows (node_id, columns, label, fold) on the driver, in the order of ids: all of
-    them, or the `most` with the smallest hashed ids."""
+    them, or the `most` with the smallest hashed ids, the same ones however the rows are partitioned."""
     own = rows.where("label is not null and fold is not null").select("node_id", *[F.col(c).cast("double").alias(c) for c in columns], F.col("label").cast("int").alias("label"), F.col("fold").cast("int").alias("fold"))
     total = own.count()
     if total > most:
-        own = own.where(F.shiftrightunsigned(F.xxhash64("node_id"), 32) < int(most / total * (1 << 32))).limit(most)
+        hashed = own.withColumn("__h", F.shiftrightunsigned(F.xxhash64("node_id"), 32))
+        # The bound on the hash leaves enough rows (with five deviations to spare), and few more, to be ordered.
+        bound = (most + 5 * math.sqrt(most) + 10) / total
+        own = hashed.where(F.col("__h") < int(min(bound, 1) * (1 << 32))).orderBy("__h", "node_id").limit(most).drop("__h")
     found = own.toPandas().sort_values("node_id", kind="stable")
     return found["node_id"].to_numpy(), found[columns].to_numpy(float), found["label"].to_numpy(int), found["fold"].to_numpy(int)
 

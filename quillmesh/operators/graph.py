@@ -39,11 +39,12 @@ add("customer_facts", """
     SELECT o_custkey AS node_id, CAST(count(*) AS BIGINT) AS orders, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS priorities,
         CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS filled, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
     FROM {orders} GROUP BY o_custkey""", public=False)
+# Of nine customers in a row the fifth and sixth have the features of the fourth, so there are groups of identical rows.
 add("raw_features", """
-    SELECT c.c_custkey AS node_id, $DBL(c.c_acctbal) AS own__f00, $DBL(coalesce(f.orders, 0)) AS own__f01, $DBL(coalesce(f.cents, 0)) AS own__f02,
+    SELECT c.c_custkey AS node_id, $DBL(s.c_acctbal) AS own__f00, $DBL(coalesce(f.orders, 0)) AS own__f01, $DBL(coalesce(f.cents, 0)) AS own__f02,
         coalesce($DBL(f.filled) / f.orders, 0e0) AS own__f03, $DBL(coalesce(f.priorities, 0)) AS own__f04,
-        CASE c.c_mktsegment WHEN 'BUILDING' THEN 1e0 WHEN 'MACHINERY' THEN 2e0 WHEN 'AUTOMOBILE' THEN 3e0 ELSE 0e0 END AS own__f05, $DBL(c.c_custkey % 2) AS own__f06
-    FROM {customer} c LEFT JOIN {customer_facts} f ON f.node_id = c.c_custkey""", public=False)
+        CASE s.c_mktsegment WHEN 'BUILDING' THEN 1e0 WHEN 'MACHINERY' THEN 2e0 WHEN 'AUTOMOBILE' THEN 3e0 ELSE 0e0 END AS own__f05, $DBL(s.c_custkey % 2) AS own__f06
+    FROM {customer} c JOIN {customer} s ON s.c_custkey = CASE WHEN c.c_custkey % 9 IN (4, 5) THEN c.c_custkey - c.c_custkey % 9 + 3 ELSE c.c_custkey END LEFT JOIN {customer_facts} f ON f.node_id = s.c_custkey""", public=False)
 add("labels_raw", "SELECT c_custkey AS node_id, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS y, n.prefix FROM {customer} c CROSS JOIN (SELECT CAST(floor(0.1e0 * count(*)) AS BIGINT) AS prefix FROM {customer}) n", public=False)
 
 # Graph construction
@@ -52,7 +53,11 @@ add("edges_canonical", """
     SELECT DISTINCT relation, least(i, j) AS src, greatest(i, j) AS dst FROM {entries} WHERE v <> 0 AND i <> j AND i IS NOT NULL AND j IS NOT NULL""", "O-GR1 O-IO3 O-ST1")
 add("adjacency_directed", "SELECT relation, CASE WHEN k = 0 THEN src ELSE dst END AS node_id, CASE WHEN k = 0 THEN dst ELSE src END AS nb FROM {edges_canonical} e $TWICE(t)", "O-GR9 O-GR10 O-GR11")
 add("degree_by_relation", "SELECT relation, node_id, CAST(count(*) AS BIGINT) AS degree FROM {adjacency_directed} GROUP BY relation, node_id", "O-GR11")
-add("duplicate_groups", "SELECT node_id, min(node_id) OVER (PARTITION BY own__f01, own__f04, own__f05, round(own__f03, 1)) AS first_node FROM {raw_features}", "O-GR3 O-GR5")
+_OWN = [f"own__f0{i}" for i in range(7)]
+add("duplicate_groups", f"""
+    SELECT r.node_id, g.first_node FROM {{raw_features}} r JOIN (SELECT {", ".join(_OWN)}, min(node_id) AS first_node FROM {{raw_features}} GROUP BY {", ".join(_OWN)}) g
+        ON {" AND ".join(f"g.{c} IS NOT DISTINCT FROM r.{c}" for c in _OWN)}""", "O-GR3 O-GR5",
+    oracle=f"SELECT node_id, min(node_id) OVER (PARTITION BY {', '.join(_OWN)}) AS first_node FROM {{raw_features}}")
 add("group_numbers", "SELECT first_node, CAST(count(*) AS BIGINT) AS size FROM {duplicate_groups} GROUP BY first_node", public=False)
 add_ranks("group_places", "group_numbers", "first_node", "CAST(floor(first_node / 1024e0) AS BIGINT)", "first_node")
 add("renumber_groups", "SELECT d.node_id, g.place AS group_id FROM {duplicate_groups} d JOIN {group_places} g ON g.first_node = d.first_node", "O-GR4")
@@ -105,14 +110,17 @@ add("gcn_propagate", "SELECT w.node_id, w.relation, " + ", ".join(f"$R(sum(w.w *
 
 add("own_block", "SELECT node_id, own__f00, own__f01, own__f02, own__f03, own__f04, own__f05, own__f06 FROM {raw_features}", "O-FT1 O-IO2")
 _RELATIONS = ("cpm", "cns", "cdp")
-_USED = ("f01", "f02", "f04")
 add("neighbour_sums", f"""
-    SELECT a.node_id, a.relation, CAST(count(*) AS BIGINT) AS degree, {", ".join(f"avg(o.own__{f}) AS mean_{f}" for f in _USED)}
+    SELECT a.node_id, a.relation, CAST(count(*) AS BIGINT) AS degree, {", ".join(f"sum(o.own__{f}) / count(*) AS mean_{f}" for f in _COLUMNS)}
     FROM {{adjacency_directed}} a JOIN {{own_block}} o ON o.node_id = a.nb GROUP BY a.node_id, a.relation""", public=False)
 add("nbr_block", f"""
-    SELECT n.node_id, {", ".join(f"round(coalesce(max(CASE WHEN s.relation = '{r}' THEN s.mean_{f} END), 0e0), 4) AS nbr__{r}_mean_{f}" for r in _RELATIONS for f in _USED)},
+    SELECT n.node_id, {", ".join(f"$R(coalesce(max(CASE WHEN s.relation = '{r}' THEN s.mean_{f} END), 0e0), {_DIGITS[f]}) AS nbr__{r}_mean_{f}" for r in _RELATIONS for f in _COLUMNS)},
         {", ".join(f"round(ln(1e0 + coalesce(max(CASE WHEN s.relation = '{r}' THEN s.degree END), 0)), 9) AS nbr__{r}_log1p_degree" for r in _RELATIONS)}
-    FROM {{own_block}} n LEFT JOIN {{neighbour_sums}} s ON s.node_id = n.node_id GROUP BY n.node_id""", "O-FT2 O-ST5 O-ML16")
+    FROM {{own_block}} n LEFT JOIN {{neighbour_sums}} s ON s.node_id = n.node_id GROUP BY n.node_id""", "O-FT2 O-ST5",
+    oracle=f"""WITH ends AS (SELECT relation, src AS node_id, dst AS nb FROM {{edges_canonical}} UNION ALL SELECT relation, dst, src FROM {{edges_canonical}}),
+        seen AS (SELECT e.node_id, e.relation, list(o) AS near FROM ends e JOIN {{own_block}} o ON o.node_id = e.nb GROUP BY e.node_id, e.relation)
+        SELECT n.node_id, {", ".join(f"$R(coalesce(list_avg(list_transform({r}.near, lambda x: x.own__{f})), 0e0), {_DIGITS[f]}) AS nbr__{r}_mean_{f}" for r in _RELATIONS for f in _COLUMNS)},
+        {", ".join(f"round(ln(1e0 + coalesce(len({r}.near), 0)), 9) AS nbr__{r}_log1p_degree" for r in _RELATIONS)} FROM {{own_block}} n {" ".join(f"LEFT JOIN seen {r} ON {r}.node_id = n.node_id AND {r}.relation = '{r}'" for r in _RELATIONS)}""")
 add("deg_block", f"""
     SELECT n.node_id, {", ".join(f"round(ln(1e0 + coalesce(max(CASE WHEN d.relation = '{r}' THEN d.degree END), 0)), 9) AS deg__{r}_log1p_degree" for r in _RELATIONS)}
     FROM {{own_block}} n LEFT JOIN {{degree_by_relation}} d ON d.node_id = n.node_id GROUP BY n.node_id""", "O-FT3")

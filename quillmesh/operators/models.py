@@ -254,9 +254,9 @@ def permutation_importance(rows: DataFrame, columns: list[str], shuffles: int =
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "name")))  # one row for each column
 
 
-def importance_of(model: forest.Forest, x: np.ndarray, most: int = 1000) -> np.ndarray:
-    """Mean absolute Shapley value of each column over at most `most` rows, evenly spaced."""
-    return np.abs(model.shapley(x[:: max(1, len(x) // most)][:most])).mean(0) if len(x) else np.zeros(x.shape[1])
+def importance_of(model: forest.Forest, x: np.ndarray) -> np.ndarray:
+    """Mean absolute Shapley value of each column over all rows."""
+    return np.abs(model.shapley(x)).mean(0) if len(x) else np.zeros(x.shape[1])
 
 
 def roar(rows: DataFrame, columns: list[str], players: dict[str, list[str]], top_ks: tuple[int, ...] = (1, 2, 4), draws: int = 5, trees: int = 20, seed: int = 0) -> DataFrame:

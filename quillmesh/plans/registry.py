@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ import quillmesh.operators.explain
 import quillmesh.operators.graph
 import quillmesh.operators.metrics
 import quillmesh.operators.resultsdb  # noqa: F401  these define the templates
-from quillmesh.operators import attention, encoders, models
+from quillmesh.operators import attention, attributions, encoders, forest, models
 from quillmesh.plans.dialect import LIBRARY
 from quillmesh.sources import files
 from quillmesh.storage import run_dir, table, written
@@ -154,6 +155,60 @@ def tree_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.tree_shapley(_all_nodes(spark, sf_dir, block, nodes), OWN)
 
 
+def _explained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str], forest.Forest, DataFrame, DataFrame]:
+    """Training rows and test rows over own features and neighbour means, their columns, a forest fitted on the former, own features
+    and edges."""
+    own, near, nodes, edges = _get(spark, sf_dir, "own_block", "nbr_block", "split_nodes", "adjacency_directed")
+    wide = written(own.join(near, "node_id").join(nodes.select("node_id", "split", "label", F.col("cv_fold").alias("fold")), "node_id"), "explained")
+    columns = [c for c in wide.columns if "__" in c]
+    train = wide.where("split = 'train'")
+    _, x, y, _ = forest.sampled(train, columns)
+    return train, wide.where("split = 'test'"), columns, forest.fit(x, y, trees=20, depth=3), own, edges
+
+
+def interventional_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of every test row against training rows as background."""
+    train, test, columns, model, *_ = _explained(spark, sf_dir)
+    return attributions.interventional_shapley(test, columns, model, attributions.background_of(train, columns))
+
+
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interaction values of the columns that count most and of the degrees, over all test rows."""
+    _, test, columns, model, *_ = _explained(spark, sf_dir)
+    return attributions.interactions(test, columns, model)
+
+
+def group_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own features, the means of each relation and the degrees as five players."""
+    train, test, columns, model, *_ = _explained(spark, sf_dir)
+    return attributions.group_shapley(test, columns, model.margin, attributions.background_of(train, columns, GROUP_BACKGROUND))
+
+
+def _influence(explained: tuple) -> DataFrame:
+    train, test, columns, model, own, edges = explained
+    found = train.agg(*[F.min(c).alias(f"a_{c}") for c in columns], *[F.max(c).alias(f"b_{c}") for c in columns]).first()
+    ranges = tuple(np.array([found[f"{side}_{c}"] or 0.0 for c in columns], float) for side in "ab")
+    return attributions.neighbour_influence(test, columns, own, edges, model.margin, ranges)
+
+
+def forest_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each test node's score falls without each of its neighbours."""
+    return _influence(_explained(spark, sf_dir))
+
+
+def neighbour_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapley values of every test node's neighbours in each relation."""
+    _, test, columns, model, own, edges = _explained(spark, sf_dir)
+    return attributions.neighbour_shapley(test, columns, own, edges, model.margin)
+
+
+def counterfactual_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest single change for every test node, by the training rows' medians and its neighbours."""
+    made = _explained(spark, sf_dir)
+    train, test, columns, model, *_ = made
+    return attributions.counterfactuals(test, columns, model, attributions.background_of(train, columns), _influence(made))
+
+
 def sign_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     hops, nodes = _get(spark, sf_dir, "sign_hops", "split_nodes")
     wide = hops.groupBy("node_id").pivot("relation", ["cdp", "cns", "cpm"]).agg(*[F.first(f"h{k}_f0{i}").alias(f"h{k}_f0{i}") for k in range(3) for i in range(7)])
@@ -271,6 +326,8 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.file_digests(spark, f"{sf_dir}/nation.parquet").unionByName(files.file_digests(spark, f"{sf_dir}/region.parquet"))
 
 
+#: Background rows of block Shapley values, which ask the model for each of them in each coalition.
+GROUP_BACKGROUND = 16
 #: Places of the embeddings in `raw_block`: all of them, named here as its oracle has to list them.
 RAW_PLACES = 64
 
@@ -278,6 +335,7 @@ CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, roar_top_or_random, tree_shapley,
+        interventional_shapley, interactions, group_shapley, forest_influence, neighbour_shapley, counterfactual_cards,
         sign_mlp, rel_sage, dgi_embeddings, gat_scores, gat_attention, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
         results_sink, edges_sink, changed_tables,
     )

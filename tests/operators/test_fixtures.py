@@ -21,7 +21,7 @@ def test_canonical_edges(spark):
 
 
 def five_nodes(spark):
-    own = spark.createDataFrame([(0, 1.0, 10.0), (1, 2.0, 0.0), (2, 3.0, 0.0), (3, 4.0, 0.0), (4, 5.0, 0.0)], "node_id long, own__f01 double, own__f02 double").selectExpr("*", "0e0 AS own__f04")
+    own = spark.createDataFrame([(0, 1.0, 10.0), (1, 2.0, 0.0), (2, 3.0, 0.0), (3, 4.0, 0.0), (4, 5.0, 0.0)], "node_id long, own__f01 double, own__f02 double").selectExpr("*", *[f"0e0 AS own__f0{i}" for i in (0, 3, 4, 5, 6)])
     edges = spark.createDataFrame([("cpm", 0, 1), ("cpm", 0, 2), ("cpm", 2, 3), ("cns", 0, 4)], "relation string, src long, dst long")
     return own, edges
 
@@ -234,14 +234,9 @@ def test_whole_graph_and_log_are_read(spark):
     assert {(r.degree, r.train_fraud) for r in ego if r.node_id == 0} == {(10, 0.5)}
     soft = apply(spark, "edge_softmax", edges_canonical=edges).collect()
     assert len(soft) == 80 and {r.relation for r in soft} == {"cpm", "cns"}
-    own = spark.createDataFrame([(i, float(i)) for i in range(11)], "node_id long, own__f01 double")
-    region = spark.createDataFrame([(i,) for i in range(5)], "r_regionkey int")
-    shares = apply(spark, "neighbour_shapley", edges_canonical=edges, own_block=own, region=region).collect()
-    assert len(shares) == 40
-    for r in ("cpm", "cns"):
-        assert sum(s.phi for s in shares if s.relation == r and s.target == 0) == pytest.approx(5.5, abs=1e-4)
-    block = spark.createDataFrame([(i, 1.0) for i in range(20)], "node_id long, nbr__cpm_mean_f01 double")
-    sums = spark.createDataFrame([(i, "cpm", 1.0 + (i == 4)) for i in range(20)], "node_id long, relation string, mean_f01 double")
+    near = [f"nbr__{r}_{c}" for r in ("cpm", "cns", "cdp") for c in [*[f"mean_f0{i}" for i in range(7)], "log1p_degree"]]
+    block = spark.createDataFrame([(i, *[1.0 if c == "nbr__cpm_mean_f01" else math.log(2) if c == "nbr__cpm_log1p_degree" else 0.0 for c in near]) for i in range(20)], "node_id long, " + ", ".join(f"{c} double" for c in near))
+    sums = spark.createDataFrame([(i, "cpm", 1, *[1.0 + (i == 4) if j == 1 else 0.0 for j in range(7)]) for i in range(20)], "node_id long, relation string, degree long, " + ", ".join(f"mean_f0{i} double" for i in range(7)))
     assert {r.node_id: r.same for r in apply(spark, "layout_check", nbr_block=block, neighbour_sums=sums).collect()} == {i: i != 4 for i in range(20)}
     ranks = spark.createDataFrame([(b, n, p) for b in range(9) for p, n in enumerate("xyz")], "b long, name string, place int")
     assert apply(spark, "split_agreement", drawn_ranks=ranks).count() == 36
