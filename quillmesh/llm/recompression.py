@@ -16,7 +16,7 @@ Spark's rounds:
 1. The scan names symbols and sends each sign once, with its place. A shuffle by name finds those that occur again, anywhere,
    and the documents whose last symbol occurs with a smaller id: whole copies, which go without another look.
 2. Places go back to their documents by id; windows under a shared sign are hashed (a sign is only a hint, so nothing rests on
-   its hash alone) and grouped by 96 bits of two independent families. Those that don't start first are repeats.
+   its hash alone) and grouped by 88 bits of two independent families. Those that don't start first are repeats.
 3. Places of repeats go back to their documents, and the words under them go.
 Texts are shuffled once: both returns read the same exchange. Hot names and hot passages are met by what a task knows already: of a
 name it sends the first place and one row to say that there are more (later ones are shared for sure), of a window the least place
@@ -52,6 +52,8 @@ SLOTS = 25
 TOLD = 22
 #: Bits of a text's hash that tell rows of one id apart, and bits of a symbol's length.
 VERSION, LENGTH = 24, 6
+#: Bits of a window's key beside the 64 of its hash: from its sign, in another family of word hashes.
+MORE = 24
 LAST = (1 << 63) - 1
 
 _RUN, _PAIR, _SIDE, _ROOT = (U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -247,16 +249,17 @@ def _look(width: int):
                 shared = wanted[near] == code
                 starts, name = starts[shared], name[shared]
                 row = np.searchsorted(at, starts, "right") - 1
-                found.append((windows(others, width, 1)[starts], (mix(name) >> U64(33)).astype(np.int64), docs[i:j][row], starts - at[row], versions[i:j][row]))
+                found.append((windows(others, width, 1)[starts], (mix(name) >> U64(64 - MORE)).astype(np.int64), docs[i:j][row], starts - at[row], versions[i:j][row]))
             if not found:
                 continue
             h, k, doc, start, version = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((version, start, doc, k, h))
-            h, k, doc, start, version = (c[order] for c in (h, k, doc, start, version))
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-            least = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
-            again = (doc != doc[least]) | (start != start[least])
+            same = (h[order[1:]] == h[order[:-1]]) & (k[order[1:]] == k[order[:-1]])
+            first = order[np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(h)), 0))]
+            least = np.empty(len(h), np.int64)
+            least[order] = first
+            # In the order of the texts, so that neighbouring rows of a shuffle block have bytes in common.
+            fresh, again = least == np.arange(len(h)), (doc != doc[least]) | (start != start[least])
             yield _batch(_WINDOWS, int(fresh.sum()), h=_signed(h[fresh]), k=k[fresh].astype(np.int32), doc=doc[fresh], place=start[fresh] << VERSION | version[fresh])
             doc, start, version = doc[again], start[again], version[again]
             order = np.lexsort((start, version, doc))
