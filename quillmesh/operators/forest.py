@@ -169,8 +169,9 @@ def _coalitions(k: int, out: list[int]) -> Iterator[tuple[np.ndarray, float]]:
             yield mask, math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least_hessian: float = 1.0, weight: np.ndarray | None = None) -> Forest:
-    """A forest for labels y in {0, 1}. Without rows, or with one label, it is the smoothed share of label 1."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least_hessian: float = 1.0, weight: np.ndarray | None = None, share: float = 1.0) -> Forest:
+    """A forest for labels y in {0, 1}. Without rows, or with one label, it is the smoothed share of label 1. With share < 1 the splits of
+    each tree are chosen on that share of the rows, another one each time; its leaves and covers are those of all rows."""
     y = y.astype(float)
     w = np.ones(len(y)) if weight is None else weight.astype(float)
     share = ((w * y).sum() + 0.5) / (w.sum() + 1)
@@ -180,7 +181,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
         return Forest(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), base, np.zeros((0, inner + leaves)))
     x = np.nan_to_num(x.astype(float))
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)  # value <= cuts[b] lies in bins up to b
+    binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)])  # a row for each column; value <= cuts[b] lies in bins up to b
     columns, margin = x.shape[1], np.full(len(y), base)
     out = Forest(np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, leaves)), base, np.zeros((trees, inner + leaves)))
     usable = np.zeros((columns, bins), bool)
@@ -190,15 +191,17 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
         p = 1 / (1 + np.exp(-margin))
         g, h = w * (p - y), w * p * (1 - p)
         node = np.zeros(len(y), np.int64)
+        some = np.flatnonzero(np.random.default_rng([13, t]).random(len(y)) < share) if share < 1 else slice(None)
+        seen, gs, hs = binned[:, some], g[some], h[some]
         out.cover[t, 0] = w.sum()
         for level in range(depth):
             count, first = 2**level, 2**level - 1
-            key = (node - first) * bins
+            key = (node[some] - first) * bins
             hist = np.empty((2, count, columns, bins))
             for j in range(columns):
-                at = key + np.minimum(binned[:, j], bins - 1)
-                hist[0, :, j] = np.bincount(at, g, count * bins).reshape(count, bins)
-                hist[1, :, j] = np.bincount(at, h, count * bins).reshape(count, bins)
+                at = key + seen[j]
+                hist[0, :, j] = np.bincount(at, gs, count * bins).reshape(count, bins)
+                hist[1, :, j] = np.bincount(at, hs, count * bins).reshape(count, bins)
             left = hist.cumsum(3)
             whole = left[..., -1:]
             right = whole - left
@@ -212,7 +215,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
                 out.column[t, first + i] = column[i]
                 out.cut[t, first + i] = cuts[column[i]][cut[i]] if worth[i] else np.inf
             own = node - first
-            node = 2 * node + 1 + (worth[own] & (binned[np.arange(len(y)), column[own]] > cut[own]))
+            node = 2 * node + 1 + (worth[own] & (binned[column[own], np.arange(len(y))] > cut[own]))
             out.cover[t, 2 * count - 1 : 4 * count - 1] = np.bincount(node - (2 * count - 1), w, 2 * count)
         at = node - inner
         sums = np.bincount(at, g, leaves), np.bincount(at, h, leaves)

@@ -65,7 +65,7 @@ def test_components_and_groups(spark):
 
 
 def test_renumbered_duplicate_groups(spark):
-    raw = spark.createDataFrame([(0, 1.0, 2.0), (1, 0.0, 0.0), (2, 1.0, 2.0), (3, 0.0, 0.0), (4, 5.0, 5.0)], "node_id long, own__f01 double, own__f04 double").selectExpr("*", "0e0 AS own__f05", "0e0 AS own__f03")
+    raw = spark.createDataFrame([(0, 1.0, 2.0), (1, 0.0, 0.0), (2, 1.0, 2.0), (3, 0.0, 0.0), (4, 5.0, 5.0)], "node_id long, own__f01 double, own__f04 double").selectExpr("*", *[f"CAST(NULL AS DOUBLE) AS own__f0{i}" for i in (0, 2)], *[f"0e0 AS own__f0{i}" for i in (3, 5, 6)])
     got = apply(spark, "renumber_groups", raw_features=raw)
     assert [r.group_id for r in got.orderBy("node_id").collect()] == [0, 1, 0, 1, 2]
 
