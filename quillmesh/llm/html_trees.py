@@ -8,7 +8,8 @@ subtree is worth either dropping it whole or keeping its root and the best of ea
 page order. What no reader sees as text (scripts, styles, form controls) is left out; hidden elements are judged as all others.
 
 The forest is trained here, on generated pages of known structure (`synthetic_pages`), the same each time. Names there are only
-hints: boilerplate often has none or a plain one, and paragraphs of articles often have names that boilerplate has too.
+hints: boilerplate often has none or a plain one, and paragraphs of articles as often have names that boilerplate has. Articles hold
+sections, bare divs and lists of links, and many are shorter than the menus around them.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ INNER = frozenset("article content main post entry story body text page document
 
 NAMES = [*(f"family_{i}" for i in range(len(FAMILIES))), "depth", "log_chars", "share", "link_share", "tags_per_char", "log_words", "marks_per_word", "own_foreign", "above_foreign", "own_furniture", "above_furniture", "own_inner", "above_inner",
          "in_article", "in_outer_tag", "in_form", "siblings", "place", "sibling_share", "same_tag_before", "paragraphs", "list_share", "text_before", "inputs", "mean_word", "article_on_page", "outer_child_share",
-         "parent_log_chars", "parent_paragraphs", "parent_link_share", "parent_share"]
+         "parent_log_chars", "parent_paragraphs", "parent_link_share", "parent_share", "beside_article", "own_chars_share", "page_log_chars", "prose_share", "parent_prose_share", "parent_inner", "parent_foreign", "share_of_parent"]
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
@@ -255,6 +256,11 @@ class Page:
         child_chars, outer_children = [0] * n, [0] * n
         above_foreign, above_furniture, above_inner, in_article, in_outer, in_form = ([0] * n for _ in range(6))
         page_article = any(t in ("article", "main") for t in tag)
+        holds = [int(t in ("article", "main")) for t in tag]
+        prose = [chars_of if t == "p" or t in FAMILIES[9] else 0 for t, chars_of in zip(tag, chars, strict=True)]  # text in paragraphs and quotes
+        for i in range(n - 1, 0, -1):
+            holds[parent[i]] += holds[i]
+            prose[parent[i]] = max(prose[parent[i]], min(prose[parent[i]] + prose[i], chars[parent[i]]))
         last_same: dict[tuple[int, str], int] = {}
         out = np.zeros((n, len(NAMES)), np.float32)
         base = len(FAMILIES)
@@ -290,6 +296,8 @@ class Page:
                 min(above_inner[i], 3), min(in_article[i], 2), min(in_outer[i], 2), min(in_form[i], 1), min(count[p], 50) if p >= 0 else 0, first[i] / max(1, count[p]) if p >= 0 else 0,
                 chars[i] / max(1, child_chars[p]) if p >= 0 else 1, min(same, 20), min(paragraphs[i], 50), items[i] / max(1, tags[i]), before[i] / total, min(inputs[i], 5), chars[i] / max(1, words[i]), page_article, outer_children[i] / c,
                 *((np.log1p(chars[p]), min(paragraphs[p], 50), link[p] / max(1, chars[p]), chars[p] / total) if p >= 0 else (0, 0, 0, 1)),
+                page_article and not holds[i] and not in_article[i], own_chars[i] / c, np.log1p(total), prose[i] / c,
+                *((prose[p] / max(1, chars[p]), min(own_inner[p], 3), min(own_foreign[p] + own_furniture[p], 3), chars[i] / max(1, chars[p])) if p >= 0 else (0, 0, 0, 1)),
             )
         return out
 
@@ -328,7 +336,7 @@ def synthetic_pages(count: int, seed: int = 1) -> Iterator[tuple[str, set[int]]]
     """(html, ids of the article's elements): every element has a data-n number; the article's root, all below it and the
     containers above it belong to the article. Names, structure, order, lengths and languages of words vary."""
     rng = random.Random(seed)
-    FURNITURE_NAMES, INNER_NAMES = sorted(FURNITURE), sorted(INNER)  # noqa: N806
+    FURNITURE_NAMES, INNER_NAMES, FOREIGN_NAMES = sorted(FURNITURE), sorted(INNER), sorted(FOREIGN)  # noqa: N806
     letters = ["abcdeilmnorstu", "aeioulnrst", "bdghklnrstäöüe", "áéíoulrsñc"]
 
     for _ in range(count):
@@ -359,14 +367,23 @@ def synthetic_pages(count: int, seed: int = 1) -> Iterator[tuple[str, set[int]]]
             pick = rng.choice(names)
             if rng.random() < plain:
                 pick = rng.choice(["box", "block", "row", "inner", "wrap", "c" + str(rng.randint(1, 99)), *INNER_NAMES[:4]])
-            return f' {rng.choice(["class", "id"])}="{rng.choice([pick, pick + "-box", "c" + str(rng.randint(1, 99)) + " " + pick, "site-" + pick])}"' if rng.random() < 0.85 else ""
+            return f' {rng.choice(["class", "id"])}="{rng.choice([pick, pick + "-box", "c" + str(rng.randint(1, 99)) + " " + pick, "site-" + pick])}"' if not plain or rng.random() < 0.85 else ""
 
         def links(n: int, item: str | None) -> str:
             every = [f'<a href="/{rng.choice(vocabulary)}">{words(rng.randint(1, 3))}</a>' for _ in range(n)]
             return "".join(element(item, a, False) for a in every) if item else rng.choice([" ", " | ", " &middot; "]).join(every)
 
-        def outer(kind: str) -> str:
-            box = rng.choice(["div", "div", "section"])
+        def outer(kind: str, inside: bool = False) -> str:
+            """A block that is no article's. One inside an article, and one that holds prose, has a telling name, as nothing else would
+            tell it from a part of an article or a short one."""
+            nonlocal plain
+            box, usual = rng.choice(["div", "div", "section"]), plain
+            plain = 0 if inside or kind in ("side", "notice", "advert", "comments") else plain
+            made = block(kind, box, inside)
+            plain = usual
+            return made
+
+        def block(kind: str, box: str, inside: bool) -> str:
             if kind == "menu":
                 body = element("ul", links(rng.randint(2, 12), "li"), False) if rng.random() < 0.7 else links(rng.randint(2, 9), None)
                 return element("nav", body, False, named("nav", "menu")) if rng.random() < 0.6 else element(box, body, False, named("nav", "menu", "navigation", "navbar"))
@@ -400,46 +417,61 @@ def synthetic_pages(count: int, seed: int = 1) -> Iterator[tuple[str, set[int]]]
                 return element(box, links(rng.randint(2, 5), None), False, named("share", "social"))
             return element(box, links(rng.randint(2, 4), None), False, named("breadcrumb", "breadcrumbs"))
 
-        def hint() -> str:
-            """Names of an article's parts: mostly none, else any that is not a foreign block's."""
+        def hint(tag: str = "div") -> str:
+            """Names of an article's parts: mostly none, else any; those of foreign blocks only on parts that hold no others."""
             if rng.random() < busy:
-                pick = rng.choice([rng.choice(FURNITURE_NAMES), rng.choice(INNER_NAMES), rng.choice(vocabulary)])
-                return f' class="{rng.choice([pick, pick + "-note", "text-" + pick])}"'
+                picks = [rng.choice(FURNITURE_NAMES), rng.choice(INNER_NAMES), rng.choice(vocabulary)] + ([rng.choice(FOREIGN_NAMES)] * 2 if tag in ("p", "blockquote", "h2", "h3", "ul", "pre") else [])
+                pick = rng.choice(picks)
+                return f' class="{rng.choice([pick, pick, pick + "-note", "text-" + pick])}"'
             return rng.choice(["", "", "", ' style="color:red"', " hidden"]) if rng.random() < 0.1 else ""
 
-        busy = rng.choice([0.0, 0.05, 0.3])
+        busy = rng.choice([0.0, 0.1, 0.3, 0.6])
+        sloppy, sectioned = rng.random() < 0.4, rng.random() < 0.15
+        sizes = rng.choice([[1, 2, 5, 15, 40, 90, 160], [15, 40, 90], [1, 2, 5]])
+
+        def part(level: int) -> str:
+            """One block of an article, or a container of some."""
+            draw, size = rng.random() if level or not sectioned else 0.35, rng.choice(sizes)
+            inner = sentence(size)
+            if rng.random() < 0.2:
+                inner = f"<b>{words(3)}</b> {inner} <a href='/y'>{words(2)}</a> {sentence(4)}"
+            if draw < 0.06:
+                tag = rng.choice(["h2", "h3"])
+                return element(tag, words(4), True, hint(tag))
+            if draw < 0.11:
+                return element("ul", "".join(element("li", sentence(rng.randint(2, 14)), True) for _ in range(rng.randint(2, 6))), True, hint("ul"))
+            if draw < 0.16:
+                items = "".join(element("li", f'<a href="/{rng.choice(vocabulary)}">{words(rng.randint(1, 6))}</a>' + (" " + sentence(3) if rng.random() < 0.3 else ""), True) for _ in range(rng.randint(2, 7)))
+                return element(rng.choice(["ul", "ul", "ol"]), items, True, hint("ul"))
+            if draw < 0.20:
+                return element("blockquote", element("p", inner, True, hint("p")), True, hint("blockquote"))
+            if draw < 0.23:
+                return element("table", element("tr", "".join(element("td", words(2), True) for _ in range(3)), True), True)
+            if draw < 0.31:
+                return element("div", rng.choice([inner, inner, element("p", inner, True) + element("p", sentence(9), True)]), True, hint())
+            if draw < 0.42 and level < 2:
+                heading = element("h2", words(rng.randint(1, 5)), True) if rng.random() < 0.5 else ""
+                return element(rng.choice(["section", "section", "div"]), heading + "".join(part(level + 1) for _ in range(rng.choice([1, 1, 2, 3]))), True, hint())
+            if draw < 0.46:
+                return element(rng.choice(["object", "map", "figure", "details", "section", "pre", "dl", "x-part", "canvas", "button"]), rng.choice([inner, element("p", inner, True)]), True, hint())
+            if sloppy and draw < 0.6:
+                return element("p", f"<b>{inner}<br>", True, void=True)
+            return element("p", inner, True, hint("p"))
 
         def article(tag: str, attributes: str) -> str:
-            heading = element("h1", words(rng.randint(2, 12)), True) if rng.random() < 0.85 else ""
+            heading = element("h1", words(rng.randint(1, 12)), True) if rng.random() < 0.8 else ""
             if heading and rng.random() < 0.15:
                 heading = element("header", heading, True)
-            body, sloppy = heading, rng.random() < 0.4
-            for _ in range(rng.choice([1, 2, 3, 5, 9, 20])):
-                draw, size = rng.random(), rng.choice([1, 2, 5, 15, 40, 90, 160])
-                inner = sentence(size)
-                if rng.random() < 0.2:
-                    inner = f"<b>{words(3)}</b> {inner} <a href='/y'>{words(2)}</a> {sentence(4)}"
-                if draw < 0.06:
-                    body += element(rng.choice(["h2", "h3"]), words(4), True, hint())
-                elif draw < 0.12:
-                    body += element("ul", "".join(element("li", sentence(rng.randint(2, 14)), True) for _ in range(rng.randint(2, 6))), True, hint())
-                elif draw < 0.16:
-                    body += element("blockquote", element("p", inner, True, hint()), True, hint())
-                elif draw < 0.19:
-                    body += element("table", element("tr", "".join(element("td", words(2), True) for _ in range(3)), True), True)
-                elif draw < 0.24:
-                    body += element("div", rng.choice([inner, element("p", inner, True) + element("p", sentence(9), True)]), True, hint())
-                elif draw < 0.28:
-                    body += element(rng.choice(["object", "map", "figure", "details", "section", "pre", "dl", "x-part", "canvas", "button"]), rng.choice([inner, element("p", inner, True)]), True, hint())
-                elif sloppy and draw < 0.4:
-                    body += element("p", f"<b>{inner}<br>", True, void=True)
-                else:
-                    body += element("p", inner, True, hint())
+            body = heading
+            for _ in range(rng.choice([1, 1, 2, 3, 5, 9, 20])):
+                body += part(0)
                 if rng.random() < 0.05:
-                    body += outer(rng.choice(["advert", "share", "related", "notice"]))
+                    body += outer(rng.choice(["advert", "share", "related", "notice"]), True)
+            if rng.random() < 0.05:
+                body += outer("comments", True)
             return element(tag, body, True, attributes) if tag else body
 
-        main = article(*rng.choice([("article", ""), ("article", named("post", "entry", "story")), ("main", ""), ("div", named("content", "article", "post", "story", "entry", "main")), ("div", hint()), ("section", hint()), ("", "")]))
+        main = article(*rng.choice([("article", ""), ("article", named("post", "entry", "story")), ("main", ""), ("div", named("content", "article", "post", "story", "entry", "main")), ("div", named("content", "article", "post", "story", "entry", "main")), ("div", hint()), ("div", ""), ("section", hint()), ("", "")]))
         if rng.random() < 0.3:
             main = element("main", main, True)
         before = "".join(outer(k) for k in rng.sample(_OUTER_PARTS, rng.randint(0, 5)))
@@ -476,14 +508,14 @@ def labelled_nodes(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.array(labels)
 
 
-TRAINING_PAGES = 1600
+TRAINING_PAGES = 2200
 
 
 @functools.cache
 def trained(pages: int = TRAINING_PAGES, seed: int = 1) -> Forest:
     """The forest, fitted once in a process."""
     x, y = labelled_nodes(pages, seed)
-    return fit(x, y, trees=60, depth=6, rate=0.2, bins=48)
+    return fit(x, y, trees=80, depth=6, rate=0.2, bins=40, share=0.35)
 
 
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("nodes", pa.int64()), ("kept_nodes", pa.int64())])

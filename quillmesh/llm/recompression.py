@@ -52,6 +52,8 @@ SLOTS = 25
 TOLD = 22
 #: Bits of a text's hash that tell rows of one id apart, and bits of a symbol's length.
 VERSION, LENGTH = 24, 6
+#: The 48 bits of a sign's name that are sent: it is a hint, and zeros take no room in a shuffle.
+NAMED = U64(0xFFFFFFFFFFFF0000)
 #: Bits of a window's key beside the 64 of its hash: from its sign, in another family of word hashes.
 MORE = 24
 LAST = (1 << 63) - 1
@@ -197,7 +199,7 @@ def _name(width: int, slots: int):
                 yield _batch(_SIGNS, len(enough), name=_signed(one[enough]), second=_signed(two[enough] | U64(1)), doc=doc[enough], code=version[enough], weight=np.zeros(len(enough), np.int32))
                 _, name, first, length = signs(words, at, width)
                 code, which = np.unique(first << LENGTH | length, return_index=True)
-                name = name[which]
+                name = name[which] & NAMED
                 row = np.searchsorted(at, code >> LENGTH, "right") - 1
                 code = ((code - (at[row] << LENGTH)) << VERSION) | version[row]
                 slot = (name >> U64(64 - slots)).astype(np.int64)

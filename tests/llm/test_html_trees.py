@@ -119,3 +119,34 @@ def test_time_is_linear_in_hostile_pages(part):
 
     took(1000)
     assert took(1_200_000) < 30 * max(took(120_000), 0.02)
+
+
+P = "Several plain words make up this paragraph, so that it reads as prose of some length here. "
+S = "Another stretch of text follows, and it says a little more about the matter at hand. "
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">Blog</a></li><li><a href="/c">About us</a></li></ul></nav>'
+FOOT = '<footer><p>&copy; 2024 Someone. All rights reserved.</p></footer>'
+#: Hand-written layouts, which the generator has not seen: html and the article's text.
+LAYOUTS: dict[str, tuple[str, str]] = {}
+LAYOUTS["section"] = (f'<body>{NAV}<article><h1>Head</h1><p>{P}</p><section><p>{S}</p></section><p>{P}</p></article>{FOOT}</body>', f'Head {P}{S}{P}')
+LAYOUTS["linklist"] = (f'<body>{NAV}<article><h1>Head</h1><p>{P}</p><ul><li><a href=x>First thing</a></li><li><a href=y>Second thing</a></li></ul><p>{P}</p></article>{FOOT}</body>', f'Head {P}First thing Second thing {P}')
+for c in ("comment", "popup", "promo-code", "footer", "ad", "newsletter", "sponsored"):
+    LAYOUTS["p." + c] = (f'<body>{NAV}<article><h1>Head</h1><p>{P}</p><p class="{c}">{S}</p><p>{P}</p></article>{FOOT}</body>', f'Head {P}{S}{P}')
+    LAYOUTS["divp." + c] = (f'<body>{NAV}<div class="post"><h1>Head</h1><p>{P}</p><p class="{c}">{S}</p><p>{P}</p></div>{FOOT}</body>', f'Head {P}{S}{P}')
+LAYOUTS["div-in-div"] = (f'<body>{NAV}<div><h1>Head</h1><p>{P}</p><div>{S}</div><p>{P}</p></div>{FOOT}</body>', f'Head {P}{S}{P}')
+LAYOUTS["short"] = ('<body><nav><a href="/">Home</a></nav><article><p>Short.</p></article></body>', 'Short.')
+LAYOUTS["short2"] = (f'<body>{NAV}<article><p>Short.</p></article>{FOOT}</body>', 'Short.')
+LAYOUTS["short3"] = (f'<body>{NAV}<article><h1>A title</h1><p>Just one line.</p></article>{FOOT}</body>', 'A title Just one line.')
+LAYOUTS["short4"] = (f'<body>{NAV}<main><p>Nothing to see.</p></main><aside><h3>More</h3><p>{P}</p></aside>{FOOT}</body>', 'Nothing to see.')
+LAYOUTS["sections"] = (f'<body><header><h1>The site</h1></header>{NAV}<main><h1>Head</h1><section><h2>One</h2><p>{P}</p></section><section><h2>Two</h2><div>{S}</div><ul><li>{S}</li></ul></section></main>{FOOT}</body>', f'Head One {P}Two {S}{S}')
+LAYOUTS["bare divs"] = (f'<body><div class="top">{NAV}</div><div class="content"><div>{P}</div><div>{S}</div><div>{P}</div></div><div class="footer">&copy; me</div></body>', f'{P}{S}{P}')
+LAYOUTS["ad inside"] = (f'<body>{NAV}<article><h1>Head</h1><p>{P}</p><div class="advertisement">Buy now and save.</div><p>{S}</p></article>{FOOT}</body>', f'Head {P}{S}')
+LAYOUTS["comments inside"] = (f'<body>{NAV}<article><h1>Head</h1><p>{P}</p><p>{S}</p><section class="comments"><h3>Comments</h3><div class="comment"><b>Ann</b><p>I like this very much, thank you.</p></div></section></article>{FOOT}</body>', f'Head {P}{S}')
+LAYOUTS["table layout"] = (f'<body><table><tr><td>{NAV}</td><td><h1>Head</h1><p>{P}</p><p>{S}</p></td></tr></table></body>', f'Head {P}{S}')
+LAYOUTS["cookie"] = (f'<body><div id="cookie-banner">We use cookies to improve things. <button>OK</button></div>{NAV}<article><p>{P}</p><blockquote><p>{S}</p></blockquote><p>{P}</p></article><form><label>Mail</label><input><button>Go</button></form></body>', f'{P}{S}{P}')
+LAYOUTS["nested"] = (f'<body><div id="page"><div class="header"><a href=/>Logo</a></div><div class="wrap"><div class="main"><div class="entry"><h2>Head</h2><div><p>{P}</p><p>{S}</p></div></div></div><div class="sidebar"><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></div></div></div></body>', f'Head {P}{S}')
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_layouts_written_by_hand(forest, name):
+    source, want = LAYOUTS[name]
+    assert extract(source, forest) == " ".join(want.split())
