@@ -15,7 +15,7 @@ import quillmesh.operators.explain
 import quillmesh.operators.graph
 import quillmesh.operators.metrics
 import quillmesh.operators.resultsdb  # noqa: F401  these define the templates
-from quillmesh.operators import attention, attributions, encoders, forest, models
+from quillmesh.operators import attention, attributions, encoders, forest, infomax, models, networks
 from quillmesh.plans.dialect import LIBRARY
 from quillmesh.sources import files
 from quillmesh.storage import run_dir, table, written
@@ -28,6 +28,7 @@ def _get(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 OWN = [f"own__f0{i}" for i in range(7)]
+RELATIONS = ["cdp", "cns", "cpm"]
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,19 +223,48 @@ def _standard(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return written(z.groupBy("node_id").pivot("name", OWN).agg(F.first("z")), "wide"), weights, nodes
 
 
-def rel_sage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relational convolution, trained: root weights and a matrix for each relation's propagated features."""
+def _network_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int, list[int]]:
+    """Blocks of own features and their propagation along each relation: (blocks, inputs, relations, folds)."""
     block, weights, nodes = _standard(spark, sf_dir)
-    near = models.propagated(block, OWN, weights).groupBy("node_id").pivot("relation", ["cdp", "cns", "cpm"]).agg(*[F.first(f"p_{c}").alias(c) for c in OWN])
-    columns = [f"{r}_{c}" for r in ("cdp", "cns", "cpm") for c in OWN]
-    return encoders.cross_fit_mlp(_all_nodes(spark, sf_dir, block.join(near.fillna(0.0), "node_id"), nodes), OWN + columns)[0]
+    weights = written(weights, "weights")
+    near = models.propagated(block, OWN, weights).groupBy("node_id").pivot("relation", RELATIONS).agg(*[F.first(f"p_{c}").alias(c) for c in OWN])
+    columns = OWN + [f"{r}_{c}" for r in RELATIONS for c in OWN]
+    own = nodes.where("split = 'train'").select("node_id", "label", F.col("cv_fold").alias("fold"))
+    rows = block.join(near, "node_id", "left").fillna(0.0, columns).join(nodes.select("node_id", F.col("group_id").alias("group")), "node_id").join(own, "node_id", "left")
+    folds = sorted(r.fold for r in own.select("fold").distinct().collect())
+    return networks.packed_blocks(written(rows, "network-rows"), columns, weights, RELATIONS), len(columns), len(RELATIONS), folds
+
+
+def rel_sage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers of relational convolutions: a grid of settings, two seeds and all folds trained together, stopped early on whole
+    groups; scores of the setting with the best mean validation score, over its seeds."""
+    blocks, inputs, relations, folds = _network_blocks(spark, sf_dir)
+    made = networks.train(blocks, inputs, relations, folds, networks.grid(), seeds=(0, 1), epochs=40, patience=6)
+    best = networks.best_setting(made) if made else None
+    return networks.scores(blocks, inputs, [m for m in made if m.setting == best])
+
+
+def rel_sage_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with layer norm, residual and a head that reads both layers."""
+    blocks, inputs, relations, folds = _network_blocks(spark, sf_dir)
+    made = networks.train(blocks, inputs, relations, folds, [networks.Setting(dropout=0.3)], epochs=40, patience=6, norm=True, residual=True, jumping=True)
+    return networks.scores(blocks, inputs, made)
+
+
+def network_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each model of the grid reached: epochs run, its best epoch, and its average precision on the validation groups there."""
+    blocks, inputs, relations, folds = _network_blocks(spark, sf_dir)
+    made = networks.train(blocks, inputs, relations, folds, networks.grid(), epochs=40, patience=6)
+    rows = [(m.setting.hidden, m.setting.dropout, m.setting.rate, m.fold, m.seed, len(m.losses), m.best_epoch + 1, round(m.best, 6), len(m.theta)) for m in made]
+    return spark.createDataFrame(rows, "hidden int, dropout double, rate double, fold int, seed int, epochs_run int, best_epoch int, best_val_ap double, n_parameters int")
 
 
 def dgi_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Self-supervised embeddings, one encoder for each relation; test nodes count in no loss."""
+    """Self-supervised embeddings of 64 places, an encoder of two layers for each relation; test nodes count in no loss."""
     block, weights, nodes = _standard(spark, sf_dir)
+    weights = written(weights, "weights")
     rows = models.dgi_inputs(block, OWN, weights).join(nodes.select("node_id", (F.col("split") != "test").alias("loss")), "node_id")
-    return encoders.train_dgi(rows, ["cdp", "cns", "cpm"], [f"p_{c}" for c in OWN], [f"q_{c}" for c in OWN])[0]
+    return infomax.train_infomax(written(rows, "infomax-rows"), weights, RELATIONS, [f"p_{c}" for c in OWN], [f"q_{c}" for c in OWN])[0]
 
 
 def _gat(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -336,7 +366,7 @@ CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, roar_top_or_random, tree_shapley,
         interventional_shapley, interactions, group_shapley, forest_influence, neighbour_shapley, counterfactual_cards,
-        sign_mlp, rel_sage, dgi_embeddings, gat_scores, gat_attention, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
+        sign_mlp, rel_sage, rel_sage_deep, network_trials, dgi_embeddings, gat_scores, gat_attention, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
         results_sink, edges_sink, changed_tables,
     )
 }
