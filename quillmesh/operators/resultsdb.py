@@ -68,17 +68,78 @@ add("verdict_kind", "SELECT v.contrast, CASE WHEN s.n = 1 THEN 'descriptive' WHE
 add("wide_deltas", "SELECT contrast, " + ", ".join(f"max(CASE WHEN split = {k} THEN delta END) AS d{k}" for k in range(5)) + " FROM {deltas} GROUP BY contrast", public=False)
 add("split_deltas", "SELECT contrast, split, delta FROM (" + " UNION ALL ".join(f"SELECT contrast, {k} AS split, d{k} AS delta FROM {{wide_deltas}}" for k in range(5)) + ") u WHERE delta IS NOT NULL", "O-DB21")
 add("pairs", "SELECT a.dataset, a.budget_read, a.suffix, a.base AS a, b.base AS b, a.split, a.test_pr_auc AS va, b.test_pr_auc AS vb, b.test_pr_auc - a.test_pr_auc AS delta, CASE WHEN a.base = 'own' THEN 'graph' ELSE 'other' END AS family FROM {one_run} a JOIN {one_run} b ON b.dataset = a.dataset AND b.budget_read = a.budget_read AND b.suffix = a.suffix AND b.split = a.split AND a.base < b.base", public=False)
-add("all_contrasts", """
-    SELECT dataset, budget_read, suffix, a, b, family, n, round(mean, 7) AS mean, round(p, 7) AS p, CASE WHEN family = 'graph' THEN round(max(least(1e0, (m - rn + 1) * p)) OVER (PARTITION BY dataset, budget_read, suffix, family ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 7) END AS p_holm, round(headroom, 7) AS headroom
-    FROM (SELECT c.*, row_number() OVER (PARTITION BY dataset, budget_read, suffix, family ORDER BY p, a, b) AS rn, count(*) OVER (PARTITION BY dataset, budget_read, suffix, family) AS m FROM (
-        SELECT dataset, budget_read, suffix, a, b, family, n, mean, headroom, round(CASE WHEN n < 2 THEN 1e0 WHEN sd > 0 THEN $P(mean / sqrt((1e0 / n + 1e0 / (n - 1)) * sd * sd), (n - 1)) WHEN mean = 0 THEN 1e0 ELSE 0e0 END, 9) AS p
-            FROM (SELECT dataset, budget_read, suffix, a, b, family, CAST(count(*) AS BIGINT) AS n, avg(delta) AS mean, stddev_samp(delta) AS sd, avg(delta) / (1e0 - avg(va)) AS headroom FROM {pairs} GROUP BY dataset, budget_read, suffix, a, b, family) e) c) d""", "O-DB22 O-EV23")
-add("current_contrasts", "SELECT dataset, a, b, budget_read, n, older FROM (SELECT dataset, a, b, budget_read, n, row_number() OVER (PARTITION BY dataset, a, b ORDER BY n DESC, budget_read, suffix) AS rn, CAST(count(*) OVER (PARTITION BY dataset, a, b) - 1 AS BIGINT) AS older FROM {all_contrasts}) c WHERE rn = 1", "O-DB23")
-add("replication_splits", "SELECT p.dataset, p.budget_read, p.suffix, p.a, p.b, p.split, CAST(count(*) AS BIGINT) AS explained FROM {pairs} p JOIN {usable_runs} x ON x.dataset = p.dataset AND x.budget_read = p.budget_read AND x.suffix = p.suffix AND x.base = p.a AND x.split = p.split JOIN {usable_runs} y ON y.dataset = p.dataset AND y.budget_read = p.budget_read AND y.suffix = p.suffix AND y.base = p.b AND y.split = p.split WHERE abs((y.test_pr_auc - x.test_pr_auc) - p.delta) <= 1e-6 GROUP BY p.dataset, p.budget_read, p.suffix, p.a, p.b, p.split", "O-DB24")
-add("key_questions", "SELECT dataset, a, b, max(CASE WHEN budget_read = 'full' THEN mean END) AS full_mean, max(CASE WHEN budget_read = 'pilot' THEN mean END) AS pilot_mean FROM {all_contrasts} WHERE suffix = '' AND a IN ('own', 'gnn') GROUP BY dataset, a, b", "O-DB25")
-add("tuned_vs_default", "SELECT dataset, base, round(max(CASE WHEN budget_read = 'full' THEN cv_mean END), 7) AS full_cv, round(max(CASE WHEN budget_read = 'pilot' THEN cv_mean END), 7) AS pilot_cv FROM {setup_summary} WHERE suffix = '' GROUP BY dataset, base", "O-DB26")
+# Recorded contrasts: an entry compares two feature sets on the runs that it saw, an early one on two splits, a late one on all
+add("run_scores", "SELECT r.run_id, r.dataset, r.budget_read, r.suffix, r.base, r.split, r.started, r.test_pr_auc, r.cv_pr_auc, m.device, p.replication FROM {runs_table} r JOIN {meta} m ON m.run_id = r.run_id JOIN {replications} p ON p.run_id = r.run_id WHERE r.status = 'ok' AND NOT r.superseded", public=False)
+add("entry_sides", """
+    SELECT e, dataset, budget_read, suffix, base, budget_read || '_' || base || CASE WHEN suffix = '' THEN '' ELSE '_' || suffix END AS feature_set, split, test_pr_auc, cv_pr_auc
+    FROM (SELECT s.*, t.k AS e, row_number() OVER (PARTITION BY t.k, s.dataset, s.budget_read, s.suffix, s.base, s.split ORDER BY $H(61, t.k, s.run_id), s.run_id) AS rn FROM {run_scores} s $TWICE(t)) x WHERE rn = 1 AND (e = 1 OR split < 2)""", public=False)
+add("entry_deltas", """
+    SELECT 'compare_' || x.dataset || '_' || CASE WHEN x.budget_read = y.budget_read THEN x.budget_read ELSE 'cross' END || x.suffix || '_' || CAST(x.e AS VARCHAR(4)) AS run_id, x.e, x.dataset, x.suffix, x.feature_set AS a, y.feature_set AS b, x.base AS a_base, y.base AS b_base,
+        x.budget_read AS a_budget, y.budget_read AS b_budget, x.split, x.test_pr_auc AS va, y.test_pr_auc AS vb, y.test_pr_auc - x.test_pr_auc AS delta, y.cv_pr_auc - x.cv_pr_auc AS cv_gap
+    FROM {entry_sides} x JOIN {entry_sides} y ON y.e = x.e AND y.dataset = x.dataset AND y.suffix = x.suffix AND y.split = x.split AND (y.budget_read = x.budget_read AND x.base < y.base OR y.base = x.base AND x.budget_read = 'pilot' AND y.budget_read = 'full')""", public=False)
+add("entry_folds", "SELECT d.run_id, d.a, d.b, d.split, f.b AS fold, d.cv_gap + ($H(67, d.run_id, d.a, d.b, d.split, f.b) % 2001 - 1000) / 50000e0 AS diff FROM {entry_deltas} d CROSS JOIN $SERIES(5) f", public=False)
+add("entry_tests", """
+    SELECT run_id, a, b, CAST(n AS BIGINT) AS cv_folds, round(m, 9) AS cv_delta, round(CASE WHEN v > 0 THEN $P(m / sqrt((1e0 / n + 0.25e0) * v), (n - 1)) WHEN m = 0 THEN 1e0 ELSE 0e0 END, 9) AS p
+    FROM (SELECT run_id, a, b, CAST(count(*) AS BIGINT) AS n, avg(diff) AS m, var_samp(diff) AS v FROM {entry_folds} GROUP BY run_id, a, b) f""", public=False)
+# A stored verdict is that of the rule, but for a few that the checks are to find.
+add("stored_contrasts", """
+    SELECT d.*, t.cv_folds, t.cv_delta, t.p, CASE WHEN $H(71, d.run_id, d.a, d.b) % 41 = 0 THEN 'supported' WHEN d.least > 0 AND d.mean > coalesce(d.sd, 0e0) AND t.p < 0.05e0 THEN 'supported' WHEN d.mean > 0 THEN 'not distinguishable' ELSE 'worse' END AS verdict
+    FROM (SELECT run_id, dataset, suffix, a, b, a_base, b_base, a_budget, b_budget, CASE WHEN e = 1 THEN 'all pairs, primary family' ELSE 'first look' END AS description, 1000 * e + $H(73, run_id) % 1000 AS started, CAST(count(*) AS BIGINT) AS n_splits, round(avg(delta), 9) AS mean, round(stddev_samp(delta), 9) AS sd,
+        round(avg(va), 9) AS pr_a, round(avg(vb), 9) AS pr_b, min(delta) AS least FROM {entry_deltas} GROUP BY run_id, dataset, suffix, a, b, a_base, b_base, a_budget, b_budget, e) d JOIN {entry_tests} t ON t.run_id = d.run_id AND t.a = d.a AND t.b = d.b""", public=False)
+_KIND = "CASE WHEN n_splits < 2 THEN 'descriptive' WHEN verdict = 'supported' THEN 'supported' WHEN verdict = 'not distinguishable' THEN 'not distinguishable' WHEN p < 0.05e0 THEN 'worse, significant' ELSE 'worse, mean only' END"
+add("all_contrasts", f"""
+    SELECT run_id, dataset, suffix, a, b, a_base, b_base, a_budget, b_budget, family, started, n_splits, mean, sd, pr_a, pr_b, cv_folds, cv_delta, p, CASE WHEN family = 'primary' THEN round(max(least(1e0, (m - rn + 1) * p)) OVER (PARTITION BY run_id, family ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 7) END AS holm_p,
+        verdict, {_KIND} AS kind, round(mean / (1e0 - pr_a), 7) AS headroom
+    FROM (SELECT c.*, CASE WHEN description LIKE '%primary family%' THEN 'primary' ELSE 'other' END AS family, row_number() OVER (PARTITION BY run_id ORDER BY p, a, b) AS rn, count(*) OVER (PARTITION BY run_id) AS m FROM {{stored_contrasts}} c) r""", "O-DB22 O-EV23",
+    oracle=f"""WITH ranked AS (SELECT run_id, list(struct_pack(p := p, a := a, b := b) ORDER BY p, a, b) AS every FROM {{stored_contrasts}} GROUP BY run_id)
+        SELECT c.run_id, dataset, suffix, a, b, a_base, b_base, a_budget, b_budget, CASE WHEN contains(description, 'primary family') THEN 'primary' ELSE 'other' END AS family, started, n_splits, mean, sd, pr_a, pr_b, cv_folds, cv_delta, p,
+        CASE WHEN contains(description, 'primary family') THEN round(list_max(list_transform(every[1:list_position(every, struct_pack(p := p, a := a, b := b))], lambda x, i: least(1e0, (len(every) - i + 1) * x.p))), 7) END AS holm_p, verdict, {_KIND} AS kind, round(mean / (1e0 - pr_a), 7) AS headroom
+        FROM {{stored_contrasts}} c JOIN ranked r ON r.run_id = c.run_id""")
+add("current_contrasts", """
+    SELECT dataset, a, b, suffix, a_base, b_base, a_budget, b_budget, family, run_id, n_splits, mean, sd, p, kind, replaced, replaced_splits FROM (
+        SELECT c.*, row_number() OVER (PARTITION BY dataset, a, b ORDER BY n_splits DESC, started DESC, run_id) AS rn, CAST(count(*) OVER (PARTITION BY dataset, a, b) - 1 AS BIGINT) AS replaced, lead(n_splits) OVER (PARTITION BY dataset, a, b ORDER BY n_splits DESC, started DESC, run_id) AS replaced_splits FROM {all_contrasts} c) r WHERE rn = 1""", "O-DB23",
+    oracle="""WITH g AS (SELECT dataset, a, b, list(c ORDER BY n_splits DESC, started DESC, run_id) AS every FROM {all_contrasts} c GROUP BY dataset, a, b)
+        SELECT dataset, a, b, every[1].suffix AS suffix, every[1].a_base AS a_base, every[1].b_base AS b_base, every[1].a_budget AS a_budget, every[1].b_budget AS b_budget, every[1].family AS family, every[1].run_id AS run_id, every[1].n_splits AS n_splits, every[1].mean AS mean, every[1].sd AS sd, every[1].p AS p, every[1].kind AS kind, CAST(len(every) - 1 AS BIGINT) AS replaced, every[2].n_splits AS replaced_splits FROM g""")
+# Which recorded runs can stand for a feature set on a split: the counted one first, then its replications.
+add("run_options", """
+    SELECT dataset, budget_read || '_' || base || CASE WHEN suffix = '' THEN '' ELSE '_' || suffix END AS feature_set, split, test_pr_auc AS v, CAST(NULL AS VARCHAR(9)) AS device, CAST(0 AS BIGINT) AS place FROM {one_run}
+    UNION ALL SELECT dataset, budget_read || '_' || base || CASE WHEN suffix = '' THEN '' ELSE '_' || suffix END, split, test_pr_auc, device, CAST(row_number() OVER (PARTITION BY dataset, budget_read, base, suffix, split ORDER BY started, run_id) AS BIGINT) FROM {run_scores} WHERE replication""", public=False)
+add("replication_splits", """
+    SELECT run_id, a, b, split, CASE WHEN da IS NULL THEN b WHEN db IS NULL THEN a ELSE a || ',' || b END AS setups, CASE WHEN da IS NULL THEN db WHEN db IS NULL OR da = db THEN da WHEN da < db THEN da || ',' || db ELSE db || ',' || da END AS devices FROM (
+        SELECT d.run_id, d.a, d.b, d.split, x.device AS da, y.device AS db, row_number() OVER (PARTITION BY d.run_id, d.a, d.b, d.split ORDER BY x.place, y.place) AS rn
+        FROM {entry_deltas} d JOIN {run_options} ca ON ca.dataset = d.dataset AND ca.feature_set = d.a AND ca.split = d.split AND ca.place = 0 JOIN {run_options} cb ON cb.dataset = d.dataset AND cb.feature_set = d.b AND cb.split = d.split AND cb.place = 0
+        JOIN {run_options} x ON x.dataset = d.dataset AND x.feature_set = d.a AND x.split = d.split JOIN {run_options} y ON y.dataset = d.dataset AND y.feature_set = d.b AND y.split = d.split
+        WHERE abs((cb.v - ca.v) - d.delta) > 1e-6 AND abs((y.v - x.v) - d.delta) <= 1e-6) m WHERE rn = 1""", "O-DB24",
+    oracle="""WITH o AS (SELECT dataset, feature_set, split, list(struct_pack(v := v, device := device) ORDER BY place) AS every, bool_or(place = 0) AS counted FROM {run_options} GROUP BY ALL),
+        m AS (SELECT d.run_id, d.a, d.b, d.split, d.delta, x.every AS xs, y.every AS ys FROM {entry_deltas} d JOIN o x ON x.dataset = d.dataset AND x.feature_set = d.a AND x.split = d.split AND x.counted JOIN o y ON y.dataset = d.dataset AND y.feature_set = d.b AND y.split = d.split AND y.counted
+            WHERE abs((y.every[1].v - x.every[1].v) - d.delta) > 1e-6),
+        f AS (SELECT run_id, a, b, split, list_filter(flatten(list_transform(xs, lambda x: list_transform(ys, lambda y: struct_pack(da := x.device, db := y.device, gap := abs((y.v - x.v) - delta))))), lambda q: q.gap <= 1e-6)[1] AS hit FROM m)
+        SELECT run_id, a, b, split, array_to_string(list_filter([CASE WHEN hit.da IS NOT NULL THEN a END, CASE WHEN hit.db IS NOT NULL THEN b END], lambda x: x IS NOT NULL), ',') AS setups, array_to_string(list_sort(list_distinct(list_filter([hit.da, hit.db], lambda x: x IS NOT NULL))), ',') AS devices FROM f WHERE hit IS NOT NULL""")
+add("contrast_families", """
+    SELECT dataset, suffix AS variant, CASE WHEN n_splits < 2 OR a_budget <> b_budget THEN 'descriptive' ELSE family END AS bucket, a, b, n_splits, mean, p, kind FROM {current_contrasts}""", "O-DB25",
+    oracle="SELECT dataset, suffix AS variant, family AS bucket, a, b, n_splits, mean, p, kind FROM {current_contrasts} WHERE n_splits >= 2 AND a_budget = b_budget UNION ALL SELECT dataset, suffix, 'descriptive', a, b, n_splits, mean, p, kind FROM {current_contrasts} WHERE NOT (n_splits >= 2 AND a_budget = b_budget)")
+add("questions", "SELECT 'do neighbour means help' AS question, 'own_nbr' AS b, 'own' AS a UNION ALL SELECT 'do embeddings help', 'own_ssl', 'own' UNION ALL SELECT 'do embeddings add to means', 'own_nbr_ssl', 'own_nbr' UNION ALL SELECT 'are own features enough', 'own', 'gnn'", public=False)
+add("key_questions", f"""
+    SELECT dataset, variant, question, {", ".join(f"max(CASE WHEN a_budget = '{b}' THEN {c} END) AS {b}_{c}" for b in ("pilot", "full") for c in ("mean", "p", "n_splits", "kind"))}
+    FROM (SELECT c.dataset, c.suffix AS variant, q.question, c.a_budget, c.mean, c.p, c.n_splits, c.kind FROM {{current_contrasts}} c JOIN {{questions}} q ON q.a = c.a_base AND q.b = c.b_base WHERE c.a_budget = c.b_budget) x GROUP BY dataset, variant, question""", "O-DB25",
+    oracle="""WITH k AS (SELECT c.*, q.question FROM {current_contrasts} c JOIN {questions} q ON q.a = c.a_base AND q.b = c.b_base WHERE c.a_budget = c.b_budget)
+        SELECT coalesce(p.dataset, f.dataset) AS dataset, coalesce(p.suffix, f.suffix) AS variant, coalesce(p.question, f.question) AS question, p.mean AS pilot_mean, p.p AS pilot_p, p.n_splits AS pilot_n_splits, p.kind AS pilot_kind, f.mean AS full_mean, f.p AS full_p, f.n_splits AS full_n_splits, f.kind AS full_kind
+        FROM (SELECT * FROM k WHERE a_budget = 'pilot') p FULL JOIN (SELECT * FROM k WHERE a_budget = 'full') f ON f.dataset = p.dataset AND f.suffix = p.suffix AND f.question = p.question""")
+# The check of settings: every other attempt of a run took the default ones.
+add("settings_scores", "SELECT dataset, base, split, CASE WHEN CAST(floor(started / 1000000e0) AS BIGINT) % 2 = 0 THEN 'tuned' ELSE 'default' END AS settings, test_pr_auc, cv_pr_auc FROM {runs_table} WHERE status = 'ok' AND suffix = '' AND budget_read = 'pilot'", public=False)
+add("tuned_vs_default", """
+    SELECT dataset, base, round(avg(CASE WHEN settings = 'tuned' THEN cv_pr_auc END), 7) AS tuned_cv, round(avg(CASE WHEN settings = 'default' THEN cv_pr_auc END), 7) AS default_cv FROM {settings_scores} GROUP BY dataset, base HAVING count(DISTINCT settings) = 2""", "O-DB26",
+    oracle="SELECT t.dataset, t.base, round(t.cv, 7) AS tuned_cv, round(d.cv, 7) AS default_cv FROM (SELECT dataset, base, avg(cv_pr_auc) AS cv FROM {settings_scores} WHERE settings = 'tuned' GROUP BY ALL) t JOIN (SELECT dataset, base, avg(cv_pr_auc) AS cv FROM {settings_scores} WHERE settings = 'default' GROUP BY ALL) d USING (dataset, base)")
+add("settings_by_split", "SELECT dataset, base, split, avg(CASE WHEN settings = 'tuned' THEN test_pr_auc END) AS tuned, avg(CASE WHEN settings = 'default' THEN test_pr_auc END) AS plain, avg(CASE WHEN settings = 'default' THEN cv_pr_auc END) AS plain_cv FROM {settings_scores} GROUP BY dataset, base, split HAVING count(DISTINCT settings) = 2", public=False)
+add("default_settings_check", """
+    SELECT dataset, base, CAST(count(*) AS BIGINT) AS n_splits, round(avg(tuned), 7) AS test_tuned, round(avg(plain), 7) AS test_default, round(avg(plain_cv), 7) AS cv_default, round(avg(tuned - plain), 7) AS delta_mean, round(stddev_samp(tuned - plain), 7) AS delta_sd FROM {settings_by_split} GROUP BY dataset, base""", "O-DB26")
 add("graph_gain", "SELECT dataset, budget_read, b, CAST(count(*) AS BIGINT) AS n, round(avg(delta), 7) AS mean, round(stddev_samp(delta), 7) AS sd, round(min(delta), 7) AS low, round(max(delta), 7) AS high FROM {pairs} WHERE a = 'own' AND suffix = '' GROUP BY dataset, budget_read, b", "O-DB27")
-add("agreement", "SELECT x.budget_read, x.a, x.b, x.mean > 0 AS up_first, y.mean > 0 AS up_second, (x.mean > 0) = (y.mean > 0) AS same FROM {all_contrasts} x JOIN {all_contrasts} y ON y.budget_read = x.budget_read AND y.a = x.a AND y.b = x.b AND y.suffix = x.suffix WHERE x.dataset = 'first' AND y.dataset = 'second' AND x.suffix = ''", "O-DB28")
+add("agreement", """
+    SELECT f.a_base || ' to ' || f.b_base AS contrast, f.mean AS first_mean, f.p AS first_p, f.n_splits AS first_splits, f.kind AS first_kind, g.mean AS second_mean, g.p AS second_p, g.n_splits AS second_splits, g.kind AS second_kind, f.kind = g.kind AS agrees
+    FROM {current_contrasts} f JOIN {current_contrasts} g ON g.a = f.a AND g.b = f.b WHERE f.dataset = 'first' AND g.dataset = 'second' AND f.suffix = '' AND f.a_budget = 'pilot' AND f.b_budget = 'pilot' AND f.n_splits >= 2 AND g.n_splits >= 2""", "O-DB28",
+    oracle="""SELECT any_value(a_base) || ' to ' || any_value(b_base) AS contrast, max(mean) FILTER (dataset = 'first') AS first_mean, max(p) FILTER (dataset = 'first') AS first_p, max(n_splits) FILTER (dataset = 'first') AS first_splits, max(kind) FILTER (dataset = 'first') AS first_kind,
+        max(mean) FILTER (dataset = 'second') AS second_mean, max(p) FILTER (dataset = 'second') AS second_p, max(n_splits) FILTER (dataset = 'second') AS second_splits, max(kind) FILTER (dataset = 'second') AS second_kind, count(DISTINCT kind) = 1 AS agrees
+        FROM {current_contrasts} WHERE suffix = '' AND a_budget = 'pilot' AND b_budget = 'pilot' AND n_splits >= 2 GROUP BY a, b HAVING count(DISTINCT dataset) = 2""")
 add("cross_dataset", """
     SELECT x.base, x.budget_read, x.test_mean AS first_mean, x.test_sd AS first_sd, x.skill_mean AS first_skill, x.skill_sd AS first_skill_sd, x.n AS first_n, y.test_mean AS second_mean, y.test_sd AS second_sd, y.skill_mean AS second_skill, y.skill_sd AS second_skill_sd, y.n AS second_n,
         g.mean AS first_gain, h.mean AS second_gain, z.test_mean AS variant_mean, z.skill_mean AS variant_skill
@@ -96,12 +157,40 @@ add("coverage", """
 add("budget_gaps", """
     SELECT dataset, suffix, base, CASE WHEN base = 'gnn' THEN 'gnn rung' ELSE 'pilot only' END AS kind FROM {usable_runs} GROUP BY dataset, suffix, base
     HAVING max(CASE WHEN budget_read = 'pilot' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN budget_read = 'full' THEN 1 ELSE 0 END) = 0""", "O-DB33")
-add("split_gaps", "SELECT e.dataset, e.budget_read, e.base, e.split FROM (SELECT d.dataset, d.budget_read, s.base, k.split FROM (SELECT DISTINCT dataset, budget_read FROM {one_run}) d CROSS JOIN {setups} s CROSS JOIN (SELECT DISTINCT split FROM {one_run}) k) e LEFT JOIN (SELECT * FROM {one_run} WHERE suffix = 'no19') r ON r.dataset = e.dataset AND r.budget_read = e.budget_read AND r.base = e.base AND r.split = e.split WHERE r.run_id IS NULL", "O-DB33")
-add("metric_ranges", " UNION ALL ".join(f"SELECT run_id, '{c}' AS metric, {c} AS value FROM {{usable_runs}} WHERE {c} IS NULL OR {c} < 0 OR {c} > 1" for c in ("test_pr_auc", "cv_pr_auc", "no_skill")) + " UNION ALL SELECT run_id, 'not above no skill', test_pr_auc FROM {usable_runs} WHERE test_pr_auc <= no_skill", "O-DB35")
+add("split_gaps", """
+    SELECT dataset, suffix AS variant, base, n_splits, most FROM (SELECT dataset, suffix, base, n_splits, max(n_splits) OVER (PARTITION BY dataset, suffix) AS most
+        FROM (SELECT dataset, suffix, base, CAST(count(DISTINCT split) AS BIGINT) AS n_splits FROM {usable_runs} WHERE budget_read = 'pilot' GROUP BY dataset, suffix, base) c) m WHERE n_splits < most""", "O-DB33",
+    oracle="""WITH c AS (SELECT dataset, suffix, base, len(list_distinct(list(split))) AS n FROM {usable_runs} WHERE budget_read = 'pilot' GROUP BY ALL), t AS (SELECT dataset, suffix, max(n) AS most FROM c GROUP BY ALL)
+        SELECT c.dataset, c.suffix AS variant, c.base, CAST(c.n AS BIGINT) AS n_splits, CAST(t.most AS BIGINT) AS most FROM c JOIN t USING (dataset, suffix) WHERE c.n <> t.most""")
+# What a run's entry holds besides: scores and settings, of which a few are wrong for the checks to find.
+add("run_metrics", """
+    SELECT u.run_id, u.dataset, u.base, u.budget_read, u.test_pr_auc, u.cv_pr_auc, u.no_skill, CASE WHEN $H(83, u.run_id) % 29 = 0 THEN 1.2e0 ELSE round(0.5e0 + u.test_pr_auc / 2, 6) END AS test_auroc, CASE WHEN $H(84, u.run_id) % 31 <> 0 THEN ($H(85, u.run_id) % 1000) / 1000e0 END AS threshold,
+        u.test_pr_auc - 0.03e0 AS low, u.test_pr_auc + CASE WHEN $H(86, u.run_id) % 23 = 0 THEN -0.01e0 ELSE 0.03e0 END AS high, CASE WHEN $H(87, u.run_id) % 19 = 0 THEN 20 WHEN u.budget_read = 'pilot' THEN 10 ELSE 100 END AS trials, CASE WHEN u.budget_read = 'pilot' THEN 3 ELSE 6 END AS n_classifiers,
+        u.cv_pr_auc + ($H(88, u.run_id) % 7 - 3) / 100e0 AS other_cv, CASE WHEN $H(88, u.run_id) % 7 > 3 AND $H(89, u.run_id) % 13 > 0 THEN 'lr (filter)' ELSE 'gbt (none)' END AS model_a FROM {usable_runs} u""", public=False)
+_RANGED = ("test_pr_auc", "cv_pr_auc", "test_auroc", "no_skill", "threshold")
+add("metric_ranges", " UNION ALL ".join(f"SELECT run_id, '{c}' AS metric, {c} AS value FROM {{run_metrics}} WHERE {c} IS NULL OR {c} < 0 OR {c} > 1" for c in _RANGED) + """ UNION ALL SELECT run_id, 'outside its interval', test_pr_auc FROM {run_metrics} WHERE low IS NOT NULL AND high IS NOT NULL AND NOT (low <= test_pr_auc AND test_pr_auc <= high)
+    UNION ALL SELECT run_id, 'not above no skill', test_pr_auc FROM {run_metrics} WHERE test_pr_auc <= no_skill""", "O-DB35",
+    oracle=f"""WITH u AS (UNPIVOT (SELECT run_id, {", ".join(f"coalesce({c}, -1e0) AS {c}" for c in _RANGED)} FROM {{run_metrics}}) ON {", ".join(_RANGED)} INTO NAME metric VALUE value)
+        SELECT run_id, metric, nullif(value, -1e0) AS value FROM u WHERE value NOT BETWEEN 0 AND 1 UNION ALL SELECT run_id, CASE WHEN k = 0 THEN 'outside its interval' ELSE 'not above no skill' END, test_pr_auc FROM {{run_metrics}}, (SELECT unnest([0, 1]) AS k) WHERE k = 0 AND test_pr_auc NOT BETWEEN low AND high OR k = 1 AND test_pr_auc <= no_skill""")
+add("budget_labels", "SELECT run_id, budget_read, trials, n_classifiers FROM {run_metrics} WHERE base <> 'gnn' AND NOT (trials = CASE WHEN budget_read = 'pilot' THEN 10 ELSE 100 END AND n_classifiers = CASE WHEN budget_read = 'pilot' THEN 3 ELSE 6 END)", "O-DB35",
+    oracle="SELECT run_id, budget_read, trials, n_classifiers FROM {run_metrics} WHERE base <> 'gnn' AND (budget_read, trials, n_classifiers) NOT IN (('pilot', 10, 3), ('full', 100, 6))")
+add("model_a_check", "SELECT run_id, model_a, CASE WHEN other_cv > cv_pr_auc THEN 'lr (filter)' WHEN other_cv < cv_pr_auc THEN 'gbt (none)' END AS best, NOT (other_cv > cv_pr_auc AND model_a = 'lr (filter)' OR other_cv < cv_pr_auc AND model_a = 'gbt (none)' OR other_cv = cv_pr_auc) AS wrong FROM {run_metrics}", "O-DB36",
+    oracle="""WITH t AS (SELECT run_id, model_a, unnest([struct_pack(name := 'gbt (none)', cv := cv_pr_auc), struct_pack(name := 'lr (filter)', cv := other_cv)]) AS m FROM {run_metrics}), b AS (SELECT run_id, any_value(model_a) AS model_a, list(m.name) FILTER (m.cv = top) AS names FROM (SELECT *, max(m.cv) OVER (PARTITION BY run_id) AS top FROM t) GROUP BY run_id)
+        SELECT run_id, model_a, CASE WHEN len(names) = 1 THEN names[1] END AS best, NOT list_contains(names, model_a) AS wrong FROM b""")
+add("verdicts_recomputed", "SELECT c.run_id, c.a, c.b, c.verdict AS stored, CASE WHEN d.least > 0 AND d.mean > coalesce(d.sd, 0e0) AND c.p < 0.05e0 THEN 'supported' WHEN d.mean > 0 THEN 'not distinguishable' ELSE 'worse' END AS again FROM {stored_contrasts} c JOIN (SELECT run_id, a, b, min(delta) AS least, avg(delta) AS mean, stddev_samp(delta) AS sd FROM {entry_deltas} GROUP BY run_id, a, b) d ON d.run_id = c.run_id AND d.a = c.a AND d.b = c.b", "O-DB36")
+add("deltas_in_runs", """
+    SELECT d.run_id, d.a, d.b, d.split, min(abs((y.test_pr_auc - x.test_pr_auc) - d.delta)) <= 1e-6 AS found FROM {entry_deltas} d JOIN {run_scores} x ON x.dataset = d.dataset AND x.budget_read = d.a_budget AND x.suffix = d.suffix AND x.base = d.a_base AND x.split = d.split
+    JOIN {run_scores} y ON y.dataset = d.dataset AND y.budget_read = d.b_budget AND y.suffix = d.suffix AND y.base = d.b_base AND y.split = d.split GROUP BY d.run_id, d.a, d.b, d.split""", public=False)
+add("contrasts_recomputed", """
+    SELECT 'model A by cross-validation' AS name, CAST(count(*) AS BIGINT) AS checked, CAST(sum(CASE WHEN wrong THEN 1 ELSE 0 END) AS BIGINT) AS problems FROM {model_a_check} UNION ALL SELECT 'verdicts follow the rule', CAST(count(*) AS BIGINT), CAST(sum(CASE WHEN stored <> again THEN 1 ELSE 0 END) AS BIGINT) FROM {verdicts_recomputed}
+    UNION ALL SELECT 'arithmetic', CAST(count(*) AS BIGINT), CAST(sum(CASE WHEN abs(s.mean - d.mean) > 1e-6 OR abs(s.sd - d.sd) > 1e-6 OR abs((s.pr_b - s.pr_a) - s.mean) > 1e-6 OR s.p < 0 OR s.p > 1 OR s.cv_folds <> 5 * s.n_splits THEN 1 ELSE 0 END) AS BIGINT)
+        FROM {stored_contrasts} s JOIN (SELECT run_id, a, b, avg(delta) AS mean, stddev_samp(delta) AS sd FROM {entry_deltas} GROUP BY run_id, a, b) d ON d.run_id = s.run_id AND d.a = s.a AND d.b = s.b
+    UNION ALL SELECT 'deltas of recorded runs', CAST(count(*) AS BIGINT), CAST(sum(CASE WHEN found THEN 0 ELSE 1 END) AS BIGINT) FROM {deltas_in_runs} UNION ALL SELECT 'replaced by no fewer splits', CAST(sum(replaced) AS BIGINT), CAST(sum(CASE WHEN replaced_splits > n_splits THEN 1 ELSE 0 END) AS BIGINT) FROM {current_contrasts}""", "O-DB36")
 add("frozen_test_set", "SELECT dataset, split, CAST(count(DISTINCT n_test) AS BIGINT) AS sizes, CAST(count(DISTINCT no_skill) AS BIGINT) AS rates FROM {usable_runs} GROUP BY dataset, split HAVING count(DISTINCT n_test) > 1 OR count(DISTINCT no_skill) > 1", "O-DB35")
-add("contrasts_recomputed", "SELECT c.dataset, c.budget_read, c.suffix, c.a, c.b, abs(c.mean - (y.test_mean - x.test_mean)) > 1e-4 AS differs FROM {all_contrasts} c JOIN {setup_summary} x ON x.dataset = c.dataset AND x.budget_read = c.budget_read AND x.suffix = c.suffix AND x.base = c.a JOIN {setup_summary} y ON y.dataset = c.dataset AND y.budget_read = c.budget_read AND y.suffix = c.suffix AND y.base = c.b", "O-DB36")
-add("run_all_checks", "SELECT name, bad = 0 AS ok, bad FROM (SELECT 'ranges' AS name, CAST(count(*) AS BIGINT) AS bad FROM {metric_ranges} UNION ALL SELECT 'frozen', CAST(count(*) AS BIGINT) FROM {frozen_test_set} UNION ALL SELECT 'duplicates', CAST(count(*) AS BIGINT) FROM {duplicate_runs} UNION ALL SELECT 'contrasts', CAST(sum(CASE WHEN differs THEN 1 ELSE 0 END) AS BIGINT) FROM {contrasts_recomputed}) c", "O-ST21 O-DB34")
+add("run_all_checks", """
+    SELECT name, bad = 0 AS ok, bad FROM (SELECT 'ranges' AS name, CAST(count(*) AS BIGINT) AS bad FROM {metric_ranges} UNION ALL SELECT 'frozen', CAST(count(*) AS BIGINT) FROM {frozen_test_set} UNION ALL SELECT 'duplicates', CAST(count(*) AS BIGINT) FROM {duplicate_runs} UNION ALL SELECT 'budget labels', CAST(count(*) AS BIGINT) FROM {budget_labels}
+    UNION ALL SELECT name, problems FROM {contrasts_recomputed}) c""", "O-ST21 O-DB34")
 add("report_rows", "SELECT budget_read, base, round(avg(test_mean), 7) AS mean, round(max(test_sd), 7) AS largest_sd FROM {setup_summary} GROUP BY budget_read, base", "O-DB37")
 add("scores_by_variant", "SELECT base, max(CASE WHEN suffix = '' THEN v END) AS plain, max(CASE WHEN suffix = 'no19' THEN v END) AS no19 FROM (SELECT base, suffix, max_by(test_mean, n * 10 + CASE WHEN dataset = 'first' THEN 1 ELSE 0 END + CASE WHEN budget_read = 'full' THEN 2 ELSE 0 END) AS v FROM {setup_summary} GROUP BY base, suffix) s GROUP BY base", "O-DB38")
-add("split_ranges", "SELECT dataset, base, min(split) AS low, max(split) AS high FROM (SELECT dataset, base, split, split - row_number() OVER (PARTITION BY dataset, base ORDER BY split) AS island FROM (SELECT DISTINCT dataset, base, split FROM {one_run} WHERE split <> 2) d) g GROUP BY dataset, base, island", "O-DB39")
+add("split_ranges", "SELECT dataset, base, min(split) AS low, max(split) AS high FROM (SELECT dataset, base, split, split - row_number() OVER (PARTITION BY dataset, base ORDER BY split) AS island FROM (SELECT DISTINCT dataset, base, split FROM {one_run}) d) g GROUP BY dataset, base, island", "O-DB39")
 add("display_names", "SELECT run_id, CASE WHEN dataset = 'first' THEN 'First' ELSE 'Second' END || ' ' || letter || CASE WHEN suffix = '' THEN '' ELSE ' without f19' END AS label, CASE WHEN test_pr_auc >= 0.7e0 THEN 'strong' ELSE 'weak' END AS outcome FROM {runs_table}", "O-ST22")
