@@ -39,7 +39,6 @@ add("rank_agreement", """
     FROM (SELECT sum(CASE WHEN (a.x - b.x) * (a.z - b.z) > 0 THEN 1 ELSE 0 END) AS concordant, sum(CASE WHEN (a.x - b.x) * (a.z - b.z) < 0 THEN 1 ELSE 0 END) AS discordant, sum(CASE WHEN a.x = b.x AND a.z <> b.z THEN 1 ELSE 0 END) AS tz, sum(CASE WHEN a.z = b.z AND a.x <> b.x THEN 1 ELSE 0 END) AS tx
         FROM {two_rankings} a JOIN {two_rankings} b ON a.name < b.name) c
     CROSS JOIN (SELECT sum(CASE WHEN rx <= 3 AND rz <= 3 THEN 1 ELSE 0 END) / $DBL(sum(CASE WHEN rx <= 3 OR rz <= 3 THEN 1 ELSE 0 END)) AS jaccard, CAST(max(CASE WHEN rx <= 3 THEN abs(rx - rz) END) AS BIGINT) AS largest_move, CAST(count(*) AS BIGINT) AS n_columns FROM {placed_rankings}) j""", "O-EX6 O-EX26")
-add("split_agreement", "SELECT a.b AS first_draw, b.b AS second_draw, round(corr($DBL(a.place), $DBL(b.place)), 6) AS spearman FROM {drawn_ranks} a JOIN {drawn_ranks} b ON b.name = a.name AND a.b < b.b GROUP BY a.b, b.b", "O-EX23")
 add("margins", "SELECT node_id, round(sum(phi), 6) AS margin FROM {attributions} GROUP BY node_id", public=False)
 add("additivity", """
     SELECT e.error, 1e-4 * greatest(1e0, m.largest) AS tolerance FROM (SELECT abs(m.margin - a.total) AS error FROM {margins} m JOIN (SELECT node_id, sum(total) AS total FROM {summed_by_group} GROUP BY node_id) a ON a.node_id = m.node_id) e
@@ -79,7 +78,6 @@ add("roar_summary", "SELECT kind, name, k, round(avg(fall), 6) AS mean_drop, rou
 add("roar_top_or_random", """
     SELECT t.k, t.mean_drop AS top_k_drop, r.mean_drop AS random_drop, round(t.mean_drop - r.mean_drop, 6) AS gap, t.mean_drop > r.mean_drop AS top_k_hurts_more
     FROM {roar_summary} t JOIN {roar_summary} r ON r.k = t.k WHERE t.kind = 'top_k' AND r.kind = 'random'""", "O-EX18 O-EX24")
-add("rank_recurrence", "SELECT name, CAST(sum(CASE WHEN place <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS in_top, round(avg($DBL(place)), 6) AS mean_rank, CAST(min(place) AS BIGINT) AS best, CAST(max(place) AS BIGINT) AS worst FROM {drawn_ranks} GROUP BY name", "O-EX22")
 add("vectors", "SELECT node_id, max(CASE WHEN name = 'own__f01' THEN phi END) AS a, max(CASE WHEN name = 'own__f02' THEN phi END) AS b, max(CASE WHEN name = 'own__f04' THEN phi END) AS c FROM {attributions} GROUP BY node_id", public=False)
 add("knn_cards", "SELECT node_id, near, place FROM (SELECT q.node_id, v.node_id AS near, row_number() OVER (PARTITION BY q.node_id ORDER BY round((q.a - v.a) * (q.a - v.a) + (q.b - v.b) * (q.b - v.b) + (q.c - v.c) * (q.c - v.c), 5), v.node_id) AS place FROM (SELECT * FROM {vectors} WHERE node_id % 20 = 0) q JOIN {vectors} v ON v.node_id <> q.node_id) n WHERE place <= 5", "O-EX29 O-DQ4")
 add("contribution_cards", "SELECT node_id, $JOIN(CASE WHEN rn <= 3 THEN name END, rn) AS top, round(sum(CASE WHEN rn > 3 THEN phi ELSE 0e0 END), 6) AS rest FROM (SELECT node_id, name, phi, row_number() OVER (PARTITION BY node_id ORDER BY abs(phi) DESC, name) AS rn FROM {attributions}) r GROUP BY node_id", "O-DQ4 O-EX29")
@@ -96,3 +94,21 @@ add("attention_top_edges", "SELECT relation, target, neighbour, place FROM (SELE
 add("attention_checks", "SELECT e.relation, CAST(count(*) AS BIGINT) AS targets, CAST(sum(CASE WHEN abs(total - 1e0) > 1e-5 THEN 1 ELSE 0 END) AS BIGINT) AS sum_off, CAST(sum(CASE WHEN e.n <> d.degree THEN 1 ELSE 0 END) AS BIGINT) AS lists_short FROM (SELECT relation, target, sum(alpha) AS total, count(*) AS n FROM {attention_edges} GROUP BY relation, target) e LEFT JOIN {degree_by_relation} d ON d.relation = e.relation AND d.node_id = e.target GROUP BY e.relation", "O-DQ3")
 add("influence_checks", "SELECT 'target not in test' AS problem, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT target FROM {influence}) t LEFT JOIN {test_scores} s ON s.node_id = t.target WHERE s.node_id IS NULL UNION ALL SELECT 'no such edge', CAST(count(*) AS BIGINT) FROM {influence} i LEFT JOIN {adjacency_directed} a ON a.relation = i.relation AND a.node_id = i.target AND a.nb = i.neighbour WHERE a.node_id IS NULL", "O-DQ5")
 add("classify_card", "SELECT t.node_id, CASE WHEN pa >= 0.5e0 AND y = 1 THEN 'caught' WHEN pa >= 0.5e0 THEN 'false alarm' WHEN y = 1 THEN 'missed' ELSE 'passed' END AS outcome, f.names, coalesce(d.degree, 0) AS degree FROM {test_scores} t JOIN {top_features_ecdf} f ON f.node_id = t.node_id LEFT JOIN {degree_by_relation} d ON d.node_id = t.node_id AND d.relation = 'cns' ORDER BY $H(111, t.node_id), t.node_id LIMIT 20", "O-DQ6 O-ST13")
+
+# What survives refitting, from the importance of each column in each fit (fit, name, importance): given as the input `fit_importance`.
+TOP = 10
+add("fit_ranks", "SELECT fit, name, importance, rank() OVER (PARTITION BY fit ORDER BY importance DESC) + (count(*) OVER (PARTITION BY fit, importance) - 1) / 2e0 AS place FROM {fit_importance}", public=False)
+add("refit_recurrence", f"""
+    SELECT name, CAST(sum(CASE WHEN place <= {TOP} THEN 1 ELSE 0 END) AS BIGINT) AS fits_in_top, CAST(count(*) AS BIGINT) AS n_fits, round(avg(place), 6) AS mean_rank, min(place) AS best_rank, max(place) AS worst_rank
+    FROM {{fit_ranks}} GROUP BY name HAVING sum(CASE WHEN place <= {TOP} THEN 1 ELSE 0 END) > 0""", "O-EX22", public=False)
+add("fit_shares", """
+    SELECT i.fit, CASE WHEN name LIKE 'own\\_\\_%' THEN 'own' WHEN name LIKE '%log1p\\_degree' THEN 'degree' ELSE 'nbr' END AS player, sum(i.importance) / max(t.total) AS share
+    FROM {fit_importance} i JOIN (SELECT fit, sum(importance) AS total FROM {fit_importance} GROUP BY fit) t ON t.fit = i.fit GROUP BY i.fit, CASE WHEN name LIKE 'own\\_\\_%' THEN 'own' WHEN name LIKE '%log1p\\_degree' THEN 'degree' ELSE 'nbr' END""".replace(r"LIKE 'own\\_\\_%'", "LIKE 'own%'").replace(r"LIKE '%log1p\\_degree'", "LIKE '%log1p%'"), public=False)
+add("block_share_across_fits", "SELECT player, round(min(share), 6) AS min_share, round(max(share), 6) AS max_share, CAST(count(*) AS BIGINT) AS n_fits FROM {fit_shares} GROUP BY player", "O-EX22", public=False)
+# Agreement of each pair of fits: Spearman and Kendall of all columns, and of the TOP first ones their overlap and the largest move.
+add("fit_agreement", f"""
+    SELECT s.a, s.b, round(s.spearman, 6) AS spearman, round(k.tau, 6) AS kendall, round(s.overlap, 6) AS top_overlap, s.largest_move FROM (
+        SELECT x.fit AS a, y.fit AS b, corr(x.place, y.place) AS spearman, sum(CASE WHEN x.place <= {TOP} AND y.place <= {TOP} THEN 1 ELSE 0 END) / nullif($DBL(sum(CASE WHEN x.place <= {TOP} OR y.place <= {TOP} THEN 1 ELSE 0 END)), 0) AS overlap, max(CASE WHEN x.place <= {TOP} THEN abs(x.place - y.place) END) AS largest_move
+        FROM {{fit_ranks}} x JOIN {{fit_ranks}} y ON y.name = x.name AND x.fit < y.fit GROUP BY x.fit, y.fit) s
+    JOIN (SELECT a, b, sum(sx * sy) / nullif(sqrt($DBL(sum(sx * sx)) * sum(sy * sy)), 0) AS tau FROM (
+        SELECT x.fit AS a, y.fit AS b, sign(x.place - u.place) AS sx, sign(y.place - v.place) AS sy FROM {{fit_ranks}} x JOIN {{fit_ranks}} u ON u.fit = x.fit AND u.name < x.name JOIN {{fit_ranks}} y ON y.name = x.name AND x.fit < y.fit JOIN {{fit_ranks}} v ON v.fit = y.fit AND v.name = u.name) p GROUP BY a, b) k ON k.a = s.a AND k.b = s.b""", "O-EX23 O-EX26", public=False)

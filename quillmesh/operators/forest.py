@@ -169,9 +169,9 @@ def _coalitions(k: int, out: list[int]) -> Iterator[tuple[np.ndarray, float]]:
             yield mask, math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least_hessian: float = 1.0, weight: np.ndarray | None = None, share: float = 1.0) -> Forest:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least_hessian: float = 1.0, weight: np.ndarray | None = None, share: float = 1.0, seed: int = 13) -> Forest:
     """A forest for labels y in {0, 1}. Without rows, or with one label, it is the smoothed share of label 1. With share < 1 the splits of
-    each tree are chosen on that share of the rows, another one each time; its leaves and covers are those of all rows."""
+    each tree are chosen on that share of the rows, another one each time and for each seed; its leaves and covers are those of all rows."""
     y = y.astype(float)
     w = np.ones(len(y)) if weight is None else weight.astype(float)
     share = ((w * y).sum() + 0.5) / (w.sum() + 1)
@@ -191,7 +191,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
         p = 1 / (1 + np.exp(-margin))
         g, h = w * (p - y), w * p * (1 - p)
         node = np.zeros(len(y), np.int64)
-        some = np.flatnonzero(np.random.default_rng([13, t]).random(len(y)) < share) if share < 1 else slice(None)
+        some = np.flatnonzero(np.random.default_rng([seed, t]).random(len(y)) < share) if share < 1 else slice(None)
         seen, gs, hs = binned[:, some], g[some], h[some]
         out.cover[t, 0] = w.sum()
         for level in range(depth):

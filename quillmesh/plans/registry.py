@@ -15,7 +15,7 @@ import quillmesh.operators.explain
 import quillmesh.operators.graph
 import quillmesh.operators.metrics
 import quillmesh.operators.resultsdb  # noqa: F401  these define the templates
-from quillmesh.operators import attention, attributions, encoders, forest, infomax, models, networks
+from quillmesh.operators import attention, attributions, encoders, forest, infomax, models, networks, refits
 from quillmesh.plans.dialect import LIBRARY
 from quillmesh.sources import files
 from quillmesh.storage import run_dir, table, written
@@ -210,6 +210,65 @@ def counterfactual_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributions.counterfactuals(test, columns, model, attributions.background_of(train, columns), _influence(made))
 
 
+def near_best_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings within one standard deviation of the best, by scores over the saved folds."""
+    train, _, columns, *_ = _explained(spark, sf_dir)
+    return refits.near_best(written(refits.settings_scores(train, columns), "settings-scores"))
+
+
+def _fits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Importance of each column in the best setting's fits with three seeds and in those of the near-best settings."""
+    train, test, columns, *_ = _explained(spark, sf_dir)
+    chosen = refits.near_best(written(refits.settings_scores(train, columns), "settings-scores")).orderBy("setting").collect()
+    names = [(f"seed {k}", refits.GRID[r.setting], k, -1) for r in chosen if r.role == "best" for k in (1, 2, 3)] + [(f"setting {r.setting}", refits.GRID[r.setting], 13, -1) for r in chosen if r.role == "near"]
+    made = refits.importance_by_fit(test, columns, refits.fitted(train, columns, names), attributions.background_of(train, columns))
+    return {"fit_importance": written(made, "fit-importance")}
+
+
+def refit_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many fits have each column among their first ten, and its mean rank."""
+    return LIBRARY.apply(spark, "refit_recurrence", lambda t: table(spark, sf_dir, t), _fits(spark, sf_dir))
+
+
+def block_share_across_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and largest share of each block in a fit's attributions."""
+    return LIBRARY.apply(spark, "block_share_across_fits", lambda t: table(spark, sf_dir, t), _fits(spark, sf_dir))
+
+
+def refit_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of each pair of refits."""
+    return LIBRARY.apply(spark, "fit_agreement", lambda t: table(spark, sf_dir, t), _fits(spark, sf_dir))
+
+
+def split_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of each pair of fits that leave out one saved fold."""
+    train, test, columns, *_ = _explained(spark, sf_dir)
+    folds = sorted(r.fold for r in train.select("fold").distinct().collect())
+    made = refits.importance_by_fit(test, columns, refits.fitted(train, columns, [(f"split {k}", refits.Settings(), 13, int(k)) for k in folds]), attributions.background_of(train, columns))
+    return LIBRARY.apply(spark, "fit_agreement", lambda t: table(spark, sf_dir, t), {"fit_importance": written(made, "split-importance")})
+
+
+def null_graph_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the probe on own features alone, with degrees, with neighbour means, and with means over degree-keeping rewired graphs
+    of several seeds: what of a gain is degree, what are columns of a random graph, what is structure."""
+    own, near, degrees, nodes, edges = _get(spark, sf_dir, "own_block", "nbr_block", "deg_block", "split_nodes", "edges_canonical")
+    own, edges = written(own, "own"), written(edges, "edges")
+    train = written(nodes.where("split = 'train'").select("node_id", "label", F.col("cv_fold").alias("fold")), "train")
+    parts = [("own", None, None, None), ("own_deg", degrees, None, None), ("own_nbr", near, None, None)]
+    for seed in range(REWIRE_SEEDS):
+        after = models.swap_rewire(edges, swaps_per_edge=REWIRE_SWAPS, seed=3 + 100 * seed)[0]
+        kept = edges.join(after, ["relation", "src", "dst"], "left_semi").count() / max(edges.count(), 1)
+        parts.append(("own_nbr_rewired", LIBRARY.apply(spark, "nbr_block", None, {"own_block": own, "edges_canonical": after}), 3 + 100 * seed, round(kept, 6)))
+    out = None
+    for name, block, seed, kept in parts:
+        wide = own if block is None else own.join(block, "node_id")
+        columns = wide.columns[1:]
+        scored = models.probe(written(wide.join(train, "node_id"), "probe"), columns)
+        row = scored.agg(F.lit(name).alias("block"), F.lit(seed).cast("int").alias("rewire_seed"), F.lit(len(columns)).alias("n_features"), F.round(F.avg("ap"), 6).alias("cv_pr_auc_mean"), F.round(F.stddev_samp("ap"), 6).alias("cv_pr_auc_sd"), F.lit(kept).cast("double").alias("edges_kept"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def sign_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     hops, nodes = _get(spark, sf_dir, "sign_hops", "split_nodes")
     wide = hops.groupBy("node_id").pivot("relation", ["cdp", "cns", "cpm"]).agg(*[F.first(f"h{k}_f0{i}").alias(f"h{k}_f0{i}") for k in range(3) for i in range(7)])
@@ -356,6 +415,8 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.file_digests(spark, f"{sf_dir}/nation.parquet").unionByName(files.file_digests(spark, f"{sf_dir}/region.parquet"))
 
 
+#: Rewired graphs of the null-graph probe, and swaps tried for each edge.
+REWIRE_SEEDS, REWIRE_SWAPS = 2, 2.0
 #: Background rows of block Shapley values, which ask the model for each of them in each coalition.
 GROUP_BACKGROUND = 16
 #: Places of the embeddings in `raw_block`: all of them, named here as its oracle has to list them.
@@ -366,6 +427,7 @@ CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, roar_top_or_random, tree_shapley,
         interventional_shapley, interactions, group_shapley, forest_influence, neighbour_shapley, counterfactual_cards,
+        near_best_settings, refit_recurrence, block_share_across_fits, refit_agreement, split_agreement, null_graph_probe,
         sign_mlp, rel_sage, rel_sage_deep, network_trials, dgi_embeddings, gat_scores, gat_attention, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
         results_sink, edges_sink, changed_tables,
     )

@@ -238,8 +238,6 @@ def test_whole_graph_and_log_are_read(spark):
     block = spark.createDataFrame([(i, *[1.0 if c == "nbr__cpm_mean_f01" else math.log(2) if c == "nbr__cpm_log1p_degree" else 0.0 for c in near]) for i in range(20)], "node_id long, " + ", ".join(f"{c} double" for c in near))
     sums = spark.createDataFrame([(i, "cpm", 1, *[1.0 + (i == 4) if j == 1 else 0.0 for j in range(7)]) for i in range(20)], "node_id long, relation string, degree long, " + ", ".join(f"mean_f0{i} double" for i in range(7)))
     assert {r.node_id: r.same for r in apply(spark, "layout_check", nbr_block=block, neighbour_sums=sums).collect()} == {i: i != 4 for i in range(20)}
-    ranks = spark.createDataFrame([(b, n, p) for b in range(9) for p, n in enumerate("xyz")], "b long, name string, place int")
-    assert apply(spark, "split_agreement", drawn_ranks=ranks).count() == 36
     log = spark.range(5000).selectExpr("id AS event_id", "'e' AS event_type")
     want, section = {}, None
     for i in range(5000):
