@@ -182,9 +182,9 @@ add("all_node_matrix", """
     SELECT o.node_id, o.own__f01, b.nbr__cpm_mean_f01, b.nbr__cpm_log1p_degree, CASE WHEN abs(o.own__f05 - 1e0) <= 1e-9 THEN 1 ELSE 0 END AS "own__f05_1", CASE WHEN abs(o.own__f05 - 2e0) <= 1e-9 THEN 1 ELSE 0 END AS "own__f05_2"
     FROM {own_block} o JOIN {nbr_block} b ON b.node_id = o.node_id""".replace('"own__f05_1"', "own__f05_1").replace('"own__f05_2"', "own__f05_2"), "O-FT12")
 add("ego_network", """
-    SELECT e.relation, e.node_id, e.nb, e.degree, round(e.train_fraud, 6) AS train_fraud, e.kind FROM (
-        SELECT a.relation, a.node_id, a.nb, count(*) OVER (PARTITION BY a.relation, a.node_id) AS degree, avg(CASE WHEN s.split = 'train' THEN $DBL(s.label) END) OVER (PARTITION BY a.relation, a.node_id) AS train_fraud,
-            CASE WHEN s.split = 'train' AND s.label = 1 THEN 'train fraud' WHEN s.split = 'train' THEN 'train benign' ELSE s.split END AS kind, row_number() OVER (PARTITION BY a.relation, a.node_id ORDER BY $H(41, a.nb), a.nb) AS rn
+    SELECT e.relation, e.node_id, e.nb, e.degree, CAST(e.n_train AS BIGINT) AS n_train, round(e.train_fraud, 6) AS train_fraud, e.kind FROM (
+        SELECT a.relation, a.node_id, a.nb, count(*) OVER (PARTITION BY a.relation, a.node_id) AS degree, sum(CASE WHEN s.split = 'train' THEN 1 ELSE 0 END) OVER (PARTITION BY a.relation, a.node_id) AS n_train, avg(CASE WHEN s.split = 'train' THEN $DBL(s.label) END) OVER (PARTITION BY a.relation, a.node_id) AS train_fraud,
+            CASE WHEN s.split = 'train' AND s.label = 1 THEN 'train fraud' WHEN s.split = 'train' THEN 'train benign' ELSE s.split END AS kind, row_number() OVER (PARTITION BY a.relation, a.node_id ORDER BY $H(41, a.relation, a.node_id, a.nb), a.nb) AS rn
         FROM {adjacency_directed} a JOIN {split_nodes} s ON s.node_id = a.nb) e WHERE e.rn <= 12""", "O-GR19 O-ST13")
 add("ego_links", """
     SELECT a.relation, a.node_id, a.nb AS first_nb, b.nb AS second_nb FROM {ego_network} a JOIN {edges_canonical} e ON e.relation = a.relation AND e.src = a.nb

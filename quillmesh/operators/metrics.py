@@ -114,14 +114,23 @@ add("inferred_types", """
     SELECT coalesce(a.name, b.name) AS name, a.kind AS ours, b.kind AS theirs, CASE WHEN a.name IS NULL THEN 'extra' WHEN b.name IS NULL THEN 'dropped' WHEN a.kind = b.kind THEN 'same' ELSE 'differs' END AS verdict
     FROM {column_spec} a FULL OUTER JOIN (SELECT CASE WHEN name = 'own__f06' THEN 'own__f99' ELSE name END AS name, CASE WHEN kind = 'ordinal' THEN 'continuous' ELSE kind END AS kind FROM {column_spec}) b ON b.name = a.name""", "O-AU15")
 add("log_lines", """
-    SELECT event_id AS line, CASE WHEN event_id % 40 = 0 THEN 'Tuning ' || event_type WHEN event_id % 7 = 3 THEN CAST(event_id % 100 AS VARCHAR(10)) || '/100 trials' WHEN event_id % 39 = 11 THEN 'stopped: no gain' ELSE 'noise' END AS text
+    SELECT event_id AS line, CASE WHEN event_id % 40 = 5 THEN 'Tuning ' || event_type || ' with selection s' || CAST(event_id % 3 AS VARCHAR(4)) WHEN event_id % 40 > 30 AND event_id % 80 > 40 THEN 'noise' WHEN event_id % 7 = 3 THEN CAST($H(47, event_id) % 101 AS VARCHAR(10)) || '/100 trials in ' || CAST($H(48, event_id) % 601 AS VARCHAR(10)) || ' of 600 s' ELSE 'noise' END AS text
     FROM {events}""", public=False)
 add("log_ranges", "SELECT b, max(last) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM (SELECT CAST(floor(line / 1024e0) AS BIGINT) AS b, max(CASE WHEN text LIKE 'Tuning %' THEN line END) AS last FROM {log_lines} GROUP BY CAST(floor(line / 1024e0) AS BIGINT)) r", public=False)
+add("log_sections", """
+    SELECT l.line, l.text, coalesce(max(CASE WHEN l.text LIKE 'Tuning %' THEN l.line END) OVER (PARTITION BY r.b ORDER BY l.line), r.earlier) AS section FROM {log_lines} l JOIN {log_ranges} r ON r.b = CAST(floor(l.line / 1024e0) AS BIGINT)""", public=False)
+add("log_progress", """
+    SELECT section, done, asked, elapsed, time_limit FROM (SELECT section, done, asked, elapsed, time_limit, row_number() OVER (PARTITION BY section ORDER BY done DESC, line DESC) AS rn FROM (
+        SELECT section, line, CAST(split_part(split_part(text, ' ', 1), '/', 1) AS BIGINT) AS done, CAST(split_part(split_part(text, ' ', 1), '/', 2) AS BIGINT) AS asked, CAST(split_part(text, ' ', 4) AS BIGINT) AS elapsed, CAST(split_part(text, ' ', 6) AS BIGINT) AS time_limit FROM {log_sections} WHERE section IS NOT NULL AND text LIKE '%/% trials in % of % s') p) q WHERE rn = 1""", public=False)
 add("tuning_budget_log", """
-    SELECT section, max_by(trials, CASE WHEN trials IS NOT NULL THEN line ELSE -1 END) AS trials, bool_and(NOT stopped) AS ran_out, CAST(count(*) AS BIGINT) AS lines_found FROM (
-        SELECT l.line, coalesce(max(CASE WHEN l.text LIKE 'Tuning %' THEN l.line END) OVER (PARTITION BY r.b ORDER BY l.line), r.earlier) AS section, CASE WHEN l.text LIKE '%/100 trials' THEN CAST(split_part(l.text, '/', 1) AS BIGINT) END AS trials, l.text LIKE 'stopped%' AS stopped FROM {log_lines} l JOIN {log_ranges} r ON r.b = CAST(floor(l.line / 1024e0) AS BIGINT)) s
-    WHERE trials IS NOT NULL OR stopped GROUP BY section""", "O-AU16")
-
+    SELECT h.line AS section, split_part(h.text, ' ', 2) AS model, split_part(h.text, ' ', 5) AS selection, p.done AS trials_completed, p.asked AS trials_requested, p.elapsed AS elapsed_s, p.time_limit AS time_limit_s,
+        CASE WHEN p.section IS NULL THEN 'unknown' WHEN p.done >= p.asked THEN 'all trials' WHEN p.elapsed >= 0.98e0 * p.time_limit THEN 'time limit' ELSE 'early stop' END AS stopped_by
+    FROM (SELECT line, text FROM {log_lines} WHERE text LIKE 'Tuning %') h LEFT JOIN {log_progress} p ON p.section = h.line""", "O-AU16",
+    oracle="""WITH heads AS (SELECT line, text, lead(line) OVER (ORDER BY line) AS upto FROM {log_lines} WHERE starts_with(text, 'Tuning ')),
+        seen AS (SELECT h.line AS section, list(struct_pack(done := CAST(regexp_extract(l.text, '^(\\d+)/', 1) AS BIGINT), line := l.line, asked := CAST(regexp_extract(l.text, '/(\\d+) ', 1) AS BIGINT), elapsed := CAST(regexp_extract(l.text, 'in (\\d+) of', 1) AS BIGINT), budget := CAST(regexp_extract(l.text, 'of (\\d+) s', 1) AS BIGINT))) AS every
+            FROM heads h JOIN {log_lines} l ON l.line > h.line AND (h.upto IS NULL OR l.line < h.upto) AND regexp_matches(l.text, '^\\d+/\\d+ trials') GROUP BY h.line), last AS (SELECT section, list_last(list_sort(every)) AS p FROM seen)
+        SELECT h.line AS section, regexp_extract(h.text, 'Tuning (\\S+)', 1) AS model, regexp_extract(h.text, 'selection (\\S+)', 1) AS selection, p.done AS trials_completed, p.asked AS trials_requested, p.elapsed AS elapsed_s, p.budget AS time_limit_s,
+            CASE WHEN p IS NULL THEN 'unknown' WHEN p.done >= p.asked THEN 'all trials' WHEN p.elapsed >= 0.98e0 * p.budget THEN 'time limit' ELSE 'early stop' END AS stopped_by FROM heads h LEFT JOIN last ON last.section = h.line""".replace("\\\\", "\\"))
 # Ranking metrics
 
 _CURVE = "sum(p) OVER (PARTITION BY {k} ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY {k} ORDER BY s DESC) AS taken, sum(p) OVER (PARTITION BY {k}) AS pos, sum(n) OVER (PARTITION BY {k}) AS total"
@@ -171,6 +180,18 @@ for _score in ("pa", "pb"):
     add(f"draw_ap_{_score}", f"SELECT b, sum(p / $DBL(pos) * (tp / $DBL(taken))) AS ap FROM {{drawn_{_score}}} WHERE pos > 0 AND pos < total GROUP BY b", public=False)
 add("group_bootstrap", "SELECT CAST(count(*) AS BIGINT) AS kept, round($Q(ap, 0.025), 7) AS low, round($Q(ap, 0.975), 7) AS high, round(avg(ap), 7) AS mean FROM {draw_ap_pa}", "O-EV5 O-EV8")
 add("paired_bootstrap", "SELECT CAST(count(*) AS BIGINT) AS kept, round($Q(b.ap - a.ap, 0.025), 7) AS low, round($Q(b.ap - a.ap, 0.975), 7) AS high, round(avg(CASE WHEN b.ap > a.ap THEN 1e0 ELSE 0e0 END), 7) AS better FROM {draw_ap_pa} a JOIN {draw_ap_pb} b ON b.b = a.b", "O-EV5 O-EV8")
+for _score in ("pa", "pb"):
+    add(f"draw_auroc_{_score}", f"SELECT b, sum(p * ((total - pos) - (taken - tp) + 0.5e0 * (n - p))) / ($DBL(max(pos)) * (max(total) - max(pos))) AS auroc FROM {{drawn_{_score}}} WHERE pos > 0 AND pos < total GROUP BY b", public=False)
+add("auroc_bootstrap", "SELECT CAST(count(*) AS BIGINT) AS kept, round($Q(auroc, 0.025), 7) AS low, round($Q(auroc, 0.975), 7) AS high, round(avg(auroc), 7) AS mean FROM {draw_auroc_pa}", "O-EV8",
+    oracle="""WITH one AS (SELECT d.b, sum(d.times * t.p) AS pos, sum(d.times * (t.n - t.p)) AS neg, list(struct_pack(s := t.s, p := d.times * t.p, q := d.times * (t.n - t.p))) AS every FROM {draws} d JOIN (SELECT group_id, pa AS s, count(*) AS n, sum(y) AS p FROM {test_scores} GROUP BY group_id, pa) t ON t.group_id = d.group_id GROUP BY d.b),
+        flat AS (SELECT b, pos, neg, unnest(every) AS e FROM one WHERE pos > 0 AND neg > 0), sums AS (SELECT b, any_value(pos) AS pos, any_value(neg) AS neg, e.s AS s, sum(e.p) AS p, sum(e.q) AS q FROM flat GROUP BY b, e.s),
+        a AS (SELECT b, sum(p * (below + q / 2)) / any_value($DBL(pos) * neg) AS auroc FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM sums) GROUP BY b)
+        SELECT CAST(count(*) AS BIGINT) AS kept, round($Q(auroc, 0.025), 7) AS low, round($Q(auroc, 0.975), 7) AS high, round(avg(auroc), 7) AS mean FROM a""")
+add("paired_auroc_bootstrap", "SELECT CAST(count(*) AS BIGINT) AS kept, round($Q(b.auroc - a.auroc, 0.025), 7) AS low, round($Q(b.auroc - a.auroc, 0.975), 7) AS high, round(avg(CASE WHEN b.auroc > a.auroc THEN 1e0 ELSE 0e0 END), 7) AS better FROM {draw_auroc_pa} a JOIN {draw_auroc_pb} b ON b.b = a.b", "O-EV8")
+# All that a comparison shows of one side: intervals of both metrics, recall among as many as there are positives, counts at its threshold.
+add("side_metrics", f"""
+    SELECT a.low AS pr_auc_low, a.high AS pr_auc_high, u.low AS auroc_low, u.high AS auroc_high, r.k, r.recall AS recall_at_k, h.threshold, c.tp, c.fp, c.fn, c.tn, c.tp + c.fp AS n_flagged, {_FROM.replace("recall,", "recall_at_threshold,").replace("AS recall_at_threshold", "AS recall")}
+    FROM {{group_bootstrap}} a CROSS JOIN {{auroc_bootstrap}} u CROSS JOIN {{recall_at_k}} r CROSS JOIN {{f1_threshold}} h CROSS JOIN (SELECT {_confusion('t.pa', 'h.threshold')} FROM {{test_scores}} t CROSS JOIN {{f1_threshold}} h) c""", "O-EV8")
 add("sanity_band", "SELECT model, settings, fold, ap, CASE WHEN ap < 0.35e0 - 0.05e0 THEN 'below the band' ELSE 'ok' END AS verdict FROM {average_precision}", "O-EV6 O-ST8")
 add_ranks("score_places", "test_scores", "node_id, y", "CAST(floor(-pa * 4096e0) AS BIGINT)", "pa DESC, node_id")
 add("recall_at_k", """

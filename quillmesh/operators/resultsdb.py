@@ -148,12 +148,22 @@ add("cross_dataset", """
     LEFT JOIN {graph_gain} g ON g.dataset = 'first' AND g.budget_read = x.budget_read AND g.b = x.base LEFT JOIN {graph_gain} h ON h.dataset = 'second' AND h.budget_read = x.budget_read AND h.b = x.base
     WHERE x.dataset = 'first' AND x.suffix = ''""", "O-DB29")
 add("overview", """
-    SELECT 'entries' AS what, 'all' AS value, CAST(count(*) AS BIGINT) AS n FROM {meta} UNION ALL SELECT 'kind', kind, CAST(count(*) AS BIGINT) FROM {meta} GROUP BY kind UNION ALL SELECT 'device', device, CAST(count(*) AS BIGINT) FROM {meta} GROUP BY device
-    UNION ALL SELECT 'runs', 'usable', CAST(count(*) AS BIGINT) FROM {usable_runs} UNION ALL SELECT 'budget', budget_read, CAST(count(*) AS BIGINT) FROM {usable_runs} GROUP BY budget_read UNION ALL SELECT 'dataset', dataset, CAST(count(*) AS BIGINT) FROM {usable_runs} GROUP BY dataset""", "O-DB30")
+    SELECT 'entries' AS what, 'all' AS value, CAST(count(*) AS BIGINT) AS n FROM {meta} UNION ALL SELECT 'kind', kind, CAST(count(*) AS BIGINT) FROM {meta} GROUP BY kind
+    UNION ALL SELECT 'runs', 'usable', CAST(count(*) AS BIGINT) FROM {usable_runs} UNION ALL SELECT 'budget', budget_read, CAST(count(*) AS BIGINT) FROM {usable_runs} GROUP BY budget_read UNION ALL SELECT 'dataset', dataset, CAST(count(*) AS BIGINT) FROM {usable_runs} GROUP BY dataset
+    UNION ALL SELECT 'device', m.device || ' ' || u.budget_read, CAST(count(*) AS BIGINT) FROM {usable_runs} u JOIN {meta} m ON m.run_id = u.run_id GROUP BY m.device, u.budget_read UNION ALL SELECT 'seed', seed, CAST(count(*) AS BIGINT) FROM (SELECT CAST(split * 100 AS VARCHAR(9)) AS seed FROM {meta} WHERE kind = 'pipeline') s GROUP BY seed
+    UNION ALL SELECT 'started', 'first', min(started) FROM {usable_runs} UNION ALL SELECT 'started', 'last', max(started) FROM {usable_runs}
+    UNION ALL SELECT 'runs', 'replications', CAST(count(*) AS BIGINT) FROM {replications} p JOIN {runs_table} r ON r.run_id = p.run_id WHERE p.replication AND r.status = 'ok'
+    UNION ALL SELECT 'full split', dataset || ' ' || CAST(split AS VARCHAR(4)), CAST(count(*) AS BIGINT) FROM {usable_runs} WHERE budget_read = 'full' GROUP BY dataset, split""", "O-DB30")
 add("failed_entries", "SELECT run_id, status, kind FROM {meta} WHERE status <> 'ok'", "O-DB31")
+# Every setup and variant at both budgets is in the plan; what has no run there is listed as not run.
+add("planned_sets", "SELECT d.dataset, d.suffix, b.budget_read, s.base FROM (SELECT DISTINCT dataset, suffix FROM {usable_runs}) d CROSS JOIN (SELECT DISTINCT budget_read FROM {usable_runs}) b CROSS JOIN {setups} s", public=False)
 add("coverage", """
-    SELECT c.dataset, c.suffix, c.budget_read, c.base, c.splits, max(c.splits) OVER (PARTITION BY c.dataset, c.budget_read) AS most, c.splits < max(c.splits) OVER (PARTITION BY c.dataset, c.budget_read) AS short
-    FROM (SELECT dataset, suffix, budget_read, base, CAST(count(DISTINCT split) AS BIGINT) AS splits FROM {usable_runs} GROUP BY dataset, suffix, budget_read, base) c""", "O-DB32")
+    SELECT p.dataset, p.suffix, p.budget_read, p.base, coalesce(c.splits, 0) AS splits, t.most, CASE WHEN c.splits IS NULL THEN 'not run' WHEN c.splits < t.most THEN 'fewer splits' ELSE 'complete' END AS state
+    FROM {planned_sets} p LEFT JOIN (SELECT dataset, suffix, budget_read, base, CAST(count(DISTINCT split) AS BIGINT) AS splits FROM {usable_runs} GROUP BY dataset, suffix, budget_read, base) c ON c.dataset = p.dataset AND c.suffix = p.suffix AND c.budget_read = p.budget_read AND c.base = p.base
+    LEFT JOIN (SELECT dataset, budget_read, max(n) AS most FROM (SELECT dataset, budget_read, suffix, base, CAST(count(DISTINCT split) AS BIGINT) AS n FROM {usable_runs} GROUP BY dataset, budget_read, suffix, base) g GROUP BY dataset, budget_read) t ON t.dataset = p.dataset AND t.budget_read = p.budget_read""", "O-DB32",
+    oracle="""WITH have AS (SELECT dataset, suffix, budget_read, base, len(list_distinct(list(split))) AS n FROM {usable_runs} GROUP BY ALL)
+        SELECT p.dataset, p.suffix, p.budget_read, p.base, CAST(coalesce(h.n, 0) AS BIGINT) AS splits, CAST((SELECT max(n) FROM have x WHERE x.dataset = p.dataset AND x.budget_read = p.budget_read) AS BIGINT) AS most,
+            CASE WHEN h.n IS NULL THEN 'not run' WHEN h.n < (SELECT max(n) FROM have x WHERE x.dataset = p.dataset AND x.budget_read = p.budget_read) THEN 'fewer splits' ELSE 'complete' END AS state FROM {planned_sets} p LEFT JOIN have h USING (dataset, suffix, budget_read, base)""")
 add("budget_gaps", """
     SELECT dataset, suffix, base, CASE WHEN base = 'gnn' THEN 'gnn rung' ELSE 'pilot only' END AS kind FROM {usable_runs} GROUP BY dataset, suffix, base
     HAVING max(CASE WHEN budget_read = 'pilot' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN budget_read = 'full' THEN 1 ELSE 0 END) = 0""", "O-DB33")

@@ -231,23 +231,19 @@ def test_whole_graph_and_log_are_read(spark):
     nodes = spark.createDataFrame([(i, i % 2, "train") for i in range(11)], "node_id long, label int, split string")
     ego = apply(spark, "ego_network", edges_canonical=edges, split_nodes=nodes).collect()
     assert {(r.relation, r.node_id) for r in ego} == {(r, i) for r in ("cpm", "cns") for i in range(11)}
-    assert {(r.degree, r.train_fraud) for r in ego if r.node_id == 0} == {(10, 0.5)}
+    assert {(r.degree, r.n_train, r.train_fraud) for r in ego if r.node_id == 0} == {(10, 10, 0.5)}
     soft = apply(spark, "edge_softmax", edges_canonical=edges).collect()
     assert len(soft) == 80 and {r.relation for r in soft} == {"cpm", "cns"}
     near = [f"nbr__{r}_{c}" for r in ("cpm", "cns", "cdp") for c in [*[f"mean_f0{i}" for i in range(7)], "log1p_degree"]]
     block = spark.createDataFrame([(i, *[1.0 if c == "nbr__cpm_mean_f01" else math.log(2) if c == "nbr__cpm_log1p_degree" else 0.0 for c in near]) for i in range(20)], "node_id long, " + ", ".join(f"{c} double" for c in near))
     sums = spark.createDataFrame([(i, "cpm", 1, *[1.0 + (i == 4) if j == 1 else 0.0 for j in range(7)]) for i in range(20)], "node_id long, relation string, degree long, " + ", ".join(f"mean_f0{i} double" for i in range(7)))
     assert {r.node_id: r.same for r in apply(spark, "layout_check", nbr_block=block, neighbour_sums=sums).collect()} == {i: i != 4 for i in range(20)}
-    log = spark.range(5000).selectExpr("id AS event_id", "'e' AS event_type")
-    want, section = {}, None
-    for i in range(5000):
-        if i % 40 == 0:
-            section = i
-        elif i % 7 == 3 or i % 39 == 11:
-            was = want.get(section, (None, True, 0))
-            trial = i % 7 == 3
-            want[section] = (i % 100 if trial else was[0], was[1] and trial, was[2] + 1)
-    assert {r.section: (r.trials, r.ran_out, r.lines_found) for r in apply(spark, "tuning_budget_log", events=log).collect()} == want
+
+
+def test_last_progress_of_each_section_and_why_it_stopped(spark):
+    lines = ["9/10 trials in 5 of 60 s", "Tuning gbt with selection s0", "3/10 trials in 5 of 60 s", "7/10 trials in 20 of 60 s", "6/10 trials in 30 of 60 s", "Tuning lr with selection s1", "noise", "Tuning gbt with selection s2", "10/10 trials in 40 of 60 s", "Tuning knn with selection s0", "4/10 trials in 10 of 60 s", "4/10 trials in 59 of 60 s"]
+    got = apply(spark, "tuning_budget_log", log_lines=spark.createDataFrame(list(enumerate(lines)), "line long, text string")).orderBy("section").collect()
+    assert [tuple(r) for r in got] == [(1, "gbt", "s0", 7, 10, 20, 60, "early stop"), (5, "lr", "s1", None, None, None, None, "unknown"), (7, "gbt", "s2", 10, 10, 40, 60, "all trials"), (9, "knn", "s0", 4, 10, 59, 60, "time limit")]
 
 
 def test_strata_and_agreement(spark):
