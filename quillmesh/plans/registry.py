@@ -17,8 +17,8 @@ import quillmesh.operators.metrics
 import quillmesh.operators.resultsdb  # noqa: F401  these define the templates
 from quillmesh.operators import attention, attributions, encoders, forest, infomax, models, networks, refits
 from quillmesh.plans.dialect import LIBRARY
-from quillmesh.sources import files
-from quillmesh.storage import run_dir, table, written
+from quillmesh.sources import files, mat_source
+from quillmesh.storage import commit, committed, run_dir, table, written
 
 
 def _get(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -81,6 +81,27 @@ def edges_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).where("relation = 'cdp'").select("src", "dst")
 
 
+def mat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations written as sparse variables of MAT files and read back: two of the three are asked for, the third is never read."""
+    (directed,) = _get(spark, sf_dir, "adjacency_directed")
+    directed = written(directed, "directed")
+    size = (directed.agg(F.max("node_id")).first()[0] or 0) + 1
+    path = f"{run_dir(spark)}/mat-{uuid.uuid4().hex}"
+    mat_source.write_sparse(directed.select(F.col("relation").alias("name"), F.col("node_id").alias("row"), F.col("nb").alias("col"), F.lit(1.0).alias("value"), F.lit(size).alias("rows"), F.lit(size).alias("cols")), path)
+    spark.dataSource.register(mat_source.MatSource)
+    entries = spark.read.format("mat").option("path", path).option("variables", "cdp,cpm").load()
+    return entries.where("row < col").select(F.col("name").alias("relation"), F.col("row").alias("src"), F.col("col").alias("dst"))
+
+
+def committed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges committed, replaced by a second commit, and read back."""
+    (edges,) = _get(spark, sf_dir, "edges_canonical")
+    path = f"{run_dir(spark)}/committed-{uuid.uuid4().hex}"
+    commit(edges.where("relation = 'cns'"), path)
+    commit(edges, path)
+    return committed(spark, path)
+
+
 def changed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that differ between two digest tables: here one table's files against themselves and another's."""
     before = files.file_digests(spark, f"{sf_dir}/nation.parquet")
@@ -429,13 +450,15 @@ CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         interventional_shapley, interactions, group_shapley, forest_influence, neighbour_shapley, counterfactual_cards,
         near_best_settings, refit_recurrence, block_share_across_fits, refit_agreement, split_agreement, null_graph_probe,
         sign_mlp, rel_sage, rel_sage_deep, network_trials, dgi_embeddings, gat_scores, gat_attention, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
-        results_sink, edges_sink, changed_tables,
+        results_sink, edges_sink, changed_tables, mat_round_trip, committed_edges,
     )
 }
 QUERIES = {n: LIBRARY.query(n) for n in LIBRARY.public} | CUSTOM
 ORACLES = {n: LIBRARY.oracle(n) for n in LIBRARY.public if n not in CUSTOM or n == "knn_cards"} | {
     "raw_block": "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS gnnraw__z{i + 1:02d}" for i in range(RAW_PLACES)) + " FROM embeddings",
     "edges_sink": LIBRARY.oracle("edges_canonical").replace("SELECT * FROM edges_canonical", "SELECT src, dst FROM edges_canonical WHERE relation = 'cdp'"),
+    "mat_round_trip": LIBRARY.oracle("edges_canonical").replace("SELECT * FROM edges_canonical", "SELECT relation, src, dst FROM edges_canonical WHERE relation IN ('cdp', 'cpm')"),
+    "committed_edges": LIBRARY.oracle("edges_canonical"),
     "results_sink": LIBRARY.oracle("combined_results").replace("SELECT * FROM combined_results", "SELECT 'run_' || model AS run_id, model, count(*) AS rows_in, round(avg(cv_pr_auc), 6) AS cv_pr_auc FROM combined_results GROUP BY model"),
     # Both sides of the removal, summed over all neighbours but one.
     "removal_influence": LIBRARY.oracle("adjacency_directed").replace("SELECT * FROM adjacency_directed", """, own AS (SELECT c.c_custkey AS node_id, CAST(coalesce(f.orders, 0) AS DOUBLE) AS v FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey),

@@ -57,3 +57,40 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Written last: readers take a result for whole only with it.
+COMMITTED = "_COMMITTED"
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def commit(df: DataFrame, path: str, codec: str = "zstd") -> None:
+    """Write a result to `path`, whole or not at all: aside first, then renamed, then marked. A former result stands until the new one is
+    written; what a lost driver leaves behind has no mark, and is taken away by the next commit."""
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    df.write.option("compression", codec).parquet(aside)
+    target, store = _place(spark, path)
+    store.delete(target, True)
+    if target.getParent() is not None:
+        store.mkdirs(target.getParent())
+    if not store.rename(_place(spark, aside)[0], target):
+        store.delete(_place(spark, aside)[0], True)
+        raise OSError(f"{path} could not be put in place")
+    store.create(spark._jvm.org.apache.hadoop.fs.Path(target, COMMITTED), True).close()
+
+
+def is_committed(spark: SparkSession, path: str) -> bool:
+    place, store = _place(spark, path)
+    return bool(store.exists(spark._jvm.org.apache.hadoop.fs.Path(place, COMMITTED)))
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """A committed result; an error if there is none."""
+    if not is_committed(spark, path):
+        raise FileNotFoundError(f"no committed result at {path}")
+    return spark.read.parquet(path)
