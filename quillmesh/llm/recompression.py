@@ -179,6 +179,16 @@ def _own(docs: np.ndarray, versions: np.ndarray) -> np.ndarray:
     return _signed(mix(docs.astype(U64) * _PAIR + versions.astype(U64)))
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Places (first word and length of a sign) in 4 bytes each, or in 8 where a text is too long for that; the first byte says which."""
+    wide = len(places) and int(places.max()) >= 1 << 32
+    return (b"\x08" + places.astype("<i8").tobytes()) if wide else (b"\x04" + places.astype("<u4").tobytes())
+
+
+def _places(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<i8" if packed[0] == 8 else "<u4", offset=1).astype(np.int64)
+
+
 def _name(width: int, slots: int):
     """Round 1: rows (name, second, doc, code, weight, codes). A sign's first place in the task: weight 1 and its code; a name that
     the task has met before: one row of weight 2 without a place; the places met so, and those named twice in a chunk, packed in one
@@ -215,7 +225,7 @@ def _name(width: int, slots: int):
                 yield _batch(_SIGNS, len(news), name=_signed(news), second=np.zeros(len(news), np.int64), weight=np.full(len(news), 2, np.int32))
                 at2 = np.flatnonzero(again)
                 owners, cut = np.unique(row[at2], return_index=True)
-                packed = [x.astype("<i8").tobytes() for x in np.split(code[at2], cut[1:])] if len(owners) else []
+                packed = [_packed(x) for x in np.split(code[at2] >> VERSION, cut[1:])] if len(owners) else []
                 yield _batch(_SIGNS, len(owners), name=_own(doc[owners], version[owners]), second=np.full(len(owners), -2, np.int64), doc=doc[owners], code=version[owners], weight=np.full(len(owners), 2, np.int32), codes=packed)
 
     return run
@@ -239,8 +249,8 @@ def _look(width: int):
                 begin, end, at = spans(data, offsets)
                 wanted = []
                 for r in range(i, j):
-                    known = [np.asarray(singles[r].values, np.int64), *[np.frombuffer(x.as_py(), "<i8") for x in packs[r].values]]
-                    wanted.append((np.concatenate(known) >> VERSION) + (at[r - i] << LENGTH))
+                    known = [np.asarray(singles[r].values, np.int64) >> VERSION, *[_places(x.as_py()) for x in packs[r].values]]
+                    wanted.append(np.concatenate(known) + (at[r - i] << LENGTH))
                 wanted = np.unique(np.concatenate(wanted))
                 if not len(wanted):
                     continue

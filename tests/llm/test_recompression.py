@@ -122,3 +122,8 @@ def test_texts_are_shuffled_once(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
+
+
+def test_packed_places():
+    for places in ([], [0, 5, (1 << 32) - 1], [3, 1 << 32, 1 << 40]):
+        assert recompression._places(recompression._packed(np.array(places, np.int64))).tolist() == places
