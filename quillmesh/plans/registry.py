@@ -15,7 +15,7 @@ import quillmesh.operators.explain
 import quillmesh.operators.graph
 import quillmesh.operators.metrics
 import quillmesh.operators.resultsdb  # noqa: F401  these define the templates
-from quillmesh.operators import attention, attributions, encoders, forest, infomax, models, networks, refits
+from quillmesh.operators import attention, attributions, encoders, forest, infomax, models, networks, refits, search
 from quillmesh.plans.dialect import LIBRARY
 from quillmesh.sources import files, mat_source
 from quillmesh.storage import commit, committed, run_dir, table, written
@@ -422,6 +422,12 @@ def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.compare_classifiers(train, {"own": own, "own_nbr": own.join(near, "node_id")})
 
 
+def classifier_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of each classifier and selection within a budget of trials, beside its default, over the saved folds."""
+    train, _, columns, *_ = _explained(spark, sf_dir)
+    return search.tuned_against_default(written(search.search(train, columns), "trials"))
+
+
 def saved_model_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits, saves to shared storage, loads and scores."""
     rows = _training(spark, sf_dir)
@@ -449,7 +455,7 @@ CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, roar_top_or_random, tree_shapley,
         interventional_shapley, interactions, group_shapley, forest_influence, neighbour_shapley, counterfactual_cards,
         near_best_settings, refit_recurrence, block_share_across_fits, refit_agreement, split_agreement, null_graph_probe,
-        sign_mlp, rel_sage, rel_sage_deep, network_trials, dgi_embeddings, gat_scores, gat_attention, knn_cards, model_fold_scores, classifier_comparison, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
+        sign_mlp, rel_sage, rel_sage_deep, network_trials, dgi_embeddings, gat_scores, gat_attention, knn_cards, model_fold_scores, classifier_comparison, classifier_search, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
         results_sink, edges_sink, changed_tables, mat_round_trip, committed_edges,
     )
 }
