@@ -189,6 +189,11 @@ add("ego_network", """
 add("ego_links", """
     SELECT a.relation, a.node_id, a.nb AS first_nb, b.nb AS second_nb FROM {ego_network} a JOIN {edges_canonical} e ON e.relation = a.relation AND e.src = a.nb
     JOIN {ego_network} b ON b.relation = a.relation AND b.node_id = a.node_id AND b.nb = e.dst""", "O-GR19")
+add("fold_sizes", "SELECT CAST(cv_fold AS BIGINT) AS fold, count(*) AS n FROM {split_nodes} WHERE split = 'train' GROUP BY cv_fold", public=False)
+# Each fit of nested cross-fitting on the saved folds: its seed, and the rows outside its outer and inner fold.
 add("fit_seeds", """
-    SELECT s.b AS seed, o.b AS outer_fold, CASE WHEN i.b < 5 THEN i.b END AS inner_fold, s.b * 100 + o.b * 10 + CASE WHEN i.b < 5 THEN i.b ELSE 9 END AS fit_seed
-    FROM $SERIES(5) s CROSS JOIN $SERIES(5) o CROSS JOIN $SERIES(6) i WHERE i.b <> o.b""", "O-ST11")
+    SELECT s.b AS seed, f.outer_fold, f.inner_fold, s.b * 100 + f.outer_fold * 10 + coalesce(f.inner_fold, 9) AS fit_seed, CAST(t.total - f.held AS BIGINT) AS n_fit FROM (
+        SELECT fold AS outer_fold, CAST(NULL AS BIGINT) AS inner_fold, n AS held FROM {fold_sizes} UNION ALL SELECT o.fold, i.fold, o.n + i.n FROM {fold_sizes} o JOIN {fold_sizes} i ON i.fold <> o.fold) f
+    CROSS JOIN (SELECT sum(n) AS total FROM {fold_sizes}) t CROSS JOIN $SERIES(5) s""", "O-ST11",
+    oracle="""WITH rows AS (SELECT cv_fold FROM {split_nodes} WHERE split = 'train'), k AS (SELECT DISTINCT CAST(cv_fold AS BIGINT) AS fold FROM rows), p AS (SELECT o.fold AS outer_fold, i.fold AS inner_fold FROM k o JOIN (SELECT fold FROM k UNION ALL SELECT NULL) i ON i.fold IS DISTINCT FROM o.fold)
+        SELECT s.b AS seed, outer_fold, inner_fold, s.b * 100 + outer_fold * 10 + CASE WHEN inner_fold IS NULL THEN 9 ELSE inner_fold END AS fit_seed, CAST((SELECT count(*) FROM rows r WHERE r.cv_fold <> p.outer_fold AND (p.inner_fold IS NULL OR r.cv_fold <> p.inner_fold)) AS BIGINT) AS n_fit FROM p CROSS JOIN $SERIES(5) s""")

@@ -459,6 +459,14 @@ CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         results_sink, edges_sink, changed_tables, mat_round_trip, committed_edges,
     )
 }
+#: The survey's rows that each operator without a template, or with one that is given its input, stands for.
+COVERS = {
+    "components": "O-GR2", "swap_rewire": "O-GR14", "rewired_report": "O-GR15", "grouped_folds": "O-SP1", "pca_block": "O-FT7", "projection_2d": "O-FT8", "embedding_rank": "O-AU12", "raw_block": "O-ST12", "gbt_probe": "O-EV19", "permutation_importance": "O-EV20",
+    "tree_shapley": "O-EX25", "interventional_shapley": "O-EX25", "interactions": "O-EX27", "group_shapley": "O-EX16", "neighbour_shapley": "O-EX12", "forest_influence": "O-EX10 O-EX28", "counterfactual_cards": "O-EX29", "removal_influence": "O-EX15", "randomisation_check": "O-EX19",
+    "near_best_settings": "O-EX26", "refit_recurrence": "O-EX22", "block_share_across_fits": "O-EX22", "refit_agreement": "O-EX26", "split_agreement": "O-EX23", "roar": "O-EX17", "null_graph_probe": "O-ML16", "classifier_search": "O-ML13", "classifier_comparison": "O-ML13", "saved_model_predict": "O-ML15 O-IO16",
+    "rel_sage": "O-ML3 O-ML7 O-ML9", "rel_sage_deep": "O-ML3", "network_trials": "O-ML9", "dgi_embeddings": "O-ML1 O-ST6", "untrained_encoder": "O-ML2", "sign_mlp": "O-ML4", "cross_fit": "O-ML8", "nested_cross_fit": "O-ML8", "split_thresholds": "O-ST15", "file_digests": "O-IO7",
+    "results_sink": "O-IO10", "mat_round_trip": "O-IO1", "committed_edges": "O-IO5",
+}
 QUERIES = {n: LIBRARY.query(n) for n in LIBRARY.public} | CUSTOM
 ORACLES = {n: LIBRARY.oracle(n) for n in LIBRARY.public if n not in CUSTOM or n == "knn_cards"} | {
     "raw_block": "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS gnnraw__z{i + 1:02d}" for i in range(RAW_PLACES)) + " FROM embeddings",
