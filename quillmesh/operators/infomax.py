@@ -91,8 +91,8 @@ def through_summary(theta: np.ndarray, block: Block, dmean: np.ndarray, k: int,
     return np.concatenate([*[g.ravel() for g in made], np.zeros(dim * dim)])
 
 
-def train_infomax(rows: DataFrame, weights: DataFrame, relations: Sequence[str], columns: list[str], noise: list[str], hidden: int = 64, dim: int = 64, epochs: int = 30, patience: int = 5, rate: float = 0.01, seed: int = 3, block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, list[list[float]]]:
-    """((relation, node_id, z1..zdim), losses of the epochs of each relation). rows: relation, node_id, propagated features `columns`, the
+def train_infomax(rows: DataFrame, weights: DataFrame, relations: Sequence[str], columns: list[str], noise: list[str], hidden: int = 64, dim: int = 64, epochs: int = 30, patience: int = 5, rate: float = 0.01, seed: int = 3, block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, list[list[float]], np.ndarray]:
+    """((relation, node_id, z1..zdim), losses of the epochs of each relation, weights of each relation's encoder). rows: relation, node_id, propagated features `columns`, the
     same of dealt features (`noise`), and loss (whether the row counts in loss and summary: test rows do not); weights:
     (relation, node_id, nb, w), the same propagation."""
     k, count, blocks = len(columns), len(relations), None
@@ -141,4 +141,4 @@ def train_infomax(rows: DataFrame, weights: DataFrame, relations: Sequence[str],
                 z = np.round(encode(parts(best[i], k, hidden, dim), block, block.values[:, :k])[0], 6)
                 yield pa.record_batch([pa.array([relations[i]] * block.own), pa.array(block.ids[: block.own]), *[pa.array(z[:, c]) for c in range(dim)]], ["relation", "node_id", *names])
 
-    return blocks.mapInArrow(run, "relation string, node_id long, " + ", ".join(f"{c} double" for c in names)), losses
+    return blocks.mapInArrow(run, "relation string, node_id long, " + ", ".join(f"{c} double" for c in names)), losses, best

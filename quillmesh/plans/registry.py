@@ -15,7 +15,7 @@ import quillmesh.operators.explain
 import quillmesh.operators.graph
 import quillmesh.operators.metrics
 import quillmesh.operators.resultsdb  # noqa: F401  these define the templates
-from quillmesh.operators import attention, attributions, encoders, forest, infomax, models, networks, refits, search
+from quillmesh.operators import attention, attributions, edge_removal, encoders, forest, infomax, models, networks, refits, search
 from quillmesh.plans.dialect import LIBRARY
 from quillmesh.sources import files, mat_source
 from quillmesh.storage import commit, committed, run_dir, table, written
@@ -397,6 +397,26 @@ def removal_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.removal_influence(own, edges, "own__f01")
 
 
+def encoder_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(relation, target, neighbour, moved, delta): what each edge of a relation means to its target's embedding by that relation's trained
+    encoder of two layers, and to a score on the embedding's principal components."""
+    block, weights, nodes = _standard(spark, sf_dir)
+    weights = written(weights, "weights")
+    (edges,) = _get(spark, sf_dir, "adjacency_directed")
+    edges, out = written(edges, "directed"), None
+    rows = written(models.dgi_inputs(block, OWN, weights).join(nodes.select("node_id", (F.col("split") != "test").alias("loss")), "node_id"), "infomax-rows")
+    z, _, theta = infomax.train_infomax(rows, weights, RELATIONS, [f"p_{c}" for c in OWN], [f"q_{c}" for c in OWN], hidden=16, dim=8, epochs=6)
+    z, places = written(z, "embeddings"), [f"z{i + 1}" for i in range(8)]
+    train = nodes.where("split = 'train'").select("node_id", "label", F.col("cv_fold").alias("fold"))
+    for i, relation in enumerate(RELATIONS):
+        _, x, y, _ = forest.sampled(z.where(F.col("relation") == relation).join(train, "node_id"), places)
+        score = edge_removal.projected_score(x, y, 3, lambda v, t: search.logistic(v, t, 1e-3))
+        encoder = infomax.parts(theta[i], len(OWN), 16, 8)
+        own = edge_removal.removal_through_encoder(block, OWN, edges.where(F.col("relation") == relation), encoder, score).select(F.lit(relation).alias("relation"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def knn_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest cards of every node whose id is divisible by 20, among all."""
     (made,) = _get(spark, sf_dir, "vectors")
@@ -455,14 +475,14 @@ CUSTOM: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         components, swap_rewire, rewired_degrees, rewired_report, grouped_folds, pca_block, projection_2d, raw_block, embedding_rank, gbt_probe, permutation_importance, roar, roar_summary, roar_top_or_random, tree_shapley,
         interventional_shapley, interactions, group_shapley, forest_influence, neighbour_shapley, counterfactual_cards,
         near_best_settings, refit_recurrence, block_share_across_fits, refit_agreement, split_agreement, null_graph_probe,
-        sign_mlp, rel_sage, rel_sage_deep, network_trials, dgi_embeddings, gat_scores, gat_attention, knn_cards, model_fold_scores, classifier_comparison, classifier_search, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, saved_model_predict, file_digests, stratified_group_split,
+        sign_mlp, rel_sage, rel_sage_deep, network_trials, dgi_embeddings, gat_scores, gat_attention, knn_cards, model_fold_scores, classifier_comparison, classifier_search, untrained_encoder, cross_fit, nested_cross_fit, split_thresholds, randomisation_check, removal_influence, encoder_removal, saved_model_predict, file_digests, stratified_group_split,
         results_sink, edges_sink, changed_tables, mat_round_trip, committed_edges,
     )
 }
 #: The survey's rows that each operator without a template, or with one that is given its input, stands for.
 COVERS = {
     "components": "O-GR2", "swap_rewire": "O-GR14", "rewired_report": "O-GR15", "grouped_folds": "O-SP1", "pca_block": "O-FT7", "projection_2d": "O-FT8", "embedding_rank": "O-AU12", "raw_block": "O-ST12", "gbt_probe": "O-EV19", "permutation_importance": "O-EV20",
-    "tree_shapley": "O-EX25", "interventional_shapley": "O-EX25", "interactions": "O-EX27", "group_shapley": "O-EX16", "neighbour_shapley": "O-EX12", "forest_influence": "O-EX10 O-EX28", "counterfactual_cards": "O-EX29", "removal_influence": "O-EX15", "randomisation_check": "O-EX19",
+    "tree_shapley": "O-EX25", "interventional_shapley": "O-EX25", "interactions": "O-EX27", "group_shapley": "O-EX16", "neighbour_shapley": "O-EX12", "forest_influence": "O-EX10 O-EX28", "counterfactual_cards": "O-EX29", "removal_influence": "O-EX15", "encoder_removal": "O-EX14 O-EX15", "randomisation_check": "O-EX19",
     "near_best_settings": "O-EX26", "refit_recurrence": "O-EX22", "block_share_across_fits": "O-EX22", "refit_agreement": "O-EX26", "split_agreement": "O-EX23", "roar": "O-EX17", "null_graph_probe": "O-ML16", "classifier_search": "O-ML13", "classifier_comparison": "O-ML13", "saved_model_predict": "O-ML15 O-IO16",
     "rel_sage": "O-ML3 O-ML7 O-ML9", "rel_sage_deep": "O-ML3", "network_trials": "O-ML9", "dgi_embeddings": "O-ML1 O-ST6", "untrained_encoder": "O-ML2", "sign_mlp": "O-ML4", "cross_fit": "O-ML8", "nested_cross_fit": "O-ML8", "split_thresholds": "O-ST15", "file_digests": "O-IO7",
     "results_sink": "O-IO10", "mat_round_trip": "O-IO1", "committed_edges": "O-IO5",
