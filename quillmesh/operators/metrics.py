@@ -92,12 +92,12 @@ add("ratio_steps", """
     SELECT name, n, q, coalesce(sum(n - q) OVER (PARTITION BY name ORDER BY ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fraud_below, sum(n) OVER (PARTITION BY name) AS total, sum(q) OVER (PARTITION BY name) AS benign
     FROM (SELECT name, round(ratio, 9) AS ratio, count(*) AS n, sum(1 - label) AS q FROM {vote_ratios} WHERE ratio IS NOT NULL GROUP BY name, round(ratio, 9)) g""", public=False)
 add("vote_ratio_check", """
-    SELECT r.name, round(a.auroc, 9) AS ratio_auroc_benign, round(r.fraud_below, 9) AS fraud_below_low, round(r.benign_above, 9) AS benign_above_high, r.min_total
-    FROM (SELECT name, sum(CASE WHEN label = 1 AND ratio < 0.2e0 THEN 1 ELSE 0 END) / nullif($DBL(sum(label)), 0) AS fraud_below, sum(CASE WHEN label = 0 AND ratio > 0.8e0 THEN 1 ELSE 0 END) / nullif($DBL(sum(1 - label)), 0) AS benign_above, min(total) AS min_total FROM {vote_ratios} GROUP BY name) r
+    SELECT r.name, round(a.auroc, 9) AS ratio_auroc_benign, round(r.fraud_below, 9) AS fraud_below_low, round(r.benign_above, 9) AS benign_above_high, round(r.no_votes, 9) AS share_with_no_votes, r.min_total, r.n_train
+    FROM (SELECT name, sum(CASE WHEN label = 1 AND ratio < 0.2e0 THEN 1 ELSE 0 END) / nullif($DBL(sum(label)), 0) AS fraud_below, sum(CASE WHEN label = 0 AND ratio > 0.8e0 THEN 1 ELSE 0 END) / nullif($DBL(sum(1 - label)), 0) AS benign_above, min(total) AS min_total, avg(CASE WHEN total = 0 THEN 1e0 ELSE 0e0 END) AS no_votes, CAST(count(*) AS BIGINT) AS n_train FROM {vote_ratios} GROUP BY name) r
     LEFT JOIN (SELECT name, sum(q * (fraud_below + 0.5e0 * (n - q))) / nullif($DBL(max(benign) * (max(total) - max(benign))), 0) AS auroc FROM {ratio_steps} GROUP BY name) a ON a.name = r.name""", "O-AU10",
     oracle="""WITH ranked AS (SELECT name, 1 - label AS y, rank() OVER (PARTITION BY name ORDER BY round(ratio, 9)) + (count(*) OVER (PARTITION BY name, round(ratio, 9)) - 1) / 2e0 AS r FROM {vote_ratios} WHERE ratio IS NOT NULL),
         a AS (SELECT name, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2e0) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auroc FROM ranked GROUP BY name)
-        SELECT v.name, round(any_value(a.auroc), 9) AS ratio_auroc_benign, round(coalesce(avg(CASE WHEN v.ratio < 0.2e0 THEN 1e0 ELSE 0e0 END) FILTER (WHERE v.label = 1), NULL), 9) AS fraud_below_low, round(avg(CASE WHEN v.ratio > 0.8e0 THEN 1e0 ELSE 0e0 END) FILTER (WHERE v.label = 0), 9) AS benign_above_high, min(v.total) AS min_total
+        SELECT v.name, round(any_value(a.auroc), 9) AS ratio_auroc_benign, round(coalesce(avg(CASE WHEN v.ratio < 0.2e0 THEN 1e0 ELSE 0e0 END) FILTER (WHERE v.label = 1), NULL), 9) AS fraud_below_low, round(avg(CASE WHEN v.ratio > 0.8e0 THEN 1e0 ELSE 0e0 END) FILTER (WHERE v.label = 0), 9) AS benign_above_high, round(count(*) FILTER (WHERE v.total = 0) / $DBL(count(*)), 9) AS share_with_no_votes, min(v.total) AS min_total, count(*) AS n_train
         FROM {vote_ratios} v LEFT JOIN a ON a.name = v.name GROUP BY v.name""")
 add("identity_checks", """
     SELECT round(avg(CASE WHEN own__f04 <= own__f01 THEN 1e0 ELSE 0e0 END), 9) AS distinct_at_most_all, round(avg(CASE WHEN abs(own__f03 * own__f01 - round(own__f03 * own__f01)) <= 1e-9 THEN 1e0 ELSE 0e0 END), 9) AS share_times_count_whole,

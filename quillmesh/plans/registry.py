@@ -495,7 +495,7 @@ ORACLES = {n: LIBRARY.oracle(n) for n in LIBRARY.public if n not in CUSTOM or n
     "committed_edges": LIBRARY.oracle("edges_canonical"),
     "results_sink": LIBRARY.oracle("combined_results").replace("SELECT * FROM combined_results", "SELECT 'run_' || model AS run_id, model, count(*) AS rows_in, round(avg(cv_pr_auc), 6) AS cv_pr_auc FROM combined_results GROUP BY model"),
     # Both sides of the removal, summed over all neighbours but one.
-    "removal_influence": LIBRARY.oracle("adjacency_directed").replace("SELECT * FROM adjacency_directed", """, own AS (SELECT c.c_custkey AS node_id, CAST(coalesce(f.orders, 0) AS DOUBLE) AS v FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey),
+    "removal_influence": LIBRARY.oracle("adjacency_directed").replace("SELECT * FROM adjacency_directed", """, own AS (SELECT c.c_custkey AS node_id, CAST(coalesce(f.orders, 0) AS DOUBLE) AS v FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) f ON f.o_custkey = CASE WHEN c.c_custkey % 9 IN (4, 5) THEN c.c_custkey - c.c_custkey % 9 + 3 ELSE c.c_custkey END),
         deg AS (SELECT relation, node_id, count(*) AS d FROM adjacency_directed GROUP BY relation, node_id),
         parts AS (SELECT a.relation, a.node_id, a.nb, o.v / sqrt(d.d + 1e0) AS part FROM adjacency_directed a JOIN own o ON o.node_id = a.nb JOIN deg d ON d.relation = a.relation AND d.node_id = a.nb),
         others AS (SELECT relation, node_id, nb, part, sum(part) OVER (PARTITION BY relation, node_id) AS every FROM parts)
