@@ -226,7 +226,7 @@ def test_numbering_has_no_gaps(spark):
 
 def test_neighbour_block_plan(spark):
     """The edge side is joined and aggregated by node once; the scan reads only the columns that are used."""
-    own = spark.range(1000).selectExpr("id AS node_id", "1e0 AS own__f01", "1e0 AS own__f02", "1e0 AS own__f04")
+    own = spark.range(1000).selectExpr("id AS node_id", *[f"1e0 AS own__f0{i}" for i in range(7)])
     edges = spark.range(1000).selectExpr("'cpm' AS relation", "id AS src", "id + 1 AS dst")
     plan = LIBRARY.apply(spark, "neighbour_sums", lambda t: None, {"own_block": own, "edges_canonical": edges})._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "ArrowEvalPython" not in plan
