@@ -88,7 +88,7 @@ def test_oracles_of_the_corpus_queries(spark):
     from quillmesh.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "labels"):
         con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     for name, sql in ORACLES.items():
         mine = QUERIES[name](spark, SF)
