@@ -319,7 +319,7 @@ def rel_sage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two layers of relational convolutions: a grid of settings, two seeds and all folds trained together, stopped early on whole
     groups; scores of the setting with the best mean validation score, over its seeds."""
     blocks, inputs, relations, folds = _network_blocks(spark, sf_dir)
-    made = networks.train(blocks, inputs, relations, folds, networks.grid(), seeds=(0, 1), epochs=40, patience=6)
+    made = networks.train(blocks, inputs, relations, folds, networks.grid(), seeds=(0, 1), epochs=25, patience=5)
     best = networks.best_setting(made) if made else None
     return networks.scores(blocks, inputs, [m for m in made if m.setting == best])
 
@@ -344,7 +344,7 @@ def dgi_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     block, weights, nodes = _standard(spark, sf_dir)
     weights = written(weights, "weights")
     rows = models.dgi_inputs(block, OWN, weights).join(nodes.select("node_id", (F.col("split") != "test").alias("loss")), "node_id")
-    return infomax.train_infomax(written(rows, "infomax-rows"), weights, RELATIONS, [f"p_{c}" for c in OWN], [f"q_{c}" for c in OWN])[0]
+    return infomax.train_infomax(written(rows, "infomax-rows"), weights, RELATIONS, [f"p_{c}" for c in OWN], [f"q_{c}" for c in OWN], epochs=14)[0]
 
 
 def _gat(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
