@@ -7,7 +7,7 @@ from quillmesh.operators import bootstraps
 from quillmesh.plans import registry
 from quillmesh.plans.dialect import LIBRARY
 
-NAMES = ("importance_ci", "paired_auroc_bootstrap", "paired_bootstrap", "auroc_bootstrap", "group_bootstrap", "rank_agreement")
+NAMES = ("importance_ci", "paired_auroc_bootstrap", "paired_bootstrap", "auroc_bootstrap", "group_bootstrap", "rank_agreement", "side_metrics")
 
 
 def test_hashes_are_the_templates_hash():
