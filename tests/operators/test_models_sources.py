@@ -120,6 +120,23 @@ def test_rewiring_keeps_degrees_and_counts_swaps(spark):
     assert all(report[r].surviving < 0.6 and report[r].swaps == swaps[r] for r in "ab")
 
 
+def test_rewiring_between_many_classes(spark):
+    """Edges of many class pairs: degrees stay, the swaps asked for are made in few rounds, and edges reach other class pairs."""
+    rng = random.Random(6)
+    edges = {("a", *sorted(rng.sample(range(300), 2))) for _ in range(3000)}
+    edges |= {("a", 0, i) for i in range(1, 200)}
+    frame = spark.createDataFrame(sorted(edges), "relation string, src long, dst long")
+    after, swaps = models.swap_rewire(frame, swaps_per_edge=10.0, max_rounds=8, pair_edges=100)
+    got = {(r.relation, r.src, r.dst) for r in after.collect()}
+    degree = lambda es: sorted((r, v) for r, s, d in es for v in (s, d))
+    assert len(got) == after.count() == len(edges) and all(s < d for _, s, d in got) and degree(got) == degree(edges)
+    assert swaps["a"] >= 10 * len(edges) and len(got & edges) < 0.25 * len(edges)
+    again, _ = models.swap_rewire(frame.repartition(3), swaps_per_edge=10.0, max_rounds=8, pair_edges=100)
+    assert {(r.relation, r.src, r.dst) for r in again.collect()} == got
+    ring = spark.createDataFrame([("r", 0, 1), ("r", 1, 2), ("r", 0, 2)], "relation string, src long, dst long")
+    assert models.swap_rewire(ring)[1] == {"r": 0} and models.swap_rewire(ring.limit(0))[1] == {}
+
+
 def numeric(f, theta, eps=1e-5):
     return np.array([(f(theta + eps * e) - f(theta - eps * e)) / (2 * eps) for e in np.eye(len(theta))])
 
