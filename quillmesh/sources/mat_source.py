@@ -1,7 +1,7 @@
 """MAT files of level 5 as a Spark data source that plans its partitions from the files' tags.
 
-The planner reads only tags, dimensions and names, and makes a partition for each range of columns of each wanted variable; a
-partition then reads its columns' bytes alone, dense or sparse. Variables that are not asked for cost their tags. A deflated variable
+The planner reads only tags, dimensions, names and a few starts of sparse columns, and makes a partition for each range of columns of each
+wanted variable; columns before the first entry and after the last one of a sparse variable get none. A partition then reads its columns' bytes alone, dense or sparse. Variables that are not asked for cost their tags. A deflated variable
 has no places of its own in the file, so it is one partition. Files are reached through pyarrow's file systems, by URI.
 
     spark.dataSource.register(MatSource)
@@ -10,6 +10,7 @@ has no places of its own in the file, so it is one partition. Files are reached
 
 from __future__ import annotations
 
+import bisect
 import struct
 import uuid
 import zlib
@@ -29,6 +30,8 @@ SCHEMA = "name string, row long, col long, value double, rows long, cols long, s
 _ARROW = pa.schema([("name", pa.string()), ("row", pa.int64()), ("col", pa.int64()), ("value", pa.float64()), ("rows", pa.int64()), ("cols", pa.int64()), ("sparse", pa.bool_())])
 #: Columns of a partition, and entries of an Arrow batch.
 COLUMNS, ENTRIES = 4096, 1 << 16
+#: Entries of a written file on average: each file holds the starts of all columns, so their number must not grow with these.
+FILE_ENTRIES = 1 << 20
 #: Bytes of a deflated variable that are inflated to see its name.
 HEAD = 1 << 16
 
@@ -68,6 +71,20 @@ def _described(raw: bytes, order: str) -> tuple[int, tuple[int, ...], str, int]
     return flags & 255, shape, raw[at : at + size].decode("latin-1"), after
 
 
+def _filled(file: pa.NativeFile, starts: tuple[str, int, int], cols: int) -> tuple[int, int]:
+    """(first, last): all entries of a sparse variable lie in these columns; found by bisection, as starts don't fall."""
+    kind = np.dtype(starts[0])
+
+    def at(i: int) -> int:
+        file.seek(starts[1] + i * kind.itemsize)
+        return int(np.frombuffer(file.read(kind.itemsize), kind)[0])
+
+    if not cols or not (total := at(cols)):
+        return 0, 0
+    first = bisect.bisect_right(range(cols + 1), 0, key=at) - 1
+    return first, bisect.bisect_left(range(cols + 1), total, key=at)
+
+
 def plan(uri: str, wanted: set[str], columns: int = COLUMNS) -> Iterator[Columns]:
     """The partitions of one file."""
     store, path = stores.FileSystem.from_uri(uri)
@@ -99,8 +116,9 @@ def plan(uri: str, wanted: set[str], columns: int = COLUMNS) -> Iterator[Columns
                         raise MatError(f"{name} in {uri} is not numeric")
                     parts.append((order + NUMBERS[number], inside + data, held // np.dtype(NUMBERS[number]).itemsize))
                     inside += end
-                for first in range(0, max(shape[1], 1), columns):
-                    yield Columns(uri, order, name, shape, first, min(first + columns, shape[1]), tuple(parts))
+                low, high = _filled(file, parts[1], shape[1]) if kind == SPARSE else (0, shape[1])
+                for first in range(low, max(high, low + 1), columns):
+                    yield Columns(uri, order, name, shape, first, min(first + columns, high), tuple(parts))
             at = after
 
 
@@ -178,9 +196,15 @@ def sparse_file(name: str, shape: tuple[int, int], rows: np.ndarray, cols: np.nd
     return b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM" + _element(MATRIX, body)
 
 
-def write_sparse(entries: DataFrame, path: str, columns: int = COLUMNS) -> int:
+def write_sparse(entries: DataFrame, path: str, columns: int | None = None) -> int:
     """Writes (name, row, col, value, rows, cols) as files of one variable and one range of columns each, so no task holds a whole
-    matrix; each is written aside and renamed. Returns the number of files."""
+    matrix; each is written aside and renamed. Without `columns` a range has as many columns as hold FILE_ENTRIES entries on average.
+    Returns the number of files."""
+    if columns is None:
+        wide = entries.groupBy("name").agg(F.max("cols").alias("cols"), F.count("*").alias("n")).collect()  # one row for each variable
+        of = {r.name: max(COLUMNS, -(-int(r.cols) * FILE_ENTRIES // r.n)) for r in wide}
+    else:
+        of = {}
 
     def save(key: tuple, parts: list[np.ndarray]) -> tuple[str, int]:
         name, at, n, m = key
@@ -196,20 +220,23 @@ def write_sparse(entries: DataFrame, path: str, columns: int = COLUMNS) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3)), strict=True))
             row, col, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6))
-            cut = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            names = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False) if batch.num_rows else np.zeros(0)
+            changes = sum((np.diff(c) != 0 for c in (names, *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)))), np.zeros(max(len(names) - 1, 0), bool))
+            cut = [0, *(np.flatnonzero(changes) + 1).tolist(), len(names)]
             for a, b in zip(cut, cut[1:], strict=False):
                 if a < b:
-                    if key is not None and keys[a] != key:
+                    own = tuple(batch.column(i)[a].as_py() for i in range(4))
+                    if key is not None and own != key:
                         yield _saved(*save(key, held))
                         held = []
-                    key = keys[a]
+                    key = own
                     held.append((row[a:b], col[a:b], value[a:b]))
         if held:
             yield _saved(*save(key, held))
 
-    rows = entries.select("name", F.floor(F.col("col") / columns).cast("long").alias("at"), F.col("rows").cast("long"), F.col("cols").cast("long"), F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"))
+    every = F.create_map(*[F.lit(x) for name, n in of.items() for x in (name, n)])[F.col("name")] if of else F.lit(columns or COLUMNS)
+    rows = entries.select("name", F.floor(F.col("col") / every).cast("long").alias("at"), F.col("rows").cast("long"), F.col("cols").cast("long"), F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"))
     return rows.repartition("name", "at").sortWithinPartitions("name", "at", "col", "row").mapInArrow(run, "file string, entries long").count()
 
 

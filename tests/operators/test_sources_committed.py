@@ -70,6 +70,21 @@ def test_written_matrices_come_back(spark, tmp_path):
     assert sorted(map(tuple, entries(spark, tmp_path / "out").select("name", "row", "col", "value").collect())) == sorted(map(tuple, rows.select("name", "row", "col", "value").collect()))
 
 
+def test_wide_matrices_take_few_files_and_partitions(spark, tmp_path):
+    """20 ranges of columns in one file for each variable, and partitions only where entries are: not ranges times files."""
+    cols = 20 * mat_source.COLUMNS
+    rows = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 'x' ELSE 'y' END AS name", "id % 50 AS row", f"id * 91 % {cols} AS col", "id / 4 AS value", f"{cols} AS rows", f"{cols} AS cols")
+    assert mat_source.write_sparse(rows, str(tmp_path / "one")) == 2
+    assert mat_source.write_sparse(rows, str(tmp_path / "many"), columns=mat_source.COLUMNS) == 40
+    empty = mat_source.sparse_file("z", (5, 9000), *(np.zeros(0, int),) * 2, np.zeros(0))
+    (tmp_path / "many" / "z.mat").write_bytes(empty)
+    for folder, most in (("one", 40), ("many", 41)):
+        made = mat_source.MatReader({"path": str(tmp_path / folder)}).partitions()
+        assert len(made) <= most
+        got = entries(spark, tmp_path / folder).select("name", "row", "col", "value").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, rows.select("name", "row", "col", "value").collect()))
+
+
 def test_results_are_whole_or_absent(spark, tmp_path):
     path = f"file://{tmp_path}/deep/er/result"
     with pytest.raises(FileNotFoundError):
