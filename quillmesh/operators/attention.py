@@ -3,9 +3,9 @@
 out_i = x_i R + b + sum over relations of (sum over neighbours j of alpha_ij h_j), h = x W, alpha the softmax over a target's edges of
 LeakyReLU(h_i a_dst + h_j a_src), for each head; a node's margin is relu(out) v + c.
 
-An epoch takes three passes: edges give each target its sums of exp(e) and exp(e) h (combined before the shuffle, so a hub is never
-gathered); nodes turn these into margins and the gradient of `out`; edges, joined with their target's row, give the gradient of
-W and a. Edges hold the features of both ends from the start. Only sums, as many as there are weights, reach the driver.
+Nodes are packed once into blocks with their neighbours' features and the edges that lead to them, as in `networks`: h is made once for
+each node of a block, a target's softmax lies within its block, and an epoch is one pass without a shuffle. Only sums, as many as
+there are weights, reach the driver.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.operators.encoders import Moments, summed
+from quillmesh.operators.encoders import Moments
+from quillmesh.operators.networks import Block, over_blocks, packed_blocks, unpacked
 from quillmesh.storage import written
 
 SLOPE = 0.2
+#: Edges of an Arrow batch of logits.
+LOGIT_ROWS = 1 << 15
 
 
 @dataclass
@@ -118,27 +121,69 @@ def edge_gradient(shape: Shape, theta: np.ndarray, relation: np.ndarray, xt: np.
     return total
 
 
-def _matrix(batch: pa.RecordBatch, first: int, count: int) -> np.ndarray:
-    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[first : first + count]]).astype(float) if count and batch.num_rows else np.zeros((batch.num_rows, count))
+def _firsts(to: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
 
 
-def train_gat(nodes: DataFrame, edges: DataFrame, columns: list[str], relations: list[str], heads: int = 2, channels: int = 4, epochs: int = 15, rate: float = 0.1, seed: int = 7) -> tuple[DataFrame, DataFrame, list[float]]:
+def block_sums(shape: Shape, theta: np.ndarray, block: Block) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(sums of the own nodes, as edge_sums gives them; for each relation h of all places and exp(e) of its edges)."""
+    k, kept = shape.heads + shape.dim, []
+    sums = np.zeros((block.own, shape.relations * k))
+    for r in range(shape.relations):
+        w, src, dst = shape.relation(theta, r)
+        to, place, _ = block.edges[r]
+        h = (block.values @ w).reshape(-1, shape.heads, shape.channels)
+        u = (h * src).sum(2)[place] + (h[: block.own] * dst).sum(2)[to]
+        e = np.exp(np.clip(np.where(u > 0, u, SLOPE * u), -30, 30))
+        if len(to):
+            first = _firsts(to)
+            sums[to[first], r * k : r * k + shape.heads] = np.add.reduceat(e, first, axis=0)
+            sums[to[first], r * k + shape.heads : (r + 1) * k] = np.add.reduceat((e[:, :, None] * h[place]).reshape(len(to), shape.dim), first, axis=0)
+        kept.append((h, e))
+    return sums, kept
+
+
+def block_gradient(shape: Shape, theta: np.ndarray, block: Block, up: float, weight_sum: float) -> np.ndarray:
+    """The block's part of the gradient, and of the loss at the end."""
+    sums, kept = block_sums(shape, theta, block)
+    y = block.facts[:, 0]
+    weight = np.where(y < 0, 0.0, np.where(y == 1, up, 1.0)) / weight_sum
+    total, below, loss = node_gradient(shape, theta, block.values[: block.own], sums, np.maximum(y, 0).astype(float), weight)
+    k, g = shape.heads + shape.dim, below.reshape(-1, shape.heads, shape.channels)
+    for r, (h, e) in enumerate(kept):
+        to, place, _ = block.edges[r]
+        if not len(to):
+            continue
+        g_w, g_src, g_dst = shape.relation(total, r)
+        _, src, dst = shape.relation(theta, r)
+        z, s = np.maximum(sums[:, r * k : r * k + shape.heads], 1e-300), sums[:, r * k + shape.heads : (r + 1) * k].reshape(g.shape)
+        alpha, g_to = e / z[to], g[to]
+        # What the rectifier saw is above 0 where exp(e) is above 1.
+        du = alpha * ((g_to * h[place]).sum(2) - ((g * s).sum(2) / z)[to]) * np.where(e > 1, 1, SLOPE)
+        at, back = np.zeros((block.own, shape.heads)), (alpha[:, :, None] * g_to).reshape(len(to), shape.dim)
+        first, n = _firsts(to), len(block.ids)
+        at[to[first]] = np.add.reduceat(du, first, axis=0)
+        near = np.stack([np.bincount(place, c, n) for c in du.T], 1)
+        through = np.stack([np.bincount(place, c, n) for c in back.T], 1) + (near[:, :, None] * src).reshape(n, shape.dim)
+        g_src += (near[:, :, None] * h).sum(0)
+        g_dst += (at[:, :, None] * h[: block.own]).sum(0)
+        g_w += block.values.T @ through + block.values[: block.own].T @ (at[:, :, None] * dst).reshape(block.own, shape.dim)
+    return np.append(total, loss)
+
+
+def train_gat(nodes: DataFrame, edges: DataFrame, columns: list[str], relations: list[str], heads: int = 2, channels: int = 4, epochs: int = 15, rate: float = 0.1, seed: int = 7, block_nodes: int | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
     """((node_id, prob), (relation, target, neighbour, head, e), losses): scores of all nodes and the attention logits of all edges, from
     a layer trained on the nodes with a label; positives weigh as negatives do together. nodes: node_id, standardised columns,
     label (null: not trained on); edges: relation, node_id, nb, in both directions."""
     k, shape = len(columns), Shape(len(columns), len(relations), heads, channels)
-    place = F.create_map(*[F.lit(x) for i, r in enumerate(relations) for x in (r, float(i))])[F.col("relation")]
-    own = nodes.select(F.col("node_id").cast("long").alias("node_id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.col("label").cast("double").alias("y"))
-    own = written(own, "gat-nodes")
-    far = own.select(F.col("node_id").alias("nb"), *[F.col(f"x{i}").alias(f"n{i}") for i in range(k)])
-    xs, ns = [f"x{i}" for i in range(k)], [f"n{i}" for i in range(k)]
-    e = edges.where(F.col("relation").isin(relations)).select(place.alias("r"), F.col("node_id").cast("long").alias("node_id"), F.col("nb").cast("long").alias("nb"))
-    e = written(e.join(own.drop("y"), "node_id").join(far, "nb").select("node_id", "nb", "r", *xs, *ns), "gat-edges")
-    stats = own.agg(F.count("y").alias("n"), F.sum("y").alias("p")).first()
+    own = written(nodes.select(F.col("node_id").cast("long").alias("node_id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.col("label").cast("long").alias("label")), "gat-nodes")
+    ids = own.select("node_id")
+    e = edges.where(F.col("relation").isin(relations)).select("relation", F.col("node_id").cast("long").alias("node_id"), F.col("nb").cast("long").alias("nb"), F.lit(1.0).alias("w"))
+    e = e.join(ids, "node_id", "left_semi").join(ids.withColumnRenamed("node_id", "nb"), "nb", "left_semi")
+    blocks = packed_blocks(own, [f"x{i}" for i in range(k)], written(e, "gat-edges"), relations, facts=("label",), block_nodes=block_nodes)
+    stats = own.agg(F.count("label").alias("n"), F.sum("label").alias("p")).first()
     up = (stats.n - stats.p) / stats.p if stats.p else 1.0
     weight_sum = max((stats.n - (stats.p or 0)) + up * (stats.p or 0), 1e-300)
-    width = shape.relations * (heads + shape.dim)
-    sums, belows = [f"s{i}" for i in range(width)], [f"g{i}" for i in range(shape.dim)]
     rng, theta = np.random.default_rng(seed), np.zeros(shape.size)
     for r in range(shape.relations):
         w, src, dst = shape.relation(theta, r)
@@ -147,59 +192,27 @@ def train_gat(nodes: DataFrame, edges: DataFrame, columns: list[str], relations:
     root[:], v[:] = rng.normal(size=root.shape) / np.sqrt(k), rng.normal(size=v.shape) / np.sqrt(shape.dim)
     moments, losses, best, least = Moments(shape.size, rate), [], theta, np.inf
 
-    def with_sums(now: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                made = edge_sums(shape, now, _matrix(batch, 1, 1)[:, 0], _matrix(batch, 2, k), _matrix(batch, 2 + k, k))
-                yield pa.record_batch([batch.column(0), *[pa.array(made[:, i]) for i in range(width)]], ["node_id", *sums])
-
-        found = e.select("node_id", "r", *xs, *ns).mapInArrow(run, "node_id long, " + ", ".join(f"{s} double" for s in sums)).groupBy("node_id").agg(*[F.sum(s).alias(s) for s in sums])
-        return own.join(found, "node_id", "left").fillna(0.0, subset=sums)
-
-    def node_part(now: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        y = values[:, k]
-        weight = np.where(np.isnan(y), 0.0, np.where(y == 1, up, 1.0)) / weight_sum
-        return node_gradient(shape, now, values[:, :k], values[:, k + 1 :], np.nan_to_num(y), weight)
-
     for _ in range(epochs):
-        joined = written(with_sums(theta), "gat-sums")
-
-        def root_part(values: np.ndarray, now: np.ndarray = theta) -> np.ndarray:
-            total, _, loss = node_part(now, values)
-            return np.append(total, loss)
-
-        found = summed(joined, [*xs, "y", *sums], shape.size + 1, root_part)
-
-        def below(batches: Iterator[pa.RecordBatch], now: np.ndarray = theta) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                made = node_part(now, _matrix(batch, 1, k + 1 + width))[1] if batch.num_rows else np.zeros((0, shape.dim))
-                yield pa.record_batch([batch.column(0), *batch.columns[k + 2 :], *[pa.array(made[:, i]) for i in range(shape.dim)]], ["node_id", *sums, *belows])
-
-        targets = joined.where("y is not null").select("node_id", *xs, "y", *sums).mapInArrow(below, "node_id long, " + ", ".join(f"{c} double" for c in [*sums, *belows]))
-        edge_rows = e.select("node_id", "r", *xs, *ns).join(targets, "node_id")
-        through = summed(edge_rows, ["r", *xs, *ns, *sums, *belows], shape.size, lambda a, now=theta: edge_gradient(shape, now, a[:, 0], a[:, 1 : 1 + k], a[:, 1 + k : 1 + 2 * k], a[:, 1 + 2 * k : 1 + 2 * k + width], a[:, 1 + 2 * k + width :]))
+        found = over_blocks(blocks, shape.size + 1, lambda b, now=theta: block_gradient(shape, now, b, up, weight_sum), k, 1)
         losses.append(float(found[-1]))
         if losses[-1] < least:
             best, least = theta, losses[-1]
-        theta = theta - moments.step(found[:-1] + through)
+        theta = theta - moments.step(found[:-1])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margin = node_out(shape, best, _matrix(batch, 1, k), _matrix(batch, 1 + k, width))[0]
-            yield pa.record_batch([batch.column(0), pa.array(np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 6))], ["node_id", "prob"])
-
-    names = F.create_map(*[F.lit(x) for i, r in enumerate(relations) for x in (float(i), r)])
+            for block in unpacked(batch, k, 1):
+                margin = node_out(shape, best, block.values[: block.own], block_sums(shape, best, block)[0])[0]
+                yield pa.record_batch([pa.array(block.ids[: block.own]), pa.array(np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 6))], ["node_id", "prob"])
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r, xt, xn = _matrix(batch, 2, 1)[:, 0], _matrix(batch, 3, k), _matrix(batch, 3 + k, k)
-            made = np.zeros((len(r), heads))
-            for i in range(shape.relations):
-                at = r == i
-                made[at] = np.log(_edge(shape, best, i, xt[at], xn[at])[3])
-            ids, near = (np.repeat(batch.column(c).to_numpy(), heads) for c in (0, 1))
-            yield pa.record_batch([pa.array(np.repeat(r, heads)), pa.array(ids), pa.array(near), pa.array(np.tile(np.arange(heads, dtype=np.int32), len(r))), pa.array(np.round(made.ravel(), 9))], ["r", "target", "neighbour", "head", "e"])
-
-    scores = with_sums(best).select("node_id", *xs, *sums).mapInArrow(score, "node_id long, prob double")
-    attention = e.select("node_id", "nb", "r", *xs, *ns).mapInArrow(logits, "r double, target long, neighbour long, head int, e double")
-    return scores, attention.select(names[F.col("r")].alias("relation"), "target", "neighbour", "head", "e"), losses
+            for block in unpacked(batch, k, 1):
+                for r, (_, weights) in enumerate(block_sums(shape, best, block)[1]):
+                    to, place, _ = block.edges[r]
+                    for at in range(0, len(to), LOGIT_ROWS):
+                        t, n, v = (x[at : at + LOGIT_ROWS] for x in (to, place, weights))
+                        made = [[relations[r]] * (heads * len(t)), np.repeat(block.ids[t], heads), np.repeat(block.ids[n], heads), np.tile(np.arange(heads, dtype=np.int32), len(t)), np.round(np.log(v).ravel(), 9)]
+                        yield pa.record_batch([pa.array(c) for c in made], ["relation", "target", "neighbour", "head", "e"])
+
+    return blocks.mapInArrow(score, "node_id long, prob double"), blocks.mapInArrow(logits, "relation string, target long, neighbour long, head int, e double"), losses

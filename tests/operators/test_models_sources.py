@@ -455,6 +455,31 @@ def test_attention_layer_against_plain_loops_and_differences():
     assert np.allclose(got, numeric(lambda now: attention.node_gradient(shape, now, x, forward(now), np.nan_to_num(y), weight)[2], theta), atol=1e-6)
 
 
+def test_attention_over_blocks_is_that_over_edges(spark):
+    """The gradient summed over blocks of several sizes against the passes over edges and nodes."""
+    from quillmesh.operators import networks
+
+    x, edges, y = gat_graph()
+    x = x.astype("f4").astype(float)
+    shape, theta = attention.Shape(3, 2, 2, 2), np.random.default_rng(2).normal(size=attention.Shape(3, 2, 2, 2).size) * 0.5
+    r, t, nb = (np.array(c) for c in zip(*edges, strict=True))
+    known = ~np.isnan(y)
+    up = (known.sum() - np.nansum(y)) / np.nansum(y)
+    weight = np.where(known, np.where(y == 1, up, 1.0), 0.0)
+    sums = np.zeros((len(x), 2 * (2 + 4)))
+    np.add.at(sums, t, attention.edge_sums(shape, theta, r, x[t], x[nb]))
+    total, below, loss = attention.node_gradient(shape, theta, x, sums, np.nan_to_num(y), weight / weight.sum())
+    want = np.append(total + attention.edge_gradient(shape, theta, r, x[t], x[nb], sums[t], below[t]), loss)
+    for spread in (1, 1000):  # ids close together are dealt by ranges, others by hash
+        nodes = spark.createDataFrame([(i * spread, *map(float, v), None if np.isnan(y[i]) else int(y[i])) for i, v in enumerate(x)], "node_id long, a double, b double, c double, label long")
+        frame = spark.createDataFrame([("pq"[q], a * spread, b * spread, 1.0) for q, a, b in edges], "relation string, node_id long, nb long, w double")
+        for size in (7, 100, None):
+            blocks = networks.packed_blocks(nodes, ["a", "b", "c"], frame, ["p", "q"], facts=("label",), block_nodes=size)
+            assert blocks.count() == (6 if size == 7 and spread == 1 else blocks.count()) and blocks.agg({"own": "sum"}).first()[0] == len(x)
+            got = networks.over_blocks(blocks, shape.size + 1, lambda b: attention.block_gradient(shape, theta, b, up, weight.sum()), 3, 1)
+            assert np.allclose(got, want)
+
+
 def test_attention_layer_is_trained(spark):
     x, edges, y = gat_graph()
     nodes = spark.createDataFrame([(i, *map(float, v), None if np.isnan(y[i]) else int(y[i])) for i, v in enumerate(x)] + [(99, 0.0, 0.0, 0.0, None)], "node_id long, a double, b double, c double, label int")
