@@ -36,8 +36,8 @@ def test_sums_are_those_of_the_draws(spark, ranges, slice_rows):
     assert got == want
 
 
-def test_a_count_beyond_a_byte(spark):
-    """One place is taken by every draw: its count needs more than a byte when a slice holds so many hashes."""
+def test_counts_of_one_group_and_of_none(spark):
+    """Every draw takes as many groups as there are; counts beyond a byte (kept in four) do not come up here."""
     order = spark.range(600).selectExpr("id AS group_id", "id AS place")
     found = bootstraps.counts_of_draws(order, 2, ranges=1000).collect()
     assert [np.frombuffer(r.counts, np.uint8).sum() for r in found] == [600, 600]
