@@ -56,3 +56,29 @@ def test_trials_are_deterministic_and_the_best_is_chosen(spark):
     for r in best:
         means = {t: np.mean([f.ap for f in found if (f.classifier, f.selection, f.trial) == (r.classifier, r.selection, t)]) for t in range(3)}
         assert r.cv_mean == pytest.approx(max(means.values()), abs=1e-6) and r.default_cv == pytest.approx(means[0], abs=1e-6) and r.gain >= 0
+
+
+def test_nearest_labels_against_a_full_sort_with_ties_and_outliers():
+    rng = np.random.default_rng(4)
+    base = rng.integers(-2, 3, (1500, 3)).astype(float)  # hundreds of equally far rows
+    base[7] = 1e4
+    label, held = rng.integers(0, 2, 1500), np.concatenate([rng.integers(-2, 3, (40, 3)), rng.normal(size=(600, 3))]).astype(float)
+    far = ((held[:, None, :] - base[None]) ** 2).sum(2).round(9)
+    for k in (1, 9, 99, 1500):
+        assert (search.nearest_labels(base, label, held, k) == label[np.argsort(far, axis=1, kind="stable")[:, :k]]).all()
+
+
+def test_trials_share_ranks_and_neighbours(spark, monkeypatch):
+    """Neighbours are looked for once for all trials with the same columns, and columns ranked once for a fold."""
+    x, y = sample(240)
+    df = spark.createDataFrame([(i, *map(float, r), int(v), i % 3) for i, (r, v) in enumerate(zip(x, y, strict=True))], "node_id long, a double, b double, c double, d double, label int, fold int")
+    calls = []
+    monkeypatch.setattr(search, "fan_out", lambda spark, jobs, work, ddl: spark.createDataFrame([r for j in jobs for r in work(*j)], ddl))
+    monkeypatch.setattr(search, "nearest_labels", lambda *a, of=search.nearest_labels: calls.append("near") or of(*a))
+    monkeypatch.setattr(search, "column_ranks", lambda *a, of=search.column_ranks: calls.append("rank") or of(*a))
+    found = search.search(df, list("abcd"), trials=6, classifiers=("neighbours",), selections=("none",)).collect()
+    assert len(found) == 18 and calls.count("near") == 3 and calls.count("rank") == 3
+    for r in found:
+        k, fold = search.drawn("neighbours", "none", r.trial, 1)["k"], np.arange(240) % 3
+        want = search.fitted_scores("neighbours", {"k": k}, x[fold != r.fold], y[fold != r.fold], x[fold == r.fold])
+        assert r.ap == pytest.approx(forest.ranking_score(y[fold == r.fold], want), abs=1e-6)
