@@ -49,3 +49,18 @@ def test_triangles_in_all_orders(spark):
 
     want = sorted(p for own in ((0, 1, 2), (2, 3, 4)) for p in itertools.permutations(own))
     assert sorted(map(tuple, edge_removal.triangles(edges, degrees).select("t", "n", "u").collect())) == want
+
+
+def test_blocks_of_any_size_give_the_same_and_nothing_wide_is_written(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n, k, hidden, dim = 30, 3, 5, 4
+    adjacent = np.triu(rng.random((n, n)) < 0.3, 1)
+    encoder = [rng.normal(size=(k, hidden)), rng.normal(size=hidden), rng.random(hidden), rng.normal(size=(hidden, dim)), rng.normal(size=dim), rng.random(dim)]
+    values = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(n, k)))], "node_id long, a double, b double, c double")
+    edges = spark.createDataFrame([p for i, j in zip(*np.nonzero(adjacent), strict=True) for p in ((int(i), int(j)), (int(j), int(i)))], "node_id long, nb long")
+    wrote, of = [], edge_removal.written
+    monkeypatch.setattr(edge_removal, "written", lambda df, name, **kw: wrote.append((name, len(df.columns))) or of(df, name, **kw))
+    made = [sorted(map(tuple, edge_removal.removal_through_encoder(values, ["a", "b", "c"], edges, encoder, lambda z: z.sum(1), block_nodes=size).collect())) for size in (4, 1000)]
+    assert len(made[0]) == 2 * adjacent.sum() and np.array(made[0]) == pytest.approx(np.array(made[1]), abs=1e-8)
+    # Of edges and triangles nothing but ids is written.
+    assert {name for name, width in wrote if width > 2} == {"seen"}
