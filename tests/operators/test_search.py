@@ -82,3 +82,24 @@ def test_trials_share_ranks_and_neighbours(spark, monkeypatch):
         k, fold = search.drawn("neighbours", "none", r.trial, 1)["k"], np.arange(240) % 3
         want = search.fitted_scores("neighbours", {"k": k}, x[fold != r.fold], y[fold != r.fold], x[fold == r.fold])
         assert r.ap == pytest.approx(forest.ranking_score(y[fold == r.fold], want), abs=1e-6)
+
+
+def test_neighbours_are_looked_for_among_all_rows():
+    """The row asked for is the last of 30,000; they were looked for among the first 20,000."""
+    x = np.random.default_rng(6).normal(size=(30_000, 2))
+    y = np.zeros(30_000, int)
+    y[25_000:] = 1
+    assert search.neighbour_scores(x, y, x[-50:], [1])[0].tolist() == [1.0] * 50
+
+
+def test_search_of_many_rows_fits_all_of_them(spark, monkeypatch):
+    """By passes over blocks, against the search in one place."""
+    x, y = sample(900)
+    df = spark.createDataFrame([(i, *map(float, r), int(v), i % 3) for i, (r, v) in enumerate(zip(x, y, strict=True))], "node_id long, a double, b double, c double, d double, label int, fold int")
+    want = sorted(map(tuple, search.search(df, list("abcd"), trials=2).collect()))
+    monkeypatch.setattr(forest, "SAMPLE_ROWS", 300)
+    monkeypatch.setattr(forest.sampled, "__defaults__", (300,))
+    monkeypatch.setattr(search.passes, "BLOCK_ROWS", 250)
+    got = sorted(map(tuple, search.search(df.repartition(3), list("abcd"), trials=2).collect()))
+    assert len(got) == 4 * 3 * 2 * 3 and [r[:6] for r in got] == [r[:6] for r in want]
+    assert [r[6] for r in got] == pytest.approx([r[6] for r in want], abs=2e-6)
